@@ -1,0 +1,21 @@
+"""Join helpers: broadcast only behind a proven size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Rows a side may hold and still be broadcast. Config-sized tables (rules,
+# history, calendars, scanned org keys of one night) sit far below it.
+BROADCAST_MAX_ROWS = 200_000
+
+
+def row_bound(df: DataFrame, limit: int) -> bool:
+    """True when ``df`` has at most ``limit`` rows (reads at most limit+1)."""
+    return df.limit(limit + 1).count() <= limit
+
+
+def bounded_broadcast(df: DataFrame, limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
+    """Broadcast ``df`` only when it provably has at most ``limit`` rows;
+    otherwise leave the choice to AQE (shuffle join, skew splitting)."""
+    return F.broadcast(df) if row_bound(df, limit) else df

@@ -73,3 +73,109 @@ QUERIES = {
     "comp_floor": q_comp_floor,
     "shape_hits": q_shape_hits,
 }
+
+
+# --- sighting state ---------------------------------------------------------
+
+def _ts(c: str):
+    return F.date_format(F.col(c), "yyyy-MM-dd HH:mm:ss").alias(c)
+
+
+def _last_night(spark: SparkSession, sf_dir: str):
+    return FX.run_nights(spark, sf_dir).agg(F.max("run_ts")).scalar()
+
+
+def q_sighting_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import state
+    h = state.sighting_history(FX.sightings(spark, sf_dir), FX.board_fetches(spark, sf_dir))
+    return h.select("id", "org_key", "company_name", "title", "url", _ts("first_seen"),
+                    _ts("last_seen"), _ts("closed_at"), "n_closures", "n_reopened")
+
+
+def q_closure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import state
+    e = state.closure_events(FX.sightings(spark, sf_dir), FX.board_fetches(spark, sf_dir))
+    return e.select("id", _ts("night"), "event")
+
+
+def _public_history(spark: SparkSession, sf_dir: str, before=None) -> DataFrame:
+    from hirefold.operators import state
+    s = FX.sightings(spark, sf_dir)
+    n = FX.run_nights(spark, sf_dir)
+    if before is not None:
+        s, n = s.where(F.col("run_ts") < before), n.where(F.col("run_ts") < before)
+    a = s.select("org_key", "run_ts").distinct()
+    return state.public_history(s, a, n)
+
+
+def q_public_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _public_history(spark, sf_dir)
+    return p.select("id", _ts("first_seen"), _ts("last_seen"), _ts("closed_at"))
+
+
+def _as_public(df: DataFrame) -> DataFrame:
+    """Public-store columns for sighting rows (no band, no posted date)."""
+    return df.select(
+        "id", "vendor", "org_key", F.col("company_name").alias("company"), "title",
+        F.lit("").alias("comp_band"), F.lit("").alias("location"), F.lit(False).alias("remote"),
+        "url", F.lit(None).cast("timestamp").alias("posted_at"),
+        *[c for c in ("first_seen", "last_seen", "last_verified", "closed_at") if c in df.columns],
+        *([F.lit(None).cast("string").alias("collapsed_into")] if "first_seen" in df.columns else []))
+
+
+def q_mirror_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import state
+    p = _as_public(_public_history(spark, sf_dir))
+    return state.mirror_collapse(p).select("id", "collapsed_into")
+
+
+def q_seen_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import state
+    now = _last_night(spark, sf_dir)
+    s = FX.sightings(spark, sf_dir)
+    before = s.where(F.col("run_ts") < now)
+    store = state.sighting_history(before, before.select("org_key", "run_ts").distinct()) \
+        .withColumn("public", F.lit(False)).withColumn("comp_band", F.lit("")) \
+        .withColumn("location", F.lit(""))
+    tonight = s.where(F.col("run_ts") == now)
+    nxt = state.seen_reconcile(store, tonight, tonight.select("org_key"), now)
+    return nxt.select("id", _ts("first_seen"), _ts("last_seen"), _ts("closed_at"),
+                      "is_new", "closed_now")
+
+
+def q_public_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import state
+    now = _last_night(spark, sf_dir)
+    store = _as_public(_public_history(spark, sf_dir, before=now))
+    s = FX.sightings(spark, sf_dir)
+    tonight = _as_public(s.where(F.col("run_ts") == now))
+    nxt = state.public_reconcile(store, tonight, tonight.select("org_key"), now)
+    return nxt.select("id", _ts("first_seen"), _ts("last_seen"), _ts("closed_at"), "collapsed_into")
+
+
+def q_new_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tonight = every posting; the store = postings first published before
+    1997 (earlier runs). ``is_new`` for all rows (include_open)."""
+    from hirefold.operators import state
+    p = FX.postings(spark, sf_dir)
+    store = p.where(F.col("published_at") < F.lit("1997-01-01").cast("timestamp")).select("id")
+    return state.new_postings(store, p.select("id", "org_slug"), include_open=True) \
+        .select("id", "is_new")
+
+
+def q_normalize_company(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.functions.text import normalize_company
+    p = FX.postings(spark, sf_dir).select("company_name").distinct()
+    return p.select("company_name", normalize_company(F.col("company_name")).alias("company_key"))
+
+
+QUERIES.update({
+    "sighting_history": q_sighting_history,
+    "closure_events": q_closure_events,
+    "public_history": q_public_history,
+    "mirror_collapse": q_mirror_collapse,
+    "seen_reconcile": q_seen_reconcile,
+    "public_reconcile": q_public_reconcile,
+    "new_postings": q_new_postings,
+    "normalize_company": q_normalize_company,
+})

@@ -12,3 +12,16 @@ ORACLES = {
     "comp_floor": funnel.comp_floor,
     "shape_hits": funnel.shape_hits,
 }
+
+from oracle import state  # noqa: E402
+
+ORACLES.update({
+    "sighting_history": state.sighting_history,
+    "closure_events": state.closure_events,
+    "public_history": state.public_history,
+    "mirror_collapse": state.mirror_collapse,
+    "seen_reconcile": state.seen_reconcile,
+    "public_reconcile": state.public_reconcile,
+    "new_postings": state.new_postings,
+    "normalize_company": state.normalize_company,
+})
