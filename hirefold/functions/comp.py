@@ -51,23 +51,29 @@ def _contains_any(low: Column, words) -> Column:
     return out
 
 
+PARSED_TYPE = "struct<min:bigint,max:bigint,currency:string,flags:array<string>>"
+
+
 def parse_salary_prose(text: Column | str) -> Column:
-    """Band from prose: struct<min, max, currency, flags>, all NULL if none.
+    """Band from prose: struct<min, max, currency, flags>, NULL if none.
 
     Sentences (split after . ! ? plus whitespace, or on newlines) are read in
     order; the first one that mentions pay AND yields a value wins. Amounts
     with a k multiply by 1000 when below 1000; in an hourly sentence every
     amount is annualised at 2080 hours, otherwise amounts below 1000 are
     dropped.
+
+    Higher-order functions run interpreted, so every expensive piece is
+    referenced exactly once: one transform builds (sentence, amounts), a
+    second builds the candidate result, and the first candidate is taken.
+    Text without a dollar sign never enters the transform.
     """
     t = col_(text)
     norm = F.regexp_replace(t, "[ \\t\\u00a0]+", " ")
     segments = F.split(norm, r"(?U)(?<=[.!?])\s+|\n+", -1)
 
-    def seg_struct(seg: Column) -> Column:
+    def amounts(seg: Column) -> Column:
         low = F.lower(seg)
-        raws = F.regexp_extract_all(seg, F.lit(R.MONEY_PATTERN), 1)
-        ks = F.regexp_extract_all(seg, F.lit(R.MONEY_PATTERN), 2)
         hourly = _contains_any(low, R.HOURLY_KEYWORDS)
 
         def to_value(raw: Column, k: Column) -> Column:
@@ -76,29 +82,33 @@ def parse_salary_prose(text: Column | str) -> Column:
             return F.when(hourly, F.bround(v * R.HOURS_PER_YEAR, 0).cast("bigint")) \
                 .when(v >= 1000, F.bround(v, 0).cast("bigint"))
 
-        values = F.filter(F.zip_with(raws, ks, to_value), lambda x: x.isNotNull())
-        return F.struct(
-            (_contains_any(low, R.SALARY_KEYWORDS) & (F.size(values) > 0)).alias("ok"),
-            values.alias("values"),
-            hourly.alias("hourly"),
-            _contains_any(low, R.OTE_KEYWORDS).alias("ote"),
-            F.upper(F.regexp_extract(seg, r"(?iU)\b(USD|CAD|EUR|GBP)\b", 1)).alias("cur"),
-        )
-
-    hit = F.try_element_at(F.filter(F.transform(segments, seg_struct), lambda s: s["ok"]), F.lit(1))
-    vals = hit["values"]
-    flags = F.filter(F.array(
-        F.when(hit["hourly"], F.lit(R.FLAG_HOURLY)),
-        F.when(hit["ote"], F.lit(R.FLAG_OTE)),
-        F.when(F.size(vals) == 1, F.lit(R.FLAG_SINGLE_VALUE)),
-    ), lambda x: x.isNotNull())
-    return F.when(hit.isNotNull(), F.struct(
-        F.array_min(vals).alias("min"),
-        F.array_max(vals).alias("max"),
-        F.when(hit["cur"] == "", F.lit("USD")).otherwise(hit["cur"]).alias("currency"),
-        flags.alias("flags"),
-    )).otherwise(F.lit(None).cast(
-        "struct<min:bigint,max:bigint,currency:string,flags:array<string>>"))
+        has_kw = _contains_any(low, R.SALARY_KEYWORDS)
+        values = F.when(has_kw, F.filter(F.zip_with(
+            F.regexp_extract_all(seg, F.lit(R.MONEY_PATTERN), 1),
+            F.regexp_extract_all(seg, F.lit(R.MONEY_PATTERN), 2), to_value),
+            lambda x: x.isNotNull()))
+        return F.struct(seg.alias("seg"), values.alias("values"), hourly.alias("hourly"),
+                        _contains_any(low, R.OTE_KEYWORDS).alias("ote"))
+
+    def result(a: Column) -> Column:
+        vals = a["values"]
+        cur = F.upper(F.regexp_extract(a["seg"], r"(?iU)\b(USD|CAD|EUR|GBP)\b", 1))
+        flags = F.filter(F.array(
+            F.when(a["hourly"], F.lit(R.FLAG_HOURLY)),
+            F.when(a["ote"], F.lit(R.FLAG_OTE)),
+            F.when(F.size(vals) == 1, F.lit(R.FLAG_SINGLE_VALUE)),
+        ), lambda x: x.isNotNull())
+        return F.struct(F.array_min(vals).alias("min"), F.array_max(vals).alias("max"),
+                        F.when(cur == "", F.lit("USD")).otherwise(cur).alias("currency"),
+                        flags.alias("flags"))
+
+    candidates = F.filter(F.transform(segments, amounts),
+                          lambda a: F.coalesce(F.size(a["values"]) > 0, F.lit(False)))
+    first = F.try_element_at(candidates, F.lit(1))
+    parsed = F.try_element_at(F.transform(
+        F.slice(candidates, 1, 1), result), F.lit(1))
+    del first
+    return F.when(F.instr(t, "$") > 0, parsed).cast(PARSED_TYPE)
 
 
 @F.pandas_udf(T.StringType())

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from hirefold import rules as R
 from hirefold.functions.comp import comp_known, comp_top
 from hirefold.functions.text import (
-    any_phrase_regex, collapse_ws, location_segments, normalize_title,
+    any_phrase_regex, collapse_ws, let, location_segments, normalize_title,
     normalize_title_py, phrase_regex,
 )
 from hirefold.rules import DEFAULT_RULES, Rules
@@ -56,38 +56,79 @@ def _us_signal(seg: Column, rules: Rules) -> Column:
 
 def location_status(location_raw: Column, is_remote: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """"ok", "remote-unverified" or "fail"."""
-    segs = location_segments(location_raw)
-    nyc = F.exists(segs, lambda s: _any_contains(s, [t.lower() for t in rules.nyc_tokens]))
-    remote_segs = F.filter(segs, lambda s: F.instr(s, "remote") > 0)
-    us_any = F.exists(segs, lambda s: _us_signal(s, rules))
-    verified = F.when(us_any, F.lit("ok")).otherwise(F.lit("remote-unverified"))
-    status = F.when(nyc, F.lit("ok"))
-    if not rules.allow_remote_us:
-        return status.otherwise(F.lit("fail"))
-    return (status
-            .when(F.size(remote_segs) > 0,
-                  F.when(~F.exists(remote_segs, lambda s: ~_region_blocked(s, rules)), F.lit("fail"))
-                  .otherwise(verified))
-            .when(F.coalesce(is_remote, F.lit(False))
-                  & ~F.exists(segs, lambda s: _region_blocked(s, rules)), verified)
-            .otherwise(F.lit("fail")))
+    nyc_tokens = [t.lower() for t in rules.nyc_tokens]
+
+    def decide(x: Column) -> Column:
+        segs = x["segs"]
+        nyc = F.exists(segs, lambda s: _any_contains(s, nyc_tokens))
+        remote_segs = F.filter(segs, lambda s: F.instr(s, "remote") > 0)
+        us_any = F.exists(segs, lambda s: _us_signal(s, rules))
+        verified = F.when(us_any, F.lit("ok")).otherwise(F.lit("remote-unverified"))
+        status = F.when(nyc, F.lit("ok"))
+        if not rules.allow_remote_us:
+            return status.otherwise(F.lit("fail"))
+        return (status
+                .when(F.size(remote_segs) > 0,
+                      F.when(~F.exists(remote_segs, lambda s: ~_region_blocked(s, rules)), F.lit("fail"))
+                      .otherwise(verified))
+                .when(F.coalesce(x["remote"], F.lit(False))
+                      & ~F.exists(segs, lambda s: _region_blocked(s, rules)), verified)
+                .otherwise(F.lit("fail")))
+
+    return let(decide, segs=location_segments(location_raw), remote=is_remote)
+
+
+def _tokens_present(low: Column, phrase: str) -> Column:
+    """Every alphanumeric token of the phrase occurs in the lower-cased
+    text: necessary for a phrase match, and far cheaper than the regex."""
+    import re
+    out = F.lit(True)
+    for tok in sorted({t for t in re.split(r"[^a-z0-9]+", phrase.lower()) if t}, key=len, reverse=True):
+        out = out & (F.instr(low, tok) > 0)
+    return out
 
 
-def shape_hits(title: Column, description: Column, rules: Rules = DEFAULT_RULES) -> Column:
-    """array<struct<pack, quote>>: per pack (config order) the first phrase
-    in phrase order that occurs, quoted with whitespace collapsed."""
+def shape_quotes(title: Column, description: Column, rules: Rules = DEFAULT_RULES) -> Column:
+    """struct<q0, q1, ...>: per pack (config order) the text of the first
+    phrase in phrase order that occurs, whitespace collapsed; NULL if none.
+
+    A phrase's regex runs only when all its tokens occur as substrings of
+    the lower-cased text, a necessary condition far cheaper than the regex.
+    The text and its lower case are bound once per row (``let``): one
+    evaluation of a compact expression beats a generated method too large
+    for the JIT.
+    """
     hay = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(description, F.lit("")))
-    hits = []
-    for pack, phrases in rules.shapes:
-        chain = None
-        for p in phrases:
-            rx = phrase_regex(p)
-            found = F.regexp_extract(hay, rx, 0)
-            chain = F.when(hay.rlike(rx), found) if chain is None else chain.when(hay.rlike(rx), found)
-        quote = F.when(hay.rlike(any_phrase_regex(phrases)), collapse_ws(chain))
-        hits.append(F.when(quote.isNotNull(),
-                           F.struct(F.lit(pack).alias("pack"), quote.alias("quote"))))
-    return F.filter(F.array(*hits), lambda h: h.isNotNull())
+
+    def per_row(x: Column) -> Column:
+        h, low = x["h"], x["low"]
+        quotes = []
+        for i, (pack, phrases) in enumerate(rules.shapes):
+            chain = None
+            for p in phrases:
+                rx = phrase_regex(p)
+                test = _tokens_present(low, p) & h.rlike(rx)
+                found = F.regexp_extract(h, rx, 0)
+                chain = F.when(test, found) if chain is None else chain.when(test, found)
+            quotes.append(collapse_ws(chain).alias(f"q{i}"))
+        return F.struct(*quotes)
+
+    return let(per_row, h=hay, low=F.lower(hay))
+
+
+def shape_hits(title: Column, description: Column, rules: Rules = DEFAULT_RULES) -> Column:
+    """array<struct<pack, quote>> of the packs that hit, in config order."""
+    st = "struct<pack:string,quote:string>"
+    qs = shape_quotes(title, description, rules)
+    items = [F.when(qs[f"q{i}"].isNotNull(),
+                    F.struct(F.lit(pack).alias("pack"), qs[f"q{i}"].alias("quote")))
+             for i, (pack, _) in enumerate(rules.shapes)]
+    return F.array_except(F.array(*items), F.array(F.lit(None).cast(st)))
+
+
+def compact(*items: Column) -> Column:
+    """array of the non-NULL string items, order kept (codegen'd)."""
+    return F.array_remove(F.array(*[F.coalesce(i, F.lit("")) for i in items]), "")
 
 
 def _fmt(n: int | None) -> str:
@@ -114,20 +155,18 @@ def evaluate(postings: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     survived = F.col("stage").isNull()
     band_top_only = reached_comp & known & (top >= F.lit(floor)) & ~(
         F.coalesce(F.col("comp.min") >= F.lit(floor), F.lit(False)))
-    shapes = F.when(survived, shape_hits(F.col("title"), F.col("description_text"), rules)) \
-        .otherwise(F.array().cast("array<struct<pack:string,quote:string>>"))
-    df = df.withColumn("_shapes", shapes)
+    df = df.withColumn("_shapes", F.when(survived, shape_quotes(
+        F.col("title"), F.col("description_text"), rules)))
+    shape_cols = [(pack, F.col(f"_shapes.q{i}")) for i, (pack, _) in enumerate(rules.shapes)]
     is_flag_family = F.col("family") == "flag"
     remote_unverified = F.col("family").isNotNull() & (F.col("location") == "remote-unverified")
-    new_flags = F.concat(
-        F.filter(F.array(
-            F.when(is_flag_family, F.lit(R.FLAG_TITLE_FAMILY)),
-            F.when(F.col("family").isNotNull() & F.col("_loc_exc"), F.lit(R.FLAG_LOCATION_EXCEPTION)),
-            F.when(remote_unverified, F.lit(R.FLAG_REMOTE_UNVERIFIED)),
-            F.when(reached_comp & ~known, F.lit(R.FLAG_COMP_UNKNOWN)),
-            F.when(band_top_only, F.lit(R.FLAG_BAND_TOP_ONLY)),
-        ), lambda x: x.isNotNull()),
-        F.transform(F.col("_shapes"), lambda h: h["pack"]),
+    new_flags = compact(
+        F.when(is_flag_family, F.lit(R.FLAG_TITLE_FAMILY)),
+        F.when(F.col("family").isNotNull() & F.col("_loc_exc"), F.lit(R.FLAG_LOCATION_EXCEPTION)),
+        F.when(remote_unverified, F.lit(R.FLAG_REMOTE_UNVERIFIED)),
+        F.when(reached_comp & ~known, F.lit(R.FLAG_COMP_UNKNOWN)),
+        F.when(band_top_only, F.lit(R.FLAG_BAND_TOP_ONLY)),
+        *[F.when(q.isNotNull(), F.lit(pack)) for pack, q in shape_cols],
     )
     flags = F.array_distinct(F.concat(F.coalesce(F.col("flags"), F.array().cast("array<string>")),
                                       new_flags))
@@ -135,15 +174,12 @@ def evaluate(postings: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
                    .when(F.coalesce(F.col("comp.min") >= F.lit(floor), F.lit(False)),
                          F.lit(R.REASON_BAND_CLEARS.format(n=_fmt(floor))))
                    .otherwise(F.lit(R.REASON_BAND_TOP_ONLY.format(n=_fmt(floor)))))
-    kept_reasons = F.concat(
-        F.filter(F.array(
-            F.when(is_flag_family, F.lit(R.REASON_TITLE_FLAG)),
-            F.when(F.col("_loc_exc"), F.lit(R.REASON_LOCATION_EXCEPTION.format(n=_fmt(exc)))),
-            F.when(F.col("location") == "remote-unverified", F.lit(R.REASON_REMOTE_UNVERIFIED)),
-            comp_reason,
-        ), lambda x: x.isNotNull()),
-        F.transform(F.col("_shapes"), lambda h: F.concat(
-            h["pack"], F.lit(': JD says "'), h["quote"], F.lit('"'))),
+    kept_reasons = compact(
+        F.when(is_flag_family, F.lit(R.REASON_TITLE_FLAG)),
+        F.when(F.col("_loc_exc"), F.lit(R.REASON_LOCATION_EXCEPTION.format(n=_fmt(exc)))),
+        F.when(F.col("location") == "remote-unverified", F.lit(R.REASON_REMOTE_UNVERIFIED)),
+        comp_reason,
+        *[F.concat(F.lit(pack), F.lit(': JD says "'), q, F.lit('"')) for pack, q in shape_cols],
     )
     reasons = F.when(survived, kept_reasons).otherwise(F.array(F.col("stage")))
     decision = (F.when(~survived, F.lit("drop"))
@@ -163,29 +199,41 @@ def wants_detail(title: Column, location_raw: Column, is_remote: Column,
     return fam.isNotNull() & (location_status(location_raw, is_remote, rules) != "fail")
 
 
-def liveness(candidates: DataFrame, url_probes: DataFrame) -> DataFrame:
+def liveness(candidates: DataFrame, url_probes: DataFrame, only: Column | None = None) -> DataFrame:
     """``live`` and ``live_method`` from URL probe outcomes (left join on id).
 
     No URL: live on board presence. Probe error: live, inconclusive. HEAD
     below 400: live; otherwise GET decides. No probe row: inconclusive.
+    With ``only``, rows outside it are not probed (``live`` NULL) and the
+    join condition carries the predicate, so the candidates are read once.
     """
-    p = url_probes.select("id", "head_status", "get_status", F.col("error").alias("probe_error"))
-    j = candidates.join(p, "id", "left")
+    p = url_probes.select(F.col("id").alias("_pid"), "head_status", "get_status",
+                          F.col("error").alias("probe_error"))
+    cond = F.col("id") == F.col("_pid")
+    if only is not None:
+        candidates = candidates.withColumn("_probe", only)
+        cond = cond & F.col("_probe")
+    j = candidates.join(p, cond, "left")
     no_url = F.coalesce(F.col("url"), F.lit("")) == ""
     status = F.when(F.col("head_status") < 400, F.col("head_status")).otherwise(F.col("get_status"))
-    live = (F.when(no_url, F.lit(True))
-            .when(F.col("probe_error").isNotNull() | status.isNull(), F.lit(True))
-            .otherwise(status < 400))
+    inconclusive = F.col("probe_error").isNotNull() | status.isNull()
+    live = (F.when(no_url, F.lit(True)).when(inconclusive, F.lit(True)).otherwise(status < 400))
     method = (F.when(no_url, F.lit("board-presence"))
-              .when(F.col("probe_error").isNotNull() | status.isNull(), F.lit("url-probe-inconclusive"))
+              .when(inconclusive, F.lit("url-probe-inconclusive"))
               .otherwise(F.lit("url-probe")))
-    return j.withColumn("live", live).withColumn("live_method", method) \
-        .drop("head_status", "get_status", "probe_error")
+    if only is not None:
+        live = F.when(F.col("_probe"), live)
+        method = F.when(F.col("_probe"), method)
+    out = j.withColumn("live", live).withColumn("live_method", method)
+    return out.drop("_pid", "head_status", "get_status", "probe_error", "_probe")
 
 
 def board_presence(candidates: DataFrame, board: DataFrame) -> DataFrame:
-    """Candidates still listed on their org's board (``left_semi`` on id)."""
-    return candidates.join(board.select("id").distinct(), "id", "left_semi")
+    """``on_board``: the candidate id is still listed on its org's board.
+    A candidate that is not is not live."""
+    ids = board.select("id").distinct().withColumn("on_board", F.lit(True))
+    return candidates.join(ids, "id", "left").withColumn(
+        "on_board", F.coalesce(F.col("on_board"), F.lit(False)))
 
 
 def route(df: DataFrame, include_open: bool = False) -> DataFrame:

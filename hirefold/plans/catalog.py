@@ -179,3 +179,69 @@ QUERIES.update({
     "new_postings": q_new_postings,
     "normalize_company": q_normalize_company,
 })
+
+
+# --- history, liveness, routing ---------------------------------------------
+
+def _verdicts_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import history
+    v = funnel.evaluate(FX.postings(spark, sf_dir))
+    return history.apply_history(v, FX.history(spark))
+
+
+def routed_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings through verdict, history, liveness and the new/open split.
+    Only unsuppressed survivors are probed (the join reads just those)."""
+    from hirefold.operators import state
+    v = _verdicts_with_history(spark, sf_dir)
+    alive = F.col("stage").isNull() & F.col("suppressed_by").isNull()
+    both = funnel.liveness(v, FX.url_probes(spark, sf_dir), only=alive)
+    p = FX.postings(spark, sf_dir)
+    store = p.where(F.col("published_at") < F.lit("1997-01-01").cast("timestamp")).select("id")
+    return funnel.route(state.new_postings(store, both, include_open=True))
+
+
+def q_history_suppress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import history
+    j = history.attach_history(FX.postings(spark, sf_dir), FX.history(spark))
+    return j.select("id", F.col("suppressed_by.status").alias("suppressed_status"),
+                    F.col("suppressed_by.ordinal").alias("suppressed_ordinal"))
+
+
+def q_history_note(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _verdicts_with_history(spark, sf_dir)
+    note = F.filter("reasons", lambda r: r.startswith("history at this company"))
+    return v.select("id", F.array_contains("flags", "history-at-company").alias("noted"),
+                    F.try_element_at(note, F.lit(1)).alias("note"))
+
+
+def q_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    l = funnel.liveness(FX.postings(spark, sf_dir).select("id", "url"), FX.url_probes(spark, sf_dir))
+    return l.select("id", "live", "live_method")
+
+
+def q_board_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import state
+    s = FX.sightings(spark, sf_dir)
+    roles = state.sighting_history(s, FX.board_fetches(spark, sf_dir)).select("id")
+    board = s.where(F.col("run_ts") == _last_night(spark, sf_dir))
+    return funnel.board_presence(roles, board).select("id", "on_board")
+
+
+def q_route_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = routed_postings(spark, sf_dir)
+    return r.select("id", "route", F.array_join("flags", ",").alias("flags"))
+
+
+def q_funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return funnel.funnel_counts(routed_postings(spark, sf_dir))
+
+
+QUERIES.update({
+    "history_suppress": q_history_suppress,
+    "history_note": q_history_note,
+    "liveness": q_liveness,
+    "board_presence": q_board_presence,
+    "route_postings": q_route_postings,
+    "funnel_counts": q_funnel_counts,
+})

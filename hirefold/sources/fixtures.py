@@ -262,3 +262,19 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col("zombies").alias("liveness"), "survivors",
                        (idx * 2 + 1).alias("line_no"))
     return first.unionByName(final)
+
+
+def url_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome of probing each posting URL (HEAD, then GET when HEAD fails)."""
+    o = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
+    k = o.o_orderkey
+    source = _pick(R.VENDORS, o.o_custkey % 6)
+    slug = F.concat(F.lit("org"), (o.o_custkey % 50).cast("string"))
+    err = k % 29 == 0
+    head = F.when(err, F.lit(None)).when(k % 17 == 0, F.lit(405)).when(k % 23 == 0, F.lit(404)) \
+        .otherwise(F.lit(200))
+    get = F.when(err, F.lit(None)).when(k % 17 == 0, F.when(k % 2 == 0, F.lit(200)).otherwise(F.lit(410))) \
+        .when(k % 23 == 0, F.lit(404))
+    return o.select(role_id(source, slug, k).alias("id"), head.cast("int").alias("head_status"),
+                    get.cast("int").alias("get_status"),
+                    F.when(err, F.lit("timeout")).alias("error"))

@@ -25,3 +25,14 @@ ORACLES.update({
     "new_postings": state.new_postings,
     "normalize_company": state.normalize_company,
 })
+
+from oracle import history  # noqa: E402
+
+ORACLES.update({
+    "history_suppress": history.history_suppress,
+    "history_note": history.history_note,
+    "liveness": history.liveness,
+    "board_presence": history.board_presence,
+    "route_postings": history.route_postings,
+    "funnel_counts": history.funnel_counts,
+})
