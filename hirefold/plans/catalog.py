@@ -245,3 +245,141 @@ QUERIES.update({
     "route_postings": q_route_postings,
     "funnel_counts": q_funnel_counts,
 })
+
+
+# --- registry and discovery -------------------------------------------------
+
+def _registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import registry as REG
+    return REG.last_write_wins(FX.registry_log(spark, sf_dir)).drop("line_no")
+
+
+def _refs_text(refs):
+    return F.array_join(F.transform(refs, lambda r: F.concat_ws(
+        " ", r["vendor"], r["slug"], r["board_url"])), " | ")
+
+
+def q_board_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import registry as REG
+    p = FX.crawl_pages(spark, sf_dir)
+    hay = F.concat(F.col("final_url"), F.lit("\n"), F.col("html"))
+    return p.select("page_id", _refs_text(REG.board_refs(hay)).alias("refs"))
+
+
+def q_discover_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import registry as REG
+    d = REG.discover_orgs(FX.crawl_pages(spark, sf_dir), "pages")
+    return d.select("domain", "vendor", "slug", "board_url", "company_name", "ref_pos")
+
+
+def q_no_match_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import registry as REG
+    pages = FX.crawl_pages(spark, sf_dir)
+    m = REG.no_match_markers(pages, REG.discover_orgs(pages), "pages")
+    return m.select("domain", "vendor", "slug", "company_name", "notes")
+
+
+def q_domains_to_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import registry as REG
+    return REG.domains_to_scan(FX.domain_lines(spark, sf_dir), _registry(spark, sf_dir))
+
+
+def _reg_out(df: DataFrame) -> DataFrame:
+    return df.select("vendor", "slug", "company_name", "domain", "board_url", "status",
+                     F.date_format("last_verified", "yyyy-MM-dd").alias("last_verified"),
+                     F.col("last_posting_count").cast("bigint").alias("last_posting_count"),
+                     "discovered_via", "notes")
+
+
+def q_last_write_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reg_out(_registry(spark, sf_dir))
+
+
+def q_registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rediscovery of every logged line (ordinal = line number) plus the
+    boards found on crawled pages, folded into the registry."""
+    from hirefold.operators import registry as REG
+    reg = _registry(spark, sf_dir)
+    log = FX.registry_log(spark, sf_dir)
+    again = log.select(
+        F.concat(F.lit("Seen "), F.col("slug")).alias("company_name"),
+        F.concat(F.col("slug"), F.lit(".example.net")).alias("domain"),
+        "vendor", "slug",
+        F.concat(F.lit("https://boards.example.net/"), F.col("slug")).alias("board_url"),
+        F.lit("unverified").alias("status"), F.lit(None).cast("date").alias("last_verified"),
+        F.lit(0).cast("bigint").alias("last_posting_count"),
+        F.when(F.col("line_no") % 2 == 0, F.lit("rescan")).otherwise(F.lit("")).alias("discovered_via"),
+        F.lit("").alias("notes"),
+        F.struct(F.lit(0).alias("src"), F.lit("").alias("domain"),
+                 F.col("line_no").alias("pos")).alias("ordinal"))
+    found = REG.discover_orgs(FX.crawl_pages(spark, sf_dir), "pages")
+    found = found.withColumn("ordinal", F.struct(F.lit(1).alias("src"), F.col("domain"),
+                                                 F.col("ref_pos").cast("bigint").alias("pos"))).drop("ref_pos")
+    return _reg_out(REG.registry_upsert(reg, again.unionByName(found)))
+
+
+def q_registry_add(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scan the todo domains of the list: counts scanned, skipped,
+    orgs_found, no_match (one row)."""
+    from hirefold.operators import registry as REG
+    reg = _registry(spark, sf_dir)
+    plan = REG.domains_to_scan(FX.domain_lines(spark, sf_dir), reg)
+    todo = plan.where(F.col("action") == "todo").select("domain")
+    pages = FX.crawl_pages(spark, sf_dir).join(todo, "domain", "left_semi")
+    found = REG.discover_orgs(pages, "list")
+    markers = REG.no_match_markers(pages, found, "list")
+    scanned = todo.join(pages.select("domain").distinct(), "domain", "left_semi")
+    tagged = (plan.where(F.col("action").isin("known", "repeat")).select(F.lit("skipped").alias("k"))
+              .unionByName(scanned.select(F.lit("scanned").alias("k")))
+              .unionByName(found.select(F.lit("orgs_found").alias("k")))
+              .unionByName(markers.select(F.lit("no_match").alias("k"))))
+    return tagged.agg(*[F.count_if(F.col("k") == k).alias(k)
+                        for k in ("scanned", "skipped", "orgs_found", "no_match")])
+
+
+def q_registry_apply_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import registry as REG
+    return _reg_out(REG.registry_apply_probes(_registry(spark, sf_dir), FX.board_probes(spark, sf_dir)))
+
+
+def q_registry_probe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import registry as REG
+    return REG.registry_probe_counts(_registry(spark, sf_dir), FX.board_probes(spark, sf_dir))
+
+
+def q_registry_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import registry as REG
+    return REG.registry_stats(_registry(spark, sf_dir))
+
+
+def q_stalest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import registry as REG
+    return _reg_out(REG.stalest_first(_registry(spark, sf_dir), 25))
+
+
+def q_live_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import registry as REG
+    return _reg_out(REG.live_orgs(_registry(spark, sf_dir)))
+
+
+def q_slug_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import registry as REG
+    slugs = _registry(spark, sf_dir).select("slug").distinct()
+    return REG.slug_lookup(FX.board_probes(spark, sf_dir), slugs)
+
+
+QUERIES.update({
+    "board_refs": q_board_refs,
+    "discover_orgs": q_discover_orgs,
+    "no_match_markers": q_no_match_markers,
+    "domains_to_scan": q_domains_to_scan,
+    "last_write_wins": q_last_write_wins,
+    "registry_upsert": q_registry_upsert,
+    "registry_add": q_registry_add,
+    "registry_apply_probes": q_registry_apply_probes,
+    "registry_probe_counts": q_registry_probe_counts,
+    "registry_stats": q_registry_stats,
+    "stalest_first": q_stalest_first,
+    "live_orgs": q_live_orgs,
+    "slug_lookup": q_slug_lookup,
+})

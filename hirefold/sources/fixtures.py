@@ -278,3 +278,18 @@ def url_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(role_id(source, slug, k).alias("id"), head.cast("int").alias("head_status"),
                     get.cast("int").alias("get_status"),
                     F.when(err, F.lit("timeout")).alias("error"))
+
+
+def domain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A domain list file: page URLs (some commented out, some blank) then
+    a few domains the registry already claims."""
+    p = _read(spark, sf_dir, "pages", "page_id", "url")
+    raw = (F.when(p.page_id % 37 == 0, F.lit(""))
+           .when(p.page_id % 10 == 0, F.concat(F.lit("# "), p.url)).otherwise(p.url))
+    a = p.select(p.page_id.alias("line_no"), raw.alias("raw"))
+    c = _read(spark, sf_dir, "customer", "c_custkey").where(
+        (F.col("c_custkey") % 7 == 0) & (F.col("c_custkey") % 11 != 0))
+    b = c.select((F.lit(1_000_000_000) + c.c_custkey).alias("line_no"),
+                 F.concat(F.lit("https://www.customer"), c.c_custkey.cast("string"),
+                          F.lit(".example.com/about")).alias("raw"))
+    return a.unionByName(b)

@@ -36,3 +36,21 @@ ORACLES.update({
     "route_postings": history.route_postings,
     "funnel_counts": history.funnel_counts,
 })
+
+from oracle import registry  # noqa: E402
+
+ORACLES.update({
+    "board_refs": registry.board_refs,
+    "discover_orgs": registry.discover_orgs,
+    "no_match_markers": registry.no_match_markers,
+    "domains_to_scan": registry.domains_to_scan,
+    "last_write_wins": registry.last_write_wins,
+    "registry_upsert": registry.registry_upsert,
+    "registry_add": registry.registry_add,
+    "registry_apply_probes": registry.registry_apply_probes,
+    "registry_probe_counts": registry.registry_probe_counts,
+    "registry_stats": registry.registry_stats,
+    "stalest_first": registry.stalest_first,
+    "live_orgs": registry.live_orgs,
+    "slug_lookup": registry.slug_lookup,
+})
