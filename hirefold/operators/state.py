@@ -256,3 +256,26 @@ def public_history(sightings: DataFrame, answered: DataFrame, nights: DataFrame)
     return agg.where(~F.col("_gone")).select(
         "id", "_r.*", "first_seen", "last_seen", F.col("last_seen").alias("last_verified"),
         "closed_at")
+
+
+def public_rows_from_postings(postings: DataFrame) -> DataFrame:
+    """Title-family postings in the public store's shape (before any private
+    filter): employer data only; the band only when one is known."""
+    from hirefold.functions.comp import band_text, comp_known
+    from hirefold.operators.funnel import title_family
+    fam = postings.where(title_family(F.col("title")).isNotNull())
+    return fam.select(
+        "id", F.col("source").alias("vendor"), F.concat_ws(":", "source", "org_slug").alias("org_key"),
+        F.col("company_name").alias("company"), "title",
+        F.when(comp_known(F.col("comp")), band_text(F.col("comp"))).otherwise(F.lit("")).alias("comp_band"),
+        F.coalesce(F.col("location_raw"), F.lit("")).alias("location"),
+        F.coalesce(F.col("is_remote"), F.lit(False)).alias("remote"),
+        F.coalesce(F.col("url"), F.lit("")).alias("url"), F.col("published_at").alias("posted_at"))
+
+
+def empty_public_store(spark) -> DataFrame:
+    schema = ("id string, vendor string, org_key string, company string, title string, "
+              "comp_band string, location string, remote boolean, url string, posted_at timestamp, "
+              "first_seen timestamp, last_seen timestamp, last_verified timestamp, "
+              "closed_at timestamp, collapsed_into string")
+    return spark.createDataFrame([], schema)

@@ -383,3 +383,170 @@ QUERIES.update({
     "live_orgs": q_live_orgs,
     "slug_lookup": q_slug_lookup,
 })
+
+
+# --- reports ----------------------------------------------------------------
+
+PUBLIC_OUT = ("id", "vendor", "org_key", "company", "title", "comp_band", "location", "remote",
+              "url", "posted_at", "first_seen", "last_seen", "last_verified", "closed_at",
+              "collapsed_into")
+
+
+def _week_end(spark: SparkSession, sf_dir: str):
+    return F.to_date(_last_night(spark, sf_dir))
+
+
+def seen_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seen store over all nights; roles of type 'purchase' were clean
+    survivors and so carry the public fields."""
+    from hirefold.operators import state
+    s = FX.sightings(spark, sf_dir)
+    h = state.sighting_history(s, FX.board_fetches(spark, sf_dir)).withColumn(
+        "public", F.lit(False)).withColumn("comp_band", F.lit("")).withColumn("location", F.lit(""))
+    kept = s.where(F.col("title") == "purchase").select("id").distinct().select(
+        "id", F.array().cast("array<string>").alias("flags"), F.lit("not published").alias("band"),
+        F.lit("not stated").alias("location_label"))
+    return state.mark_public(h, kept)
+
+
+def board_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import state
+    return state.mirror_collapse(_as_public(_public_history(spark, sf_dir))).select(*PUBLIC_OUT)
+
+
+def postings_public_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Public store after one run over every posting (store empty before):
+    fed by title-family postings, before any private filter."""
+    from hirefold.operators import state
+    p = FX.postings(spark, sf_dir)
+    now = p.agg(F.max("published_at") + F.expr("INTERVAL 1 DAY")).scalar()
+    tonight = state.public_rows_from_postings(p)
+    out = state.public_reconcile(state.empty_public_store(spark), tonight,
+                                 tonight.select("org_key"), now)
+    return out.select(*PUBLIC_OUT)
+
+
+def q_latest_run_per_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    r = reports.latest_run_per_date(FX.runs(spark, sf_dir), _week_end(spark, sf_dir))
+    return r.select(F.date_format("date", "yyyy-MM-dd").alias("date"), "postings_read", "orgs_scanned",
+                    "zombies", "liveness", "survivors", "line_no")
+
+
+def q_weekly_report_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    return reports.weekly_report_stats(FX.runs(spark, sf_dir), _week_end(spark, sf_dir))
+
+
+def q_weekly_new_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    return reports.weekly_new_roles(seen_store(spark, sf_dir), _week_end(spark, sf_dir))
+
+
+def q_weekly_closed_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    return reports.weekly_closed_roles(seen_store(spark, sf_dir), _week_end(spark, sf_dir))
+
+
+def q_mark_public(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return seen_store(spark, sf_dir).select("id", "public", "comp_band", "location")
+
+
+def q_board_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    return reports.board_open(board_store(spark, sf_dir), _last_night(spark, sf_dir))
+
+
+def q_board_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    return reports.board_closed(board_store(spark, sf_dir), _last_night(spark, sf_dir))
+
+
+def q_board_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    return reports.board_stats(board_store(spark, sf_dir), FX.runs(spark, sf_dir),
+                               _last_night(spark, sf_dir))
+
+
+def q_mirror_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    return reports.mirror_counts(postings_public_store(spark, sf_dir))
+
+
+def q_public_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = postings_public_store(spark, sf_dir)
+    return p.select("id", "vendor", "org_key", "company", "title", "comp_band", "location", "remote",
+                    "url", F.date_format("posted_at", "yyyy-MM-dd").alias("posted_at"),
+                    _ts("first_seen"), "collapsed_into")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import registry as REG
+    from hirefold.operators import reports
+    orgs = REG.live_orgs(_registry(spark, sf_dir))
+    run_day = F.to_date(_last_night(spark, sf_dir))
+    return reports.company_pages(orgs, postings_public_store(spark, sf_dir), run_day)
+
+
+def q_company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).drop("org_key")
+
+
+def q_company_page_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    r = reports.company_page_roles(_pages(spark, sf_dir), postings_public_store(spark, sf_dir))
+    return r.select("dirname", "sort_title", "id", "title", "comp_band", "location_label", "posted", "url")
+
+
+def q_pages_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    return reports.pages_totals(_pages(spark, sf_dir))
+
+
+def q_jsonld_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    roles = reports.company_page_roles(_pages(spark, sf_dir), postings_public_store(spark, sf_dir))
+    return reports.jsonld_rows(roles)
+
+
+def q_sitemap_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    return reports.sitemap_rows(_pages(spark, sf_dir), F.to_date(_last_night(spark, sf_dir)))
+
+
+def q_dirname_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    orgs = q_registry_upsert(spark, sf_dir).select("vendor", "slug")
+    return reports.dirname_collisions(orgs).select("vendor", "slug", "dirname")
+
+
+def q_digest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    return reports.digest_rows(routed_postings(spark, sf_dir))
+
+
+def q_suppressed_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import reports
+    return reports.suppressed_top(routed_postings(spark, sf_dir))
+
+
+QUERIES.update({
+    "latest_run_per_date": q_latest_run_per_date,
+    "weekly_report_stats": q_weekly_report_stats,
+    "weekly_new_roles": q_weekly_new_roles,
+    "weekly_closed_roles": q_weekly_closed_roles,
+    "mark_public": q_mark_public,
+    "board_open": q_board_open,
+    "board_closed": q_board_closed,
+    "board_stats": q_board_stats,
+    "mirror_counts": q_mirror_counts,
+    "public_projection": q_public_projection,
+    "company_pages": q_company_pages,
+    "company_page_roles": q_company_page_roles,
+    "pages_totals": q_pages_totals,
+    "jsonld_rows": q_jsonld_rows,
+    "sitemap_rows": q_sitemap_rows,
+    "dirname_collisions": q_dirname_collisions,
+    "digest_rows": q_digest_rows,
+    "suppressed_top": q_suppressed_top,
+})

@@ -135,6 +135,11 @@ SMARTRECRUITERS_SECTIONS = (
 SMARTRECRUITERS_POSTING_URL = "https://jobs.smartrecruiters.com/{company}/{posting_id}"
 WORKDAY_HOST_URL = "https://{tenant}.wd{n}.myworkdayjobs.com"
 
+# Company page headline: "Yes: {n} open GTM/RevOps role(s) as of {day}." or
+# "No live GTM or RevOps roles verified as of {run day}."
+HEADLINE_YES = "Yes: {n} open GTM/RevOps {noun} as of {day}."
+HEADLINE_NO = "No live GTM or RevOps roles verified as of {day}."
+
 # Public site addresses used in sitemap rows.
 SITE_BASE_URL = "https://example.org/board"
 DIGEST_TOP_SUPPRESSED = 15

@@ -54,3 +54,26 @@ ORACLES.update({
     "live_orgs": registry.live_orgs,
     "slug_lookup": registry.slug_lookup,
 })
+
+from oracle import reports  # noqa: E402
+
+ORACLES.update({
+    "latest_run_per_date": reports.latest_run_per_date,
+    "weekly_report_stats": reports.weekly_report_stats,
+    "weekly_new_roles": reports.weekly_new_roles,
+    "weekly_closed_roles": reports.weekly_closed_roles,
+    "mark_public": reports.mark_public,
+    "board_open": reports.board_open,
+    "board_closed": reports.board_closed,
+    "board_stats": reports.board_stats,
+    "mirror_counts": reports.mirror_counts,
+    "public_projection": reports.public_projection,
+    "company_pages": reports.company_pages,
+    "company_page_roles": reports.company_page_roles,
+    "pages_totals": reports.pages_totals,
+    "jsonld_rows": reports.jsonld_rows,
+    "sitemap_rows": reports.sitemap_rows,
+    "dirname_collisions": reports.dirname_collisions,
+    "digest_rows": reports.digest_rows,
+    "suppressed_top": reports.suppressed_top,
+})

@@ -34,7 +34,7 @@ def history_ctes(src: str = "postings") -> list[str]:
   SELECT id, arg_min(status, (NOT wide, ordinal)) AS sup_status, arg_min(ordinal, (NOT wide, ordinal)) AS sup_ordinal
   FROM hm GROUP BY id)""",
         """hfirst AS (
-  SELECT c.id, arg_min(h.status, h.ordinal) AS first_status, arg_min(h.date, h.ordinal) AS first_date
+  SELECT c.id, arg_min(h.status, h.ordinal) AS first_status, arg_min_null(h.date, h.ordinal) AS first_date
   FROM cand c JOIN hk h ON c.ck = h.ck AND h.ck <> '' GROUP BY c.id)""",
     ]
 
