@@ -132,6 +132,21 @@ def html_to_text(raw: Column | str) -> Column:
     return F.when(F.coalesce(r, F.lit("")) == "", F.lit(None).cast("string")).otherwise(text)
 
 
+def html_to_text_many(items: Column) -> Column:
+    """``html_to_text`` of every item of an array of HTML strings, empties
+    and NULLs dropped, order kept. The items are decoded together (joined
+    by a control character no entity or tag contains, then split back), so
+    the one Python step runs once per row, outside any lambda."""
+    sep = "\u0001"
+    joined = F.array_join(items, sep)
+    once = html_unescape(joined)
+    no_tags = F.regexp_replace(once, "<[^>]+>", " ")
+    text = F.replace(html_unescape(no_tags), F.lit("\u00a0"), F.lit(" "))
+    text = F.regexp_replace(text, "[ \t]+", " ")
+    parts = F.transform(F.split(text, sep, -1), lambda t: py_strip(t))
+    return F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda t: t != "")
+
+
 def comp_struct(min_: Column, max_: Column, currency: Column, source: Column) -> Column:
     return F.struct(min_.cast("bigint").alias("min"), max_.cast("bigint").alias("max"),
                     currency.alias("currency"), source.alias("source"))

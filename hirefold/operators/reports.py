@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from hirefold import rules as R
 from hirefold.functions.text import location_label, page_dirname
 
-DAY = F.expr("INTERVAL 1 DAY")
 
 
 def _days_open(closed: Column, first: Column) -> Column:

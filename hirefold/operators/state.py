@@ -23,7 +23,8 @@ from hirefold import rules as R
 from hirefold.functions.text import normalize_company, normalize_title
 from hirefold.operators.joins import bounded_broadcast
 
-RETENTION = F.expr(f"INTERVAL {R.CLOSED_RETENTION_DAYS} DAYS")
+def _retention() -> Column:
+    return F.expr(f"INTERVAL {R.CLOSED_RETENTION_DAYS} DAYS")
 
 SEEN_COLUMNS = ("id", "org_key", "title", "company_name", "url", "first_seen", "last_seen",
                 "closed_at", "public", "comp_band", "location")
@@ -111,7 +112,7 @@ def public_reconcile(store: DataFrame, tonight: DataFrame, scanned: DataFrame,
     j = _scanned_flag(j, scanned, "_org")
     current = F.col("c_id").isNotNull()
     closes = ~current & F.col("s_closed_at").isNull() & F.col("_scanned")
-    expired = ~current & F.col("s_closed_at").isNotNull() & (now > F.col("s_closed_at") + RETENTION)
+    expired = ~current & F.col("s_closed_at").isNotNull() & (now > F.col("s_closed_at") + _retention())
     cols = [F.coalesce("s_id", "c_id").alias("id")]
     for f in fields:
         cols.append(F.when(current, F.col(f"c_{f}")).otherwise(F.col(f"s_{f}")).alias(f))
@@ -227,7 +228,7 @@ def _deletion_nights(nights: DataFrame) -> DataFrame:
     arr = cal.agg(F.array_sort(F.collect_list("run_ts"))).scalar()
     return cal.withColumn("_cal", arr).select(
         F.col("run_ts").alias("closed_on"),
-        F.try_element_at(F.filter("_cal", lambda r: r > F.col("run_ts") + RETENTION), F.lit(1))
+        F.try_element_at(F.filter("_cal", lambda r: r > F.col("run_ts") + _retention()), F.lit(1))
         .alias("drop_on"))
 
 

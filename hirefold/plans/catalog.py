@@ -550,3 +550,53 @@ QUERIES.update({
     "digest_rows": q_digest_rows,
     "suppressed_top": q_suppressed_top,
 })
+
+
+# --- vendor payloads ----------------------------------------------------------
+
+def _norm_out(df: DataFrame) -> DataFrame:
+    return df.select("id", "company_name", "title", "location_raw", "is_remote",
+                     F.col("comp.min").alias("comp_min"), F.col("comp.max").alias("comp_max"),
+                     F.col("comp.currency").alias("comp_currency"), F.col("comp.source").alias("comp_source"),
+                     "url", _ts("published_at"), "description_text",
+                     F.array_join("flags", ",").alias("flags"))
+
+
+def _norm_query(vendor: str):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from hirefold.sources import vendors
+        return _norm_out(vendors.NORMALISERS[vendor](FX.raw_payloads(spark, sf_dir)))
+    q.__name__ = f"q_norm_{vendor}"
+    return q
+
+
+def q_all_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.sources import vendors
+    return vendors.all_postings(FX.raw_payloads(spark, sf_dir)).groupBy(
+        F.col("source").alias("vendor")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_scan_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.sources import vendors
+    return vendors.scan_accounting(FX.raw_payloads(spark, sf_dir))
+
+
+def q_probe_from_board(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.sources import vendors
+    return vendors.probe_from_board(FX.raw_payloads(spark, sf_dir))
+
+
+def q_detail_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = FX.postings(spark, sf_dir)
+    return p.select("id", funnel.wants_detail(F.col("title"), F.col("location_raw"), F.col("is_remote"))
+                    .alias("wants_detail"))
+
+
+QUERIES.update({f"norm_{v}": _norm_query(v) for v in
+                ("ashby", "greenhouse", "lever", "workable", "smartrecruiters", "workday")})
+QUERIES.update({
+    "all_postings": q_all_postings,
+    "scan_accounting": q_scan_accounting,
+    "probe_from_board": q_probe_from_board,
+    "detail_gate": q_detail_gate,
+})

@@ -293,3 +293,175 @@ def domain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                  F.concat(F.lit("https://www.customer"), c.c_custkey.cast("string"),
                           F.lit(".example.com/about")).alias("raw"))
     return a.unionByName(b)
+
+
+# --- raw vendor payloads ------------------------------------------------------
+# FIXED VALUES of the payload derivation.
+LEVER_INTERVALS = ("per-year-salary", "per-month-salary", "per-hour-wage", None, "per-decade")
+INTERVAL_DIVISOR = (1, 12, 2080, 1, 1)
+CHUNK_ORDERS = 1000
+PAGE_STEP = 100
+
+
+def _json_string(c: Column) -> Column:
+    """A JSON string literal for ``c`` (quoted and escaped)."""
+    return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
+
+
+def workday_board_slug(n: Column) -> Column:
+    return F.concat(F.lit("org"), n.cast("string"), F.lit(".wd5/External"))
+
+
+def _order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
+              "o_orderdate", "o_orderpriority")
+    k, c = o.o_orderkey, o.o_custkey
+    vendor = _pick(R.VENDORS, c % 6)
+    n = c % 50
+    slug = F.when(vendor == "workday", workday_board_slug(n)).otherwise(F.concat(F.lit("org"), n.cast("string")))
+    top = F.floor(o.o_totalprice).cast("bigint")
+    p = (F.substring(o.o_orderpriority, 1, 1).cast("int") - 1)
+    board = c % 150
+    return o.select(
+        k.alias("k"), c.alias("c"), vendor.alias("vendor"), slug.alias("slug"),
+        F.when(board % 8 == 0, F.lit("")).otherwise(company_of(board)).alias("company"),
+        company_of(board).alias("real_company"),
+        _pick(TITLES, k % 10).alias("title"), _pick(LOCATIONS, k % 11).alias("loc"),
+        F.when(k % 4 == 0, F.lit(True)).when(k % 4 == 1, F.lit(False)).alias("remote"),
+        description_of(k, o.o_orderstatus, top).alias("desc"), o.o_orderstatus.alias("status"),
+        top.alias("top"), _pick(PAYLOAD_INTERVALS, p).alias("interval"),
+        _pick(LEVER_INTERVALS, p).alias("lever_interval"),
+        F.element_at(F.array(*[F.lit(d) for d in INTERVAL_DIVISOR]), p + 1).alias("div"),
+        F.concat(F.lit("https://jobs.example.com/"), vendor, F.lit("/"), k.cast("string")).alias("url"),
+        F.date_format(o.o_orderdate, "yyyy-MM-dd").alias("day"),
+        F.floor(k / CHUNK_ORDERS).cast("int").alias("chunk"),
+        F.when(board == 7, F.lit(404)).when(board == 11, F.lit(503)).otherwise(F.lit(200)).alias("http_status"),
+        (F.lit(300) * (c % 5 + 1)).alias("total"),
+    )
+
+
+def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fetched vendor documents built from ``orders``: one list document per
+    (board, chunk of order keys) so no document grows with the data, plus
+    one detail document per posting for the vendors that need one (some
+    missing). Two boards fail (404, 503)."""
+    f = _order_facts(spark, sf_dir)
+    k = F.col("k")
+    iso = F.concat(F.col("day"), F.lit("T00:00:00.000Z"))
+    lo = (F.floor(F.col("top") / 2) / F.col("div")).cast("double")
+    hi = (F.col("top") / F.col("div")).cast("double")
+    html = F.concat(F.lit("<p>"), F.col("desc"), F.lit("</p>"))
+    salary_component = F.struct(
+        F.lit("Salary").alias("compensationType"), F.col("interval").alias("interval"),
+        F.when(k % 11 == 0, F.lit("")).otherwise(F.lit("USD")).alias("currencyCode"),
+        lo.alias("minValue"), hi.alias("maxValue"))
+    equity = F.struct(F.lit("EquityPercentage").alias("compensationType"), F.lit(None).cast("string").alias("interval"),
+                      F.lit(None).cast("string").alias("currencyCode"), F.lit(0.1).alias("minValue"),
+                      F.lit(0.5).alias("maxValue"))
+    ashby_job = F.struct(
+        k.cast("string").alias("id"), F.col("title"), F.col("loc").alias("location"),
+        F.when(k % 5 == 0, F.array(F.struct(F.lit("NYC").alias("location")),
+                                   F.struct(F.col("loc").alias("location")))).alias("secondaryLocations"),
+        iso.alias("publishedAt"),
+        F.when(k % 23 == 0, F.lit(False)).when(k % 29 == 0, F.lit(None).cast("boolean"))
+        .otherwise(F.lit(True)).alias("isListed"),
+        F.col("remote").alias("isRemote"),
+        F.when(k % 3 == 0, F.lit("Remote")).otherwise(F.lit("OnSite")).alias("workplaceType"),
+        F.when(k % 7 == 0, F.lit("")).otherwise(F.col("url")).alias("jobUrl"),
+        F.concat(F.col("url"), F.lit("/apply")).alias("applyUrl"),
+        F.col("desc").alias("descriptionPlain"),
+        F.struct(
+            F.when(F.col("status") == "P", F.lit("$160K - $230K")).alias("compensationTierSummary"),
+            F.when(F.col("status") == "F", F.col("desc")).alias("scrapeableCompensationSalarySummary"),
+            F.when(F.col("status") == "O", F.array(F.struct(F.array(equity, salary_component).alias("components"))))
+            .alias("compensationTiers")).alias("compensation"))
+    gh_job = F.struct(
+        k.alias("id"), F.col("title"),
+        F.when(k % 4 == 0, F.lit("")).otherwise(F.col("real_company")).alias("company_name"),
+        F.struct(F.col("loc").alias("name")).alias("location"), F.col("url").alias("absolute_url"),
+        iso.alias("first_published"))
+    lever_job = F.struct(
+        k.cast("string").alias("id"), F.col("title").alias("text"),
+        F.when(k % 3 == 0, F.lit("remote")).otherwise(F.lit("on-site")).alias("workplaceType"),
+        F.when(k % 19 == 0, F.lit(0)).otherwise(F.unix_timestamp(F.to_timestamp("day")) * 1000).alias("createdAt"),
+        F.col("url").alias("hostedUrl"), F.concat(F.col("url"), F.lit("/apply")).alias("applyUrl"),
+        F.struct(F.col("loc").alias("location"),
+                 F.when(k % 5 == 0, F.array(F.col("loc"), F.lit("NYC"))).alias("allLocations")).alias("categories"),
+        F.col("desc").alias("descriptionPlain"),
+        F.array(F.struct(F.lit("<li>Own the revenue stack</li>").alias("content"))).alias("lists"),
+        F.when(F.col("status") == "O", F.struct(lo.alias("min"), hi.alias("max"), F.lit("USD").alias("currency"),
+                                                F.col("lever_interval").alias("interval"))).alias("salaryRange"))
+    wk_job = F.struct(
+        F.concat(F.lit("W"), k.cast("string")).alias("shortcode"), F.col("title"),
+        F.col("remote").alias("telecommuting"), F.col("url"),
+        F.concat(F.col("url"), F.lit("/apply")).alias("application_url"), F.col("day").alias("published_on"),
+        F.col("loc").alias("city"),
+        F.when(k % 5 == 0, F.array(
+            F.struct(F.lit("New York").alias("city"), F.lit("NY").alias("region"), F.lit("US").alias("country")),
+            F.struct(F.lit("Austin").alias("city"), F.lit("TX").alias("region"), F.lit("US").alias("country"))))
+        .alias("locations"),
+        html.alias("description"))
+    sr_job = F.struct(
+        k.cast("string").alias("id"), F.col("title").alias("name"),
+        F.struct(F.col("company").alias("name"),
+                 F.when(k % 6 == 0, F.lit("")).otherwise(F.concat(F.lit("Org"), (F.col("c") % 50).cast("string")))
+                 .alias("identifier")).alias("company"),
+        iso.alias("releasedDate"),
+        F.struct(F.coalesce(F.col("remote"), F.lit(False)).alias("remote"),
+                 F.col("loc").alias("fullLocation")).alias("location"))
+    wd_job = F.struct(
+        F.col("title"),
+        F.when(k % 31 == 0, F.lit("")).otherwise(F.concat(F.lit("/job/R"), k.cast("string"))).alias("externalPath"),
+        F.col("loc").alias("locationsText"),
+        F.when(F.col("remote"), F.lit("Remote")).when(~F.col("remote"), F.lit("Onsite"))
+        .otherwise(F.lit("Hybrid")).alias("remoteType"))
+    job = (F.when(F.col("vendor") == "ashby", F.to_json(ashby_job))
+           .when(F.col("vendor") == "greenhouse", F.to_json(gh_job))
+           .when(F.col("vendor") == "lever", F.to_json(lever_job))
+           .when(F.col("vendor") == "workable", F.to_json(wk_job))
+           .when(F.col("vendor") == "smartrecruiters", F.to_json(sr_job))
+           .otherwise(F.to_json(wd_job)))
+    docs = f.select("vendor", "slug", "company", "real_company", "chunk", "http_status", "total",
+                    "k", job.alias("job"))
+    # One document per (board, chunk of order keys): bounded by CHUNK_ORDERS,
+    # jobs in order-key order.
+    docs = docs.groupBy("vendor", "slug", "company", "real_company", "chunk", "http_status", "total").agg(
+        F.array_sort(F.collect_list(F.struct("k", "job"))).alias("_jobs"))
+    docs = docs.withColumn("jobs", F.array_join(F.transform("_jobs", lambda x: x["job"]), ","))
+    jobs = F.concat(F.lit("["), F.col("jobs"), F.lit("]"))
+    v = F.col("vendor")
+    acct_name = F.when(F.col("company") == "", F.lit("")).otherwise(F.col("real_company"))
+    body = (F.when(v == "lever", jobs)
+            .when(v == "workable", F.concat(F.lit('{"name":'), _json_string(acct_name),
+                                            F.lit(',"jobs":'), jobs, F.lit("}")))
+            .when(v == "smartrecruiters", F.concat(F.lit('{"totalFound":'), F.col("total").cast("string"),
+                                                   F.lit(',"content":'), jobs, F.lit("}")))
+            .when(v == "workday", F.concat(F.lit('{"total":'), F.col("total").cast("string"),
+                                           F.lit(',"jobPostings":'), jobs, F.lit("}")))
+            .otherwise(F.concat(F.lit('{"jobs":'), jobs, F.lit("}"))))
+    lists = docs.select(
+        "vendor", "slug", "company", F.lit("list").alias("kind"), F.lit(None).cast("string").alias("external_id"),
+        (F.col("chunk") * PAGE_STEP).alias("offset"), "http_status",
+        F.when(F.col("http_status") == 503, F.lit("timeout")).alias("error"),
+        F.when(F.col("http_status") < 400, body).alias("body"))
+    gh_detail = F.to_json(F.struct(k.alias("id"), F.concat(F.lit("&lt;p&gt;"), F.col("desc"),
+                                                           F.lit("&lt;/p&gt;")).alias("content")))
+    sr_detail = F.to_json(F.struct(
+        k.cast("string").alias("id"),
+        F.when(k % 3 == 0, F.lit(None).cast("string")).otherwise(F.concat(F.col("url"), F.lit("?sr=1"))).alias("postingUrl"),
+        F.struct(F.struct(
+            F.struct(F.lit("<p>We hire for GTM.</p>").alias("text")).alias("companyDescription"),
+            F.struct(html.alias("text")).alias("jobDescription"),
+            F.struct(F.lit("").alias("text")).alias("qualifications")).alias("sections")).alias("jobAd")))
+    wd_detail = F.to_json(F.struct(F.struct(
+        html.alias("jobDescription"),
+        F.when(k % 7 == 0, F.lit("soon")).otherwise(F.col("day")).alias("startDate"),
+        F.concat(F.col("url"), F.lit("?wd=1")).alias("externalUrl")).alias("jobPostingInfo")))
+    detail = (F.when(v == "greenhouse", gh_detail).when(v == "smartrecruiters", sr_detail)
+              .when(v == "workday", wd_detail))
+    xid = F.when(v == "workday", F.concat(F.lit("/job/R"), k.cast("string"))).otherwise(k.cast("string"))
+    details = f.where(v.isin("greenhouse", "smartrecruiters", "workday") & (k % 13 != 0)).select(
+        "vendor", "slug", "company", F.lit("detail").alias("kind"), xid.alias("external_id"),
+        F.lit(0).alias("offset"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("error"),
+        detail.alias("body"))
+    return lists.unionByName(details)

@@ -96,7 +96,7 @@ def postings_ctes() -> list[str]:
               f"WHEN 2 THEN 'Pay is $' || ({top} // 2080)::VARCHAR || ' per hour.' "
               f"ELSE 'OTE is $' || {fmt_thousands(half)} || ' - $' || {fmt_thousands(top)} || ' USD.' END")
     base = f"""p_base AS (
-  SELECT o_orderkey, o_orderstatus AS status, {top} AS top,
+  SELECT o_orderkey, o_custkey, o_orderpriority, o_orderstatus AS status, {top} AS top,
     {vendors}[o_custkey % 6 + 1] AS source,
     'org' || (o_custkey % 50)::VARCHAR AS org_slug,
     CASE o_custkey % 7

@@ -77,3 +77,18 @@ ORACLES.update({
     "digest_rows": reports.digest_rows,
     "suppressed_top": reports.suppressed_top,
 })
+
+from oracle import vendors  # noqa: E402
+
+ORACLES.update({
+    "norm_ashby": vendors.norm_ashby,
+    "norm_greenhouse": vendors.norm_greenhouse,
+    "norm_lever": vendors.norm_lever,
+    "norm_workable": vendors.norm_workable,
+    "norm_smartrecruiters": vendors.norm_smartrecruiters,
+    "norm_workday": vendors.norm_workday,
+    "all_postings": vendors.all_postings,
+    "scan_accounting": vendors.scan_accounting,
+    "probe_from_board": vendors.probe_from_board,
+    "detail_gate": vendors.detail_gate,
+})
