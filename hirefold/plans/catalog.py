@@ -600,3 +600,92 @@ QUERIES.update({
     "probe_from_board": q_probe_from_board,
     "detail_gate": q_detail_gate,
 })
+
+
+# --- column functions ---------------------------------------------------------
+
+def q_html_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.functions.comp import html_to_text
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return p.select("page_id", html_to_text(F.col("html")).alias("text"))
+
+
+def q_normalize_title(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = FX.postings(spark, sf_dir).select("title").distinct()
+    return p.select("title", normalize_title(F.col("title")).alias("title_key"))
+
+
+def q_location_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.functions.text import location_segments
+    p = FX.postings(spark, sf_dir).select("location_raw").distinct()
+    return p.select("location_raw", F.array_join(location_segments(F.col("location_raw")), "|").alias("segments"))
+
+
+def q_annualize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured pay components (Ashby-style interval) annualised."""
+    from hirefold.functions.comp import annualize
+    f = FX._order_facts(spark, sf_dir)
+    lo = annualize((F.floor(F.col("top") / 2) / F.col("div")).cast("double"), F.col("interval"))
+    hi = annualize((F.col("top") / F.col("div")).cast("double"), F.col("interval"))
+    return f.select(F.col("k").alias("id"), F.col("interval"), lo["value"].alias("min_annual"),
+                    hi["value"].alias("max_annual"), (lo["scaled"] | hi["scaled"]).alias("scaled"))
+
+
+def q_workday_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.sources.vendors import workday_slug
+    slugs = FX.raw_payloads(spark, sf_dir).select("slug").distinct()
+    w = workday_slug(F.col("slug"))
+    return slugs.select("slug", w["tenant"].alias("tenant"), w["n"].alias("n"), w["site"].alias("site"))
+
+
+def _vendor_rows(spark: SparkSession, sf_dir: str, vendors_, cols) -> DataFrame:
+    from hirefold.sources import vendors as V
+    raw = FX.raw_payloads(spark, sf_dir)
+    out = None
+    for v in vendors_:
+        part = V.NORMALISERS[v](raw).select("id", *cols)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def q_flatten_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vendor_rows(spark, sf_dir, ("ashby", "lever", "workable", "smartrecruiters"), ["location_raw"])
+
+
+def q_parse_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _vendor_rows(spark, sf_dir, ("ashby", "lever", "workable", "workday"), ["published_at"])
+    return r.select("id", _ts("published_at"))
+
+
+def q_remote_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _vendor_rows(spark, sf_dir, ("ashby", "lever", "workable", "smartrecruiters", "workday"), ["is_remote"])
+
+
+def _comp_out(df: DataFrame) -> DataFrame:
+    return df.select("id", F.col("comp.min").alias("comp_min"), F.col("comp.max").alias("comp_max"),
+                     F.col("comp.currency").alias("comp_currency"), F.col("comp.source").alias("comp_source"),
+                     F.array_join("flags", ",").alias("flags"))
+
+
+def q_comp_ashby(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.sources import vendors as V
+    return _comp_out(V.norm_ashby(FX.raw_payloads(spark, sf_dir)))
+
+
+def q_comp_lever(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.sources import vendors as V
+    return _comp_out(V.norm_lever(FX.raw_payloads(spark, sf_dir)))
+
+
+QUERIES.update({
+    "html_to_text": q_html_to_text,
+    "normalize_title": q_normalize_title,
+    "location_segments": q_location_segments,
+    "annualize": q_annualize,
+    "workday_slug": q_workday_slug,
+    "flatten_locations": q_flatten_locations,
+    "parse_timestamps": q_parse_timestamps,
+    "remote_signal": q_remote_signal,
+    "comp_ashby": q_comp_ashby,
+    "comp_lever": q_comp_lever,
+})

@@ -92,3 +92,18 @@ ORACLES.update({
     "probe_from_board": vendors.probe_from_board,
     "detail_gate": vendors.detail_gate,
 })
+
+from oracle import columns  # noqa: E402
+
+ORACLES.update({
+    "html_to_text": columns.html_to_text,
+    "normalize_title": columns.normalize_title,
+    "location_segments": columns.location_segments,
+    "annualize": columns.annualize,
+    "workday_slug": columns.workday_slug,
+    "flatten_locations": columns.flatten_locations,
+    "parse_timestamps": columns.parse_timestamps,
+    "remote_signal": columns.remote_signal,
+    "comp_ashby": columns.comp_ashby,
+    "comp_lever": columns.comp_lever,
+})
