@@ -8,6 +8,8 @@ one to one with the DuckDB oracles.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -689,3 +691,52 @@ QUERIES.update({
     "comp_ashby": q_comp_ashby,
     "comp_lever": q_comp_lever,
 })
+
+
+# --- stores, run log, org list, streaming -------------------------------------
+
+def q_tolerant_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.sources import stores
+    recs = stores.parse_jsonl(FX.registry_lines(spark, sf_dir), stores.REGISTRY_SCHEMA,
+                              stores.REGISTRY_DEFAULTS, stores.REGISTRY_ENUMS)
+    return _reg_out(stores.last_write_wins(recs, ["vendor", "slug"]).drop("line_no"))
+
+
+def q_run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.sources import stores, vendors
+    rec = stores.run_record(routed_postings(spark, sf_dir),
+                            vendors.scan_accounting(FX.raw_payloads(spark, sf_dir)),
+                            _registry(spark, sf_dir), F.to_date(_last_night(spark, sf_dir)), 61.25)
+    return rec.select("date", "orgs_live", "orgs_scanned", "postings_read",
+                      *[F.col(f"eliminated.{k}").alias(f"eliminated_{k}") for k in ("title", "location", "comp", "liveness")],
+                      "survivors", "flagged", "suppressed", "zombies", "dead_orgs",
+                      F.col("duration_seconds").cast("string").alias("duration_seconds"))
+
+
+def q_org_scan_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.sources import stores
+    return stores.org_scan_list(FX.pins(spark, sf_dir), _registry(spark, sf_dir))
+
+
+def q_stream_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nights of ``sightings`` as files, folded by a file stream one
+    night per micro-batch; returns the final seen store (equal to the
+    one-pass ``sighting_history``). Scratch space is a fresh folder under
+    the session's checkpoint dir."""
+    import uuid
+    from hirefold.session import checkpoint_dir
+    from hirefold.streaming import reconcile
+    base = os.path.join(checkpoint_dir(spark), f"stream-reconcile-{uuid.uuid4().hex}")
+    snaps = os.path.join(base, "snapshots")
+    reconcile.write_nightly_snapshots(FX.sightings(spark, sf_dir), snaps, FX.run_nights(spark, sf_dir))
+    store = reconcile.stream_reconcile(spark, snaps, os.path.join(base, "store"), os.path.join(base, "ckpt"))
+    return store.select("id", "org_key", "company_name", "title", "url", _ts("first_seen"),
+                        _ts("last_seen"), _ts("closed_at"))
+
+
+QUERIES.update({
+    "tolerant_jsonl": q_tolerant_jsonl,
+    "run_record": q_run_record,
+    "org_scan_list": q_org_scan_list,
+    "stream_reconcile": q_stream_reconcile,
+})

@@ -465,3 +465,30 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).alias("offset"), F.lit(200).alias("http_status"), F.lit(None).cast("string").alias("error"),
         detail.alias("body"))
     return lists.unionByName(details)
+
+
+def pins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pinned orgs from ``nation`` (config order = nation key); nations of
+    region 4 are on the dead list and excluded."""
+    n = _read(spark, sf_dir, "nation", "n_nationkey", "n_name", "n_regionkey")
+    return n.where(F.col("n_regionkey") != 4).select(
+        F.col("n_nationkey").alias("ordinal"),
+        _pick(("ashby", "greenhouse"), n.n_nationkey % 2).alias("vendor"),
+        F.concat(F.lit("org"), ((n.n_nationkey * 3) % 50).cast("string")).alias("slug"),
+        F.when(n.n_nationkey % 5 == 0, F.lit("")).otherwise(F.initcap(n.n_name)).alias("company"))
+
+
+def registry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry log as JSONL text, with blank, truncated, wrongly typed,
+    out-of-enum and partial lines mixed in."""
+    r = registry_log(spark, sf_dir)
+    c = F.col("line_no")
+    fields = [x for x in r.columns if x != "line_no"]
+    line = F.to_json(F.struct(*fields))
+    line = (F.when(c % 17 == 0, F.lit(""))
+            .when(c % 7 == 0, F.substring(line, 1, 40))
+            .when(c % 13 == 0, F.regexp_replace(line, '"status":"[a-z]+"', '"status":"zombie"'))
+            .when(c % 19 == 0, F.regexp_replace(line, '"last_posting_count":[0-9]+', '"last_posting_count":"many"'))
+            .when(c % 23 == 0, F.regexp_replace(line, ',"(notes|domain)":"[^"]*"', ""))
+            .otherwise(line))
+    return r.select("line_no", line.alias("line"))

@@ -107,3 +107,12 @@ ORACLES.update({
     "comp_ashby": columns.comp_ashby,
     "comp_lever": columns.comp_lever,
 })
+
+from oracle import stores  # noqa: E402
+
+ORACLES.update({
+    "tolerant_jsonl": stores.tolerant_jsonl,
+    "run_record": stores.run_record,
+    "org_scan_list": stores.org_scan_list,
+    "stream_reconcile": stores.stream_reconcile,
+})
