@@ -92,8 +92,9 @@ def shape_quotes(title: Column, description: Column, rules: Rules = DEFAULT_RULE
     """struct<q0, q1, ...>: per pack (config order) the text of the first
     phrase in phrase order that occurs, whitespace collapsed; NULL if none.
 
-    A phrase's regex runs only when all its tokens occur as substrings of
-    the lower-cased text, a necessary condition far cheaper than the regex.
+    A pack's phrases are tried only when the pack's alternation matches, and
+    a phrase's regex only when all its tokens occur as substrings of the
+    lower-cased text (both necessary conditions, far cheaper than the chain).
     The text and its lower case are bound once per row (``let``): one
     evaluation of a compact expression beats a generated method too large
     for the JIT.
@@ -110,7 +111,10 @@ def shape_quotes(title: Column, description: Column, rules: Rules = DEFAULT_RULE
                 test = _tokens_present(low, p) & h.rlike(rx)
                 found = F.regexp_extract(h, rx, 0)
                 chain = F.when(test, found) if chain is None else chain.when(test, found)
-            quotes.append(collapse_ws(chain).alias(f"q{i}"))
+            # One word-bounded alternation per pack gates the chain: its
+            # look-behind fails fast inside words, so most rows stop here.
+            gate = h.rlike(any_phrase_regex(phrases))
+            quotes.append(F.when(gate, collapse_ws(chain)).alias(f"q{i}"))
         return F.struct(*quotes)
 
     return let(per_row, h=hay, low=F.lower(hay))
