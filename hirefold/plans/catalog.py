@@ -585,7 +585,20 @@ def q_scan_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_probe_from_board(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirefold.sources import vendors
-    return vendors.probe_from_board(FX.raw_payloads(spark, sf_dir))
+    p = vendors.probe_from_board(FX.raw_payloads(spark, sf_dir))
+    return p.withColumn("sample", F.array_join("sample", " | "))
+
+
+def q_detail_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gated detail join of the three vendors that need one."""
+    from hirefold.sources import vendors
+    raw = FX.raw_payloads(spark, sf_dir)
+    out = None
+    for v in ("greenhouse", "smartrecruiters", "workday"):
+        part = vendors.NORMALISERS[v](raw).select(
+            "id", "url", _ts("published_at"), "description_text", F.array_join("flags", ",").alias("flags"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def q_detail_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -600,6 +613,7 @@ QUERIES.update({
     "all_postings": q_all_postings,
     "scan_accounting": q_scan_accounting,
     "probe_from_board": q_probe_from_board,
+    "detail_enrich": q_detail_enrich,
     "detail_gate": q_detail_gate,
 })
 

@@ -417,6 +417,16 @@ def probe_from_board(raw: DataFrame) -> DataFrame:
                  | ((v == "workday") & workday_slug(F.col("slug")).isNull())
                  | ((status < 400) & (v == "smartrecruiters") & (count == 0)))
     st = F.when(not_found, F.lit("404")).when(status >= 400, F.lit("error")).otherwise(F.lit("ok"))
+    titles = (F.when(v == "ashby", F.transform(F.filter(F.coalesce(ashby, F.array()),
+                                                         lambda j: F.coalesce(j["isListed"], F.lit(True))),
+                                                lambda j: j["title"]))
+              .when(v == "greenhouse", F.transform(F.coalesce(gh, F.array()), lambda j: j["title"]))
+              .when(v == "lever", F.transform(F.coalesce(lever, F.array()), lambda j: j["text"]))
+              .when(v == "workable", F.transform(F.coalesce(wk["jobs"], F.array()), lambda j: j["title"]))
+              .when(v == "smartrecruiters", F.transform(F.coalesce(sr["content"], F.array()), lambda j: j["name"]))
+              .otherwise(F.transform(F.coalesce(wd["jobPostings"], F.array()), lambda j: j["title"])))
+    sample = F.slice(F.transform(titles, lambda t: F.coalesce(t, F.lit(""))), 1, 3)
     return first.select("vendor", "slug", st.alias("status"),
                         F.when(st == "ok", count).otherwise(F.lit(0).cast("bigint")).alias("count"),
-                        F.when(st == "ok", name).otherwise(F.lit("")).alias("company_name"))
+                        F.when(st == "ok", name).otherwise(F.lit("")).alias("company_name"),
+                        F.when(st == "ok", sample).otherwise(F.array().cast("array<string>")).alias("sample"))

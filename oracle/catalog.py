@@ -90,6 +90,7 @@ ORACLES.update({
     "all_postings": vendors.all_postings,
     "scan_accounting": vendors.scan_accounting,
     "probe_from_board": vendors.probe_from_board,
+    "detail_enrich": vendors.detail_enrich,
     "detail_gate": vendors.detail_gate,
 })
 

@@ -186,10 +186,21 @@ SELECT f.vendor, f.slug,
        WHEN f.vendor = 'greenhouse' THEN coalesce((SELECT arg_min(r.real_company, r.k) FROM ro r
             WHERE r.vendor = f.vendor AND r.slug = f.slug AND r.chunk = f.c0 AND r.k % 4 <> 0), '')
        WHEN f.vendor = 'workable' THEN CASE WHEN b.company <> '' THEN b.real_company ELSE '' END
-       ELSE '' END AS company_name
+       ELSE '' END AS company_name,
+  CASE WHEN b.board IN (7, 11) THEN ''
+       ELSE coalesce((SELECT string_agg(t.title, ' | ' ORDER BY t.k) FROM (
+         SELECT r.title, r.k FROM ro r WHERE r.vendor = f.vendor AND r.slug = f.slug AND r.chunk = f.c0
+           AND (f.vendor <> 'ashby' OR r.k % 23 <> 0)
+         ORDER BY r.k LIMIT 3) t), '') END AS sample
 FROM firstc f JOIN (SELECT DISTINCT vendor, slug, board, total, company, real_company FROM ro) b
   ON b.vendor = f.vendor AND b.slug = f.slug"""
 
 
 def detail_gate() -> str:
     return with_(postings_ctes()) + f"""SELECT id, {family_sql('title')} IS NOT NULL AS wants_detail FROM postings"""
+
+
+def detail_enrich() -> str:
+    parts = [norm_greenhouse(), norm_smartrecruiters(), norm_workday()]
+    return " UNION ALL ".join(
+        f"SELECT id, url, published_at, description_text, flags FROM ({p})" for p in parts)
