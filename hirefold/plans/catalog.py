@@ -754,3 +754,16 @@ QUERIES.update({
     "org_scan_list": q_org_scan_list,
     "stream_reconcile": q_stream_reconcile,
 })
+
+
+def q_location_exception(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Title-family postings that fail location: kept (flagged) when the
+    band top clears the configured exception, else dropped."""
+    v = funnel.evaluate(FX.postings(spark, sf_dir)).where(
+        F.col("family").isNotNull() & (F.col("location") == "fail"))
+    return v.select("id", comp_top(F.col("comp")).alias("band_top"),
+                    F.array_contains("flags", "location-exception-comp").alias("rescued"),
+                    F.coalesce(F.col("stage"), F.lit("")).alias("drop_stage"))
+
+
+QUERIES["location_exception"] = q_location_exception

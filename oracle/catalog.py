@@ -117,3 +117,5 @@ ORACLES.update({
     "org_scan_list": stores.org_scan_list,
     "stream_reconcile": stores.stream_reconcile,
 })
+
+ORACLES["location_exception"] = funnel.location_exception
