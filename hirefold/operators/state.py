@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 
 from hirefold import rules as R
 from hirefold.functions.text import normalize_company, normalize_title
-from hirefold.operators.joins import bounded_broadcast
 
 def _retention() -> Column:
     return F.expr(f"INTERVAL {R.CLOSED_RETENTION_DAYS} DAYS")
@@ -40,8 +39,10 @@ def _one_per_id(tonight: DataFrame) -> DataFrame:
 
 
 def _scanned_flag(df: DataFrame, scanned: DataFrame, key: str = "org_key") -> DataFrame:
+    """Mark rows whose org answered tonight. The answered set is one row per
+    org (it grows with the number of orgs, not postings); AQE broadcasts it
+    when its runtime size is small and shuffle-joins it otherwise."""
     s = scanned.select(F.col("org_key").alias("_scan_key")).distinct().withColumn("_scanned", F.lit(True))
-    s = bounded_broadcast(s)
     return df.join(s, df[key] == s["_scan_key"], "left").drop("_scan_key") \
         .withColumn("_scanned", F.coalesce(F.col("_scanned"), F.lit(False)))
 
