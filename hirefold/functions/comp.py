@@ -104,10 +104,7 @@ def parse_salary_prose(text: Column | str) -> Column:
 
     candidates = F.filter(F.transform(segments, amounts),
                           lambda a: F.coalesce(F.size(a["values"]) > 0, F.lit(False)))
-    first = F.try_element_at(candidates, F.lit(1))
-    parsed = F.try_element_at(F.transform(
-        F.slice(candidates, 1, 1), result), F.lit(1))
-    del first
+    parsed = F.try_element_at(F.transform(F.slice(candidates, 1, 1), result), F.lit(1))
     return F.when(F.instr(t, "$") > 0, parsed).cast(PARSED_TYPE)
 
 

@@ -1,7 +1,5 @@
 """The verdict, history suppression and routing on hand-made postings."""
 
-from pyspark.sql import functions as F
-
 POSTING_SCHEMA = ("id string, source string, org_slug string, company_name string, title string, "
                   "location_raw string, is_remote boolean, "
                   "comp struct<min:bigint,max:bigint,currency:string,source:string>, url string, "
