@@ -257,10 +257,10 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date", (F.col("postings_read") / 2).cast("bigint").alias("postings_read"),
         "orgs_scanned", F.lit(None).cast("bigint").alias("zombies"),
         F.col("zombies").alias("liveness"), F.lit(0).cast("bigint").alias("survivors"),
-        (idx * 2).alias("line_no"))
+        (idx * 2).cast("bigint").alias("line_no"))
     final = day.select("date", "postings_read", "orgs_scanned", "zombies",
                        F.col("zombies").alias("liveness"), "survivors",
-                       (idx * 2 + 1).alias("line_no"))
+                       (idx * 2 + 1).cast("bigint").alias("line_no"))
     return first.unionByName(final)
 
 

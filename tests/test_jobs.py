@@ -10,7 +10,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_two_nights_and_reports(spark):
-    from hirefold.plans import pipelines as P
+    from hirefold.plans import jobs as P
     from hirefold.operators.registry import last_write_wins
     from hirefold.session import checkpoint_dir
     from hirefold.sources import fixtures as FX, vendors
