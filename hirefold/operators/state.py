@@ -96,7 +96,7 @@ PUBLIC_COLUMNS = ("id", "vendor", "org_key", "company", "title", "comp_band", "l
 
 
 def public_reconcile(store: DataFrame, tonight: DataFrame, scanned: DataFrame,
-                     now: Column) -> DataFrame:
+                     now: Column, collapse: bool = True) -> DataFrame:
     """Fold tonight's title-family rows into the public store, then collapse
     cross-vendor mirrors. ``tonight`` carries the public columns already
     (vendor, org_key, company, title, comp_band, location, remote, url,
@@ -126,7 +126,10 @@ def public_reconcile(store: DataFrame, tonight: DataFrame, scanned: DataFrame,
         F.col("s_collapsed_into").alias("collapsed_into"),
     ]
     folded = j.where(~expired).select(*cols)
-    return mirror_collapse(folded)
+    # mirror_collapse reads its input twice (group facts joined back); a
+    # caller whose input is not materialised passes collapse=False and
+    # collapses a checkpointed result instead.
+    return mirror_collapse(folded) if collapse else folded
 
 
 def mirror_collapse(public: DataFrame) -> DataFrame:
@@ -137,7 +140,8 @@ def mirror_collapse(public: DataFrame) -> DataFrame:
 
     The group facts come from a ``groupBy`` (partial aggregation, so a hot
     company/title pair is combined map-side) joined back on the key, not
-    from a window that would put the whole hot group in one task.
+    from a window that would put the whole hot group in one task. The
+    input is read twice, so it should be a stored or checkpointed table.
     """
     keyed = public.withColumn("_ck", normalize_company(F.col("company"))) \
         .withColumn("_tk", normalize_title(F.col("title")))
