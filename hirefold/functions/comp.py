@@ -66,7 +66,8 @@ def parse_salary_prose(text: Column | str) -> Column:
     Higher-order functions run interpreted, so every expensive piece is
     referenced exactly once: one transform builds (sentence, amounts), a
     second builds the candidate result, and the first candidate is taken.
-    Text without a dollar sign never enters the transform.
+    Text without a dollar sign or without any pay keyword never enters the
+    transform.
     """
     t = col_(text)
     norm = F.regexp_replace(t, "[ \\t\\u00a0]+", " ")
@@ -105,7 +106,10 @@ def parse_salary_prose(text: Column | str) -> Column:
     candidates = F.filter(F.transform(segments, amounts),
                           lambda a: F.coalesce(F.size(a["values"]) > 0, F.lit(False)))
     parsed = F.try_element_at(F.transform(F.slice(candidates, 1, 1), result), F.lit(1))
-    return F.when(F.instr(t, "$") > 0, parsed).cast(PARSED_TYPE)
+    # Necessary conditions, checked by compiled code before the interpreted
+    # transform: a dollar sign and some pay keyword somewhere in the text.
+    gate = (F.instr(t, "$") > 0) & _contains_any(F.lower(t), R.SALARY_KEYWORDS)
+    return F.when(gate, parsed).cast(PARSED_TYPE)
 
 
 @F.pandas_udf(T.StringType())
