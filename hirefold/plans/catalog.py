@@ -767,3 +767,21 @@ def q_location_exception(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["location_exception"] = q_location_exception
+
+
+def q_closed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digest's closed lines for the last night: "company: title (url)"
+    for every role that closed tonight (its org answered, it was absent)."""
+    from hirefold.operators import state
+    now = _last_night(spark, sf_dir)
+    s = FX.sightings(spark, sf_dir)
+    before = s.where(F.col("run_ts") < now)
+    store = state.sighting_history(before, before.select("org_key", "run_ts").distinct()) \
+        .withColumn("public", F.lit(False)).withColumn("comp_band", F.lit("")).withColumn("location", F.lit(""))
+    tonight = s.where(F.col("run_ts") == now)
+    nxt = state.seen_reconcile(store, tonight, tonight.select("org_key"), now)
+    return nxt.where("closed_now").select("id", F.concat(
+        F.col("company_name"), F.lit(": "), F.col("title"), F.lit(" ("), F.col("url"), F.lit(")")).alias("line"))
+
+
+QUERIES["closed_lines"] = q_closed_lines

@@ -119,3 +119,5 @@ ORACLES.update({
 })
 
 ORACLES["location_exception"] = funnel.location_exception
+
+ORACLES["closed_lines"] = state.closed_lines

@@ -190,3 +190,12 @@ def new_postings() -> str:
     return with_(postings_ctes()) + """
 , earlier AS (SELECT id FROM postings WHERE published_at < TIMESTAMP '1997-01-01')
 SELECT p.id, p.id NOT IN (SELECT id FROM earlier) AS is_new FROM postings p"""
+
+
+def closed_lines() -> str:
+    return with_(sight_ctes(_prev_where())) + """
+, tonight AS (SELECT * FROM sight_all WHERE run_ts = (SELECT now FROM last_night))
+SELECT s.id, s.company_name || ': ' || s.title || ' (' || s.url || ')' AS line
+FROM seen_end s
+WHERE s.closed_at IS NULL AND s.id NOT IN (SELECT id FROM tonight)
+  AND s.org_key IN (SELECT org_key FROM tonight)"""
