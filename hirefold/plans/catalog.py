@@ -19,6 +19,15 @@ from hirefold.operators import funnel
 from hirefold.sources import fixtures as FX
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage of an intermediate that a query reads more than once
+    (self-joins, a count beside a top-k): a reliable checkpoint in the
+    session's shared ``spark.checkpoint.dir``."""
+    from hirefold.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def q_funnel_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = funnel.evaluate(FX.postings(spark, sf_dir))
     return v.select("id", "decision", F.col("stage").alias("drop_stage"),
@@ -127,7 +136,7 @@ def _as_public(df: DataFrame) -> DataFrame:
 
 def q_mirror_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirefold.operators import state
-    p = _as_public(_public_history(spark, sf_dir))
+    p = materialize(_as_public(_public_history(spark, sf_dir)))
     return state.mirror_collapse(p).select("id", "collapsed_into")
 
 
@@ -151,7 +160,9 @@ def q_public_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = _as_public(_public_history(spark, sf_dir, before=now))
     s = FX.sightings(spark, sf_dir)
     tonight = _as_public(s.where(F.col("run_ts") == now))
-    nxt = state.public_reconcile(store, tonight, tonight.select("org_key"), now)
+    folded = materialize(state.public_reconcile(store, tonight, tonight.select("org_key"), now,
+                                                collapse=False))
+    nxt = state.mirror_collapse(folded)
     return nxt.select("id", _ts("first_seen"), _ts("last_seen"), _ts("closed_at"), "collapsed_into")
 
 
@@ -408,12 +419,13 @@ def seen_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = s.where(F.col("title") == "purchase").select("id").distinct().select(
         "id", F.array().cast("array<string>").alias("flags"), F.lit("not published").alias("band"),
         F.lit("not stated").alias("location_label"))
-    return state.mark_public(h, kept)
+    return materialize(state.mark_public(h, kept))
 
 
 def board_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirefold.operators import state
-    return state.mirror_collapse(_as_public(_public_history(spark, sf_dir))).select(*PUBLIC_OUT)
+    public = materialize(_as_public(_public_history(spark, sf_dir)))
+    return materialize(state.mirror_collapse(public).select(*PUBLIC_OUT))
 
 
 def postings_public_store(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -423,9 +435,9 @@ def postings_public_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = FX.postings(spark, sf_dir)
     now = p.agg(F.max("published_at") + F.expr("INTERVAL 1 DAY")).scalar()
     tonight = state.public_rows_from_postings(p)
-    out = state.public_reconcile(state.empty_public_store(spark), tonight,
-                                 tonight.select("org_key"), now)
-    return out.select(*PUBLIC_OUT)
+    folded = materialize(state.public_reconcile(state.empty_public_store(spark), tonight,
+                                                tonight.select("org_key"), now, collapse=False))
+    return state.mirror_collapse(folded).select(*PUBLIC_OUT)
 
 
 def q_latest_run_per_date(spark: SparkSession, sf_dir: str) -> DataFrame:
