@@ -744,27 +744,54 @@ def q_org_scan_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.org_scan_list(FX.pins(spark, sf_dir), _registry(spark, sf_dir))
 
 
-def q_stream_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The nights of ``sightings`` as files, folded by a file stream one
-    night per micro-batch; returns the final seen store (equal to the
-    one-pass ``sighting_history``). Scratch space is a fresh folder under
-    the session's checkpoint dir."""
+_STREAM_RUNS: dict = {}
+
+
+def _stream_run(spark: SparkSession, sf_dir: str) -> str:
+    """Run the nightly stream once per session and table folder: the nights
+    of ``sightings`` as files, folded one night per micro-batch into both
+    stores. Scratch space is a fresh folder under the session's checkpoint
+    dir. Returns the folder holding the store versions."""
     import uuid
     from hirefold.session import checkpoint_dir
     from hirefold.streaming import reconcile
-    base = os.path.join(checkpoint_dir(spark), f"stream-reconcile-{uuid.uuid4().hex}")
-    snaps = os.path.join(base, "snapshots")
-    reconcile.write_nightly_snapshots(FX.sightings(spark, sf_dir), snaps, FX.run_nights(spark, sf_dir))
-    store = reconcile.stream_reconcile(spark, snaps, os.path.join(base, "store"), os.path.join(base, "ckpt"))
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STREAM_RUNS:
+        base = os.path.join(checkpoint_dir(spark), f"stream-reconcile-{uuid.uuid4().hex}")
+        snaps = os.path.join(base, "snapshots")
+        reconcile.write_nightly_snapshots(FX.sightings(spark, sf_dir), snaps, FX.run_nights(spark, sf_dir))
+        reconcile.stream_reconcile(spark, snaps, os.path.join(base, "seen"), os.path.join(base, "ckpt"),
+                                   public_base=os.path.join(base, "public"))
+        _STREAM_RUNS[key] = base
+    return _STREAM_RUNS[key]
+
+
+def q_stream_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final seen store of the streamed nightly fold (equal to the one-pass
+    ``sighting_history``)."""
+    from hirefold.sources import stores
+    from hirefold.streaming import reconcile
+    store = stores.read_store(spark, os.path.join(_stream_run(spark, sf_dir), "seen"), reconcile.SEEN_SCHEMA)
     return store.select("id", "org_key", "company_name", "title", "url", _ts("first_seen"),
                         _ts("last_seen"), _ts("closed_at"))
 
 
+def q_stream_public_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final public store of the streamed nightly fold (equal to the one-pass
+    ``public_history``: retention deletes and restarts included)."""
+    from hirefold.sources import stores
+    from hirefold.streaming import reconcile
+    store = stores.read_store(spark, os.path.join(_stream_run(spark, sf_dir), "public"),
+                              reconcile.PUBLIC_SCHEMA)
+    return store.select("id", _ts("first_seen"), _ts("last_seen"), _ts("closed_at"))
+
+
 QUERIES.update({
     "tolerant_jsonl": q_tolerant_jsonl,
     "run_record": q_run_record,
     "org_scan_list": q_org_scan_list,
     "stream_reconcile": q_stream_reconcile,
+    "stream_public_reconcile": q_stream_public_reconcile,
 })
 
 

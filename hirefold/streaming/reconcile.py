@@ -1,11 +1,12 @@
 """Nightly snapshots as a stream: each micro-batch is one night, folded into
-the seen store with the batch operator (``state.seen_reconcile``).
+the seen store and the public store with the batch operators
+(``state.seen_reconcile``, ``state.public_reconcile``).
 
 Closure needs the org's scan marker, not a watermark: silence proves
 nothing, so a role closes only when its org answered in that batch. The
 fold is ``foreachBatch`` over a file stream (one file per night,
 ``maxFilesPerTrigger=1``, ``availableNow``), restartable from its
-checkpoint. Batch ``b`` reads store version ``b-1`` and writes version
+checkpoint. Batch ``b`` reads store versions ``b-1`` and writes versions
 ``b``; a replayed batch (lost executor, restart) recomputes the same
 version from the same input, so the fold is idempotent.
 """
@@ -38,28 +39,58 @@ def write_nightly_snapshots(sightings: DataFrame, folder: str, nights: DataFrame
         part.coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, name))
 
 
-def _fold(store_base: str):
+PUBLIC_SCHEMA = ("id string, vendor string, org_key string, company string, title string, "
+                 "comp_band string, location string, remote boolean, url string, posted_at timestamp, "
+                 "first_seen timestamp, last_seen timestamp, last_verified timestamp, closed_at timestamp, "
+                 "collapsed_into string")
+
+
+def _public_rows(batch: DataFrame) -> DataFrame:
+    """Snapshot rows in the public store's shape: employer data only."""
+    return batch.select(
+        "id", "vendor", "org_key", F.col("company_name").alias("company"), "title",
+        F.lit("").alias("comp_band"), F.lit("").alias("location"), F.lit(False).alias("remote"),
+        "url", F.lit(None).cast("timestamp").alias("posted_at"))
+
+
+def _previous(spark: SparkSession, base: str, batch_id: int, schema: str) -> DataFrame:
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.parquet(os.path.join(base, f"version={batch_id - 1}"))
+
+
+def _write(df: DataFrame, base: str, batch_id: int) -> None:
+    # Overwrite, not append: a replayed batch rewrites its own version.
+    df.write.mode("overwrite").parquet(os.path.join(base, f"version={batch_id}"))
+
+
+def _fold(store_base: str, public_base: str | None):
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        if batch_id == 0:
-            store = spark.createDataFrame([], SEEN_SCHEMA)
-        else:
-            store = spark.read.parquet(os.path.join(store_base, f"version={batch_id - 1}"))
+        batch = batch.persist()   # one night, read by both folds
         now = batch.agg(F.max("run_ts")).scalar()
-        nxt = state.seen_reconcile(store, batch, batch.select("org_key"), now).drop("is_new", "closed_now")
-        (nxt.repartitionByRange("id").sortWithinPartitions("id")
-         .write.mode("overwrite").parquet(os.path.join(store_base, f"version={batch_id}")))
+        scanned = batch.select("org_key")
+        seen = _previous(spark, store_base, batch_id, SEEN_SCHEMA)
+        _write(state.seen_reconcile(seen, batch, scanned, now).drop("is_new", "closed_now"),
+               store_base, batch_id)
+        if public_base is not None:
+            public = _previous(spark, public_base, batch_id, PUBLIC_SCHEMA)
+            _write(state.public_reconcile(public, _public_rows(batch), scanned, now)
+                   .select(*state.PUBLIC_COLUMNS), public_base, batch_id)
+        batch.unpersist()
     return fold
 
 
 def stream_reconcile(spark: SparkSession, snapshot_folder: str, store_base: str,
-                     checkpoint: str) -> DataFrame:
-    """Run the stream over every available night; return the final store."""
+                     checkpoint: str, public_base: str | None = None) -> DataFrame:
+    """Run the stream over every available night; return the final seen
+    store (the public store's versions are under ``public_base`` when
+    given)."""
     df = (spark.readStream.schema(SNAPSHOT_SCHEMA)
           .option("maxFilesPerTrigger", 1)
           .option("recursiveFileLookup", "true")
           .parquet(snapshot_folder))
-    q = (df.writeStream.foreachBatch(_fold(store_base))
+    q = (df.writeStream.foreachBatch(_fold(store_base, public_base))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return stores.read_store(spark, store_base, SEEN_SCHEMA)

@@ -116,6 +116,7 @@ ORACLES.update({
     "run_record": stores.run_record,
     "org_scan_list": stores.org_scan_list,
     "stream_reconcile": stores.stream_reconcile,
+    "stream_public_reconcile": stores.stream_public_reconcile,
 })
 
 ORACLES["location_exception"] = funnel.location_exception

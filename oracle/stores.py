@@ -58,3 +58,8 @@ FROM reg r WHERE r.status = 'live' AND r.vendor <> 'unknown'
 def stream_reconcile() -> str:
     return with_(sight_ctes()) + f"""SELECT id, org_key, company_name, title, url,
   {ts('first_seen')} AS first_seen, {ts('last_seen')} AS last_seen, {ts('closed_at')} AS closed_at FROM seen_end"""
+
+
+def stream_public_reconcile() -> str:
+    from oracle.state import public_history
+    return public_history()
