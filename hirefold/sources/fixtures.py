@@ -188,7 +188,9 @@ def crawl_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         domain.alias("domain"),
         (p.page_id % 3).cast("int").alias("candidate_rank"),
         page_url.alias("url"),
-        page_url.alias("final_url"),
+        # Pages with no planted link redirect to a board half of the time.
+        F.when((k == 10) & (p.page_id % 2 == 0), F.concat(F.lit("https://jobs.lever.co/redir"), s))
+        .otherwise(page_url).alias("final_url"),
         F.when(p.page_id % 13 == 0, F.lit(404)).otherwise(F.lit(200)).alias("http_status"),
         F.concat(p.html, F.coalesce(link, F.lit(""))).alias("html"),
     )

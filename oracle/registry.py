@@ -73,10 +73,12 @@ def crawl_ctes() -> list[str]:
         f"""crawl AS (
   SELECT page_id, domain, page_id % 3 AS candidate_rank,
     'https://' || domain || {paths}[page_id % 3 + 1] AS url,
+    CASE WHEN page_id % 12 = 10 AND page_id % 2 = 0 THEN 'https://jobs.lever.co/redir' || {s}
+         ELSE 'https://' || domain || {paths}[page_id % 3 + 1] END AS final_url,
     CASE WHEN page_id % 13 = 0 THEN 404 ELSE 200 END AS http_status,
     html || {link} AS html
   FROM (SELECT *, {domain_sql('url')} AS domain FROM pages))""",
-        """crawl_hay AS (SELECT page_id, domain, candidate_rank, http_status, url || chr(10) || html AS hay FROM crawl)""",
+        """crawl_hay AS (SELECT page_id, domain, candidate_rank, http_status, final_url || chr(10) || html AS hay FROM crawl)""",
     ]
 
 
