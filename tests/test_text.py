@@ -85,8 +85,8 @@ def test_title_family(spark, title, family):
 
 def test_domain_and_name(spark):
     from hirefold.functions.text import domain_of, name_guess, page_dirname
-    assert one(spark, domain_of(F.col("u")), u=" https://www.Gong.io/careers/ ") == "gong.io"
-    assert one(spark, name_guess(F.col("d")), d="gong.io") == "Gong"
+    assert one(spark, domain_of(F.col("u")), u=" https://www.Zephyr-Labs.io/careers/ ") == "zephyr-labs.io"
+    assert one(spark, name_guess(F.col("d")), d="zephyr-labs.io") == "Zephyr Labs"
     assert one(spark, name_guess(F.col("d")), d="acme-3d.com") == "Acme 3D"
     assert one(spark, page_dirname(F.lit("workday"), F.col("s")), s="Acme.wd5/External") == "workday-acme-wd5-external"
 
