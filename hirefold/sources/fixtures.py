@@ -25,7 +25,7 @@ TITLES = ("GTM Engineer", "Senior Go-To-Market Engineer", "RevOps Engineer",
 LOCATIONS = ("New York City", "Remote - United States", "Remote (EMEA)", "Remote",
              "Austin, TX", "London | Remote, UK", "San Francisco | NYC", "Remote, Lisbon",
              "Remote, OH", "Berlin", "")
-BONUS_SENTENCE = "A $5,000 signing bonus is offered."
+BONUS_SENTENCE = "A $7,500 signing bonus is offered."
 SHAPE_SENTENCES = ("", "You will build full-stack tools.", "You will own our CI / CD setup.",
                    "You will carry a quota.", "Expect a strong OTE.",
                    "We want 1-3 years in GTM.", "We are hiring for our client.",
@@ -373,7 +373,7 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.col("url"), F.lit("/apply")).alias("applyUrl"),
         F.col("desc").alias("descriptionPlain"),
         F.struct(
-            F.when(F.col("status") == "P", F.lit("$160K - $230K")).alias("compensationTierSummary"),
+            F.when(F.col("status") == "P", F.lit("$145K - $210K")).alias("compensationTierSummary"),
             F.when(F.col("status") == "F", F.col("desc")).alias("scrapeableCompensationSalarySummary"),
             F.when(F.col("status") == "O", F.array(F.struct(F.array(equity, salary_component).alias("components"))))
             .alias("compensationTiers")).alias("compensation"))

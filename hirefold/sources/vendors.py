@@ -97,9 +97,16 @@ def comma_segment(*parts: Column) -> Column:
                                  lambda p: p != ""), ", ")
 
 
-def _parsed_comp(text: Column):
-    """(comp, flags) from prose, source "parsed" when a band is found."""
-    p = parse_salary_prose(text)
+def _with_parsed(df: DataFrame, text: Column) -> DataFrame:
+    """Add ``_parsed`` (the prose band) as its own column: it is read by
+    several fields, and an expression under higher-order functions gets no
+    common-subexpression elimination, so it must be computed once."""
+    return df.withColumn("_parsed", parse_salary_prose(text))
+
+
+def _parsed_comp():
+    """(comp, flags) from ``_parsed``, source "parsed" when a band is found."""
+    p = F.col("_parsed")
     found = p.isNotNull()
     comp = F.when(found, comp_struct(p["min"], p["max"], p["currency"], F.lit("parsed"))).otherwise(no_comp())
     return comp, F.when(found, p["flags"]).otherwise(no_flags())
@@ -116,20 +123,24 @@ def _finish(df: DataFrame) -> DataFrame:
 
 # --- Ashby --------------------------------------------------------------------
 
-def ashby_comp(comp: Column):
-    """First Salary component (tier then component order) with a min or max,
-    annualised; else the prose summary; else none. Returns (comp, flags)."""
+def _ashby_salary(comp: Column) -> Column:
+    """First Salary component, in tier then component order, with a min or max."""
     comps = F.flatten(F.transform(F.coalesce(comp["compensationTiers"], F.array()),
                                   lambda t: F.coalesce(t["components"], F.array())))
-    salary = F.try_element_at(F.filter(comps, lambda c: (c["compensationType"] == "Salary") & (
+    return F.try_element_at(F.filter(comps, lambda c: (c["compensationType"] == "Salary") & (
         c["minValue"].isNotNull() | c["maxValue"].isNotNull())), F.lit(1))
+
+
+def ashby_comp():
+    """(comp, flags) from ``_salary`` (the structured component, annualised)
+    else ``_parsed`` (the prose summary) else none."""
+    salary = F.col("_salary")
     lo = annualize(salary["minValue"], salary["interval"])
     hi = annualize(salary["maxValue"], salary["interval"])
     structured = comp_struct(lo["value"], hi["value"], _or(salary["currencyCode"], F.lit("USD")),
                              F.lit("structured"))
     s_flags = F.when(lo["scaled"] | hi["scaled"], F.array(F.lit(R.FLAG_HOURLY))).otherwise(no_flags())
-    summary = _nonempty(_or(comp["scrapeableCompensationSalarySummary"], comp["compensationTierSummary"]))
-    p_comp, p_flags = _parsed_comp(summary)
+    p_comp, p_flags = _parsed_comp()
     has = salary.isNotNull()
     return F.when(has, structured).otherwise(p_comp), F.when(has, s_flags).otherwise(p_flags)
 
@@ -138,7 +149,11 @@ def norm_ashby(raw: DataFrame) -> DataFrame:
     docs = _answered(raw, "ashby").select("slug", "company", F.from_json("body", ASHBY_SCHEMA).alias("d"))
     jobs = docs.select("slug", "company", F.explode(F.coalesce("d.jobs", F.array())).alias("j"))
     jobs = jobs.where(F.coalesce(F.col("j.isListed"), F.lit(False)))
-    comp, flags = ashby_comp(F.col("j.compensation"))
+    c = F.col("j.compensation")
+    jobs = jobs.withColumn("_salary", _ashby_salary(c))
+    summary = _nonempty(_or(c["scrapeableCompensationSalarySummary"], c["compensationTierSummary"]))
+    jobs = _with_parsed(jobs, F.when(F.col("_salary").isNull(), summary))
+    comp, flags = ashby_comp()
     remote = F.when(F.col("j.isRemote").isNull() & (F.lower(F.coalesce("j.workplaceType", F.lit(""))) == "remote"),
                     F.lit(True)).otherwise(F.col("j.isRemote"))
     locs = F.concat(F.array(F.col("j.location")),
@@ -178,7 +193,10 @@ def norm_lever(raw: DataFrame) -> DataFrame:
     list_texts = html_to_text_many(F.transform(F.coalesce("j.lists", F.array()), lambda i: i["content"]))
     prose = F.array_join(F.filter(F.concat(F.array(F.col("j.descriptionPlain"), F.col("j.additionalPlain")),
                                            list_texts), lambda t: F.coalesce(t, F.lit("")) != ""), "\n")
-    p_comp, p_flags = _parsed_comp(prose)
+    # Prose is read only when no structured band exists; computed once.
+    jobs = jobs.withColumn("_prose", F.when(~has, prose))
+    jobs = _with_parsed(jobs, F.col("_prose"))
+    p_comp, p_flags = _parsed_comp()
     locs = F.concat(F.array(F.col("j.categories.location")), F.coalesce("j.categories.allLocations", F.array()))
     return _finish(jobs.select(
         role_id(F.lit("lever"), F.col("slug"), F.coalesce("j.id", F.lit(""))).alias("id"),
@@ -201,9 +219,9 @@ def norm_workable(raw: DataFrame) -> DataFrame:
     docs = _answered(raw, "workable").select("slug", "company", F.from_json("body", WORKABLE_SCHEMA).alias("d"))
     jobs = docs.select("slug", "company", F.col("d.name").alias("acct"),
                        F.explode(F.coalesce("d.jobs", F.array())).alias("j"))
-    desc = html_to_text(F.col("j.description"))
-    jobs = jobs.withColumn("_desc", desc)
-    comp, flags = _parsed_comp(F.col("_desc"))
+    jobs = jobs.withColumn("_desc", html_to_text(F.col("j.description")))
+    jobs = _with_parsed(jobs, F.col("_desc"))
+    comp, flags = _parsed_comp()
     listed = F.transform(F.coalesce("j.locations", F.array()),
                          lambda l: comma_segment(l["city"], l["region"], l["country"]))
     listed = F.array_distinct(F.filter(listed, lambda s: s != ""))
@@ -237,8 +255,8 @@ def _enrich(listed: DataFrame, details: DataFrame, gate: Column, extra) -> DataF
         d, (F.col("_gate")) & (F.col("org_slug") == F.col("_dslug")) & (F.col("_xid") == F.col("_dxid")), "left")
     got = F.col("_dbody").isNotNull()
     desc, url_over, pub_over = extra(F.col("_dbody"))
-    j = j.withColumn("_desc", F.when(got, desc))
-    comp, flags = _parsed_comp(F.col("_desc"))
+    j = _with_parsed(j.withColumn("_desc", F.when(got, desc)), F.col("_desc"))
+    comp, flags = _parsed_comp()
     failed = F.col("_gate") & ~got
     out = (j.withColumn("description_text", F.when(got, F.col("_desc")).otherwise(F.col("description_text")))
            .withColumn("url", F.col("url") if url_over is None else F.when(

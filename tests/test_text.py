@@ -21,12 +21,15 @@ def test_normalize_title(spark, title, key):
 
 
 @pytest.mark.parametrize("name,key", [
-    ("Tryprofound", "profound"), ("ProfoundHQ", "profound"), ("Profound HQ", "profound"),
-    ("Wealth.com", "wealth"), ("Tonic AI", "tonic"), ("Listen Labs", "listen"),
-    ("The Trade Desk", "trade desk"), ("Globex, Inc.", "globex"),
-    ("Theory", "theory"), ("Getty", "getty"), ("Heyday", "heyday"), ("Useful", "useful"),
-    ("Cisco", "cisco"), ("The Inc", "the"), ("inc inc", "inc"), ("", ""),
-    ("Get Join Use Acme Labs Inc", "acme"),
+    ("Tryzephyr", "zephyr"), ("ZephyrHQ", "zephyr"), ("Zephyr HQ", "zephyr"),
+    ("Nimbus.com", "nimbus"), ("Quill AI", "quill"), ("Ember Labs", "ember"),
+    ("The Paper Mill", "paper mill"), ("Orbit, Inc.", "orbit"), ("Getwidget", "widget"),
+    ("Sproutapp", "sprout"),
+    # too short a stem to unglue: stays itself
+    ("Thea", "thea"), ("Usher", "usher"), ("Tryst", "tryst"), ("Draco", "draco"), ("Kaio", "kaio"),
+    ("Joinery", "joinery"),
+    ("The Inc", "the"), ("inc inc", "inc"), ("", ""),
+    ("Get Join Use Zephyr Labs Inc", "zephyr"),
 ])
 def test_normalize_company(spark, name, key):
     from hirefold.functions.text import normalize_company
@@ -35,8 +38,8 @@ def test_normalize_company(spark, name, key):
 
 @pytest.mark.parametrize("phrase,text,hit", [
     ("ci/cd", "Own our CI / CD pipeline", True),
-    ("ci/cd", "ACI / CDx", False),
-    ("ci/cd", "ciXcd", False),
+    ("ci/cd", "ACIs / CDs", False),
+    ("ci/cd", "cizcd", False),
     ("a/b test", "Run A/B tests weekly", False),
     ("a/b tests", "Run A/B tests weekly", True),
     ("us", "status update", False),
@@ -58,14 +61,14 @@ def test_phrase_regex(spark, phrase, text, hit):
     ("Remote", None, "remote-unverified"),
     ("Remote, Lisbon", None, "remote-unverified"),
     ("Remote, OH", None, "ok"),
-    ("Remote in Ireland", None, "remote-unverified"),
+    ("Remote in Iceland", None, "remote-unverified"),
     ("Austin, TX", True, "ok"),
     ("Berlin", True, "remote-unverified"),
     ("Berlin", False, "fail"),
     ("Toronto, Canada", True, "fail"),
     ("", True, "remote-unverified"),
     ("", None, "fail"),
-    ("Remote - Ukraine", None, "remote-unverified"),
+    ("Remote - Dukes County", None, "remote-unverified"),
 ])
 def test_location_status(spark, loc, remote, status):
     from hirefold.operators.funnel import location_status
