@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirefold import rules as R
-from hirefold.functions.text import domain_of, name_guess, py_strip
+from hirefold.functions.text import domain_of, let, name_guess, py_strip
 
 REGISTRY_COLUMNS = ("company_name", "domain", "vendor", "slug", "board_url", "status",
                     "last_verified", "last_posting_count", "discovered_via", "notes")
@@ -30,7 +30,15 @@ def _clean_slug(raw: Column, vendor: str) -> Column:
 def board_refs(text: Column) -> Column:
     """array<struct<vendor, slug, board_url>>: every board the text
     mentions, pattern by pattern in the fixed order (not text order), junk
-    path words dropped, each (vendor, slug) kept at its first mention."""
+    path words dropped, each (vendor, slug) kept at its first mention.
+
+    The text is bound once (``let``): it feeds a dozen pattern scans that
+    run under higher-order functions, where it would otherwise be rebuilt
+    for each."""
+    return let(lambda x: _board_refs(x["t"]), t=text)
+
+
+def _board_refs(text: Column) -> Column:
     parts = []
     for vendor, pattern in R.BOARD_PATTERNS:
         junk = F.array(*[F.lit(j) for j in R.JUNK_SLUGS.get(vendor, ())])
