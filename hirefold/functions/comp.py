@@ -117,34 +117,13 @@ def _unescape(s: pd.Series) -> pd.Series:
     return s.map(lambda v: html.unescape(v) if isinstance(v, str) else None)
 
 
-# FIXED VALUES: common HTML entities (standard HTML definitions) decoded
-# natively; "&amp;" must stay last so a decoded "&" is never decoded again.
-NATIVE_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&copy;", "\u00a9"), ("&middot;", "\u00b7"),
-    ("&reg;", "\u00ae"), ("&mdash;", "\u2014"), ("&ndash;", "\u2013"), ("&hellip;", "\u2026"),
-    ("&amp;", "&"),
-)
-_NATIVE_RX = "|".join(e for e, _ in NATIVE_ENTITIES)
-
-
 def html_unescape(c: Column) -> Column:
-    """HTML entity decode, equal to ``html.unescape``.
-
-    Text made only of the common entities above (each a whole ``&...;``
-    token) is decoded by a native replace chain: those tokens never
-    overlap, and with "&amp;" last no output is decoded twice, so the chain
-    equals one left-to-right pass. Only rows with any other "&" (other
-    names, legacy forms without ";", numeric forms) reach the Python step,
-    and every other row hands it NULL.
-    """
-    has_amp = F.instr(c, "&") > 0
-    leftover = F.instr(F.regexp_replace(c, _NATIVE_RX, ""), "&") > 0
-    native = c
-    for entity, char in NATIVE_ENTITIES:
-        native = F.replace(native, F.lit(entity), F.lit(char))
-    python = _unescape(F.when(has_amp & leftover, c))
-    return F.when(~has_amp, c).when(~leftover, native).otherwise(python)
+    """HTML entity decode (``html.unescape``); rows without '&' hand the
+    Python step NULL. Measured against a native replace chain for the common
+    entities, this Arrow-batched step is faster: the chain's expression tree
+    is re-evaluated around the UDF extraction, and ``html.unescape`` is one
+    regex pass per row."""
+    return F.coalesce(_unescape(F.when(F.instr(c, "&") > 0, c)), c)
 
 
 def html_to_text(raw: Column | str) -> Column:
