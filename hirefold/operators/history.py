@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirefold import rules as R
-from hirefold.functions.text import normalize_company, title_matches
+from hirefold.functions.text import normalize_company, normalize_title
 from hirefold.operators.joins import bounded_broadcast
 
 ENTRY_KEYS = ("company", "status", "role", "date", "reason")
@@ -27,7 +27,8 @@ def history_by_company(history: DataFrame) -> DataFrame:
         .where(F.col("company_key") != "")
     entry = F.struct(
         F.col("ordinal"), F.col("status"), F.col("role"), F.col("date"), F.col("reason"),
-        F.col("status").isin(*R.COMPANY_WIDE_STATUSES).alias("company_wide"))
+        F.col("status").isin(*R.COMPANY_WIDE_STATUSES).alias("company_wide"),
+        normalize_title(F.col("role")).alias("role_key"))
     return h.groupBy("company_key").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
 
@@ -41,14 +42,20 @@ def attach_history(postings: DataFrame, history: DataFrame) -> DataFrame:
     hb = bounded_broadcast(history_by_company(history).withColumnRenamed("company_key", "_hck"))
     p = postings.withColumn("_ck", normalize_company(F.col("company_name")))
     j = p.join(hb, p["_ck"] == hb["_hck"], "left")
-    entries = F.coalesce(F.col("entries"), F.array().cast(
-        hb.schema["entries"].dataType))
+    # Title keys are computed once per posting (and once per ruling in the
+    # history table), not inside the per-entry lambda.
+    j = j.withColumn("_tk", normalize_title(F.col("title")))
+    entries = F.coalesce(F.col("entries"), F.array().cast(hb.schema["entries"].dataType))
+
+    def matches(e: Column) -> Column:
+        rk, tk = e["role_key"], F.col("_tk")
+        return (rk != "") & (tk != "") & ((F.instr(tk, rk) > 0) | (F.instr(rk, tk) > 0))
+
     wide = F.try_element_at(F.filter(entries, lambda e: e["company_wide"]), F.lit(1))
-    scoped = F.try_element_at(F.filter(
-        entries, lambda e: e["role"].isNull() | title_matches(e["role"], F.col("title"))), F.lit(1))
+    scoped = F.try_element_at(F.filter(entries, lambda e: e["role"].isNull() | matches(e)), F.lit(1))
     return (j.withColumn("suppressed_by", F.coalesce(wide, scoped))
             .withColumn("history_first", F.try_element_at(entries, F.lit(1)))
-            .drop("_ck", "_hck", "entries"))
+            .drop("_ck", "_hck", "entries", "_tk"))
 
 
 def history_note_reason(entry: Column) -> Column:
