@@ -824,3 +824,22 @@ def q_closed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["closed_lines"] = q_closed_lines
+
+
+def q_store_write(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write the registry as two whole store versions (the second after a
+    probe pass) in a fresh folder under the shared checkpoint dir, then read
+    the newest complete version back."""
+    import uuid
+    from hirefold.operators import registry as REG
+    from hirefold.session import checkpoint_dir
+    from hirefold.sources import stores
+    base = os.path.join(checkpoint_dir(spark), f"registry-store-{uuid.uuid4().hex}")
+    reg = _registry(spark, sf_dir)
+    stores.write_store(reg, base, sort_keys=("vendor", "slug"))
+    stores.write_store(REG.registry_apply_probes(stores.read_store(spark, base), FX.board_probes(spark, sf_dir)),
+                       base, sort_keys=("vendor", "slug"))
+    return _reg_out(stores.read_store(spark, base))
+
+
+QUERIES["store_write"] = q_store_write

@@ -122,3 +122,5 @@ ORACLES.update({
 ORACLES["location_exception"] = funnel.location_exception
 
 ORACLES["closed_lines"] = state.closed_lines
+
+ORACLES["store_write"] = registry.registry_apply_probes
