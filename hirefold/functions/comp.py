@@ -17,9 +17,6 @@ from pyspark.sql import types as T
 from hirefold import rules as R
 from hirefold.functions.text import col_, py_strip
 
-COMP_TYPE = "struct<min:bigint,max:bigint,currency:string,source:string>"
-
-
 def _multiplier(interval: Column) -> Column:
     key = F.upper(py_strip(F.coalesce(interval, F.lit(""))))
     expr = None
@@ -93,7 +90,7 @@ def parse_salary_prose(text: Column | str) -> Column:
 
     def result(a: Column) -> Column:
         vals = a["values"]
-        cur = F.upper(F.regexp_extract(a["seg"], r"(?iU)\b(USD|CAD|EUR|GBP)\b", 1))
+        cur = F.upper(F.regexp_extract(a["seg"], r"(?iU)\b(" + "|".join(R.CURRENCY_CODES) + r")\b", 1))
         flags = F.filter(F.array(
             F.when(a["hourly"], F.lit(R.FLAG_HOURLY)),
             F.when(a["ote"], F.lit(R.FLAG_OTE)),

@@ -253,9 +253,6 @@ def route(df: DataFrame, include_open: bool = False) -> DataFrame:
     return df.withColumn("route", r)
 
 
-STAGE_OF_ROUTE = {"title": "title", "location": "location", "comp": "comp", "zombie": "liveness"}
-
-
 def funnel_counts(routed: DataFrame) -> DataFrame:
     """(stage, n): eliminated per stage in funnel order, then suppressed and
     survivors (kept + flagged + still open). One tiny aggregate."""

@@ -221,10 +221,6 @@ def pages_totals(pages: DataFrame) -> DataFrame:
                      F.coalesce(F.sum("n_roles"), F.lit(0)).cast("bigint").alias("total_roles"))
 
 
-def page_order() -> list:
-    """Index order: role count desc, lower company, dirname."""
-    return [F.col("n_roles").desc(), F.lower("company"), F.col("dirname")]
-
 
 def jsonld_rows(page_roles: DataFrame) -> DataFrame:
     """One schema.org JobPosting object per listed role (the page's array is

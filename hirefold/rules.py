@@ -85,8 +85,6 @@ REASON_REMOTE_UNVERIFIED = "remote with no US signal in the location"
 REASON_COMP_UNKNOWN = "no band published, worth a look anyway"
 REASON_BAND_CLEARS = "band clears {n}"
 REASON_BAND_TOP_ONLY = "only the top of the band clears {n}"
-REASON_SHAPE = '{pack}: JD says "{quote}"'
-REASON_HISTORY = "history at this company: {status}{when}"
 
 # Board discovery: vendor board URL shapes, slug class, junk path words and
 # the vendors whose slugs are case-insensitive.
@@ -123,22 +121,13 @@ JUNK_SLUGS = {
 LOWERCASE_SLUG_VENDORS = ("greenhouse", "lever", "workable")
 CANDIDATE_PATHS = ("/careers", "/jobs", "/")
 NO_MATCH_NOTE = "no known ATS pattern on the careers page"
-NOTE_REVIVED = "back from the dead on {day} with {count} postings"
-NOTE_WENT_DEAD = "went dead on {day}: {reason}"
 WARNING_404 = "404, board not found. Slug is wrong or the org left this ATS."
-WARNING_UNAVAILABLE = "unavailable: {error}"
 
 # SmartRecruiters jobAd sections, in reading order.
 SMARTRECRUITERS_SECTIONS = (
     "companyDescription", "jobDescription", "qualifications", "additionalInformation",
 )
-SMARTRECRUITERS_POSTING_URL = "https://jobs.smartrecruiters.com/{company}/{posting_id}"
-WORKDAY_HOST_URL = "https://{tenant}.wd{n}.myworkdayjobs.com"
-
-# Company page headline: "Yes: {n} open GTM/RevOps role(s) as of {day}." or
-# "No live GTM or RevOps roles verified as of {run day}."
-HEADLINE_YES = "Yes: {n} open GTM/RevOps {noun} as of {day}."
-HEADLINE_NO = "No live GTM or RevOps roles verified as of {day}."
+SMARTRECRUITERS_POSTING_PREFIX = "https://jobs.smartrecruiters.com/"
 
 # Public site addresses used in sitemap rows.
 SITE_BASE_URL = "https://example.org/board"

@@ -317,7 +317,7 @@ def norm_smartrecruiters(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFr
         F.when(full != "", full).otherwise(parts).alias("location_raw"),
         F.when(F.coalesce("j.location.remote", F.lit(False)), F.lit(True)).alias("is_remote"),
         no_comp().alias("comp"),
-        F.concat(F.lit("https://jobs.smartrecruiters.com/"), ident, F.lit("/"),
+        F.concat(F.lit(R.SMARTRECRUITERS_POSTING_PREFIX), ident, F.lit("/"),
                  F.coalesce("j.id", F.lit(""))).alias("url"),
         parse_iso(F.col("j.releasedDate")).alias("published_at"),
         F.lit(None).cast("timestamp").alias("updated_at"),

@@ -99,3 +99,12 @@ def test_alternation_regexes_are_valid():
     for p in ("ci/cd", "a/b test", "next.js"):
         re.compile(phrase_regex(p).replace("(?i)", ""))
         re.compile(any_phrase_regex([p, "x"]).replace("(?i)", ""))
+
+
+@pytest.mark.parametrize("a,b,hit", [
+    ("GTM Engineer", "Senior GTM Engineer", True), ("Go-To-Market Engineer, Tools", "gtm engineer", True),
+    ("RevOps Engineer", "GTM Engineer", False), ("", "GTM Engineer", False), ("--", "GTM Engineer", False),
+])
+def test_title_matches(spark, a, b, hit):
+    from hirefold.functions.text import title_matches
+    assert one(spark, title_matches(F.col("a"), F.col("b")), a=a, b=b) is hit
