@@ -88,18 +88,30 @@ def _tokens_present(low: Column, phrase: str) -> Column:
     return out
 
 
-def shape_quotes(title: Column, description: Column, rules: Rules = DEFAULT_RULES) -> Column:
+def shape_gates(hay: Column, rules: Rules = DEFAULT_RULES) -> list[Column]:
+    """Per pack: does any of its phrases occur (one word-bounded alternation;
+    its look-behind fails fast inside words)."""
+    return [hay.rlike(any_phrase_regex(phrases)) for _, phrases in rules.shapes]
+
+
+def shape_haystack(title: Column, description: Column) -> Column:
+    return F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(description, F.lit("")))
+
+
+def shape_quotes(title: Column, description: Column, rules: Rules = DEFAULT_RULES,
+                 hay: Column | None = None, gates: list[Column] | None = None) -> Column:
     """struct<q0, q1, ...>: per pack (config order) the text of the first
     phrase in phrase order that occurs, whitespace collapsed; NULL if none.
 
-    A pack's phrases are tried only when the pack's alternation matches, and
-    a phrase's regex only when all its tokens occur as substrings of the
-    lower-cased text (both necessary conditions, far cheaper than the chain).
-    The text and its lower case are bound once per row (``let``): one
-    evaluation of a compact expression beats a generated method too large
-    for the JIT.
+    A pack's phrases are tried only when the pack's gate (``shape_gates``)
+    fired, and a phrase's regex only when all its tokens occur as substrings
+    of the lower-cased text (both necessary conditions, far cheaper than the
+    chain). Callers that hold the haystack and gates as columns pass them
+    in, so rows with no gate never enter the interpreted block. The text and
+    its lower case are bound once per row (``let``).
     """
-    hay = F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), F.coalesce(description, F.lit("")))
+    hay = shape_haystack(title, description) if hay is None else hay
+    gates = shape_gates(hay, rules) if gates is None else gates
 
     def per_row(x: Column) -> Column:
         h, low = x["h"], x["low"]
@@ -111,13 +123,12 @@ def shape_quotes(title: Column, description: Column, rules: Rules = DEFAULT_RULE
                 test = _tokens_present(low, p) & h.rlike(rx)
                 found = F.regexp_extract(h, rx, 0)
                 chain = F.when(test, found) if chain is None else chain.when(test, found)
-            # One word-bounded alternation per pack gates the chain: its
-            # look-behind fails fast inside words, so most rows stop here.
-            gate = h.rlike(any_phrase_regex(phrases))
-            quotes.append(F.when(gate, collapse_ws(chain)).alias(f"q{i}"))
+            quotes.append(F.when(x[f"g{i}"], collapse_ws(chain)).alias(f"q{i}"))
         return F.struct(*quotes)
 
-    return let(per_row, h=hay, low=F.lower(hay))
+    bound = {"h": hay, "low": F.lower(hay)}
+    bound.update({f"g{i}": g for i, g in enumerate(gates)})
+    return let(per_row, **bound)
 
 
 def shape_hits(title: Column, description: Column, rules: Rules = DEFAULT_RULES) -> Column:
@@ -159,8 +170,18 @@ def evaluate(postings: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     survived = F.col("stage").isNull()
     band_top_only = reached_comp & known & (top >= F.lit(floor)) & ~(
         F.coalesce(F.col("comp.min") >= F.lit(floor), F.lit(False)))
-    df = df.withColumn("_shapes", F.when(survived, shape_quotes(
-        F.col("title"), F.col("description_text"), rules)))
+    # Haystack and pack gates are plain compiled columns; only survivors
+    # with a gate that fired enter the interpreted phrase chains.
+    df = df.withColumn("_hay", F.when(survived, shape_haystack(F.col("title"), F.col("description_text"))))
+    gate_cols = []
+    for i, g in enumerate(shape_gates(F.col("_hay"), rules)):
+        df = df.withColumn(f"_g{i}", F.coalesce(g, F.lit(False)))
+        gate_cols.append(F.col(f"_g{i}"))
+    any_gate = gate_cols[0]
+    for g in gate_cols[1:]:
+        any_gate = any_gate | g
+    df = df.withColumn("_shapes", F.when(survived & any_gate, shape_quotes(
+        F.col("title"), F.col("description_text"), rules, hay=F.col("_hay"), gates=gate_cols)))
     shape_cols = [(pack, F.col(f"_shapes.q{i}")) for i, (pack, _) in enumerate(rules.shapes)]
     is_flag_family = F.col("family") == "flag"
     remote_unverified = F.col("family").isNotNull() & (F.col("location") == "remote-unverified")
@@ -191,7 +212,7 @@ def evaluate(postings: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     return (df.withColumn("flags", flags)
             .withColumn("reasons", reasons)
             .withColumn("decision", decision)
-            .drop("_loc_exc", "_shapes"))
+            .drop("_loc_exc", "_shapes", "_hay", *[f"_g{i}" for i in range(len(rules.shapes))]))
 
 
 def wants_detail(title: Column, location_raw: Column, is_remote: Column,
