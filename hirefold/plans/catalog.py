@@ -759,7 +759,7 @@ def _stream_run(spark: SparkSession, sf_dir: str) -> str:
     if key not in _STREAM_RUNS:
         base = os.path.join(checkpoint_dir(spark), f"stream-reconcile-{uuid.uuid4().hex}")
         snaps = os.path.join(base, "snapshots")
-        reconcile.write_nightly_snapshots(FX.sightings(spark, sf_dir), snaps, FX.run_nights(spark, sf_dir))
+        reconcile.write_nightly_snapshots(FX.sightings(spark, sf_dir), snaps)
         reconcile.stream_reconcile(spark, snaps, os.path.join(base, "seen"), os.path.join(base, "ckpt"),
                                    public_base=os.path.join(base, "public"))
         _STREAM_RUNS[key] = base

@@ -28,15 +28,24 @@ SEEN_SCHEMA = ("id string, org_key string, title string, company_name string, ur
                "comp_band string, location string")
 
 
-def write_nightly_snapshots(sightings: DataFrame, folder: str, nights: DataFrame) -> None:
+def write_nightly_snapshots(sightings: DataFrame, folder: str) -> None:
     """Lay the sightings out as the nightly fetch leaves them: one file per
-    night, written in night order (the file stream reads oldest first).
-    ``nights`` is the run calendar, one row per night."""
-    for row in nights.select("run_ts").distinct().orderBy("run_ts").toLocalIterator():
-        night = row["run_ts"]
-        part = sightings.where(F.col("run_ts") == F.lit(night))
-        name = night.strftime("night=%Y%m%d")
-        part.coalesce(1).write.mode("overwrite").parquet(os.path.join(folder, name))
+    night (``night=<yyyymmdd>``), in one write. The file stream reads the
+    oldest file first, so each night's file is then stamped with a
+    modification time in night order (metadata only, one call per night)."""
+    spark = sightings.sparkSession
+    out = sightings.withColumn("night", F.date_format("run_ts", "yyyyMMdd"))
+    out.repartition("night").write.mode("overwrite").partitionBy("night").parquet(folder)
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    nights = sorted((st.getPath() for st in fs.listStatus(root) if st.getPath().getName().startswith("night=")),
+                    key=lambda p: p.getName())
+    base = 1_000_000_000_000
+    for i, night in enumerate(nights):
+        for st in fs.listStatus(night):
+            if st.getPath().getName().endswith(".parquet"):
+                fs.setTimes(st.getPath(), base + i * 60_000, -1)
 
 
 PUBLIC_SCHEMA = ("id string, vendor string, org_key string, company string, title string, "
