@@ -28,13 +28,23 @@ def _any_contains(s: Column, words) -> Column:
     return out
 
 
+def _contains_any_rx(phrases) -> str:
+    """One regex for "contains any of these substrings" (each quoted)."""
+    return "|".join(rf"\Q{p}\E" for p in phrases if p) or "(?!)"
+
+
 def title_family(title: Column, rules: Rules = DEFAULT_RULES) -> Column:
-    """"include", "flag" or NULL; plain substring of the normalised title."""
+    """"include", "flag" or NULL; plain substring of the normalised title.
+
+    One quoted alternation per family, so the normalised title appears
+    twice in the expression rather than once per phrase: a Filter gets no
+    common-subexpression elimination, and this predicate is used in filters
+    (the detail gate, the public store feed)."""
     t = normalize_title(title)
     include = [normalize_title_py(p) for p in rules.include]
     flag = [normalize_title_py(p) for p in rules.flag]
-    return (F.when(_any_contains(t, include), F.lit("include"))
-            .when(_any_contains(t, flag), F.lit("flag")))
+    return (F.when(t.rlike(_contains_any_rx(include)), F.lit("include"))
+            .when(t.rlike(_contains_any_rx(flag)), F.lit("flag")))
 
 
 def _region_blocked(seg: Column, rules: Rules) -> Column:
