@@ -89,9 +89,13 @@ def discover_orgs(pages: DataFrame, discovered_via: str = "") -> DataFrame:
                    F.coalesce(F.col("html"), F.lit("")))
     refs = pages.where(F.col("http_status") < 400).select(
         "domain", "candidate_rank", "page_id", board_refs(hay).alias("refs"))
-    refs = refs.where(F.size("refs") > 0)
+    # "Has a reference" is part of the ordering (min_by skips NULL orderings)
+    # rather than a filter: a filter here would be pushed below the
+    # projection with the whole board_refs expression inlined into it,
+    # scanning every page twice.
     first = refs.groupBy("domain").agg(
-        F.min_by("refs", F.struct("candidate_rank", "page_id")).alias("refs"))
+        F.min_by("refs", F.when(F.size("refs") > 0, F.struct("candidate_rank", "page_id"))).alias("refs"))
+    first = first.where(F.size("refs") > 0)
     rows = first.select("domain", F.posexplode("refs").alias("ref_pos", "ref"))
     return rows.select(
         name_guess(F.col("domain")).alias("company_name"), "domain",

@@ -339,7 +339,7 @@ def q_registry_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = REG.domains_to_scan(FX.domain_lines(spark, sf_dir), reg)
     todo = plan.where(F.col("action") == "todo").select("domain")
     pages = FX.crawl_pages(spark, sf_dir).join(todo, "domain", "left_semi")
-    found = REG.discover_orgs(pages, "list")
+    found = materialize(REG.discover_orgs(pages, "list"))
     markers = REG.no_match_markers(pages, found, "list")
     scanned = todo.join(pages.select("domain").distinct(), "domain", "left_semi")
     tagged = (plan.where(F.col("action").isin("known", "repeat")).select(F.lit("skipped").alias("k"))

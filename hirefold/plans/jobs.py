@@ -130,7 +130,7 @@ def add_domains(spark: SparkSession, lines: DataFrame, crawl: DataFrame, root: s
     plan = REG.domains_to_scan(lines, reg).cache()
     todo = plan.where(F.col("action") == "todo").select("domain")
     pages = crawl.join(todo, "domain", "left_semi")
-    found = REG.discover_orgs(pages, discovered_via)
+    found = REG.discover_orgs(pages, discovered_via).checkpoint(eager=True)   # read three times
     markers = REG.no_match_markers(pages, found, discovered_via)
     cands = (found.withColumn("ordinal", F.struct(F.lit(0).alias("g"), "domain", F.col("ref_pos").cast("bigint").alias("p")))
              .drop("ref_pos")
