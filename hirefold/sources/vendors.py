@@ -241,19 +241,20 @@ def norm_workable(raw: DataFrame) -> DataFrame:
 
 # --- detail enrichment (Greenhouse, SmartRecruiters, Workday) -----------------
 
-def _enrich(listed: DataFrame, details: DataFrame, gate: Column, extra) -> DataFrame:
+def _enrich(listed: DataFrame, details: DataFrame, gate: Column, schema: str, extra) -> DataFrame:
     """Join gated rows to their detail document (vendor, slug, external id).
     A gated row without a usable detail keeps its list data and is flagged
-    ``detail-fetch-failed``; ungated rows are untouched. ``extra(d)`` maps
-    the parsed detail to (description, url override, published override
-    or None)."""
-    d = details.select(F.col("slug").alias("_dslug"), F.col("external_id").alias("_dxid"),
-                       F.col("body").alias("_dbody"),
-                       (F.coalesce(F.col("http_status"), F.lit(200)) < 400).alias("_dok"))
-    d = d.where("_dok").dropDuplicates(["_dslug", "_dxid"])
+    ``detail-fetch-failed``; ungated rows are untouched. The detail body is
+    parsed once, in the detail side's own projection; ``extra(d)`` maps the
+    parsed document to (description, url override, published override or
+    None)."""
+    d = details.where(F.coalesce(F.col("http_status"), F.lit(200)) < 400).select(
+        F.col("slug").alias("_dslug"), F.col("external_id").alias("_dxid"),
+        F.from_json("body", schema).alias("_dbody"))
+    d = d.dropDuplicates(["_dslug", "_dxid"])
     j = listed.withColumn("_gate", gate).join(
         d, (F.col("_gate")) & (F.col("org_slug") == F.col("_dslug")) & (F.col("_xid") == F.col("_dxid")), "left")
-    got = F.col("_dbody").isNotNull()
+    got = F.col("_dslug").isNotNull()
     desc, url_over, pub_over = extra(F.col("_dbody"))
     j = _with_parsed(j.withColumn("_desc", F.when(got, desc)), F.col("_desc"))
     comp, flags = _parsed_comp()
@@ -286,10 +287,9 @@ def norm_greenhouse(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
         F.lit(None).cast("string").alias("description_text"), no_flags().alias("flags"))
     gate = wants_detail(F.col("title"), F.col("location_raw"), F.col("is_remote"), rules)
 
-    def extra(body: Column):
-        d = F.from_json(body, GREENHOUSE_DETAIL_SCHEMA)
+    def extra(d: Column):
         return html_to_text(d["content"]), None, None
-    return _enrich(listed, _answered(raw, "greenhouse", "detail"), gate, extra)
+    return _enrich(listed, _answered(raw, "greenhouse", "detail"), gate, GREENHOUSE_DETAIL_SCHEMA, extra)
 
 
 def _paged(raw: DataFrame, vendor: str, schema: str, total_field: str) -> DataFrame:
@@ -324,12 +324,11 @@ def norm_smartrecruiters(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFr
         F.lit(None).cast("string").alias("description_text"), no_flags().alias("flags"))
     gate = wants_detail(F.col("title"), F.col("location_raw"), F.col("is_remote"), rules)
 
-    def extra(body: Column):
-        d = F.from_json(body, SMARTRECRUITERS_DETAIL_SCHEMA)
-        secs = F.array(*[html_to_text(d["jobAd"]["sections"][s]["text"]) for s in R.SMARTRECRUITERS_SECTIONS])
-        text = F.array_join(F.filter(secs, lambda t: F.coalesce(t, F.lit("")) != ""), "\n")
+    def extra(d: Column):
+        sections = F.array(*[d["jobAd"]["sections"][s]["text"] for s in R.SMARTRECRUITERS_SECTIONS])
+        text = F.array_join(html_to_text_many(sections), "\n")
         return F.when(text != "", text), d["postingUrl"], None
-    return _enrich(listed, _answered(raw, "smartrecruiters", "detail"), gate, extra)
+    return _enrich(listed, _answered(raw, "smartrecruiters", "detail"), gate, SMARTRECRUITERS_DETAIL_SCHEMA, extra)
 
 
 def workday_slug(slug: Column) -> Column:
@@ -366,10 +365,10 @@ def norm_workday(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     # A posting with an empty path is never enriched, and so never flagged.
     gate = (F.col("_xid") != "") & wants_detail(F.col("title"), F.col("location_raw"), F.col("is_remote"), rules)
 
-    def extra(body: Column):
-        d = F.from_json(body, WORKDAY_DETAIL_SCHEMA)["jobPostingInfo"]
-        return html_to_text(d["jobDescription"]), d["externalUrl"], parse_iso(d["startDate"])
-    return _enrich(listed, _answered(raw, "workday", "detail"), gate, extra)
+    def extra(d: Column):
+        info = d["jobPostingInfo"]
+        return html_to_text(info["jobDescription"]), info["externalUrl"], parse_iso(info["startDate"])
+    return _enrich(listed, _answered(raw, "workday", "detail"), gate, WORKDAY_DETAIL_SCHEMA, extra)
 
 
 NORMALISERS = {
@@ -414,12 +413,20 @@ def probe_from_board(raw: DataFrame) -> DataFrame:
     status = F.coalesce(F.col("p.http_status"), F.lit(200))
     body = F.col("p.body")
     v = F.col("vendor")
-    ashby = F.from_json(body, ASHBY_SCHEMA)["jobs"]
-    gh = F.from_json(body, GREENHOUSE_SCHEMA)["jobs"]
-    lever = F.from_json(body, LEVER_SCHEMA)
-    wk = F.from_json(body, WORKABLE_SCHEMA)
-    sr = F.from_json(body, SMARTRECRUITERS_SCHEMA)
-    wd = F.from_json(body, WORKDAY_SCHEMA)
+    # Each body is parsed once, with its own vendor's schema, into a column
+    # (the fields below read it several times, some under higher-order
+    # functions where nothing is shared).
+    for name, vendor, schema in (("_ashby", "ashby", ASHBY_SCHEMA), ("_gh", "greenhouse", GREENHOUSE_SCHEMA),
+                                 ("_lever", "lever", LEVER_SCHEMA), ("_wk", "workable", WORKABLE_SCHEMA),
+                                 ("_sr", "smartrecruiters", SMARTRECRUITERS_SCHEMA),
+                                 ("_wd", "workday", WORKDAY_SCHEMA)):
+        first = first.withColumn(name, F.when(v == vendor, F.from_json(body, schema)))
+    ashby = F.col("_ashby")["jobs"]
+    gh = F.col("_gh")["jobs"]
+    lever = F.col("_lever")
+    wk = F.col("_wk")
+    sr = F.col("_sr")
+    wd = F.col("_wd")
     count = (F.when(v == "ashby", F.size(F.filter(F.coalesce(ashby, F.array()),
                                                    lambda j: F.coalesce(j["isListed"], F.lit(True)))))
              .when(v == "greenhouse", F.size(F.coalesce(gh, F.array())))
