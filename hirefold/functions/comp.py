@@ -142,7 +142,8 @@ def html_to_text_many(items: Column) -> Column:
     sep = "\u0001"
     joined = F.array_join(items, sep)
     once = html_unescape(joined)
-    no_tags = F.regexp_replace(once, "<[^>]+>", " ")
+    # A tag never spans two items: the separator is outside the tag class.
+    no_tags = F.regexp_replace(once, "<[^>\u0001]+>", " ")
     text = F.replace(html_unescape(no_tags), F.lit("\u00a0"), F.lit(" "))
     text = F.regexp_replace(text, "[ \t]+", " ")
     parts = F.transform(F.split(text, sep, -1), lambda t: py_strip(t))

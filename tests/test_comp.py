@@ -69,3 +69,12 @@ def test_band_text(spark):
     assert band(None, 90000, "EUR", "parsed") == "up to EUR 90,000"
     assert band(None, None, None, "none") == "not published"
     assert band(150000, 190000, "USD", "none") == "not published"
+
+
+def test_html_to_text_many_keeps_items_apart(spark):
+    from hirefold.functions.comp import html_to_text_many
+    df = spark.createDataFrame([(["<b>one", "two</b> &amp; three", "", None, "<p></p>", "four&nbsp;",
+                                  "a < b", "c > d"],)], "a array<string>")
+    got = df.select(html_to_text_many(F.col("a"))).first()[0]
+    # each item on its own: an unclosed "<" never pairs with a later item's ">"
+    assert list(got) == ["one", "two & three", "four", "a < b", "c > d"]
