@@ -4,11 +4,11 @@ the seen store and the public store with the batch operators
 
 Closure needs the org's scan marker, not a watermark: silence proves
 nothing, so a role closes only when its org answered in that batch. The
-fold is ``foreachBatch`` over a file stream (one file per night,
-``maxFilesPerTrigger=1``, ``availableNow``), restartable from its
-checkpoint. Batch ``b`` reads store versions ``b-1`` and writes versions
-``b``; a replayed batch (lost executor, restart) recomputes the same
-version from the same input, so the fold is idempotent.
+fold is ``foreachBatch`` over a file stream (``availableNow``), restartable
+from its checkpoint. A batch holds one or more whole nights, folded in night
+order; the store version of a night is keyed by the night itself and read
+from the newest older version, so a replayed batch (lost executor, restart)
+rewrites the same versions from the same input: the fold is idempotent.
 """
 
 from __future__ import annotations
@@ -62,43 +62,67 @@ def _public_rows(batch: DataFrame) -> DataFrame:
         "url", F.lit(None).cast("timestamp").alias("posted_at"))
 
 
-def _previous(spark: SparkSession, base: str, batch_id: int, schema: str) -> DataFrame:
-    if batch_id == 0:
+def _night_version(night) -> int:
+    return int(night.strftime("%Y%m%d"))
+
+
+def _previous(spark: SparkSession, base: str, version: int, schema: str) -> DataFrame:
+    """The newest store version older than ``version`` (empty if none)."""
+    jvm = spark.sparkContext._jvm
+    root = jvm.org.apache.hadoop.fs.Path(base)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    older = []
+    if fs.exists(root):
+        for st in fs.listStatus(root):
+            name = st.getPath().getName()
+            if name.startswith("version=") and int(name.split("=", 1)[1]) < version:
+                older.append(int(name.split("=", 1)[1]))
+    if not older:
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(os.path.join(base, f"version={batch_id - 1}"))
+    return spark.read.parquet(os.path.join(base, f"version={max(older)}"))
 
 
-def _write(df: DataFrame, base: str, batch_id: int) -> None:
-    # Overwrite, not append: a replayed batch rewrites its own version.
-    df.write.mode("overwrite").parquet(os.path.join(base, f"version={batch_id}"))
+def _write(df: DataFrame, base: str, version: int) -> None:
+    # Overwrite, not append: a replayed night rewrites its own version.
+    df.write.mode("overwrite").parquet(os.path.join(base, f"version={version}"))
 
 
 def _fold(store_base: str, public_base: str | None):
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()   # one night, read by both folds
-        now = batch.agg(F.max("run_ts")).scalar()
-        scanned = batch.select("org_key")
-        seen = _previous(spark, store_base, batch_id, SEEN_SCHEMA)
-        _write(state.seen_reconcile(seen, batch, scanned, now).drop("is_new", "closed_now"),
-               store_base, batch_id)
-        if public_base is not None:
-            public = _previous(spark, public_base, batch_id, PUBLIC_SCHEMA)
-            _write(state.public_reconcile(public, _public_rows(batch), scanned, now)
-                   .select(*state.PUBLIC_COLUMNS), public_base, batch_id)
+        batch = batch.persist()
+        # A batch holds whole nights (one with maxFilesPerTrigger=1 and one
+        # file per night; several when a backfill's nights arrive together).
+        # They are folded in night order; the night count is bounded.
+        nights = [r["run_ts"] for r in batch.select("run_ts").distinct().orderBy("run_ts").collect()]
+        for night in nights:
+            tonight = batch.where(F.col("run_ts") == F.lit(night))
+            version = _night_version(night)
+            now = F.lit(night).cast("timestamp")
+            scanned = tonight.select("org_key")
+            seen = _previous(spark, store_base, version, SEEN_SCHEMA)
+            _write(state.seen_reconcile(seen, tonight, scanned, now).drop("is_new", "closed_now"),
+                   store_base, version)
+            if public_base is not None:
+                public = _previous(spark, public_base, version, PUBLIC_SCHEMA)
+                _write(state.public_reconcile(public, _public_rows(tonight), scanned, now)
+                       .select(*state.PUBLIC_COLUMNS), public_base, version)
         batch.unpersist()
     return fold
 
 
 def stream_reconcile(spark: SparkSession, snapshot_folder: str, store_base: str,
-                     checkpoint: str, public_base: str | None = None) -> DataFrame:
+                     checkpoint: str, public_base: str | None = None,
+                     max_files_per_trigger: int | None = 1) -> DataFrame:
     """Run the stream over every available night; return the final seen
     store (the public store's versions are under ``public_base`` when
-    given)."""
-    df = (spark.readStream.schema(SNAPSHOT_SCHEMA)
-          .option("maxFilesPerTrigger", 1)
-          .option("recursiveFileLookup", "true")
-          .parquet(snapshot_folder))
+    given). With one file per night, ``max_files_per_trigger=1`` makes each
+    micro-batch one night; ``None`` takes every available file per batch
+    (each night's files must be complete when they become visible)."""
+    reader = spark.readStream.schema(SNAPSHOT_SCHEMA).option("recursiveFileLookup", "true")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    df = reader.parquet(snapshot_folder)
     q = (df.writeStream.foreachBatch(_fold(store_base, public_base))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
