@@ -798,7 +798,10 @@ QUERIES.update({
 def q_location_exception(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title-family postings that fail location: kept (flagged) when the
     band top clears the configured exception, else dropped."""
-    v = funnel.evaluate(FX.postings(spark, sf_dir)).where(
+    # A filter on the verdict's columns would be pushed below the verdict
+    # projection with those expressions inlined (computed twice): filter a
+    # materialised verdict instead.
+    v = materialize(funnel.evaluate(FX.postings(spark, sf_dir))).where(
         F.col("family").isNotNull() & (F.col("location") == "fail"))
     return v.select("id", comp_top(F.col("comp")).alias("band_top"),
                     F.array_contains("flags", "location-exception-comp").alias("rescued"),
