@@ -20,9 +20,12 @@ REF_TYPE = "struct<vendor:string,slug:string,board_url:string>"
 
 
 def _clean_slug(raw: Column, vendor: str) -> Column:
-    """URL-decode (a bad escape keeps the raw text), strip whitespace, then
-    trailing dots and hyphens; lower case for case-insensitive vendors."""
-    s = F.coalesce(F.try_url_decode(raw), raw)
+    """URL-decode (valid %XX escapes decoded, a malformed "%" kept as is),
+    strip whitespace, then trailing dots and hyphens; lower case for
+    case-insensitive vendors. The slug class has no "+", so url_decode's
+    plus-as-space never applies."""
+    escaped = F.regexp_replace(raw, "%(?![0-9A-Fa-f]{2})", "%25")
+    s = F.coalesce(F.try_url_decode(escaped), raw)
     s = F.regexp_replace(py_strip(s), r"[.-]+$", "")
     return F.lower(s) if vendor in R.LOWERCASE_SLUG_VENDORS else s
 
