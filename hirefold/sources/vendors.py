@@ -416,7 +416,11 @@ def probe_from_board(raw: DataFrame) -> DataFrame:
     # Each body is parsed once, with its own vendor's schema, into a column
     # (the fields below read it several times, some under higher-order
     # functions where nothing is shared).
-    for name, vendor, schema in (("_ashby", "ashby", ASHBY_SCHEMA), ("_gh", "greenhouse", GREENHOUSE_SCHEMA),
+    # Ashby jobs are kept as raw JSON text: a job without an isListed key
+    # counts as listed, one with an explicit null does not, and only the
+    # raw keys can tell the two apart.
+    for name, vendor, schema in (("_ashby", "ashby", "struct<jobs:array<string>>"),
+                                 ("_gh", "greenhouse", GREENHOUSE_SCHEMA),
                                  ("_lever", "lever", LEVER_SCHEMA), ("_wk", "workable", WORKABLE_SCHEMA),
                                  ("_sr", "smartrecruiters", SMARTRECRUITERS_SCHEMA),
                                  ("_wd", "workday", WORKDAY_SCHEMA)):
@@ -427,8 +431,10 @@ def probe_from_board(raw: DataFrame) -> DataFrame:
     wk = F.col("_wk")
     sr = F.col("_sr")
     wd = F.col("_wd")
-    count = (F.when(v == "ashby", F.size(F.filter(F.coalesce(ashby, F.array()),
-                                                   lambda j: F.coalesce(j["isListed"], F.lit(True)))))
+    def ashby_listed(j: Column) -> Column:
+        present = F.array_contains(F.json_object_keys(j), "isListed")
+        return ~present | F.coalesce(F.get_json_object(j, "$.isListed") == "true", F.lit(False))
+    count = (F.when(v == "ashby", F.size(F.filter(F.coalesce(ashby, F.array()), ashby_listed)))
              .when(v == "greenhouse", F.size(F.coalesce(gh, F.array())))
              .when(v == "lever", F.size(F.coalesce(lever, F.array())))
              .when(v == "workable", F.size(F.coalesce(wk["jobs"], F.array())))
@@ -442,9 +448,8 @@ def probe_from_board(raw: DataFrame) -> DataFrame:
                  | ((v == "workday") & workday_slug(F.col("slug")).isNull())
                  | ((status < 400) & (v == "smartrecruiters") & (count == 0)))
     st = F.when(not_found, F.lit("404")).when(status >= 400, F.lit("error")).otherwise(F.lit("ok"))
-    titles = (F.when(v == "ashby", F.transform(F.filter(F.coalesce(ashby, F.array()),
-                                                         lambda j: F.coalesce(j["isListed"], F.lit(True))),
-                                                lambda j: j["title"]))
+    titles = (F.when(v == "ashby", F.transform(F.filter(F.coalesce(ashby, F.array()), ashby_listed),
+                                                lambda j: F.get_json_object(j, "$.title")))
               .when(v == "greenhouse", F.transform(F.coalesce(gh, F.array()), lambda j: j["title"]))
               .when(v == "lever", F.transform(F.coalesce(lever, F.array()), lambda j: j["text"]))
               .when(v == "workable", F.transform(F.coalesce(wk["jobs"], F.array()), lambda j: j["title"]))

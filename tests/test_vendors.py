@@ -125,3 +125,12 @@ def test_workday_enrichment_rules(spark):
     assert out["workday:acme.wd5/Ext:/job/3"]["url"] == "https://acme.wd5.myworkdayjobs.com/Ext/job/3"
     scans = {r["slug"]: r["outcome"] for r in scan_accounting(r).collect()}
     assert scans == {"acme.wd5/Ext": "answered", "not-a-workday-slug": "404"}
+
+
+def test_ashby_probe_counts_missing_is_listed_only(spark):
+    from hirefold.sources.vendors import probe_from_board
+    jobs = [{"id": "1", "title": "A", "isListed": True}, {"id": "2", "title": "B"},
+            {"id": "3", "title": "C", "isListed": None}, {"id": "4", "title": "D", "isListed": False}]
+    r = probe_from_board(raw(spark, [("ashby", "acme", "", "list", None, 0, 200, None,
+                                      json.dumps({"jobs": jobs}))])).first()
+    assert (r["status"], r["count"], list(r["sample"])) == ("ok", 2, ["A", "B"])
