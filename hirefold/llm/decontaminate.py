@@ -1,9 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Passages of all documents are TF-IDF vectors over the benchmark's words (no
-other word can match an item). A randomised SVD of the passage matrix - two
-distributed passes: document frequencies, then the range sample A'A * Omega,
-both summed by Spark - gives a latent basis. Windows of every document, at
+other word can match an item); the benchmark's own passages join them with a
+weight, so that the basis holds what tells items apart and not only what
+common words share. A randomised SVD of this matrix - two distributed passes:
+document frequencies, then the range sample A'A * Omega, both summed by Spark
+- gives a latent basis, scaled by the inverse root of the singular values.
+Windows of every document, at
 lengths that fit the items, are searched by cosine in that basis; every
 candidate is then checked on words: longest common subsequence with the item
 (``FULL`` of its words, or ``PART`` of them if the answer - the item's last
@@ -28,21 +31,36 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hirefold.llm.common import Shared, cut, keyed_text, large
-from hirefold.llm.subwords import Words, blocks_of
+from hirefold.llm.words import span_hashes, spans
 
 BLOCK_BYTES = 2 << 20
-RANK, EXTRA = 32, 8
+RANK, EXTRA = 64, 8
+#: Weight of the benchmark's own passages in the matrix: times their share.
+ITEM_WEIGHT = 2.0
 PASSAGE = 32
 WINDOWS = (16, 32, 64)
-COSINE = 0.4
+COSINE = 0.55
 FULL, PART, ANSWER = 0.8, 0.5, 0.8
 #: Words whose vectors a task holds at a time.
 CHUNK = 1 << 16
 
 
+#: Bytes that don't belong to words: ASCII other than letters and digits.
+APART = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
+
+
+def lowered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of all texts, and the first word of each (one more entry
+    than texts). Words are lower-case runs of letters and digits."""
+    parts = [t.lower().replace("\u2019", "'").replace("\u201c", '"').replace("\u201d", '"').encode("utf-8", "surrogatepass")
+             for t in texts]
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    starts, ends, first = spans(raw, np.cumsum([0] + [len(p) for p in parts]), APART)
+    return (span_hashes(raw, starts, ends) >> np.uint64(32)).astype(np.uint32), first
+
+
 def words_of(text: str) -> np.ndarray:
-    found = [Words(*x).hashes[0] for x in blocks_of([text])]
-    return np.concatenate(found) if found else np.zeros(0, np.uint32)
+    return lowered([text])[0]
 
 
 class Benchmark:
@@ -55,6 +73,7 @@ class Benchmark:
         self.vocabulary = np.unique(np.concatenate([r[1] for r in rows])) if rows else np.zeros(0, np.uint32)
         self.items = [np.searchsorted(self.vocabulary, r[1]) for r in rows]
         self.answers = [np.searchsorted(self.vocabulary, r[2]) for r in rows]
+        self.counts = [dict(zip(*(x.tolist() for x in np.unique(w, return_counts=True)), strict=True)) for w in self.items]
         self.maybe = np.zeros(1 << 16, bool)
         self.maybe[self.vocabulary >> np.uint32(16)] = True
         self.kind = np.uint16 if len(self.vocabulary) < 1 << 16 else np.uint32
@@ -92,22 +111,16 @@ def _index(shared):
         bench = shared.value
         for b in batches:
             texts = large(b.column("text")).to_pylist()
-            places: list[list[np.ndarray]] = [[] for _ in texts]
-            numbers: list[list[np.ndarray]] = [[] for _ in texts]
-            size = [0] * len(texts)
-            for x in blocks_of(texts):
-                w = Words(*x)
-                place, number = bench.find(w.hashes[0])
-                cuts = np.searchsorted(place, w.cuts)
-                for p, i in enumerate(w.owners):
-                    if cuts[p] < cuts[p + 1]:
-                        places[i].append(place[cuts[p]:cuts[p + 1]] - w.cuts[p] + size[i])
-                        numbers[i].append(number[cuts[p]:cuts[p + 1]])
-                    size[i] += int(w.cuts[p + 1] - w.cuts[p])
-            pack = lambda x, kind: np.concatenate(x).astype(kind).tobytes() if x else b""
+            hashes, first = lowered(texts)
+            place, number = bench.find(hashes)
+            cuts = np.searchsorted(place, first)
+            pairs = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+            place = (place - np.repeat(first[:-1], np.diff(cuts))).astype(np.uint32)
+            number = number.astype(bench.kind)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(size, pa.int64()), pa.array([pack(x, np.uint32) for x in places], pa.binary()),
-                 pa.array([pack(x, bench.kind) for x in numbers], pa.binary())],
+                [b.column("doc_id"), pa.array(np.diff(first), pa.int64()),
+                 pa.array([place[x:y].tobytes() for x, y in pairs], pa.binary()),
+                 pa.array([number[x:y].tobytes() for x, y in pairs], pa.binary())],
                 ["doc_id", "n_words", "places", "numbers"])
     return run
 
@@ -201,6 +214,15 @@ def leaked(bench: Benchmark, item: int, number: np.ndarray, place: np.ndarray, b
     words, answer = bench.items[item], bench.answers[item]
     n, best = len(words), 0.0
     span = n + n // 2 + 2
+    # Enough of the item's words anywhere near?
+    lo, hi = np.searchsorted(place, [begin - n, end + n])
+    want, have = bench.counts[item], 0
+    some, times = np.unique(number[lo:hi], return_counts=True)
+    for x, k in zip(some.tolist(), times.tolist(), strict=True):
+        if x in want:
+            have += min(k, want[x])
+    if have < PART * n:
+        return 0.0
     for start in range(begin - n, max(end - n // 2, begin - n + 1), max(1, n // 4)):
         lo, hi = np.searchsorted(place, [start, start + span])
         if hi - lo < PART * n:
@@ -268,8 +290,16 @@ def _one_block(rows: DataFrame, items: list[tuple[int, str]], seed: int = 5) ->
     z = np.zeros((size, width))
     if sample.num_rows:
         z[sample.column("word").to_numpy()] = np.stack([sample.column(c).to_numpy() for c in names], axis=1)
-    basis = np.linalg.svd(z, full_matrices=False)[0][:, :min(RANK, width)]
-    return blobs.mapInArrow(_search(shared, basis * idf[:, None]), HITS)
+    rows_ = np.zeros((len(bench.items), size))
+    for j, w in enumerate(bench.items):
+        np.add.at(rows_[j], w, idf[w])
+    rows_ /= np.linalg.norm(rows_, axis=1, keepdims=True) + 1e-9
+    z += rows_.T @ (rows_ @ omega) * (ITEM_WEIGHT ** 2 * max(1, n.get(-1, 0)) / len(rows_))
+    basis, power, _ = np.linalg.svd(z, full_matrices=False)
+    rank = min(RANK, width)
+    # The range sample's singular values are squares of the matrix's.
+    scale = np.maximum(power[:rank], 1e-6 * power[0]) ** -0.25
+    return blobs.mapInArrow(_search(shared, basis[:, :rank] * scale * idf[:, None]), HITS)
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
