@@ -111,11 +111,12 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     odd = cut(_not_uniform(rows, shared, hasher))
     # Texts of a fingerprint collision differ in a chunk: such groups are
     # told apart by the digest of the whole text.
-    ids = ids.join(odd.withColumn("odd", F.lit(True)), key, "left").select(
+    # (Cut, so that the groups below aggregate map-side first.)
+    ids = cut(ids.join(odd.withColumn("odd", F.lit(True)), key, "left").select(
         "doc_id", *key, "text_sha256", "copies",
-        F.when(F.col("odd"), F.col("text_sha256")).otherwise("").alias("variant"))
+        F.when(F.col("odd"), F.col("text_sha256")).otherwise("").alias("variant")))
     groups = cut(_groups(ids, [*key, "variant"]).where("group_size > 1"))
-    out = cut(ids).join(groups, [*key, "variant"], "left").select(
+    out = ids.join(groups, [*key, "variant"], "left").select(
         "doc_id", F.coalesce("keep_id", "doc_id").alias("keep_id"),
         F.coalesce("group_size", "copies").alias("group_size"),
         F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy_no"), "n_bytes", "text_sha256")
