@@ -41,8 +41,8 @@ PASSAGE = 32
 WINDOWS = (16, 32, 64)
 COSINE = 0.55
 FULL, PART, ANSWER = 0.8, 0.5, 0.8
-#: Words whose vectors a task holds at a time.
-CHUNK = 1 << 16
+#: Words whose vectors a task holds at a time, and benchmark words in a range sample block.
+CHUNK = 1 << 14
 
 
 #: Bytes that don't belong to words: ASCII other than letters and digits.
@@ -186,26 +186,44 @@ def _range_sample(shared, idf: np.ndarray, omega: np.ndarray):
     return run
 
 
-def _candidates(number: np.ndarray, place: np.ndarray, n_words: int, space: np.ndarray, groups: list):
-    """(item, first word, end word) of windows close to an item."""
-    for lo_word in range(0, max(n_words, 1), CHUNK):  # windows begin in this stretch
+def _stretches(batch, kind):
+    """Documents laid end to end, far enough apart that no window sees two:
+    (rows, begins, places, numbers, total words) per stretch."""
+    rows, begins, places, numbers, total = [], [], [], [], 0
+    for i, n, place, number in _documents(batch, kind):
+        if len(number):
+            rows.append(i)
+            begins.append(total)
+            places.append(place + total)
+            numbers.append(number)
+            total += n + max(WINDOWS)
+        if total >= CHUNK:
+            yield rows, np.array(begins), places, numbers, total
+            rows, begins, places, numbers, total = [], [], [], [], 0
+    if rows:
+        yield rows, np.array(begins), places, numbers, total
+
+
+def _candidates(place: np.ndarray, number: np.ndarray, total: int, space: np.ndarray, groups: list):
+    """(first word, item, end word) of windows close to an item."""
+    for lo_word in range(0, total, CHUNK):  # windows begin in this stretch
         a, z = np.searchsorted(place, [lo_word, lo_word + CHUNK + max(WINDOWS)])
         if a == z:
             continue
         at = place[a:z]
-        upto = np.concatenate([np.zeros((1, space.shape[1])), np.cumsum(space[number[a:z]], axis=0, dtype=np.float64)])
+        upto = np.zeros((z - a + 1, space.shape[1]), np.float32)
+        np.cumsum(space[number[a:z]], axis=0, out=upto[1:])
         for length, items, vectors, sizes in groups:
-            begins = np.arange(lo_word, min(lo_word + CHUNK, max(1, n_words - length // 2)), length // 2)
+            begins = np.arange(lo_word, min(lo_word + CHUNK, total), length // 2)
             lo, hi = np.searchsorted(at, begins), np.searchsorted(at, begins + length)
             some = np.flatnonzero(hi - lo >= sizes.min())
             if not len(some):
                 continue
-            v = (upto[hi[some]] - upto[lo[some]]).astype(np.float32)
-            v /= np.linalg.norm(v, axis=1, keepdims=True) + 1e-9
-            near = (v @ vectors >= COSINE) & ((hi - lo)[some][:, None] >= sizes[None, :])
-            for w, j in zip(*np.nonzero(near), strict=True):
-                begin = int(begins[some[w]])
-                yield int(items[j]), begin, begin + length
+            v = upto[hi[some]] - upto[lo[some]]
+            near = v @ vectors >= COSINE * (np.sqrt(np.einsum("ij,ij->i", v, v)) + 1e-9)[:, None]
+            near &= (hi - lo)[some][:, None] >= sizes[None, :]
+            w, j = np.nonzero(near)
+            yield from zip(begins[some[w]].tolist(), items[j].tolist(), (begins[some[w]] + length).tolist(), strict=True)
 
 
 def leaked(bench: Benchmark, item: int, number: np.ndarray, place: np.ndarray, begin: int, end: int) -> float:
@@ -216,11 +234,11 @@ def leaked(bench: Benchmark, item: int, number: np.ndarray, place: np.ndarray, b
     span = n + n // 2 + 2
     # Enough of the item's words anywhere near?
     lo, hi = np.searchsorted(place, [begin - n, end + n])
-    want, have = bench.counts[item], 0
-    some, times = np.unique(number[lo:hi], return_counts=True)
-    for x, k in zip(some.tolist(), times.tolist(), strict=True):
-        if x in want:
-            have += min(k, want[x])
+    left, have = dict(bench.counts[item]), 0
+    for x in number[lo:hi].tolist():
+        if left.get(x, 0):
+            left[x] -= 1
+            have += 1
     if have < PART * n:
         return 0.0
     for start in range(begin - n, max(end - n // 2, begin - n + 1), max(1, n // 4)):
@@ -252,12 +270,21 @@ def _search(shared, space: np.ndarray):
         small = space.astype(np.float32)
         for b in batches:
             found: list[dict[int, float]] = [{} for _ in range(b.num_rows)]
-            for i, n, place, number in _documents(b, bench.kind):
-                for item, begin, end in _candidates(number, place, n, small, groups):
-                    if found[i].get(item, 0) < FULL:
-                        share = leaked(bench, item, number, place, begin, end)
-                        if share:
-                            found[i][item] = max(share, found[i].get(item, 0))
+            for rows, begins, places, numbers, total in _stretches(b, bench.kind):
+                near: dict[tuple[int, int], list[list[int]]] = {}
+                for begin, item, end in sorted(_candidates(np.concatenate(places), np.concatenate(numbers), total,
+                                                           small, groups)):
+                    r = int(np.searchsorted(begins, begin, "right")) - 1
+                    spans_ = near.setdefault((r, item), [])
+                    if spans_ and begin <= spans_[-1][1]:  # overlapping windows are one
+                        spans_[-1][1] = end
+                    else:
+                        spans_.append([begin, end])
+                for (r, item), spans_ in near.items():
+                    shift = int(begins[r])
+                    share = max(leaked(bench, item, numbers[r], places[r] - shift, x - shift, y - shift) for x, y in spans_)
+                    if share:
+                        found[rows[r]][item] = share
             hits = [[{"item_id": bench.ids[k], "share": s} for k, s in sorted(f.items())] for f in found]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(hits, pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())])))],

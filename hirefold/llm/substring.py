@@ -16,10 +16,12 @@ a match:
    segment of a batch goes, with its smallest and largest document id, to the
    reference shard of its minimizer (windows of a minimizer that more than
    ``HOT`` batches hold go one by one, by their own hash).
-3. A shard builds one suffix automaton of its segments in order of document
-   id. Before a segment is added it is streamed through the automaton:
-   matching statistics of ``size`` words or more name the first document that
-   has the window. Each batch gets the windows that a smaller document has.
+3. A shard builds suffix automata of its distinct segments, one a minimizer,
+   in order of document id. Before a segment is added it is streamed through
+   the automaton: matching statistics of ``size`` words or more name the
+   first document that has the window. (A segment that is alone with its
+   minimizer has nothing to match.) Each batch gets the windows that a
+   smaller document has.
 4. Each batch marks its documents' windows (128 bits of hash) and removes the
    words they cover.
 
@@ -260,39 +262,76 @@ class SuffixAutomaton:
 
 def _match(size: int):
     def run(table):
-        segments: dict[bytes, list[tuple[int, int, int]]] = {}
-        for r in table.to_pylist():
-            lows, highs = np.frombuffer(r["low"], np.int64).tolist(), np.frombuffer(r["high"], np.int64).tolist()
+        # Distinct segments of the shard, and who uses them.
+        names: dict[bytes, int] = {}
+        uses, batches = [], []
+        lows, _ = _joined(table.column("low"), np.int64)
+        highs, _ = _joined(table.column("high"), np.int64)
+        for batch, sizes, data in zip(*(table.column(c).to_pylist() for c in ("batch", "bytes", "data")), strict=True):
             at = 0
-            for low, high, n in zip(lows, highs, np.frombuffer(r["bytes"], np.int32).tolist(), strict=True):
-                segments.setdefault(r["data"][at:at + n], []).append((r["batch"], low, high))
+            for n in np.frombuffer(sizes, np.int32).tolist():
+                uses.append(names.setdefault(data[at:at + n], len(names)))
                 at += n
-        machine, names = SuffixAutomaton(), {}
-        found: dict[int, list[tuple]] = {}
-        for text, uses in sorted(segments.items(), key=lambda x: min(u[1] for u in x[1])):
-            parts = text.split(b" ")
-            words = [names.setdefault(x, len(names)) for x in parts]
-            first = machine.first_docs(words, size)
-            own = min(u[1] for u in uses)
-            if None in first:
-                machine.add(words, own)
-            docs = np.array([own if f is None else f for f in first], np.int64)
-            if (docs < max(u[2] for u in uses)).any():
-                lens = np.array([len(x) for x in parts])
-                starts = np.cumsum(lens + 1) - lens - 1
-                h = span_hashes(np.frombuffer(text, np.uint8), starts, starts + lens)
-                windows = gram_hashes(h, size)
-                check = np.zeros(len(windows), np.uint64)
-                for j in range(size):
-                    check = check * np.uint64(CHECK) + h[j:j + len(windows)]
-                check = mix(check)
-                for batch, _, high in uses:
-                    later = docs < high
-                    if later.any():
-                        found.setdefault(batch, []).append((windows[later], check[later], docs[later]))
-        rows = [(k, *(np.concatenate(x).tobytes() for x in zip(*v, strict=True))) for k, v in found.items()]
-        return pa.table({"batch": pa.array([x[0] for x in rows], pa.int64()),
-                         **{c: pa.array([x[i + 1] for x in rows], pa.binary())
+            batches.append((batch, len(sizes) // 4))
+        empty = pa.table({"batch": pa.array([], pa.int64()), **{c: pa.array([], pa.binary()) for c in ("window", "check", "first")}})
+        if not uses:
+            return empty
+        texts, uses = list(names), np.array(uses)
+        own = np.full(len(texts), _LAST, np.int64)
+        np.minimum.at(own, uses, lows)
+        # The words of all segments, one after another.
+        sizes = np.array([len(t) for t in texts])
+        raw = np.frombuffer(b"".join(texts), np.uint8)
+        starts, ends, first = spans(raw, np.r_[0, np.cumsum(sizes)])
+        h = span_hashes(raw, starts, ends)
+        total = len(starts)
+        seen = np.repeat(own, np.diff(first))  # by word: first document of the window that starts there
+        part = min(PART, size)
+        low = np.full(total, np.iinfo(np.uint64).max, np.uint64)
+        inside = np.flatnonzero(gram_starts(first, part, total))
+        low[inside] = gram_hashes(h, part)[inside]
+        low = np.minimum.reduceat(low, first[:-1])
+        # Segments share windows only within a minimizer, and only if one of
+        # them is longer than a window (equal segments are one).
+        order = np.lexsort((own, low))
+        cuts = np.flatnonzero(np.r_[True, low[order][1:] != low[order][:-1], True])
+        longest = np.maximum.reduceat(np.diff(first)[order], cuts[:-1])
+        for a, z in zip(cuts[:-1][(np.diff(cuts) > 1) & (longest > size)].tolist(),
+                        cuts[1:][(np.diff(cuts) > 1) & (longest > size)].tolist(), strict=True):
+            machine = SuffixAutomaton()
+            for s in order[a:z].tolist():
+                words = texts[s].split(b" ")
+                known = machine.first_docs(words, size)
+                if None in known:
+                    machine.add(words, int(own[s]))
+                at = int(first[s])
+                for i, d in enumerate(known):
+                    if d is not None:
+                        seen[at + i] = d
+        ok = gram_starts(first, size, total)
+        window = np.zeros(total, np.uint64)
+        check = np.zeros(total, np.uint64)
+        at = np.flatnonzero(ok)
+        if len(at):
+            window[at] = gram_hashes(h, size)[at]
+            for j in range(size):
+                check[at] = check[at] * np.uint64(CHECK) + h[at + j]
+            check = mix(check)
+        # Each batch gets the windows that a document before its last has.
+        out, at = [], 0
+        count = np.diff(first) - size + 1
+        for batch, n in batches:
+            mine, high = uses[at:at + n], highs[at:at + n]
+            at += n
+            c = count[mine]
+            place = np.repeat(first[mine] - (np.cumsum(c) - c), c) + np.arange(int(c.sum()))
+            place = place[seen[place] < np.repeat(high, c)]
+            if len(place):
+                out.append((batch, window[place].tobytes(), check[place].tobytes(), seen[place].tobytes()))
+        if not out:
+            return empty
+        return pa.table({"batch": pa.array([x[0] for x in out], pa.int64()),
+                         **{c: pa.array([x[i + 1] for x in out], pa.binary())
                             for i, c in enumerate(("window", "check", "first"))}})
     return run
 
