@@ -8,6 +8,8 @@ Only liveness joins another table (URL probe outcomes, on posting id).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,7 @@ from hirefold import rules as R
 from hirefold.functions.comp import comp_known, comp_top
 from hirefold.functions.text import (
     any_phrase_regex, collapse_ws, let, location_segments, normalize_title,
-    normalize_title_py, phrase_regex,
+    phrase_regex,
 )
 from hirefold.rules import DEFAULT_RULES, Rules
 
@@ -28,11 +30,6 @@ def _any_contains(s: Column, words) -> Column:
     return out
 
 
-def _contains_any_rx(phrases) -> str:
-    """One regex for "contains any of these substrings" (each quoted)."""
-    return "|".join(rf"\Q{p}\E" for p in phrases if p) or "(?!)"
-
-
 def title_family(title: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """"include", "flag" or NULL; plain substring of the normalised title.
 
@@ -41,14 +38,20 @@ def title_family(title: Column, rules: Rules = DEFAULT_RULES) -> Column:
     common-subexpression elimination, and this predicate is used in filters
     (the detail gate, the public store feed)."""
     t = normalize_title(title)
-    include = [normalize_title_py(p) for p in rules.include]
-    flag = [normalize_title_py(p) for p in rules.flag]
-    return (F.when(t.rlike(_contains_any_rx(include)), F.lit("include"))
-            .when(t.rlike(_contains_any_rx(flag)), F.lit("flag")))
+    return (F.when(_names_any(t, rules.include), F.lit("include"))
+            .when(_names_any(t, rules.flag), F.lit("flag")))
+
+
+def _names_any(title_key: Column, phrases) -> Column:
+    """The title key contains a phrase in the same normal form. The pattern
+    folds to one literal: normal forms hold letters, digits and spaces only."""
+    if not phrases:
+        return F.lit(False)
+    return F.regexp_like(title_key, F.concat_ws("|", *[normalize_title(F.lit(p)) for p in phrases]))
 
 
 def _region_blocked(seg: Column, rules: Rules) -> Column:
-    alt = "|".join(r.lower() for r in rules.exclude_regions)
+    alt = "|".join(re.escape(r.lower()) for r in rules.exclude_regions)
     if not alt:
         return F.lit(False)
     return seg.rlike(rf"(?U)\b(?:{alt})\b")
@@ -144,6 +147,8 @@ def shape_quotes(title: Column, description: Column, rules: Rules = DEFAULT_RULE
 def shape_hits(title: Column, description: Column, rules: Rules = DEFAULT_RULES) -> Column:
     """array<struct<pack, quote>> of the packs that hit, in config order."""
     st = "struct<pack:string,quote:string>"
+    if not rules.shapes:
+        return F.array().cast(f"array<{st}>")
     qs = shape_quotes(title, description, rules)
     items = [F.when(qs[f"q{i}"].isNotNull(),
                     F.struct(F.lit(pack).alias("pack"), qs[f"q{i}"].alias("quote")))
@@ -187,11 +192,12 @@ def evaluate(postings: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     for i, g in enumerate(shape_gates(F.col("_hay"), rules)):
         df = df.withColumn(f"_g{i}", F.coalesce(g, F.lit(False)))
         gate_cols.append(F.col(f"_g{i}"))
-    any_gate = gate_cols[0]
-    for g in gate_cols[1:]:
-        any_gate = any_gate | g
-    df = df.withColumn("_shapes", F.when(survived & any_gate, shape_quotes(
-        F.col("title"), F.col("description_text"), rules, hay=F.col("_hay"), gates=gate_cols)))
+    if gate_cols:  # a configuration may have no shape packs
+        any_gate = gate_cols[0]
+        for g in gate_cols[1:]:
+            any_gate = any_gate | g
+        df = df.withColumn("_shapes", F.when(survived & any_gate, shape_quotes(
+            F.col("title"), F.col("description_text"), rules, hay=F.col("_hay"), gates=gate_cols)))
     shape_cols = [(pack, F.col(f"_shapes.q{i}")) for i, (pack, _) in enumerate(rules.shapes)]
     is_flag_family = F.col("family") == "flag"
     remote_unverified = F.col("family").isNotNull() & (F.col("location") == "remote-unverified")

@@ -150,21 +150,27 @@ def board_stats(public: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
 
 # --- company pages --------------------------------------------------------------
 
+def _free_names(group):
+    """Names of one stem's orgs, in key order: "-2" is appended until free."""
+    group = group.sort_values(["vendor", "slug"], kind="stable").reset_index(drop=True)
+    taken, names = set(), []
+    for name in group["_base"]:
+        while name in taken:
+            name += "-2"
+        taken.add(name)
+        names.append(name)
+    return group.assign(dirname=names).drop(columns=["_base", "_stem"])
+
+
 def dirname_collisions(orgs: DataFrame) -> DataFrame:
     """``dirname`` per org: the sanitised vendor-slug; when taken by an org
-    earlier in key order, "-2" is appended until free. Groups share a base
-    name, so the window partitions by it; a follow-up pass checks that a
-    suffixed name does not meet another org's base name."""
+    earlier in key order, "-2" is appended until free. Names can only meet
+    within one stem (the name without "-2" tails), so each stem - a handful
+    of orgs - is resolved on its own, however long its chain."""
     base = orgs.withColumn("_base", page_dirname(F.col("vendor"), F.col("slug")))
-    rank = F.row_number().over(Window.partitionBy("_base").orderBy("vendor", "slug"))
-    named = base.withColumn("_rank", rank).withColumn(
-        "dirname", F.concat(F.col("_base"), F.repeat(F.lit("-2"), F.col("_rank") - 1))).drop("_rank")
-    for _ in range(2):
-        w2 = Window.partitionBy("dirname").orderBy(F.col("_base") != F.col("dirname"), "vendor", "slug")
-        named = named.withColumn("_rn", F.row_number().over(w2)).withColumn(
-            "dirname", F.when(F.col("_rn") > 1, F.concat(F.col("dirname"), F.lit("-2")))
-            .otherwise(F.col("dirname"))).drop("_rn")
-    return named.drop("_base")
+    stems = base.withColumn("_stem", F.regexp_replace("_base", "(-2)+$", ""))
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in orgs.schema) + ", dirname string"
+    return stems.groupBy("_stem").applyInPandas(_free_names, out)
 
 
 def company_pages(orgs: DataFrame, public: DataFrame, run_day: Column) -> DataFrame:

@@ -264,12 +264,13 @@ def public_history(sightings: DataFrame, answered: DataFrame, nights: DataFrame)
         "closed_at")
 
 
-def public_rows_from_postings(postings: DataFrame) -> DataFrame:
+def public_rows_from_postings(postings: DataFrame, rules=None) -> DataFrame:
     """Title-family postings in the public store's shape (before any private
     filter): employer data only; the band only when one is known."""
     from hirefold.functions.comp import band_text, comp_known
     from hirefold.operators.funnel import title_family
-    fam = postings.where(title_family(F.col("title")).isNotNull())
+    family = title_family(F.col("title")) if rules is None else title_family(F.col("title"), rules)
+    fam = postings.where(family.isNotNull())
     return fam.select(
         "id", F.col("source").alias("vendor"), F.concat_ws(":", "source", "org_slug").alias("org_key"),
         F.col("company_name").alias("company"), "title",

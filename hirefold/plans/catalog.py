@@ -744,26 +744,19 @@ def q_org_scan_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.org_scan_list(FX.pins(spark, sf_dir), _registry(spark, sf_dir))
 
 
-_STREAM_RUNS: dict = {}
-
-
 def _stream_run(spark: SparkSession, sf_dir: str) -> str:
-    """Run the nightly stream once per session and table folder: the nights
-    of ``sightings`` as files, folded one night per micro-batch into both
-    stores. Scratch space is a fresh folder under the session's checkpoint
-    dir. Returns the folder holding the store versions."""
+    """Run the nightly stream over the nights of ``sightings``, several files
+    a night, into both stores. Scratch space is a fresh folder under the
+    session's checkpoint dir. Returns the folder holding the stores."""
     import uuid
     from hirefold.session import checkpoint_dir
     from hirefold.streaming import reconcile
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _STREAM_RUNS:
-        base = os.path.join(checkpoint_dir(spark), f"stream-reconcile-{uuid.uuid4().hex}")
-        snaps = os.path.join(base, "snapshots")
-        reconcile.write_nightly_snapshots(FX.sightings(spark, sf_dir), snaps)
-        reconcile.stream_reconcile(spark, snaps, os.path.join(base, "seen"), os.path.join(base, "ckpt"),
-                                   public_base=os.path.join(base, "public"))
-        _STREAM_RUNS[key] = base
-    return _STREAM_RUNS[key]
+    base = os.path.join(checkpoint_dir(spark), f"stream-reconcile-{uuid.uuid4().hex}")
+    snaps = os.path.join(base, "snapshots")
+    reconcile.write_nightly_snapshots(FX.sightings(spark, sf_dir), snaps)
+    reconcile.stream_reconcile(spark, snaps, os.path.join(base, "seen"), os.path.join(base, "ckpt"),
+                               public_base=os.path.join(base, "public"), max_files_per_trigger=None)
+    return base
 
 
 def q_stream_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ def nightly_run(spark: SparkSession, raw: DataFrame, history_rules: DataFrame, u
 
     # The public store is fed before any private filter: title family only.
     public_prev = stores.read_store(spark, _path(root, "public"), _public_schema())
-    folded = state.public_reconcile(public_prev, state.public_rows_from_postings(postings), scanned, now,
+    folded = state.public_reconcile(public_prev, state.public_rows_from_postings(postings, rules), scanned, now,
                                     collapse=False).checkpoint(eager=True)
     public_next = state.mirror_collapse(folded)
     stores.write_store(public_next.select(*state.PUBLIC_COLUMNS), _path(root, "public"))

@@ -40,8 +40,8 @@ def build_session(master: str | None = None, shuffle_partitions: int = 8,
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Read from the session; only when it is unset (local tests) is a scratch
-    folder created and registered, so lineage cuts still work there.
+    Read from the session. Where it is unset, a local master gets a scratch
+    folder; a cluster gets an error, because executors would not share one.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -51,6 +51,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="hirefold-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     try:

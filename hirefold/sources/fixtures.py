@@ -34,19 +34,20 @@ PAYLOAD_INTERVALS = ("1 YEAR", "1 MONTH", "1 HOUR", None, "per-decade")
 REGISTRY_STATUSES = ("live", "dead", "unverified")
 PROBE_OUTCOMES = ("ok", "404", "error", "ok")
 HISTORY_ROWS = (
-    # ordinal, company, status, role, date, reason
-    (0, "Initech", "interviewing", "RevOps Engineer", "2026-07-10", "onsite scheduled"),
-    (1, "Globex Labs", "rejected", "GTM Engineer", "2026-06-20", "form rejection"),
-    (2, "Northwind", "dq", "GTM Engineer", "2026-07-05", "engineer seat in costume"),
-    (3, "Umbrella, Inc.", "blacklist", None, None, "ghost roles"),
-    (4, "TryTonic", "applied", "Growth Engineer", "2026-07-01", "direct application"),
-    (5, "Tonic HQ", "rejected", None, "2026-05-02", None),
-    (6, "The Contoso", "applied", "AI GTM", None, None),
-    (7, "Wealth.com", "interviewing", "Revenue Systems", "2026-07-12", "second round"),
-    (8, "Profound", "applied", "gtm engineer", "2026-07-15", "referral"),
-    (9, "Listen Labs", "rejected", "Senior GTM Engineer", "2026-04-30", None),
-    (10, "Globex", "blacklist", "", "2026-08-01", "changed my mind"),
-    (11, "   ", "applied", None, None, "blank company never matches"),
+    # ordinal, company, status, role, date, reason: every status, with and
+    # without a role, over dressed and bare company names
+    (0, "Theory HQ", "applied", "Growth Engineer", "2025-03-04", "sent through the site"),
+    (1, "Northwind", "rejected", "RevOps Engineer", "2025-02-11", "position filled"),
+    (2, "Initech", "blacklist", None, None, "pays late"),
+    (3, "Contoso Labs", "dq", "Growth Engineer", "2025-04-19", "asks for relocation"),
+    (4, "TryUmbrella", "interviewing", "Revenue Systems", "2025-05-23", "panel next week"),
+    (5, "Globex.com", "rejected", None, "2025-01-30", None),
+    (6, "The Listen", "applied", "GTM Engineer", None, None),
+    (7, "Wealth, Inc.", "interviewing", "AI GTM", "2025-06-02", "take-home sent"),
+    (8, "Tonic", "applied", "go-to-market engineer", "2025-06-08", "met at a fair"),
+    (9, "Profound HQ", "rejected", "Senior Go-To-Market Engineer", "2025-02-27", None),
+    (10, "Northwind Labs", "blacklist", "", "2025-05-05", "not again"),
+    (11, " \t ", "applied", None, None, "a blank company matches nothing"),
 )
 
 

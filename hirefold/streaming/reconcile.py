@@ -1,14 +1,19 @@
-"""Nightly snapshots as a stream: each micro-batch is one night, folded into
-the seen store and the public store with the batch operators
-(``state.seen_reconcile``, ``state.public_reconcile``).
+"""Nightly snapshots as a stream, folded into the seen store and the public
+store with the batch operators (``state.seen_reconcile``,
+``state.public_reconcile``).
 
 Closure needs the org's scan marker, not a watermark: silence proves
-nothing, so a role closes only when its org answered in that batch. The
-fold is ``foreachBatch`` over a file stream (``availableNow``), restartable
-from its checkpoint. A batch holds one or more whole nights, folded in night
-order; the store version of a night is keyed by the night itself and read
-from the newest older version, so a replayed batch (lost executor, restart)
-rewrites the same versions from the same input: the fold is idempotent.
+nothing, so a role closes only when its org answered in that run. A snapshot
+row with a null id is such a marker (the org answered, with or without
+postings).
+
+A run (``run_ts``) may span many files and many micro-batches, and a date may
+hold several runs. Each micro-batch first lands its rows under its batch id (a
+replay overwrites them); then the earliest run it touches and every later run
+are folded again from all landed rows, in run order, each from the newest
+store version older than it. So no version is ever made from part of a run's
+landed rows, late files included, and a replayed batch rewrites the same
+versions.
 """
 
 from __future__ import annotations
@@ -29,23 +34,10 @@ SEEN_SCHEMA = ("id string, org_key string, title string, company_name string, ur
 
 
 def write_nightly_snapshots(sightings: DataFrame, folder: str) -> None:
-    """Lay the sightings out as the nightly fetch leaves them: one file per
-    night (``night=<yyyymmdd>``), in one write. The file stream reads the
-    oldest file first, so each night's file is then stamped with a
-    modification time in night order (metadata only, one call per night)."""
-    spark = sightings.sparkSession
+    """Lay the sightings out as nightly fetches leave them: files under
+    ``night=<yyyymmdd>``, as many a night as the writing tasks."""
     out = sightings.withColumn("night", F.date_format("run_ts", "yyyyMMdd"))
-    out.repartition("night").write.mode("overwrite").partitionBy("night").parquet(folder)
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(folder)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    nights = sorted((st.getPath() for st in fs.listStatus(root) if st.getPath().getName().startswith("night=")),
-                    key=lambda p: p.getName())
-    base = 1_000_000_000_000
-    for i, night in enumerate(nights):
-        for st in fs.listStatus(night):
-            if st.getPath().getName().endswith(".parquet"):
-                fs.setTimes(st.getPath(), base + i * 60_000, -1)
+    out.write.mode("overwrite").partitionBy("night").parquet(folder)
 
 
 PUBLIC_SCHEMA = ("id string, vendor string, org_key string, company string, title string, "
@@ -62,8 +54,9 @@ def _public_rows(batch: DataFrame) -> DataFrame:
         "url", F.lit(None).cast("timestamp").alias("posted_at"))
 
 
-def _night_version(night) -> int:
-    return int(night.strftime("%Y%m%d"))
+def _run_version(run: int) -> int:
+    """Store version of a run: its time in microseconds."""
+    return run
 
 
 def _previous(spark: SparkSession, base: str, version: int, schema: str) -> DataFrame:
@@ -87,43 +80,46 @@ def _write(df: DataFrame, base: str, version: int) -> None:
     df.write.mode("overwrite").parquet(os.path.join(base, f"version={version}"))
 
 
-def _fold(store_base: str, public_base: str | None):
+def _fold(store_base: str, public_base: str | None, landed_base: str):
     def fold(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch = batch.persist()
-        # A batch holds whole nights (one with maxFilesPerTrigger=1 and one
-        # file per night; several when a backfill's nights arrive together).
-        # They are folded in night order; the night count is bounded.
-        nights = [r["run_ts"] for r in batch.select("run_ts").distinct().orderBy("run_ts").collect()]
-        for night in nights:
-            tonight = batch.where(F.col("run_ts") == F.lit(night))
-            version = _night_version(night)
-            now = F.lit(night).cast("timestamp")
+        own = os.path.join(landed_base, f"batch={batch_id}")
+        stamped = batch.withColumn("run", F.unix_micros("run_ts"))
+        stamped.write.mode("overwrite").partitionBy("run").parquet(own)
+        first = spark.read.schema(f"{SNAPSHOT_SCHEMA}, run long").parquet(own).agg(F.min("run")).first()[0]
+        if first is None:
+            return
+        landed = spark.read.schema(f"{SNAPSHOT_SCHEMA}, batch int, run long").parquet(landed_base)
+        # One row a run: bounded by the nights of the backlog.
+        runs = [r["run"] for r in landed.where(F.col("run") >= first).select("run").distinct().orderBy("run").collect()]
+        for run in runs:
+            tonight = landed.where(F.col("run") == run).drop("run", "batch")
+            version = _run_version(run)
+            now = F.timestamp_micros(F.lit(run))
             scanned = tonight.select("org_key")
+            rows = tonight.where(F.col("id").isNotNull())
             seen = _previous(spark, store_base, version, SEEN_SCHEMA)
-            _write(state.seen_reconcile(seen, tonight, scanned, now).drop("is_new", "closed_now"),
+            _write(state.seen_reconcile(seen, rows, scanned, now).drop("is_new", "closed_now"),
                    store_base, version)
             if public_base is not None:
                 public = _previous(spark, public_base, version, PUBLIC_SCHEMA)
-                _write(state.public_reconcile(public, _public_rows(tonight), scanned, now)
+                _write(state.public_reconcile(public, _public_rows(rows), scanned, now)
                        .select(*state.PUBLIC_COLUMNS), public_base, version)
-        batch.unpersist()
     return fold
 
 
 def stream_reconcile(spark: SparkSession, snapshot_folder: str, store_base: str,
                      checkpoint: str, public_base: str | None = None,
-                     max_files_per_trigger: int | None = 1) -> DataFrame:
-    """Run the stream over every available night; return the final seen
-    store (the public store's versions are under ``public_base`` when
-    given). With one file per night, ``max_files_per_trigger=1`` makes each
-    micro-batch one night; ``None`` takes every available file per batch
-    (each night's files must be complete when they become visible)."""
+                     max_files_per_trigger: int | None = None) -> DataFrame:
+    """Run the stream over every available file; return the final seen store
+    (the public store's versions are under ``public_base`` when given). The
+    result doesn't depend on how files meet micro-batches; ``None`` takes all
+    available files in one, which folds every run once."""
     reader = spark.readStream.schema(SNAPSHOT_SCHEMA).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     df = reader.parquet(snapshot_folder)
-    q = (df.writeStream.foreachBatch(_fold(store_base, public_base))
+    q = (df.writeStream.foreachBatch(_fold(store_base, public_base, f"{store_base.rstrip('/')}-landed"))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
     return stores.read_store(spark, store_base, SEEN_SCHEMA)
