@@ -33,8 +33,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
 
     Sharing the excess until none is above ends at target = min(limit,
     level * weight) with one level for all; sorted by limit / weight the
-    level is the first that the next source doesn't exceed. The two windows
-    without a partition run over one row per source."""
+    level is the first that its source doesn't exceed; levels after it only
+    fall, so it is the largest that fits. The windows without a partition run over one row per source."""
     order = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.element_at(F.array(*[F.lit(w).cast("long") for w in weights]),
                          ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
@@ -47,7 +47,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
          .withColumn("level", (F.col("total") - F.coalesce(F.sum("limit").over(before), F.lit(0)))
                      .cast("double") / F.sum("weight").over(after)))
     fits = F.col("level") * F.col("weight") <= F.col("limit").cast("double")
-    s = s.withColumn("final", F.min(F.when(fits, F.col("level"))).over(everything))
+    s = s.withColumn("final", F.max(F.when(fits, F.col("level"))).over(everything))
     target = F.least(F.col("limit").cast("double"), F.col("final") * F.col("weight"))
     return s.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 

@@ -29,6 +29,8 @@ DIM = 10
 #: Labelled rows that a fit reads at most, and passes over them.
 SAMPLE = 4000
 EPOCHS = 5
+#: Steps at least, so that a small sample is passed over more often.
+STEPS = 12_000
 RATE = 0.25
 
 
@@ -57,6 +59,7 @@ class SubwordModel:
             seed: int = 7) -> SubwordModel:
         """``rows``: (distinct features, their counts, label)."""
         rng = np.random.default_rng(seed)
+        epochs = max(epochs, -(-STEPS // max(1, len(rows))))
         steps, done = max(1, epochs * len(rows)), 0
         for _ in range(epochs):
             for i in rng.permutation(len(rows)):

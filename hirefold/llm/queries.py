@@ -127,7 +127,7 @@ levels AS (
            / sum(weight) OVER (ORDER BY cap::DOUBLE / weight, encode(source) NULLS LAST
                                ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM weighed),
 targets AS (
-  SELECT source, source_size, coalesce(least(cap::DOUBLE, weight * min(CASE WHEN level * weight <= cap THEN level END) OVER ()), 0) AS target
+  SELECT source, source_size, coalesce(least(cap::DOUBLE, weight * max(CASE WHEN level * weight <= cap THEN level END) OVER ()), 0) AS target
   FROM levels),
 rated AS (
   SELECT doc_id, size, source_size, target,
