@@ -10,7 +10,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 import __spark_entry__ as E  # noqa: E402
 
-KEYS = sorted(E.queries())
+from hirefold.plans.catalog import QUERIES  # noqa: E402
+
+KEYS = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +27,7 @@ def duck():
 
 
 def test_every_query_has_an_oracle():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(KEYS) <= set(E.queries()) and set(KEYS) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):
