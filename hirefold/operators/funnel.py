@@ -244,12 +244,16 @@ def liveness(candidates: DataFrame, url_probes: DataFrame, only: Column | None =
     """``live`` and ``live_method`` from URL probe outcomes (left join on id).
 
     No URL: live on board presence. Probe error: live, inconclusive. HEAD
-    below 400: live; otherwise GET decides. No probe row: inconclusive.
+    below 400: live; otherwise GET decides. No probe row: inconclusive. Of
+    several probes of one posting the last counts (by ``probed_at`` or
+    ``line_no`` where the table has one, else by its outcome).
     With ``only``, rows outside it are not probed (``live`` NULL) and the
     join condition carries the predicate, so the candidates are read once.
     """
-    p = url_probes.select(F.col("id").alias("_pid"), "head_status", "get_status",
-                          F.col("error").alias("probe_error"))
+    outcome = F.struct("head_status", "get_status", "error")
+    order = [c for c in ("probed_at", "line_no") if c in url_probes.columns]
+    p = url_probes.groupBy(F.col("id").alias("_pid")).agg(F.max_by(outcome, F.struct(*order, outcome)).alias("_p"))
+    p = p.select("_pid", "_p.head_status", "_p.get_status", F.col("_p.error").alias("probe_error"))
     cond = F.col("id") == F.col("_pid")
     if only is not None:
         candidates = candidates.withColumn("_probe", only)

@@ -43,19 +43,25 @@ def board_refs(text: Column) -> Column:
 
 def _board_refs(text: Column) -> Column:
     parts = []
-    for vendor, pattern in R.BOARD_PATTERNS:
+    for (vendor, pattern), host in zip(R.BOARD_PATTERNS, R.BOARD_HOSTS):
         junk = F.array(*[F.lit(j) for j in R.JUNK_SLUGS.get(vendor, ())])
         prefix = R.BOARD_URLS[vendor].replace("{slug}", "")
-        slugs = F.transform(F.regexp_extract_all(text, F.lit(pattern), 1), _slug_fn(vendor))
+        found = F.when(F.contains(text, F.lit(host)), F.regexp_extract_all(text, F.lit(pattern), 1)).otherwise(
+            F.array().cast("array<string>"))
+        slugs = F.transform(found, _slug_fn(vendor))
         kept = F.filter(slugs, lambda s: (s != "") & ~F.array_contains(junk, F.lower(s)))
         parts.append(F.transform(kept, _ref_fn(vendor, prefix)))
+    # The text is scanned once for whole matches, which are then split. A
+    # match starts where a run of tenant characters starts (greedy, so the
+    # leftmost start is that anyway); saying so keeps a page with one long
+    # run linear instead of quadratic.
     wd = R.WORKDAY_PATTERN
-    tenants = F.regexp_extract_all(text, F.lit(wd), 1)
-    ns = F.regexp_extract_all(text, F.lit(wd), 2)
-    sites = F.regexp_extract_all(text, F.lit(wd), 4)
-    triples = F.zip_with(F.zip_with(tenants, ns, lambda a, b: F.struct(a.alias("t"), b.alias("n"))),
-                         sites, lambda tn, s: F.struct(tn["t"].alias("t"), tn["n"].alias("n"),
-                                                       s.alias("site")))
+    whole = F.when(F.contains(text, F.lit(R.WORKDAY_HOST)),
+                   F.regexp_extract_all(text, F.lit("(?<![a-z0-9-])" + wd.replace("+)", "++)", 1)), 0)).otherwise(
+        F.array().cast("array<string>"))
+    triples = F.transform(whole, lambda m: F.struct(F.regexp_extract(m, wd, 1).alias("t"),
+                                                    F.regexp_extract(m, wd, 2).alias("n"),
+                                                    F.regexp_extract(m, wd, 4).alias("site")))
     wd_refs = F.transform(
         F.filter(triples, lambda t: F.coalesce(F.lower(t["site"]), F.lit("")) != "wday"),
         lambda t: F.struct(
@@ -125,18 +131,20 @@ def domains_to_scan(lines: DataFrame, registry: DataFrame) -> DataFrame:
     """Per input line (line_no, raw): its domain and action: ``todo`` (first
     mention of an unclaimed domain), ``known`` (claimed by a registry row),
     ``repeat`` (a later mention) or ``ignored`` (blank or a comment)."""
-    d = lines.withColumn("domain", domain_of(F.col("raw")))
+    every = lines.withColumn("domain", domain_of(F.col("raw")))
+    # Blank and commented lines share a few "domains": they join nothing.
+    ignored = F.coalesce((F.col("domain") == "") | F.col("domain").startswith("#"), F.lit(True))
+    d = every.where(~ignored)
     claimed = registry.where(F.coalesce(F.col("domain"), F.lit("")) != "") \
         .select(F.col("domain").alias("_cd")).distinct().withColumn("_claimed", F.lit(True))
     d = d.join(claimed, d["domain"] == claimed["_cd"], "left").drop("_cd")
     firsts = d.groupBy("domain").agg(F.min("line_no").alias("_first"))
     d = d.join(firsts, "domain", "left")
-    ignored = (F.col("domain") == "") | F.col("domain").startswith("#")
-    action = (F.when(ignored, F.lit("ignored"))
-              .when(F.coalesce(F.col("_claimed"), F.lit(False)), F.lit("known"))
+    action = (F.when(F.coalesce(F.col("_claimed"), F.lit(False)), F.lit("known"))
               .when(F.col("line_no") == F.col("_first"), F.lit("todo"))
               .otherwise(F.lit("repeat")))
-    return d.select("line_no", "domain", action.alias("action"))
+    return d.select("line_no", "domain", action.alias("action")).unionByName(
+        every.where(ignored).select("line_no", "domain", F.lit("ignored").alias("action")))
 
 
 def registry_upsert(registry: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -63,11 +63,13 @@ def weekly_report_stats(runs: DataFrame, week_end: Column) -> DataFrame:
 
 
 def weekly_new_roles(seen: DataFrame, week_end: Column) -> DataFrame:
-    """Public, still open, first seen within the week."""
+    """Every role first seen within the week; ``listed`` marks the ones the
+    report names: public and still open."""
     start = F.date_sub(week_end, R.WEEK_DAYS - 1)
     d = F.to_date("first_seen")
-    return seen.where(F.col("public") & F.col("closed_at").isNull() & (d >= start) & (d <= week_end)) \
-        .select(F.col("company_name").alias("company"), "title", "comp_band", "location", "url")
+    listed = F.coalesce(F.col("public"), F.lit(False)) & F.col("closed_at").isNull()
+    return seen.where((d >= start) & (d <= week_end)).select(
+        "id", F.col("company_name").alias("company"), "title", "comp_band", "location", "url", listed.alias("listed"))
 
 
 def weekly_closed_roles(seen: DataFrame, week_end: Column) -> DataFrame:

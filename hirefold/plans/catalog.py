@@ -454,7 +454,9 @@ def q_weekly_report_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_weekly_new_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirefold.operators import reports
-    return reports.weekly_new_roles(seen_store(spark, sf_dir), _week_end(spark, sf_dir))
+    # The week of the first night: the one in which most roles appear.
+    first = FX.run_nights(spark, sf_dir).agg(F.date_add(F.to_date(F.min("run_ts")), 6)).scalar()
+    return reports.weekly_new_roles(seen_store(spark, sf_dir), first)
 
 
 def q_weekly_closed_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -584,10 +586,19 @@ def _norm_query(vendor: str):
     return q
 
 
+def _landed_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fetched documents, written once by vendor and kind for the
+    queries that read several vendors."""
+    import uuid
+    from hirefold.session import checkpoint_dir
+    from hirefold.sources import vendors
+    return vendors.land_raw(FX.raw_payloads(spark, sf_dir),
+                            os.path.join(checkpoint_dir(spark), f"raw-{uuid.uuid4().hex}"))
+
+
 def q_all_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirefold.sources import vendors
-    return vendors.all_postings(FX.raw_payloads(spark, sf_dir)).groupBy(
-        F.col("source").alias("vendor")).agg(F.count(F.lit(1)).alias("n"))
+    return _norm_out(vendors.all_postings(_landed_raw(spark, sf_dir)))
 
 
 def q_scan_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -604,7 +615,7 @@ def q_probe_from_board(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_detail_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The gated detail join of the three vendors that need one."""
     from hirefold.sources import vendors
-    raw = FX.raw_payloads(spark, sf_dir)
+    raw = _landed_raw(spark, sf_dir)
     out = None
     for v in ("greenhouse", "smartrecruiters", "workday"):
         part = vendors.NORMALISERS[v](raw).select(
@@ -668,7 +679,7 @@ def q_workday_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _vendor_rows(spark: SparkSession, sf_dir: str, vendors_, cols) -> DataFrame:
     from hirefold.sources import vendors as V
-    raw = FX.raw_payloads(spark, sf_dir)
+    raw = _landed_raw(spark, sf_dir)
     out = None
     for v in vendors_:
         part = V.NORMALISERS[v](raw).select("id", *cols)

@@ -107,6 +107,13 @@ BOARD_PATTERNS = (
     ("smartrecruiters", r"jobs\.smartrecruiters\.com/(?:sr-jobs/)?" + SLUG_CLASS),
     ("smartrecruiters", r"api\.smartrecruiters\.com/v1/companies/" + SLUG_CLASS),
 )
+# Text that each pattern above, in order, cannot match without.
+BOARD_HOSTS = (
+    "greenhouse.io/embed/job_board", "greenhouse.io/", "boards-api.greenhouse.io/v1/boards/", "lever.co/",
+    "jobs.ashbyhq.com/", "api.ashbyhq.com/posting-api/", "apply.workable.com/", "jobs.smartrecruiters.com/",
+    "api.smartrecruiters.com/v1/companies/",
+)
+WORKDAY_HOST = ".myworkdayjobs.com/"
 WORKDAY_PATTERN = (
     r"([a-z0-9-]+)\.wd(\d{1,2})\.myworkdayjobs\.com/(?:([a-z]{2,3}(?:-[A-Za-z]{2,4})?)/)?"
     + SLUG_CLASS
@@ -121,6 +128,7 @@ JUNK_SLUGS = {
 LOWERCASE_SLUG_VENDORS = ("greenhouse", "lever", "workable")
 CANDIDATE_PATHS = ("/careers", "/jobs", "/")
 NO_MATCH_NOTE = "no known ATS pattern on the careers page"
+BAD_JSON = "Bad JSON"
 WARNING_404 = "404, board not found. Slug is wrong or the org left this ATS."
 
 # SmartRecruiters jobAd sections, in reading order.

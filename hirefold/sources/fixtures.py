@@ -302,8 +302,9 @@ def domain_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # FIXED VALUES of the payload derivation.
 LEVER_INTERVALS = ("per-year-salary", "per-month-salary", "per-hour-wage", None, "per-decade")
 INTERVAL_DIVISOR = (1, 12, 2080, 1, 1)
-CHUNK_ORDERS = 1000
-PAGE_STEP = 100
+BOARD_ORDERS = 30000      # order keys per board: more orders make more boards, not longer documents
+PAGE_STEP = 8             # postings a page of a paginated board
+STALE_BOARDS = (4, 5)     # board % 30: the last page lies beyond the total the board reports
 
 
 def _json_string(c: Column) -> Column:
@@ -311,22 +312,20 @@ def _json_string(c: Column) -> Column:
     return F.regexp_replace(F.to_json(F.array(c)), r"^\[|\]$", "")
 
 
-def workday_board_slug(n: Column) -> Column:
-    return F.concat(F.lit("org"), n.cast("string"), F.lit(".wd5/External"))
-
-
 def _order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders", "o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice",
               "o_orderdate", "o_orderpriority")
     k, c = o.o_orderkey, o.o_custkey
     vendor = _pick(R.VENDORS, c % 6)
     n = c % 50
-    slug = F.when(vendor == "workday", workday_board_slug(n)).otherwise(F.concat(F.lit("org"), n.cast("string")))
+    part = F.floor(k / BOARD_ORDERS).cast("string")
+    org = F.concat(F.lit("org"), n.cast("string"), F.when(part == "0", F.lit("")).otherwise(F.concat(F.lit("-"), part)))
+    slug = F.when(vendor == "workday", F.concat(org, F.lit(".wd5/External"))).otherwise(org)
     top = F.floor(o.o_totalprice).cast("bigint")
     p = (F.substring(o.o_orderpriority, 1, 1).cast("int") - 1)
     board = c % 150
     return o.select(
-        k.alias("k"), c.alias("c"), vendor.alias("vendor"), slug.alias("slug"),
+        k.alias("k"), c.alias("c"), board.alias("board"), vendor.alias("vendor"), slug.alias("slug"),
         F.when(board % 8 == 0, F.lit("")).otherwise(company_of(board)).alias("company"),
         company_of(board).alias("real_company"),
         _pick(TITLES, k % 10).alias("title"), _pick(LOCATIONS, k % 11).alias("loc"),
@@ -337,17 +336,17 @@ def _order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.element_at(F.array(*[F.lit(d) for d in INTERVAL_DIVISOR]), p + 1).alias("div"),
         F.concat(F.lit("https://jobs.example.com/"), vendor, F.lit("/"), k.cast("string")).alias("url"),
         F.date_format(o.o_orderdate, "yyyy-MM-dd").alias("day"),
-        F.floor(k / CHUNK_ORDERS).cast("int").alias("chunk"),
-        F.when(board == 7, F.lit(404)).when(board == 11, F.lit(503)).otherwise(F.lit(200)).alias("http_status"),
-        (F.lit(300) * (c % 5 + 1)).alias("total"),
     )
 
 
 def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fetched vendor documents built from ``orders``: one list document per
-    (board, chunk of order keys) so no document grows with the data, plus
-    one detail document per posting for the vendors that need one (some
-    missing). Two boards fail (404, 503)."""
+    """Fetched vendor documents built from ``orders``: per board one list
+    document, or pages of ``PAGE_STEP`` for the paginated vendors, plus one
+    detail document per posting for the vendors that need one (some missing).
+    A board covers ``BOARD_ORDERS`` order keys at most, so no document grows
+    with the data. Planted: boards that fail on the first page (7: 404, 11:
+    503, 6: a body that is not JSON) or on a later one (10: 503, 40: 404),
+    pages beyond the reported total (``STALE_BOARDS``), failing ones at 34."""
     f = _order_facts(spark, sf_dir)
     k = F.col("k")
     iso = F.concat(F.col("day"), F.lit("T00:00:00.000Z"))
@@ -424,12 +423,22 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
            .when(F.col("vendor") == "workable", F.to_json(wk_job))
            .when(F.col("vendor") == "smartrecruiters", F.to_json(sr_job))
            .otherwise(F.to_json(wd_job)))
-    docs = f.select("vendor", "slug", "company", "real_company", "chunk", "http_status", "total",
-                    "k", job.alias("job"))
-    # One document per (board, chunk of order keys): bounded by CHUNK_ORDERS,
-    # jobs in order-key order.
-    docs = docs.groupBy("vendor", "slug", "company", "real_company", "chunk", "http_status", "total").agg(
-        F.array_sort(F.collect_list(F.struct("k", "job"))).alias("_jobs"))
+    docs = f.select("vendor", "slug", "company", "real_company", "board", "k", job.alias("job"))
+    docs = docs.groupBy("vendor", "slug", "company", "real_company", "board").agg(
+        F.array_sort(F.collect_list(F.struct("k", "job"))).alias("_all"))
+    size = F.size("_all")
+    paged = F.col("vendor").isin("smartrecruiters", "workday")
+    stale = (F.col("board") % 30).isin(*STALE_BOARDS)
+    docs = docs.withColumn("total", F.when(stale, F.greatest(size - PAGE_STEP, F.lit(1))).otherwise(size))
+    docs = docs.withColumn("page", F.explode(F.sequence(F.lit(0), F.when(
+        paged, F.floor((size - 1) / PAGE_STEP).cast("int")).otherwise(F.lit(0)))))
+    docs = docs.withColumn("offset", F.col("page") * PAGE_STEP)
+    docs = docs.withColumn("_jobs", F.when(paged, F.slice("_all", F.col("offset") + 1, F.lit(PAGE_STEP)))
+                           .otherwise(F.col("_all")))
+    board, later = F.col("board"), F.col("page") > 0
+    docs = docs.withColumn("http_status", F.when((board == 7) | ((board == 40) & later), F.lit(404)).when(
+        (board == 11) | ((board == 10) & later) | ((board == 34) & later & (F.col("offset") >= F.col("total"))),
+        F.lit(503)).otherwise(F.lit(200)))
     docs = docs.withColumn("jobs", F.array_join(F.transform("_jobs", lambda x: x["job"]), ","))
     jobs = F.concat(F.lit("["), F.col("jobs"), F.lit("]"))
     v = F.col("vendor")
@@ -444,9 +453,10 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(F.lit('{"jobs":'), jobs, F.lit("}"))))
     lists = docs.select(
         "vendor", "slug", "company", F.lit("list").alias("kind"), F.lit(None).cast("string").alias("external_id"),
-        (F.col("chunk") * PAGE_STEP).alias("offset"), "http_status",
+        "offset", "http_status",
         F.when(F.col("http_status") == 503, F.lit("timeout")).alias("error"),
-        F.when(F.col("http_status") < 400, body).alias("body"))
+        F.when(board == 6, F.lit("<html>Down for maintenance</html>"))
+        .when(F.col("http_status") < 400, body).alias("body"))
     gh_detail = F.to_json(F.struct(k.alias("id"), F.concat(F.lit("&lt;p&gt;"), F.col("desc"),
                                                            F.lit("&lt;/p&gt;")).alias("content")))
     sr_detail = F.to_json(F.struct(

@@ -112,8 +112,60 @@ def _parsed_comp():
     return comp, F.when(found, p["flags"]).otherwise(no_flags())
 
 
-def _answered(raw: DataFrame, vendor: str, kind: str = "list") -> DataFrame:
-    return raw.where((F.col("vendor") == vendor) & (F.col("kind") == kind)
+PAGED_TOTALS = {"smartrecruiters": "totalFound", "workday": "total"}
+
+
+def board_outcomes(raw: DataFrame) -> DataFrame:
+    """Per (vendor, slug): ``outcome`` (answered / 404 / unavailable), its
+    ``reason`` (NULL when answered), the ``start`` offset of its first page
+    and the ``total`` a paginated board reports there (0 when none).
+
+    A board answers as a whole: the first failing page among those that are
+    read (status 400 or more, or a body that is not JSON) decides for all of
+    it, 404 as not found and anything else as unavailable. Pages at or past
+    the total are never asked for, so theirs do not count; nor does a Workday
+    slug that cannot address a board (not found). One aggregate over a few
+    short columns: the bodies are not shuffled."""
+    lists = raw.where(F.col("kind") == "list")
+    status = F.coalesce(F.col("http_status"), F.lit(200))
+    unreadable = (status < 400) & F.try_parse_json("body").isNull()
+    total = None
+    for vendor, field in PAGED_TOTALS.items():
+        read = F.coalesce(F.get_json_object("body", f"$.{field}").cast("bigint"), F.lit(0))
+        total = F.when(F.col("vendor") == vendor, read) if total is None else total.when(
+            F.col("vendor") == vendor, read)
+    offset = F.coalesce(F.col("offset"), F.lit(0))
+    error = F.when(unreadable, F.lit(R.BAD_JSON)).otherwise(
+        F.coalesce(F.col("error"), F.concat(F.lit("HTTP "), status.cast("string"))))
+    per = lists.select("vendor", "slug", offset.alias("offset"), total.alias("total"), F.when(
+        unreadable | (status >= 400), F.struct(offset.alias("offset"), status.alias("status"),
+                                               error.alias("error"))).alias("failed"))
+    g = per.groupBy("vendor", "slug").agg(F.min("offset").alias("start"), F.min("failed").alias("_f"),
+                                          F.min_by("total", "offset").alias("total"))
+    hit = F.col("_f").isNotNull() & ((F.col("_f.offset") == F.col("start")) | F.col("total").isNull()
+                                     | (F.col("_f.offset") < F.col("total")))
+    bad_wd = (F.col("vendor") == "workday") & workday_slug(F.col("slug")).isNull()
+    outcome = (F.when(bad_wd | (hit & (F.col("_f.status") == 404)), F.lit("404"))
+               .when(hit, F.lit("unavailable")).otherwise(F.lit("answered")))
+    reason = (F.when(outcome == "404", F.lit(R.WARNING_404))
+              .when(outcome == "unavailable", F.concat(F.lit("unavailable: "), F.col("_f.error"))))
+    return g.select("vendor", "slug", outcome.alias("outcome"), reason.alias("reason"), "start", "total")
+
+
+def _answered(raw: DataFrame, vendor: str, outcomes: DataFrame | None = None) -> DataFrame:
+    """The list documents of one vendor's answered boards, of a paginated
+    vendor the first page and those below the total it reports."""
+    if outcomes is None:
+        outcomes = board_outcomes(raw.where(F.col("vendor") == vendor))
+    good = outcomes.where((F.col("vendor") == vendor) & (F.col("outcome") == "answered")).select(
+        "slug", F.col("start").alias("_start"), F.col("total").alias("_total"))
+    docs = raw.where((F.col("vendor") == vendor) & (F.col("kind") == "list")).join(good, "slug")
+    offset = F.coalesce(F.col("offset"), F.lit(0))
+    return docs.where((offset == F.col("_start")) | (offset < F.col("_total"))) if vendor in PAGED_TOTALS else docs
+
+
+def _details(raw: DataFrame, vendor: str) -> DataFrame:
+    return raw.where((F.col("vendor") == vendor) & (F.col("kind") == "detail")
                      & (F.coalesce(F.col("http_status"), F.lit(200)) < 400))
 
 
@@ -145,8 +197,9 @@ def ashby_comp():
     return F.when(has, structured).otherwise(p_comp), F.when(has, s_flags).otherwise(p_flags)
 
 
-def norm_ashby(raw: DataFrame) -> DataFrame:
-    docs = _answered(raw, "ashby").select("slug", "company", F.from_json("body", ASHBY_SCHEMA).alias("d"))
+def norm_ashby(raw: DataFrame, rules: Rules = DEFAULT_RULES,
+               outcomes: DataFrame | None = None) -> DataFrame:
+    docs = _answered(raw, "ashby", outcomes).select("slug", "company", F.from_json("body", ASHBY_SCHEMA).alias("d"))
     jobs = docs.select("slug", "company", F.explode(F.coalesce("d.jobs", F.array())).alias("j"))
     jobs = jobs.where(F.coalesce(F.col("j.isListed"), F.lit(False)))
     c = F.col("j.compensation")
@@ -181,8 +234,9 @@ def lever_interval(raw: Column) -> Column:
     return out
 
 
-def norm_lever(raw: DataFrame) -> DataFrame:
-    docs = _answered(raw, "lever").select("slug", "company", F.from_json("body", LEVER_SCHEMA).alias("d"))
+def norm_lever(raw: DataFrame, rules: Rules = DEFAULT_RULES,
+               outcomes: DataFrame | None = None) -> DataFrame:
+    docs = _answered(raw, "lever", outcomes).select("slug", "company", F.from_json("body", LEVER_SCHEMA).alias("d"))
     jobs = docs.select("slug", "company", F.explode(F.coalesce("d", F.array())).alias("j"))
     sal = F.col("j.salaryRange")
     interval = lever_interval(sal["interval"])
@@ -215,8 +269,9 @@ def norm_lever(raw: DataFrame) -> DataFrame:
 
 # --- Workable -----------------------------------------------------------------
 
-def norm_workable(raw: DataFrame) -> DataFrame:
-    docs = _answered(raw, "workable").select("slug", "company", F.from_json("body", WORKABLE_SCHEMA).alias("d"))
+def norm_workable(raw: DataFrame, rules: Rules = DEFAULT_RULES,
+                  outcomes: DataFrame | None = None) -> DataFrame:
+    docs = _answered(raw, "workable", outcomes).select("slug", "company", F.from_json("body", WORKABLE_SCHEMA).alias("d"))
     jobs = docs.select("slug", "company", F.col("d.name").alias("acct"),
                        F.explode(F.coalesce("d.jobs", F.array())).alias("j"))
     jobs = jobs.withColumn("_desc", html_to_text(F.col("j.description")))
@@ -244,15 +299,18 @@ def norm_workable(raw: DataFrame) -> DataFrame:
 def _enrich(listed: DataFrame, details: DataFrame, gate: Column, schema: str, extra) -> DataFrame:
     """Join gated rows to their detail document (vendor, slug, external id).
     A gated row without a usable detail keeps its list data and is flagged
-    ``detail-fetch-failed``; ungated rows are untouched. The detail body is
-    parsed once, in the detail side's own projection; ``extra(d)`` maps the
-    parsed document to (description, url override, published override or
-    None)."""
-    d = details.where(F.coalesce(F.col("http_status"), F.lit(200)) < 400).select(
-        F.col("slug").alias("_dslug"), F.col("external_id").alias("_dxid"),
-        F.from_json("body", schema).alias("_dbody"))
-    d = d.dropDuplicates(["_dslug", "_dxid"])
-    j = listed.withColumn("_gate", gate).join(
+    ``detail-fetch-failed``; ungated rows are untouched. Details are cut to
+    the gated keys (a few percent of the postings) before any body is
+    shuffled, the last fetch of a repeated one (by offset) is kept, and only
+    then is its body parsed, once. ``extra(d)`` maps the parsed document to
+    (description, url override, published override or None)."""
+    listed = listed.withColumn("_gate", gate)
+    wanted = listed.where(F.col("_gate")).select(F.col("org_slug").alias("slug"), F.col("_xid").alias("external_id"))
+    d = details.join(wanted, ["slug", "external_id"], "left_semi")
+    d = d.groupBy("slug", "external_id").agg(F.max_by("body", F.struct("offset", "body")).alias("body"))
+    d = d.select(F.col("slug").alias("_dslug"), F.col("external_id").alias("_dxid"),
+                 F.from_json("body", schema).alias("_dbody"))
+    j = listed.join(
         d, (F.col("_gate")) & (F.col("org_slug") == F.col("_dslug")) & (F.col("_xid") == F.col("_dxid")), "left")
     got = F.col("_dslug").isNotNull()
     desc, url_over, pub_over = extra(F.col("_dbody"))
@@ -270,8 +328,9 @@ def _enrich(listed: DataFrame, details: DataFrame, gate: Column, schema: str, ex
     return _finish(out)
 
 
-def norm_greenhouse(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    docs = _answered(raw, "greenhouse").select("slug", "company", F.from_json("body", GREENHOUSE_SCHEMA).alias("d"))
+def norm_greenhouse(raw: DataFrame, rules: Rules = DEFAULT_RULES,
+                    outcomes: DataFrame | None = None) -> DataFrame:
+    docs = _answered(raw, "greenhouse", outcomes).select("slug", "company", F.from_json("body", GREENHOUSE_SCHEMA).alias("d"))
     jobs = docs.select("slug", "company", F.explode(F.coalesce("d.jobs", F.array())).alias("j"))
     listed = jobs.select(
         role_id(F.lit("greenhouse"), F.col("slug"), F.col("j.id")).alias("id"),
@@ -289,20 +348,13 @@ def norm_greenhouse(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
 
     def extra(d: Column):
         return html_to_text(d["content"]), None, None
-    return _enrich(listed, _answered(raw, "greenhouse", "detail"), gate, GREENHOUSE_DETAIL_SCHEMA, extra)
+    return _enrich(listed, _details(raw, "greenhouse"), gate, GREENHOUSE_DETAIL_SCHEMA, extra)
 
 
-def _paged(raw: DataFrame, vendor: str, schema: str, total_field: str) -> DataFrame:
-    """Pages of a paginated list: a page is read only while its offset is
-    below the total the board reports (first page's total)."""
-    p = _answered(raw, vendor).select("slug", "company", "offset", F.from_json("body", schema).alias("d"))
-    totals = p.groupBy("slug").agg(
-        F.min_by(F.coalesce(F.col(f"d.{total_field}"), F.lit(0)), "offset").alias("_total"))
-    return p.join(totals, "slug", "left").where(F.col("offset") < F.coalesce(F.col("_total"), F.lit(0)))
-
-
-def norm_smartrecruiters(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    pages = _paged(raw, "smartrecruiters", SMARTRECRUITERS_SCHEMA, "totalFound")
+def norm_smartrecruiters(raw: DataFrame, rules: Rules = DEFAULT_RULES,
+                         outcomes: DataFrame | None = None) -> DataFrame:
+    pages = _answered(raw, "smartrecruiters", outcomes).select(
+        "slug", "company", F.from_json("body", SMARTRECRUITERS_SCHEMA).alias("d"))
     jobs = pages.select("slug", "company", F.explode(F.coalesce("d.content", F.array())).alias("j"))
     full = py_strip(F.coalesce("j.location.fullLocation", F.lit("")))
     parts = F.array_join(F.filter(F.array(*[py_strip(F.col(f"j.location.{k}")) for k in ("city", "region", "country")]),
@@ -328,7 +380,7 @@ def norm_smartrecruiters(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFr
         sections = F.array(*[d["jobAd"]["sections"][s]["text"] for s in R.SMARTRECRUITERS_SECTIONS])
         text = F.array_join(html_to_text_many(sections), "\n")
         return F.when(text != "", text), d["postingUrl"], None
-    return _enrich(listed, _answered(raw, "smartrecruiters", "detail"), gate, SMARTRECRUITERS_DETAIL_SCHEMA, extra)
+    return _enrich(listed, _details(raw, "smartrecruiters"), gate, SMARTRECRUITERS_DETAIL_SCHEMA, extra)
 
 
 def workday_slug(slug: Column) -> Column:
@@ -342,8 +394,10 @@ def workday_slug(slug: Column) -> Column:
     return F.when(ok & (host_wd > 0), F.struct(tenant.alias("tenant"), n.alias("n"), site.alias("site")))
 
 
-def norm_workday(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    pages = _paged(raw, "workday", WORKDAY_SCHEMA, "total")
+def norm_workday(raw: DataFrame, rules: Rules = DEFAULT_RULES,
+                 outcomes: DataFrame | None = None) -> DataFrame:
+    pages = _answered(raw, "workday", outcomes).select(
+        "slug", "company", F.from_json("body", WORKDAY_SCHEMA).alias("d"))
     pages = pages.withColumn("_wd", workday_slug(F.col("slug"))).where(F.col("_wd").isNotNull())
     jobs = pages.select("slug", "company", "_wd", F.explode(F.coalesce("d.jobPostings", F.array())).alias("j"))
     path = F.coalesce("j.externalPath", F.lit(""))
@@ -368,7 +422,7 @@ def norm_workday(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     def extra(d: Column):
         info = d["jobPostingInfo"]
         return html_to_text(info["jobDescription"]), info["externalUrl"], parse_iso(info["startDate"])
-    return _enrich(listed, _answered(raw, "workday", "detail"), gate, WORKDAY_DETAIL_SCHEMA, extra)
+    return _enrich(listed, _details(raw, "workday"), gate, WORKDAY_DETAIL_SCHEMA, extra)
 
 
 NORMALISERS = {
@@ -377,34 +431,34 @@ NORMALISERS = {
 }
 
 
-def all_postings(raw: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Every vendor's rows from the boards that answered, one table."""
+def all_postings(raw: DataFrame, rules: Rules = DEFAULT_RULES, outcomes: DataFrame | None = None) -> DataFrame:
+    """Every vendor's rows from the boards that answered, one table. ``raw``
+    is read per vendor and kind, so land it partitioned by those
+    (``land_raw``); ``outcomes`` may be passed in where it is at hand."""
     out = None
     for fn in NORMALISERS.values():
-        part = fn(raw, rules) if fn in (norm_greenhouse, norm_smartrecruiters, norm_workday) else fn(raw)
+        part = fn(raw, rules, outcomes)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def land_raw(raw: DataFrame, path: str) -> DataFrame:
+    """Write the fetched documents partitioned by (vendor, kind) and read
+    them back: every later filter on those prunes to its own files."""
+    raw.write.mode("overwrite").partitionBy("vendor", "kind").parquet(path)
+    return raw.sparkSession.read.schema(raw.schema).parquet(path)
+
+
 def scan_accounting(raw: DataFrame) -> DataFrame:
-    """Per board list fetch: ``answered``, or a warning row with its reason
-    (404: not found; other failure: unavailable with the error). Workday
-    slugs that cannot address a board count as not found."""
-    lists = raw.where(F.col("kind") == "list").groupBy("vendor", "slug").agg(
-        F.min_by(F.struct("http_status", "error"), "offset").alias("_first"))
-    status = F.coalesce(F.col("_first.http_status"), F.lit(200))
-    bad_wd = (F.col("vendor") == "workday") & workday_slug(F.col("slug")).isNull()
-    outcome = (F.when(bad_wd | (status == 404), F.lit("404"))
-               .when(status >= 400, F.lit("unavailable")).otherwise(F.lit("answered")))
-    reason = (F.when(outcome == "404", F.lit(R.WARNING_404))
-              .when(outcome == "unavailable",
-                    F.concat(F.lit("unavailable: "), F.coalesce(F.col("_first.error"), status.cast("string")))))
-    return lists.select("vendor", "slug", outcome.alias("outcome"), reason.alias("reason"))
+    """Per board: ``answered``, or a warning row with its reason (404: not
+    found; other failure: unavailable with the error)."""
+    return board_outcomes(raw).drop("start", "total")
 
 
 def probe_from_board(raw: DataFrame) -> DataFrame:
     """A vendor probe read off a board's first list page: status ok / 404 /
-    error, posting count and the vendor's own company name.
+    error (a body that is not JSON too), posting count and the vendor's own
+    company name.
 
     Ashby counts missing isListed as listed; SmartRecruiters reads a total
     of 0 as 404; Workday reads its total and a 422 as 404."""
@@ -412,6 +466,7 @@ def probe_from_board(raw: DataFrame) -> DataFrame:
         F.min_by(F.struct("http_status", "body", "error"), "offset").alias("p"))
     status = F.coalesce(F.col("p.http_status"), F.lit(200))
     body = F.col("p.body")
+    unreadable = F.try_parse_json(body).isNull()
     v = F.col("vendor")
     # Each body is parsed once, with its own vendor's schema, into a column
     # (the fields below read it several times, some under higher-order
@@ -446,8 +501,8 @@ def probe_from_board(raw: DataFrame) -> DataFrame:
         .when(v == "workable", F.coalesce(wk["name"], F.lit(""))).otherwise(F.lit("")))
     not_found = ((status == 404) | ((v == "workday") & (status == 422))
                  | ((v == "workday") & workday_slug(F.col("slug")).isNull())
-                 | ((status < 400) & (v == "smartrecruiters") & (count == 0)))
-    st = F.when(not_found, F.lit("404")).when(status >= 400, F.lit("error")).otherwise(F.lit("ok"))
+                 | ((status < 400) & ~unreadable & (v == "smartrecruiters") & (count == 0)))
+    st = F.when(not_found, F.lit("404")).when((status >= 400) | unreadable, F.lit("error")).otherwise(F.lit("ok"))
     titles = (F.when(v == "ashby", F.transform(F.filter(F.coalesce(ashby, F.array()), ashby_listed),
                                                 lambda j: F.get_json_object(j, "$.title")))
               .when(v == "greenhouse", F.transform(F.coalesce(gh, F.array()), lambda j: j["title"]))

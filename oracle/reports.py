@@ -59,8 +59,9 @@ def mark_public() -> str:
 
 
 def weekly_new_roles() -> str:
-    return with_(seen_store_ctes()) + """SELECT company_name AS company, title, comp_band, location, url FROM seen_pub
-WHERE public AND closed_at IS NULL AND first_seen::DATE BETWEEN (SELECT d FROM wk) - 6 AND (SELECT d FROM wk)"""
+    return with_(seen_store_ctes()) + """SELECT id, company_name AS company, title, comp_band, location, url,
+  public AND closed_at IS NULL AS listed FROM seen_pub
+WHERE first_seen::DATE < (SELECT min(ts)::DATE FROM events) + 7"""
 
 
 def weekly_closed_roles() -> str:

@@ -25,7 +25,7 @@ def run_record() -> str:
         [c for c in registry_ctes()] + ["last_day AS (SELECT max(ts)::DATE AS d FROM events)"]
     return with_(ctes) + """SELECT strftime((SELECT d FROM last_day), '%Y-%m-%d') AS date,
   (SELECT count(*) FROM reg WHERE status = 'live' AND vendor <> 'unknown') AS orgs_live,
-  (SELECT count(DISTINCT board) FROM ro WHERE board NOT IN (7, 11)) AS orgs_scanned,
+  (SELECT count(DISTINCT vendor || ' ' || slug) FROM ro WHERE outcome = 'answered') AS orgs_scanned,
   count(*) AS postings_read,
   count(*) FILTER (WHERE route = 'title') AS eliminated_title,
   count(*) FILTER (WHERE route = 'location') AS eliminated_location,
@@ -35,7 +35,7 @@ def run_record() -> str:
   count(*) FILTER (WHERE route = 'flagged') AS flagged,
   count(*) FILTER (WHERE route = 'suppressed') AS suppressed,
   count(*) FILTER (WHERE route = 'zombie') AS zombies,
-  (SELECT count(DISTINCT board) FROM ro WHERE board IN (7, 11)) AS dead_orgs,
+  (SELECT count(DISTINCT vendor || ' ' || slug) FROM ro WHERE outcome <> 'answered') AS dead_orgs,
   round_even(61.25, 1)::VARCHAR AS duration_seconds
 FROM routes"""
 

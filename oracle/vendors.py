@@ -29,9 +29,10 @@ def _annual(v: str, interval: str) -> tuple[str, str]:
 def ro_ctes() -> list[str]:
     div = "[" + ", ".join(str(d) for d in FX.INTERVAL_DIVISOR) + "]"
     return postings_ctes() + [
-        f"""ro AS (
+        f"""ro_o AS (
   SELECT o_orderkey AS k, o_custkey % 150 AS board, source AS vendor,
-    CASE WHEN source = 'workday' THEN 'org' || (o_custkey % 50)::VARCHAR || '.wd5/External' ELSE org_slug END AS slug,
+    org_slug || CASE WHEN o_orderkey // {FX.BOARD_ORDERS} > 0 THEN '-' || (o_orderkey // {FX.BOARD_ORDERS})::VARCHAR ELSE '' END AS org,
+    org || CASE WHEN source = 'workday' THEN '.wd5/External' ELSE '' END AS slug,
     CASE WHEN (o_custkey % 150) % 8 = 0 THEN '' ELSE {_company('(o_custkey % 150)')} END AS company,
     {_company('(o_custkey % 150)')} AS real_company,
     title, location_raw AS loc, is_remote AS remote, description_text AS descr, status, top,
@@ -40,10 +41,19 @@ def ro_ctes() -> list[str]:
     {div}[o_orderpriority[1]::INTEGER] AS div,
     'https://jobs.example.com/' || source || '/' || o_orderkey::VARCHAR AS url,
     published_at::DATE::TIMESTAMP AS day_ts,
-    (o_custkey % 150) NOT IN (7, 11) AS answered,
-    o_orderkey // {FX.CHUNK_ORDERS} AS chunk, 300 * (o_custkey % 5 + 1) AS total,
     {family_sql('title')} IS NOT NULL AS gated
   FROM p_keyed)""",
+        f"""ro_p AS (
+  SELECT *, count(*) OVER b AS n, (row_number() OVER (b ORDER BY k) - 1) // {FX.PAGE_STEP} AS page
+  FROM ro_o WINDOW b AS (PARTITION BY vendor, slug))""",
+        # The rule: a board answers as a whole; pages are read up to its total.
+        f"""ro AS (
+  SELECT *, CASE WHEN board % 30 IN {FX.STALE_BOARDS} THEN greatest(n - {FX.PAGE_STEP}, 1) ELSE n END AS total,
+    vendor NOT IN ('smartrecruiters', 'workday') OR page = 0 OR page * {FX.PAGE_STEP} < total AS on_read_page,
+    CASE WHEN board = 7 OR (board = 40 AND n > {FX.PAGE_STEP}) THEN '404'
+         WHEN board IN (6, 11) OR (board = 10 AND n > {FX.PAGE_STEP}) THEN 'unavailable' ELSE 'answered' END AS outcome,
+    outcome = 'answered' AND on_read_page AS answered
+  FROM ro_p)""",
         "ro_f AS (SELECT k, descr FROM ro)",
     ] + salary_ctes("ro_f", "k", "descr", "vs")
 
@@ -148,52 +158,40 @@ def norm_smartrecruiters() -> str:
         "CASE WHEN coalesce(remote, FALSE) THEN TRUE END",
         f"'https://jobs.smartrecruiters.com/' || {ident} || '/' || k::VARCHAR",
         "CASE WHEN k % 3 = 0 THEN NULL ELSE url || '?sr=1' END", "day_ts", "day_ts",
-        "'We hire for GTM.' || chr(10) || descr", "gated", f"chunk * {FX.PAGE_STEP} < total")
+        "'We hire for GTM.' || chr(10) || descr", "gated")
 
 
 def norm_workday() -> str:
     path = "CASE WHEN k % 31 = 0 THEN '' ELSE '/job/R' || k::VARCHAR END"
     return _enriched(
         "workday", f"'workday:' || slug || ':' || {path}", _display(), "loc", "remote",
-        f"'https://org' || (board % 50)::VARCHAR || '.wd5.myworkdayjobs.com/External' || {path}",
+        f"'https://' || org || '.wd5.myworkdayjobs.com/External' || {path}",
         "url || '?wd=1'", "NULL::TIMESTAMP", "CASE WHEN k % 7 = 0 THEN NULL ELSE day_ts END", "descr",
-        f"(gated AND {path} <> '')", f"chunk * {FX.PAGE_STEP} < total")
+        f"(gated AND {path} <> '')")
 
 
 def all_postings() -> str:
-    parts = [norm_ashby(), norm_greenhouse(), norm_lever(), norm_workable(), norm_smartrecruiters(), norm_workday()]
-    return "SELECT vendor, count(*)::BIGINT AS n FROM (" + " UNION ALL ".join(
-        f"SELECT {q(v)} AS vendor, id FROM ({sql})" for v, sql in zip(
-            ("ashby", "greenhouse", "lever", "workable", "smartrecruiters", "workday"), parts)) + ") GROUP BY vendor"
+    return " UNION ALL ".join(f"SELECT * FROM ({sql()})" for sql in (
+        norm_ashby, norm_greenhouse, norm_lever, norm_workable, norm_smartrecruiters, norm_workday))
 
 
 def scan_accounting() -> str:
-    return with_(ro_ctes()) + f"""SELECT DISTINCT vendor, slug,
-  CASE WHEN board = 7 THEN '404' WHEN board = 11 THEN 'unavailable' ELSE 'answered' END AS outcome,
-  CASE WHEN board = 7 THEN {q(R.WARNING_404)} WHEN board = 11 THEN 'unavailable: timeout' END AS reason
+    return with_(ro_ctes()) + f"""SELECT DISTINCT vendor, slug, outcome,
+  CASE outcome WHEN '404' THEN {q(R.WARNING_404)}
+    WHEN 'unavailable' THEN 'unavailable: ' || CASE WHEN board = 6 THEN {q(R.BAD_JSON)} ELSE 'timeout' END END AS reason
 FROM ro"""
 
 
 def probe_from_board() -> str:
-    return with_(ro_ctes() + ["""firstc AS (SELECT vendor, slug, min(chunk) AS c0 FROM ro GROUP BY vendor, slug)"""]) + """
-SELECT f.vendor, f.slug,
-  CASE WHEN b.board = 7 THEN '404' WHEN b.board = 11 THEN 'error' ELSE 'ok' END AS status,
-  CASE WHEN b.board IN (7, 11) THEN 0
-       WHEN f.vendor = 'ashby' THEN (SELECT count(*) FROM ro r WHERE r.vendor = f.vendor AND r.slug = f.slug AND r.chunk = f.c0 AND r.k % 23 <> 0)
-       WHEN f.vendor IN ('greenhouse', 'lever', 'workable') THEN (SELECT count(*) FROM ro r WHERE r.vendor = f.vendor AND r.slug = f.slug AND r.chunk = f.c0)
-       ELSE b.total END::BIGINT AS count,
-  CASE WHEN b.board IN (7, 11) THEN ''
-       WHEN f.vendor = 'greenhouse' THEN coalesce((SELECT arg_min(r.real_company, r.k) FROM ro r
-            WHERE r.vendor = f.vendor AND r.slug = f.slug AND r.chunk = f.c0 AND r.k % 4 <> 0), '')
-       WHEN f.vendor = 'workable' THEN CASE WHEN b.company <> '' THEN b.real_company ELSE '' END
+    return with_(ro_ctes()) + """SELECT vendor, slug, CASE WHEN failed THEN st ELSE 'ok' END AS status,
+  CASE WHEN failed THEN 0 WHEN vendor IN ('smartrecruiters', 'workday') THEN max(total) ELSE count(*) FILTER (WHERE shown) END::BIGINT AS count,
+  CASE WHEN failed THEN '' WHEN vendor = 'greenhouse' THEN coalesce(arg_min(real_company, k) FILTER (WHERE k % 4 <> 0), '')
+       WHEN vendor = 'workable' THEN CASE WHEN any_value(company) <> '' THEN any_value(real_company) ELSE '' END
        ELSE '' END AS company_name,
-  CASE WHEN b.board IN (7, 11) THEN ''
-       ELSE coalesce((SELECT string_agg(t.title, ' | ' ORDER BY t.k) FROM (
-         SELECT r.title, r.k FROM ro r WHERE r.vendor = f.vendor AND r.slug = f.slug AND r.chunk = f.c0
-           AND (f.vendor <> 'ashby' OR r.k % 23 <> 0)
-         ORDER BY r.k LIMIT 3) t), '') END AS sample
-FROM firstc f JOIN (SELECT DISTINCT vendor, slug, board, total, company, real_company FROM ro) b
-  ON b.vendor = f.vendor AND b.slug = f.slug"""
+  CASE WHEN failed THEN '' ELSE coalesce(array_to_string((list(title ORDER BY k) FILTER (WHERE shown))[1:3], ' | '), '') END AS sample
+FROM (SELECT *, board IN (6, 7, 11) AS failed, CASE WHEN board = 7 THEN '404' ELSE 'error' END AS st,
+        vendor <> 'ashby' OR k % 23 <> 0 AS shown FROM ro)
+GROUP BY vendor, slug, failed, st"""
 
 
 def detail_gate() -> str:

@@ -25,15 +25,23 @@ def test_two_nights_and_reports(spark):
     assert routed1.count() == vendors.all_postings(raw).count()
     assert routed1.where("route = 'still_open'").count() == 0   # everything is new on night one
 
-    # Night two: lever's first page of every board is gone.
-    raw2 = raw.where(~((F.col("vendor") == "lever") & (F.col("kind") == "list") & (F.col("offset") == 0)))
+    # Night two: every lever board answers empty, every greenhouse board fails
+    # and every workday board loses its later pages to an error.
+    lists = F.col("kind") == "list"
+    later = lists & (F.col("vendor") == "workday") & (F.col("offset") > 0)
+    down = (lists & (F.col("vendor") == "greenhouse")) | later
+    raw2 = (raw.withColumn("body", F.when(lists & (F.col("vendor") == "lever"), F.lit("[]"))
+                           .when(~down, F.col("body")))
+            .withColumn("http_status", F.when(down, F.lit(503)).otherwise(F.col("http_status"))))
     n2 = P.nightly_run(spark, raw2, hist, probes, reg, root, F.lit(dt.datetime(2026, 1, 2)))
     ids1 = vendors.all_postings(raw).select("id", F.concat_ws(":", "source", "org_slug").alias("org_key"))
     ids2 = vendors.all_postings(raw2).select("id")
     answered2 = vendors.scan_accounting(raw2).where("outcome = 'answered'").select(
         F.concat_ws(":", "vendor", "slug").alias("org_key"))
     expect = ids1.join(ids2, "id", "left_anti").join(answered2, "org_key", "left_semi").count()
-    assert expect > 0 and n2["closed"].count() == expect
+    assert expect == ids1.where("org_key LIKE 'lever:%'").count() > 0 and n2["closed"].count() == expect
+    lost = ids1.where("org_key LIKE 'greenhouse:%' OR org_key LIKE 'workday:%'").join(ids2, "id", "left_anti").count()
+    assert lost > 0                                       # gone from view, and not closed
     assert n2["routed"].where("route = 'kept' OR route = 'flagged'").count() == 0   # nothing new
 
     runs = P.read_runs(spark, root)
