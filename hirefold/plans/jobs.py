@@ -10,13 +10,15 @@
 
 Stores live under one root folder as versioned parquet (``seen``,
 ``public``, ``registry``); the run log is an append-only JSON folder. Every
-job reads the newest complete version and writes the next one, so a job
-lost half-way changes nothing and a rerun is safe.
+job reads the newest complete version and writes the next one at its end, so a
+job lost before that changes nothing. The nightly run commits two stores, the
+public one and then the seen one.
 """
 
 from __future__ import annotations
 
 import os
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,10 +51,13 @@ def nightly_run(spark: SparkSession, raw: DataFrame, history_rules: DataFrame, u
     ``warnings``, ``closed`` (lines, empty on the first run) and ``run``
     (the run record, also appended to the run log)."""
     checkpoint_dir(spark)
-    scans = vendors.scan_accounting(raw).cache()
+    began = time.monotonic()
+    # Read by every vendor's listing, the scanned orgs, the warnings and the record.
+    outcomes = vendors.board_outcomes(raw).checkpoint(eager=True)
+    scans = outcomes.drop("start", "total")
     # Five consumers read the normalised postings (two stores, the funnel,
     # liveness, the run record): cut the lineage once, in the shared folder.
-    postings = vendors.all_postings(raw, rules).checkpoint(eager=True)
+    postings = vendors.all_postings(raw, rules, outcomes).checkpoint(eager=True)
     scanned = scans.where(F.col("outcome") == "answered").select(
         F.concat_ws(":", "vendor", "slug").alias("org_key"))
 
@@ -60,14 +65,14 @@ def nightly_run(spark: SparkSession, raw: DataFrame, history_rules: DataFrame, u
     seen_prev = stores.read_store(spark, _path(root, "seen"), SEEN_SCHEMA)
     sightings = postings.select("id", F.concat_ws(":", "source", "org_slug").alias("org_key"),
                                 "title", "company_name", "url")
-    seen_next = state.seen_reconcile(seen_prev, sightings, scanned, now)
+    # Read by the "is new" join, the closed lines and the store write.
+    seen_next = state.seen_reconcile(seen_prev, sightings, scanned, now).checkpoint(eager=True)
 
     # The public store is fed before any private filter: title family only.
     public_prev = stores.read_store(spark, _path(root, "public"), _public_schema())
     folded = state.public_reconcile(public_prev, state.public_rows_from_postings(postings, rules), scanned, now,
                                     collapse=False).checkpoint(eager=True)
     public_next = state.mirror_collapse(folded)
-    stores.write_store(public_next.select(*state.PUBLIC_COLUMNS), _path(root, "public"))
 
     verdicts = history.apply_history(funnel.evaluate(postings, rules), history_rules)
     alive = F.col("stage").isNull() & F.col("suppressed_by").isNull()
@@ -88,9 +93,11 @@ def nightly_run(spark: SparkSession, raw: DataFrame, history_rules: DataFrame, u
         F.concat(F.col("company_name"), F.lit(": "), F.col("title"), F.lit(" ("), F.col("url"), F.lit(")"))
         .alias("line"))
     closed = closed.checkpoint(eager=True)
+    stores.write_store(public_next.select(*state.PUBLIC_COLUMNS), _path(root, "public"))
     stores.write_store(seen_final.drop("is_new", "closed_now"), _path(root, "seen"))
 
-    run = stores.run_record(routed, scans, registry, F.to_date(now)).withColumn(
+    run = stores.run_record(routed, scans, registry, F.to_date(now),
+                            time.monotonic() - began).withColumn(
         "written_at", F.current_timestamp()).cache()
     run.write.mode("append").json(_path(root, "runs"))
     warnings = scans.where(F.col("outcome") != "answered").select("vendor", "slug", "reason")
