@@ -496,12 +496,12 @@ def q_public_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
                     _ts("first_seen"), "collapsed_into")
 
 
-def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pages(spark: SparkSession, sf_dir: str, public: DataFrame | None = None) -> DataFrame:
     from hirefold.operators import registry as REG
     from hirefold.operators import reports
     orgs = REG.live_orgs(_registry(spark, sf_dir))
     run_day = F.to_date(_last_night(spark, sf_dir))
-    return reports.company_pages(orgs, postings_public_store(spark, sf_dir), run_day)
+    return reports.company_pages(orgs, postings_public_store(spark, sf_dir) if public is None else public, run_day)
 
 
 def q_company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -510,7 +510,8 @@ def q_company_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_company_page_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirefold.operators import reports
-    r = reports.company_page_roles(_pages(spark, sf_dir), postings_public_store(spark, sf_dir))
+    public = postings_public_store(spark, sf_dir)
+    r = reports.company_page_roles(_pages(spark, sf_dir, public), public)
     return r.select("dirname", "sort_title", "id", "title", "comp_band", "location_label", "posted", "url")
 
 
@@ -521,7 +522,8 @@ def q_pages_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_jsonld_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirefold.operators import reports
-    roles = reports.company_page_roles(_pages(spark, sf_dir), postings_public_store(spark, sf_dir))
+    public = postings_public_store(spark, sf_dir)
+    roles = reports.company_page_roles(_pages(spark, sf_dir, public), public)
     return reports.jsonld_rows(roles)
 
 

@@ -31,6 +31,7 @@ from hirefold.sources import stores, vendors
 SEEN_SCHEMA = ("id string, org_key string, title string, company_name string, url string, "
                "first_seen timestamp, last_seen timestamp, closed_at timestamp, public boolean, "
                "comp_band string, location string")
+SEEN_DEFAULTS = {"public": False}
 REGISTRY_SCHEMA = ("company_name string, domain string, vendor string, slug string, board_url string, "
                    "status string, last_verified date, last_posting_count bigint, discovered_via string, "
                    "notes string")
@@ -62,7 +63,7 @@ def nightly_run(spark: SparkSession, raw: DataFrame, history_rules: DataFrame, u
         F.concat_ws(":", "vendor", "slug").alias("org_key"))
 
     first_run = stores.latest_version(spark, _path(root, "seen")) is None
-    seen_prev = stores.read_store(spark, _path(root, "seen"), SEEN_SCHEMA)
+    seen_prev = stores.read_store(spark, _path(root, "seen"), SEEN_SCHEMA, SEEN_DEFAULTS)
     sightings = postings.select("id", F.concat_ws(":", "source", "org_slug").alias("org_key"),
                                 "title", "company_name", "url")
     # Read by the "is new" join, the closed lines and the store write.
@@ -171,7 +172,7 @@ def verify_registry(spark: SparkSession, probes: DataFrame, root: str, vendor: s
 # --- reports --------------------------------------------------------------------
 
 def weekly_report(spark: SparkSession, root: str, week_end: Column) -> dict[str, DataFrame]:
-    seen = stores.read_store(spark, _path(root, "seen"), SEEN_SCHEMA)
+    seen = stores.read_store(spark, _path(root, "seen"), SEEN_SCHEMA, SEEN_DEFAULTS)
     runs = read_runs(spark, root)
     return {"stats": reports.weekly_report_stats(runs, week_end),
             "new_roles": reports.weekly_new_roles(seen, week_end),

@@ -86,11 +86,20 @@ def latest_version(spark: SparkSession, base: str) -> int | None:
     return best
 
 
-def read_store(spark: SparkSession, base: str, schema: str | T.StructType | None = None) -> DataFrame | None:
+def read_store(spark: SparkSession, base: str, schema: str | T.StructType | None = None,
+               defaults: dict | None = None) -> DataFrame | None:
+    """The newest version; an empty table of ``schema`` where there is none.
+    Columns of ``schema`` that an older version lacks are added, with their
+    value in ``defaults`` or NULL."""
     v = latest_version(spark, base)
     if v is None:
         return spark.createDataFrame([], schema) if schema is not None else None
-    return spark.read.parquet(os.path.join(base, f"version={v}"))
+    df = spark.read.parquet(os.path.join(base, f"version={v}"))
+    if schema is None:
+        return df
+    wanted = spark.createDataFrame([], schema).schema
+    return df.withColumns({f.name: F.lit((defaults or {}).get(f.name)).cast(f.dataType)
+                           for f in wanted if f.name not in df.columns})
 
 
 def write_store(df: DataFrame, base: str, sort_keys=("id",)) -> int:

@@ -34,6 +34,23 @@ def test_versioned_store_roundtrip(spark):
     assert got == [("a", 3), ("b", 2)]
 
 
+def test_a_store_of_an_older_version_loads_with_defaults(spark):
+    from hirefold.operators import state
+    from hirefold.plans.jobs import SEEN_DEFAULTS, SEEN_SCHEMA
+    from hirefold.sources import stores
+    base = os.path.join(tempfile.mkdtemp(), "seen")
+    old = spark.sql("SELECT 'lever:a:1' AS id, 'lever:a' AS org_key, 'GTM Engineer' AS title, 'A' AS company_name, "
+                    "'u' AS url, timestamp'2026-01-01' AS first_seen, timestamp'2026-01-01' AS last_seen")
+    stores.write_store(old, base)
+    seen = stores.read_store(spark, base, SEEN_SCHEMA, SEEN_DEFAULTS)
+    row = seen.first()
+    assert (row["public"], row["closed_at"], row["comp_band"]) == (False, None, None)
+    now = F.lit("2026-01-02").cast("timestamp")
+    nothing = seen.select("id", "org_key", "title", "company_name", "url").limit(0)
+    out = state.seen_reconcile(seen, nothing, seen.select("org_key"), now).first()
+    assert out["closed_now"] and out["closed_at"] is not None
+
+
 def test_history_load(spark):
     from hirefold.operators.history import history_load
     doc = {"history": [{"company": "Acme", "status": "applied", "role": "GTM Engineer", "date": "2026-07-01"},
