@@ -5,8 +5,8 @@ Parquet and read again as the next one's input.
 
 Every stage judges all its predecessor kept. All but the last return the
 columns of ``docs``; the last adds ``mix_copy`` (1..n), one row per copy that
-the mix takes. Rows that share an id fall or stay together wherever a stage
-decides by id (exact dedup decides by row); an empty table passes through.
+the mix takes. Rows are judged by their own id and text, so rows that share an
+id, or have none, don't fall with each other; an empty table passes through.
 """
 
 from __future__ import annotations
@@ -14,23 +14,15 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hirefold.llm import common, decontaminate, exact, mixing, simhash, toxicity
 from hirefold.session import checkpoint_dir
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id isn't in ``gone`` (column doc_id)."""
-    ids = common.cut(gone.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["__gone"]), "left_anti")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier rejects go."""
     common.prepare(spark)
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    return _without(docs, toxicity.classify_toxicity(docs, labels).where("predicted = 1"))
+    return toxicity.drop_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,15 +34,13 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each SimHash component the smallest id stays."""
     common.prepare(spark)
-    found = simhash.near_duplicates(docs, words=3, radius=2)
-    return _without(docs, found.where("not doc_id <=> component_id"))
+    return simhash.drop_near_duplicates(docs, words=3, radius=2)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     common.prepare(spark)
-    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _without(docs, decontaminate.find_leaks(docs, benchmark).where("contaminated"))
+    return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -57,6 +57,14 @@ def keyed_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
 
 
+def free(docs: DataFrame, name: str) -> str:
+    """``name``, or it with underscores until no column of ``docs`` has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def pieces(df: DataFrame, size: Column, per_piece: float) -> int:
     """How many pieces of about ``per_piece`` units the table holds (one
     aggregate over ``size``; at least one)."""

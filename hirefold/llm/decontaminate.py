@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirefold.llm.common import Shared, cut, keyed_text, large
+from hirefold.llm.common import Shared, cut, free, keyed_text, large
 from hirefold.llm.words import span_hashes, spans
 
 BLOCK_BYTES = 2 << 20
@@ -323,9 +323,10 @@ def _one_block(rows: DataFrame, items: list[tuple[int, str]], seed: int = 5) ->
     rows_ /= np.linalg.norm(rows_, axis=1, keepdims=True) + 1e-9
     z += rows_.T @ (rows_ @ omega) * (ITEM_WEIGHT ** 2 * max(1, n.get(-1, 0)) / len(rows_))
     basis, power, _ = np.linalg.svd(z, full_matrices=False)
-    rank = min(RANK, width)
+    # A small table spans fewer directions than RANK; the rest are noise.
+    rank = max(1, int((power[:RANK] > 1e-6 * power[0]).sum()))
     # The range sample's singular values are squares of the matrix's.
-    scale = np.maximum(power[:rank], 1e-6 * power[0]) ** -0.25
+    scale = np.maximum(power[:rank], 1e-300) ** -0.25
     return blobs.mapInArrow(_search(shared, basis[:, :rank] * scale * idf[:, None]), HITS)
 
 
@@ -358,3 +359,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
     return out.select("doc_id", (F.size("hits") > 0).alias("contaminated"), ids.alias("item_ids"),
                       F.coalesce(F.array_max(F.transform("hits", lambda h: h["share"])), F.lit(0.0)).alias("share"))
+
+
+def drop_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item, with all their columns. Rows
+    are told apart by a hash of id and text, so rows that share an id are
+    judged one by one."""
+    key = free(docs, "row_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.col(f"`{id_col}`"), F.col(f"`{text_col}`").cast("string")))
+    gone = cut(find_leaks(keyed, benchmark, key, text_col).where("contaminated").select(F.col("doc_id").alias(key)).distinct())
+    return keyed.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hirefold.llm.common import cut, keyed_text, large
+from hirefold.llm.common import cut, free, keyed_text, large
 
 PRIMES = (2147483647, 2147483629)
 BASES = (1103515245, 1664525)
@@ -146,17 +146,19 @@ def _not_uniform(rows: DataFrame, shared: DataFrame, hasher: Hasher) -> DataFram
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, whatever their
+    names. Of rows that repeat an id and a text one stays (any, where their
+    other columns differ)."""
     found = exact_duplicates(docs, id_col, text_col)
-    staying = found.where("kept").select(F.col("doc_id").alias("__keep"), "text_sha256",
-                                         (F.col("group_size") > 1).alias("__many"))
+    sha, keep, digest, many = (free(docs, x) for x in ("own_sha", "keep", "digest", "many"))
+    staying = cut(found.where("kept").select(F.col("doc_id").alias(keep), F.col("text_sha256").alias(digest),
+                                             (F.col("group_size") > 1).alias(many)))
     # The digest tells the rows of one id with different texts apart.
-    digest = F.sha2(F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), UPPER, UPPER.lower()), 256)
-    both = cut(staying)
-    rows = docs.withColumn("__sha", digest).join(
-        both, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__keep")) & (F.col("__sha") == F.col("text_sha256")))
-    repeated = rows.where("__many").dropDuplicates([id_col, "__sha"])
-    return rows.where("not __many").unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
+    low = F.translate(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")), UPPER, UPPER.lower())
+    rows = docs.withColumn(sha, F.sha2(low, 256)).join(
+        staying, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(keep)) & (F.col(sha) == F.col(digest)))
+    repeated = rows.where(F.col(many)).dropDuplicates([id_col, sha])
+    return rows.where(~F.col(many)).unionByName(repeated).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

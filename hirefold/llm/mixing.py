@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hirefold.llm.common import free
+
 WORD = r"[^\x20\x09-\x0D]+"
 MOST = 3
 SEED = "mix-1"
@@ -63,31 +65,31 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     targets = source_targets(sizes, weights, most)
     joined = rows.join(targets.withColumnRenamed("source", "__source"),
                        F.col("source").eqNullSafe(F.col("__source")), "left")
-    return _copies(joined, "doc_id", most, seed).select(
-        "doc_id", "source", "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"))
+    return joined.select(
+        "doc_id", "source", "size", "source_size", "target", _copies("doc_id", "target", "source_size", most, seed).alias("copies")
+    ).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def _copies(joined: DataFrame, id_col: str, most: int, seed: str) -> DataFrame:
-    """Adds ``copies`` from target and source_size."""
-    rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(most)))
-                  ).otherwise(0.0)
-    name = F.coalesce(F.col(id_col).cast("string"), F.lit("null"))
+def _copies(id_col: str, target: str, source_size: str, most: int, seed: str) -> Column:
+    """How often the mix takes a document."""
+    rate = F.when(F.col(source_size) > 0, F.least(F.col(target) / F.col(source_size), F.lit(float(most)))).otherwise(0.0)
+    name = F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("null"))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 13), 16, 10).cast("double") / float(1 << 52)
     extra = F.when(draw < rate - F.floor(rate), 1).otherwise(0)
-    return joined.withColumn("copies", (F.floor(rate) + extra).cast("long"))
+    return (F.floor(rate) + extra).cast("long")
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
         weights: tuple[int, ...] = (1, 2, 3), most: int = MOST, seed: str = SEED) -> DataFrame:
-    """The mix itself: the columns of ``docs`` and ``mix_copy`` (1..n), one
-    row per copy taken."""
+    """The mix itself: all columns of ``docs``, whatever their names, and
+    ``mix_copy`` (1..n), one row per copy taken; a ``mix_copy`` that ``docs``
+    already has is replaced."""
+    docs = docs.drop("mix_copy")
     sizes = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(
         F.sum(word_count(F.col(f"`{text_col}`"))).alias("source_size"))
-    targets = source_targets(sizes, weights, most).withColumnRenamed("source", "__source")
-    joined = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("target", "source_size", "copies")],
-                         F.col(f"`{id_col}`").cast("long").alias("__id")).join(
-        targets, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col("__source")), "left")
-    out = _copies(joined, "__id", most, seed).where("copies > 0")
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("target", "source_size", "copies")],
-                      F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("mix_copy"))
+    name, total, target = (free(docs, x) for x in ("name", "total", "target"))
+    targets = source_targets(sizes, weights, most).toDF(name, total, target)
+    joined = docs.join(targets, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(name)), "left")
+    copies = _copies(id_col, target, total, most, seed)
+    return joined.where(copies > 0).select(*[F.col(f"`{c}`") for c in docs.columns],
+                                           F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("mix_copy"))

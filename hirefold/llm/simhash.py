@@ -26,10 +26,10 @@ from itertools import accumulate
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirefold.llm.common import components, cut, keyed_text, large
+from hirefold.llm.common import components, cut, free, keyed_text, large
 
 BITS = 64
 TILE = 1024
@@ -64,7 +64,8 @@ def _prints(words: int):
     def run(batches):
         for b in batches:
             fps = [_signed(fingerprint(t.as_buffer().to_pybytes(), words)) for t in large(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            names = [c for c in b.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(fps, pa.int64())], [*names, "fp"])
     return run
 
 
@@ -175,16 +176,42 @@ def links(distinct: DataFrame, radius: int = 2, hot: int = HOT) -> DataFrame:
             .applyInArrow(_bucket_links(radius), "a long, b long"))
 
 
+def _lowest(prints: DataFrame, low: Column, radius: int, hot: int) -> DataFrame:
+    """(fp, low): for each fingerprint the smallest ``low`` of its component
+    (an aggregate over rows of ``prints``)."""
+    distinct = cut(prints.groupBy("fp").agg(low.alias("low")))
+    roots = components(links(distinct.select("fp"), radius, hot))
+    named = cut(distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", F.coalesce("root", "fp").alias("root"), "low"))
+    names = cut(named.groupBy("root").agg(F.min("low").alias("low")))
+    return cut(named.select("fp", "root").join(names, "root").select("fp", "low"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id",
                     text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits),
     component_id (smallest doc_id reachable over links)."""
     prints = cut(fingerprints(docs, words, id_col, text_col))
-    distinct = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(distinct.select("fp"), radius, hot))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", F.coalesce("root", "fp").alias("root"), "low")
-    names = cut(named.groupBy("root").agg(F.min("low").alias("component_id")))
-    by_fp = cut(cut(named).join(names, "root").select("fp", "component_id"))
+    by_fp = _lowest(prints, F.min("doc_id"), radius, hot)
     return prints.join(by_fp, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id"))
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: str = "doc_id",
+                         text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each
+    component the document with the smallest id (null last; of one id's
+    texts the one with the smallest hash). Rows that repeat an id and a text
+    are one document and stay or go together."""
+    key = free(docs, "text_key")
+    keyed = docs.withColumn(key, F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))))
+    rows = keyed.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(key).alias("text_key"),
+                        F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
+    prints = cut(rows.mapInArrow(_prints(words), "doc_id long, text_key long, fp long"))
+    member = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    by_fp = _lowest(prints, F.min(member), radius, hot)
+    lost, lost_key = free(keyed, "lost"), free(keyed, "lost_key")
+    gone = cut(prints.join(by_fp, "fp").where(~member.eqNullSafe(F.col("low")))
+               .select(F.col("doc_id").alias(lost), F.col("text_key").alias(lost_key)).distinct())
+    return keyed.join(gone, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(lost)) & (F.col(key) == F.col(lost_key)),
+                      "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ STEMS = (4, 5, 6, 7)
 INSULTS = ("clown", "coward", "cretin", "disgusting", "dumb", "filthy", "fool", "garbage", "idiot", "imbecile", "jerk",
            "loser", "moron", "pathetic", "scum", "stupid", "trash", "vermin", "worthless")
 ADDRESS = ("you are ", "you're ", "du bist ", "tu es ", "eres ")
+
+
 def _blocks(texts: list[str]) -> Iterator[Words]:
     return (Words(*piece, STEMS) for piece in blocks_of(texts))
 
@@ -311,3 +314,17 @@ def classify_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7
     return score_toxicity(docs, model).select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id",
+               text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``threshold``, with all their
+    columns; every row is judged by its own text, in place."""
+    model, _ = fit_toxicity(docs, labels, id_col=id_col, text_col=text_col)
+    shared = Shared(docs.sparkSession, model)
+
+    @F.pandas_udf("double")
+    def score(text: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in text:
+            yield pd.Series(1 / (1 + np.exp(-np.clip(shared.value.sums(t.tolist()), -30, 30))))
+    return docs.where(score(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))) < threshold)

@@ -35,6 +35,14 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def clashing(df):
+    """With more columns, named like what the filters add."""
+    for c in ("own_sha", "keep", "digest", "many", "text_sha256", "text_key", "row_key", "lost", "lost_key", "score",
+              "name", "total", "mix_copy"):
+        df = df.withColumn(c, F.lit("x"))
+    return df
+
+
 def rows_of(df):
     return [r.asDict() for r in df.collect()]
 
@@ -75,6 +83,7 @@ def test_exact_duplicates(docs, weak):
 
 def test_exact_filter_keeps_columns(docs):
     from hirefold.llm.exact import drop_exact_duplicates
+    docs = clashing(docs)
     got = drop_exact_duplicates(docs)
     assert got.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in rows_of(got)) == sorted(["2", "4", "5", "6", "None", "9", "11"])
@@ -116,6 +125,18 @@ def test_simhash_components(spark, docs, hot):
     assert got == want
 
 
+def test_simhash_filter_keeps_one_of_each_group(spark, docs):
+    from hirefold.llm.simhash import drop_near_duplicates
+    more = spark.createDataFrame([(3, "one", "z"), (None, "text of no one", "z"), (None, "a third text of no one", "z")], SCHEMA)
+    df = clashing(docs.unionByName(more, allowMissingColumns=True))
+    got = drop_near_duplicates(df)
+    assert got.columns == df.columns
+    kept = sorted((str(r["doc_id"]), (r["text"] or "")[:20]) for r in rows_of(got))
+    assert kept == sorted([("1", ROWS[0][1][:20]), ("3", ""), ("5", LONG[:20]), ("9", ROWS[9][1][:20]), ("3", "one"),
+                           ("None", "text of no one"), ("None", "text of no one"), ("None", "a third text of no o")])
+    assert rows_of(got.where("score <> 'x' or text_key <> 'x' or lost <> 'x'")) == []
+
+
 def test_tiles_find_all_links():
     from hirefold.llm.simhash import tile_links
     rng = np.random.default_rng(2)
@@ -182,7 +203,10 @@ def test_mix_rows(docs):
     from hirefold.llm.mixing import mix, mix_counts
     got = rows_of(mix_counts(docs))
     assert len(got) == len(ROWS) and all(0 <= r["taken"] <= 3 * r["size"] for r in got)
+    named = clashing(docs)
+    assert mix(named).columns == named.columns and mix(named).where("total <> 'x'").count() == 0  # mix_copy comes last there
     taken = mix(docs)
+    assert taken.columns == [*docs.columns, "mix_copy"]
     assert taken.count() == sum(r["copies"] for r in got)
     assert sorted(map(str, rows_of(mix(docs)))) == sorted(map(str, rows_of(taken)))
 
@@ -252,11 +276,28 @@ def test_lines(spark, docs):
         while b < GRAM + REACH and p + b < len(seqs[d]) and q + b < len(seqs[s]) and seqs[d][p + b] == seqs[s][q + b]:
             b += 1
         gone[d] |= set(range(p - a, p + b))
+    size, seen = GRAM + WINDOW - 1, set()
+    for d in sorted(seqs):  # whatever repeats over a window's lines is gone whole
+        for i in range(len(seqs[d]) - size + 1):
+            w = tuple(seqs[d][i:i + size])
+            if w in seen:
+                gone[d] |= set(range(i, i + size))
+            seen.add(w)
     assert {d: r["n_removed"] for d, r in got.items()} == {d: len(x) for d, x in gone.items()}
     assert got[202]["n_removed"] == 2 and "own 5" in got[105]["text"]
     assert dedup_lines(docs).count() == len(ROWS)
 
 
+def test_lines_whose_grams_came_first_elsewhere(spark):
+    from hirefold.llm.lines import dedup_lines
+    run = [f"row {i}" for i in range(9)]
+    texts = [(i, "\n".join([f"x{i}", *run[i:i + 2], f"y{i}"])) for i in range(8)]  # every gram of the run, alone
+    texts += [(50, "\n".join(run)), (60, "\n".join(["new", *run, "own"]))]
+    got = {r["doc_id"]: r for r in rows_of(dedup_lines(spark.createDataFrame(texts, "doc_id long, text string")))}
+    assert got[60]["text"] == "new\nown"
+    assert all(got[i]["n_removed"] == 0 for i in range(8))
+
+
 def test_winnowing_guarantee():
     from hirefold.llm.lines import winnow
     g = np.random.default_rng(1).integers(0, 9, 200).astype(np.uint64)
@@ -265,7 +306,7 @@ def test_winnowing_guarantee():
 
 
 def test_leaks(spark, docs):
-    from hirefold.llm.decontaminate import find_leaks
+    from hirefold.llm.decontaminate import drop_leaks, find_leaks
     rng = random.Random(12)
     voc = [a + b + c for a in "bdfgklmnprst" for b in ("ab", "eno", "iru", "oska", "umi") for c in "bdfgklmnprst"]
     say = lambda n: [rng.choice(voc) for _ in range(n)]
@@ -281,6 +322,12 @@ def test_leaks(spark, docs):
     assert got == {i: [i] if i < 14 else [] for i, _ in rows}
     assert not any(r["contaminated"] for r in rows_of(find_leaks(docs, bench)))
     assert len(rows_of(find_leaks(docs, bench.limit(0)))) == len(ROWS)
+    # Rows that share an id, or have none, are judged one by one.
+    both = [(7, rows[0][1]), (7, rows[-1][1]), (None, rows[1][1]), (None, rows[-2][1]), (None, None)]
+    df = clashing(spark.createDataFrame(both, "doc_id long, text string"))
+    left = drop_leaks(df, bench)
+    assert left.columns == df.columns
+    assert sorted(str(r["text"]) for r in rows_of(left)) == sorted(str(t) for _, t in (both[1], both[3], both[4]))
 
 
 def test_common_subsequence():
@@ -319,6 +366,13 @@ def test_classifiers(spark, docs, empty, name, column):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in out]) > 0.95
     assert run(docs, lab).where("score between 0 and 1").count() == len(ROWS)
     assert run(empty, lab.limit(0)).count() == 0
+    if name == "toxicity":
+        mixed = clashing(df.unionByName(df.where("doc_id < 8").withColumn("doc_id", F.lit(None).cast("long"))))
+        left = toxicity.drop_toxic(mixed, lab)
+        want = rows_of(run(mixed.select("doc_id", "text"), lab).where("predicted = 0"))
+        assert left.columns == mixed.columns
+        assert sorted(str(r["doc_id"]) for r in rows_of(left)) == sorted(str(r["doc_id"]) for r in want)
+        assert left.where("doc_id is null").count() == 4  # even ids are clean
 
 
 def test_empty_tables(empty):
