@@ -1,10 +1,10 @@
 """Application history: suppress roles already ruled on, note the rest.
 
-History is configuration (tens to thousands of rulings). It is folded to one
-row per company key holding its entries in file order, broadcast behind a
-row bound, and matched with higher-order functions on the postings side: a
-map-side hash join, no shuffle of postings, and a hot company costs nothing
-extra. Without the bound the same join runs as a shuffle join under AQE.
+History is folded to one row per company key holding, in file order, the
+first entry of each distinct role key (later ones can't decide anything), and
+matched with higher-order functions on the postings side. AQE picks the join
+from the folded table's size: a broadcast for a configuration-sized history,
+else a shuffle join with skew splitting.
 """
 
 from __future__ import annotations
@@ -15,21 +15,25 @@ from pyspark.sql import types as T
 
 from hirefold import rules as R
 from hirefold.functions.text import normalize_company, normalize_title
-from hirefold.operators.joins import bounded_broadcast
 
 ENTRY_KEYS = ("company", "status", "role", "date", "reason")
 
 
 def history_by_company(history: DataFrame) -> DataFrame:
     """(company_key, entries) with entries sorted by file ordinal; blank
-    company keys are skipped."""
+    company keys are skipped. Entries that a previous one of the company
+    answers for (same role key, same scope) are left out, so an array is
+    bounded by a company's distinct role titles."""
     h = history.withColumn("company_key", normalize_company(F.col("company"))) \
         .where(F.col("company_key") != "")
     entry = F.struct(
         F.col("ordinal"), F.col("status"), F.col("role"), F.col("date"), F.col("reason"),
         F.col("status").isin(*R.COMPANY_WIDE_STATUSES).alias("company_wide"),
         normalize_title(F.col("role")).alias("role_key"))
-    return h.groupBy("company_key").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
+    firsts = (h.select("company_key", entry.alias("e"))
+              .groupBy("company_key", "e.company_wide", F.col("e.role").isNull().alias("no_role"), "e.role_key")
+              .agg(F.min("e").alias("e")))
+    return firsts.groupBy("company_key").agg(F.array_sort(F.collect_list("e")).alias("entries"))
 
 
 def attach_history(postings: DataFrame, history: DataFrame) -> DataFrame:
@@ -39,7 +43,7 @@ def attach_history(postings: DataFrame, history: DataFrame) -> DataFrame:
     Company-wide rulings (dq, blacklist) win first, in file order; then the
     first entry with no role or whose role title-matches the posting.
     """
-    hb = bounded_broadcast(history_by_company(history).withColumnRenamed("company_key", "_hck"))
+    hb = history_by_company(history).withColumnRenamed("company_key", "_hck")
     p = postings.withColumn("_ck", normalize_company(F.col("company_name")))
     j = p.join(hb, p["_ck"] == hb["_hck"], "left")
     # Title keys are computed once per posting (and once per ruling in the
