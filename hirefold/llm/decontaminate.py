@@ -323,8 +323,9 @@ def _one_block(rows: DataFrame, items: list[tuple[int, str]], seed: int = 5) ->
     rows_ /= np.linalg.norm(rows_, axis=1, keepdims=True) + 1e-9
     z += rows_.T @ (rows_ @ omega) * (ITEM_WEIGHT ** 2 * max(1, n.get(-1, 0)) / len(rows_))
     basis, power, _ = np.linalg.svd(z, full_matrices=False)
-    # A small table spans fewer directions than RANK; the rest are noise.
-    rank = max(1, int((power[:RANK] > 1e-6 * power[0]).sum()))
+    # Few items, or a small table, span fewer directions than RANK; the rest
+    # tell no items apart, and the scale below would lift them over the others.
+    rank = max(1, min(len(bench.items), int((power[:RANK] > 1e-6 * power[0]).sum())))
     # The range sample's singular values are squares of the matrix's.
     scale = np.maximum(power[:rank], 1e-300) ** -0.25
     return blobs.mapInArrow(_search(shared, basis[:, :rank] * scale * idf[:, None]), HITS)
