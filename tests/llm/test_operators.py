@@ -298,6 +298,31 @@ def test_lines_whose_grams_came_first_elsewhere(spark):
     assert all(got[i]["n_removed"] == 0 for i in range(8))
 
 
+@pytest.mark.parametrize("where", ["rows", "sf0.001"])
+def test_every_repeated_line_goes(spark, docs, tmp_path, where):
+    from hirefold.llm.queries import op10_lines
+    sf = "/root/testdata/sf0.001"
+    if where == "rows":
+        sf = str(tmp_path)
+        more = [(20, "a1\nsame\nb1"), (21, "a2\n same \nb2\n\nb2"), (22, "same"), (23, None), (20, "other\nb1"),
+                (20, "a1\nsame\nb1"), (None, "same\nlast"), (None, "last\nlast line")]
+        docs.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string")).write.parquet(f"{sf}/documents.parquet")
+    every = [(r["doc_id"], (r["text"] or "").encode()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    key = lambda r: (r[0] is None, r[0] or 0,
+                     int.from_bytes(hashlib.blake2b(r[1], digest_size=8).digest(), "little", signed=True))
+    seen, want = set(), {}
+    for r in sorted(set(every), key=key):
+        left = []
+        for x in r[1].split(b"\n"):
+            if not x.strip() or x.strip() not in seen:
+                left.append(x)
+            seen.add(x.strip())
+        n = r[1].count(b"\n") + 1
+        want[r] = (str(r[0]), n, n - len(left), hashlib.sha256(b"\n".join(left)).hexdigest())
+    got = [(str(r["doc_id"]), r["n_lines"], r["n_removed"], r["kept_sha256"]) for r in rows_of(op10_lines(spark, sf))]
+    assert sorted(got) == sorted(want[r] for r in every) and sum(r[2] for r in got) > 3
+
+
 def test_winnowing_guarantee():
     from hirefold.llm.lines import winnow
     g = np.random.default_rng(1).integers(0, 9, 200).astype(np.uint64)
