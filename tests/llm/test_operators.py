@@ -3,6 +3,7 @@ column, empty and long texts, ties, repeated rows, empty tables, extra
 columns with clashing names."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -247,6 +248,46 @@ def test_licenses(spark, docs):
     assert scan_licenses(docs).count() == len(ROWS)
 
 
+def test_licenses_of_real_files(spark):
+    from hirefold.llm.licenses import LICENSES, scan_licenses
+    body = LICENSES["MIT"].split("\n", 1)[1]
+    bsd = LICENSES["BSD-3-Clause"].replace("the copyright holder nor", "Example, Inc. nor").replace("1. Re", "* Re")
+    apache = """/*
+ * Copyright 2020 Example
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License"); you may not use
+ * this file except in compliance with the License. You may obtain a copy
+ * of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ */
+int main();"""
+    gpl = """# This program is free software; you can redistribute it and/or
+# modify it under the terms of the GNU General Public License as
+# published by the Free Software Foundation; either version 2 of the
+# License, or (at your option) any later version.
+#
+import os"""
+    rows = [("no title", body), ("title", "The MIT License (MIT)\n" + body), ("other title", "A Story\n" + body), ("bsd", bsd),
+            ("bare bsd", bsd.replace("* Re", "Re").replace("2. Re", "Re").replace("3. Ne", "Ne")), ("apache", apache), ("gpl", gpl),
+            ("apache line", 'x\n// Licensed under the Apache License, Version 2.0 (the "License");\ny'),
+            ("changed", gpl.replace("either version 2", "either version 7"))]
+    want = {"no title": ("MIT", "", 0), "title": ("MIT", "", 0), "other title": (None, "", 0),
+            "bsd": (None, "", 0),  # only some numbers are gone
+            "bare bsd": ("BSD-3-Clause", "", 0), "apache": (None, "Apache-2.0", 3), "gpl": (None, "GPL-2.0-or-later", 4),
+            "apache line": (None, "Apache-2.0", 1), "changed": (None, "", 0)}
+    for name, file in (("Apache-2.0", "Apache-2.0"), ("GPL-2.0", "GPL-2"), ("GPL-3.0", "GPL-3"), ("LGPL-2.1", "LGPL-2.1"),
+                       ("LGPL-3.0", "LGPL-3"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0")):
+        path = f"/usr/share/common-licenses/{file}"
+        if os.path.exists(path):
+            text = open(path, encoding="utf-8").read()
+            rows += [(name, text), (name + " changed", text.replace("the", "no", 1))]
+            want |= {name: name, name + " changed": None}
+    df = spark.createDataFrame(list(enumerate(t for _, t in rows)), "doc_id long, text string")
+    got = {rows[r["doc_id"]][0]: (r["license_id"], r["notices"], r["n_notice_lines"]) for r in rows_of(scan_licenses(df))}
+    assert {k: v if isinstance(want[k], tuple) else v[0] for k, v in got.items()} == want
+
+
 def test_lines(spark, docs):
     from hirefold.llm.lines import GRAM, REACH, WINDOW, dedup_lines, line_hashes, winnow
     from hirefold.llm.words import gram_hashes
