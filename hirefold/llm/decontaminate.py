@@ -118,10 +118,10 @@ def _index(shared):
             place = (place - np.repeat(first[:-1], np.diff(cuts))).astype(np.uint32)
             number = number.astype(bench.kind)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(np.diff(first), pa.int64()),
+                [b.column("doc_id"), b.column("text_key"), pa.array(np.diff(first), pa.int64()),
                  pa.array([place[x:y].tobytes() for x, y in pairs], pa.binary()),
                  pa.array([number[x:y].tobytes() for x, y in pairs], pa.binary())],
-                ["doc_id", "n_words", "places", "numbers"])
+                ["doc_id", "text_key", "n_words", "places", "numbers"])
     return run
 
 
@@ -287,22 +287,23 @@ def _search(shared, space: np.ndarray):
                         found[rows[r]][item] = share
             hits = [[{"item_id": bench.ids[k], "share": s} for k, s in sorted(f.items())] for f in found]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(hits, pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())])))],
-                ["doc_id", "hits"])
+                [b.column("doc_id"), b.column("text_key"),
+                 pa.array(hits, pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())])))],
+                ["doc_id", "text_key", "hits"])
     return run
 
 
-HITS = "doc_id long, hits array<struct<item_id:long,share:double>>"
+HITS = "doc_id long, text_key long, hits array<struct<item_id:long,share:double>>"
 
 
 def _one_block(rows: DataFrame, items: list[tuple[int, str]], seed: int = 5) -> DataFrame:
-    """(doc_id, hits) of every row against one block of items."""
+    """(doc_id, text_key, hits) of every row against one block of items."""
     spark = rows.sparkSession
     bench = Benchmark(items)
     if not bench.ids:
-        return rows.select("doc_id", F.array().cast("array<struct<item_id:long,share:double>>").alias("hits"))
+        return rows.select("doc_id", "text_key", F.array().cast("array<struct<item_id:long,share:double>>").alias("hits"))
     shared = Shared(spark, bench)
-    blobs = cut(rows.mapInArrow(_index(shared), "doc_id long, n_words long, places binary, numbers binary"))
+    blobs = cut(rows.mapInArrow(_index(shared), "doc_id long, text_key long, n_words long, places binary, numbers binary"))
     counted = (blobs.mapInArrow(_frequencies(shared), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
                .toArrow())  # one row a word of the block
     n = dict(zip(counted.column("word").to_pylist(), counted.column("n").to_pylist(), strict=True))
@@ -335,7 +336,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
                item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, contaminated, item_ids (array, sorted),
     share (largest share of an item's words found; 0 if none)."""
-    rows = keyed_text(docs, id_col, text_col)
+    # Rows that share an id, or have none, are told apart by their text.
+    rows = keyed_text(docs, id_col, text_col).withColumn("text_key", F.xxhash64("doc_id", "text"))
     items = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("item_id"),
                              F.coalesce(F.col(f"`{item_text_col}`").cast("string"), F.lit("")).alias("text"))
     out, block, size = None, [], 0
@@ -344,7 +346,6 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         part = _one_block(rows, sorted(block, key=lambda x: (x[0] is None, x[0] or 0, x[1])))
         if out is None:
             return part
-        # Blocks after the first meet per row: repeated ids keep their order by hash.
         return out.unionByName(part)
 
     blocks = 0
@@ -355,7 +356,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         size += len(r["text"].encode())
     out = flush(out)
     if blocks:
-        out = (out.groupBy("doc_id").agg(F.flatten(F.collect_list("hits")).alias("hits"), F.count("*").alias("n"))
+        # Blocks meet per id and text; copies of a row have equal hits, kept once.
+        out = (out.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_set("hits")).alias("hits"), F.count("*").alias("n"))
                .select("doc_id", "hits", F.explode(F.sequence(F.lit(1), (F.col("n") / (blocks + 1)).cast("int")))))
     ids = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item_id"])))
     return out.select("doc_id", (F.size("hits") > 0).alias("contaminated"), ids.alias("item_ids"),

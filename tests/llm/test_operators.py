@@ -396,6 +396,26 @@ def test_leaks(spark, docs):
     assert sorted(str(r["text"]) for r in rows_of(left)) == sorted(str(t) for _, t in (both[1], both[3], both[4]))
 
 
+def test_leaks_of_several_blocks(spark, monkeypatch):
+    from hirefold.llm import decontaminate
+    rng = random.Random(21)
+    voc = [a + b + c for a in "bdfgklmnprst" for b in ("ab", "eno", "iru", "oska", "umi") for c in "bdfgklmnprst"]
+    say = lambda n: [rng.choice(voc) for _ in range(n)]
+    items = [(i, " ".join(say(20)) + ". " + " ".join(say(10)) + ".") for i in range(20)]
+    held = lambda *ks: " ".join(say(40) + [x for k in ks for x in [items[k][1], *say(40)]])
+    rows = [(7, held(0), [0]), (7, held(19), [19]), (7, held(), []), (None, held(3), [3]), (None, held(12, 4), [4, 12]),
+            (None, held(), []), (None, None, []), (8, held(1, 17), [1, 17]), (9, held(), []), (9, "", [])]
+    rows += [rows[0], rows[5], rows[5]]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    df = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    blocks, one = [], decontaminate._one_block
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 6 * len(items[0][1]))
+    monkeypatch.setattr(decontaminate, "_one_block", lambda *a, **k: (blocks.append(1), one(*a, **k))[1])
+    got = sorted((str(r["doc_id"]), r["item_ids"], r["contaminated"]) for r in rows_of(decontaminate.find_leaks(df, bench)))
+    assert len(blocks) > 2
+    assert got == sorted((str(i), ids, bool(ids)) for i, _, ids in rows)
+
+
 def test_common_subsequence():
     from hirefold.llm.decontaminate import common_subsequence
     rng = random.Random(5)
