@@ -386,7 +386,8 @@ def dedup_substrings(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id",
     rows = keyed_text(docs, id_col, text_col)
     total = pieces(rows, F.octet_length("text"), BATCH)
     n = max(1, total * BATCH // SHARD)
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(total)))
+    # By id and text: texts of a repeated or null id spread too.
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("doc_id", "text"), F.lit(total)))
     by_batch = rows.groupBy("batch")
     sent = by_batch.applyInArrow(_send(size, n), "bucket long, batch long, keys binary, many binary")
     replies = sent.groupBy("bucket").applyInArrow(_reply, "batch long, bucket long, live binary, hot binary")

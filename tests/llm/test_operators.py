@@ -178,6 +178,29 @@ def test_substrings(spark, docs):
     substring.HOT = 64
 
 
+def test_substring_batches_of_one_id(spark, monkeypatch):
+    from hirefold.llm import substring
+    rng = random.Random(17)
+    shared = " ".join(f"s{i}" for i in range(20))
+    rows = [(None if i % 2 else 5, f"a{i} {shared if i % 3 else ''} " + " ".join(f"w{rng.randint(0, 999)}" for _ in range(20)))
+            for i in range(60)] + [(1, shared)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    run = lambda: sorted(map(str, rows_of(substring.dedup_substrings(df))))
+    want = run()
+    monkeypatch.setattr(substring, "BATCH", 1000)
+    assert run() == want
+
+    def sizes(size):
+        def count(left, right):
+            import pyarrow as pa
+            return pa.table({"doc_id": pa.array([None], pa.int64()), "n_words": pa.array([left.num_rows], pa.int64()),
+                             "n_removed": pa.array([0], pa.int64()), "text": pa.array([""], pa.string())})
+        return count
+    monkeypatch.setattr(substring, "_remove", sizes)
+    n = [r["n_words"] for r in rows_of(substring.dedup_substrings(df))]
+    assert sum(n) == len(rows) and max(n) < len(rows) // 3
+
+
 def test_mix_targets(spark):
     from hirefold.llm.mixing import source_targets
     rng = random.Random(3)
