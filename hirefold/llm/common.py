@@ -4,6 +4,7 @@ lineage cuts, input normalisation, batching and connected components."""
 from __future__ import annotations
 
 import math
+import uuid
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -32,6 +33,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Steps:
+    """Written tables between the rounds of an iterative operator, in the
+    shared checkpoint folder. Unlike a checkpoint, a table that is read back
+    has its own size, not the product of all it came from, so plans of many
+    rounds stay plannable."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self._spark, self._n = spark, 0
+        self._base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self._base}/{self._n}"
+        self._n += 1
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+
 class Shared:
     """A broadcast object that tasks can load without this package on their
     path (it travels pickled by value)."""
