@@ -1,7 +1,7 @@
 """Token counts of a byte-level BPE vocabulary, with a whole-token shortcut.
 
 The vocabulary file (the JSON format of the tokenizers library) is read once,
-on the driver, and three facts are worked out there before any text is seen:
+on the driver, and two facts are worked out there before any text is seen:
 
 * which vocabulary strings encode alone as one token. Being in the vocabulary
   isn't enough: the merges must also lead there, so every string is merged and
@@ -9,10 +9,7 @@ on the driver, and three facts are worked out there before any text is seen:
 * which code points the library's letter and number classes hold. Its Unicode
   tables are older than those of the ``regex`` module, so every letter and
   number of the latter is put to the library's own pre-tokeniser, in one call,
-  and those that it doesn't join are taken out of the classes;
-* that a merge never makes a pair of a lower rank than its own, so that all
-  places of the lowest pair can be merged in one go (``in_order``); else they
-  are merged one at a time.
+  and those that it doesn't join are taken out of the classes.
 
 In the tasks a text is cut into pre-tokens by the library's pattern. A
 pre-token that is a whole token counts one; only the others are merged, each
@@ -32,6 +29,7 @@ from __future__ import annotations
 import heapq
 import json
 from array import array
+from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,57 +54,50 @@ def byte_letters() -> dict[int, str]:
 
 
 class Merges:
-    """Merge rules by pair of token ids: (rank, id of the merged token)."""
+    """Merge rules: the rank of each pair of token ids, and the token that each rank makes."""
+
+    #: The rank of a pair without a rule.
+    NONE = 1 << 40
 
     def __init__(self, vocab: dict[str, int], merges: list):
         letters = byte_letters()
         self.first = [vocab[letters[b]] for b in range(256)]
-        self.rules: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[tuple[int, int], int] = {}
+        self.makes = []
         for rank, m in enumerate(merges):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.rules.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
-        made = {}
-        for rank, token in self.rules.values():
-            made[token] = max(made.get(token, -1), rank)
-        self.in_order = all(rank > max(made.get(a, -1), made.get(b, -1)) for (a, b), (rank, _) in self.rules.items())
+            self.ranks.setdefault((vocab[a], vocab[b]), rank)
+            self.makes.append(vocab[a + b])
 
     def count(self, data: bytes) -> int:
         """How many tokens ``data`` ends as, taken as one pre-token."""
-        return len(self._short(data)) if len(data) <= 64 else self._long(data)
-
-    def _short(self, data: bytes) -> list[int]:
-        first, rules = self.first, self.rules
-        ids = [first[b] for b in data]
-        while len(ids) > 1:
-            best, at, to = None, 0, 0
-            for i, pair in enumerate(zip(ids, ids[1:])):  # noqa: B905
-                rule = rules.get(pair)
-                if rule is not None and (best is None or rule[0] < best):
-                    best, at, to = rule[0], i, rule[1]
-            if best is None:
+        return self._short(data) if len(data) <= 64 else self._long(data)
+
+    def _short(self, data: bytes) -> int:
+        """Lowest rank first, leftmost first, over plain lists."""
+        rank_of, none = self.ranks.get, self.NONE
+        ids = [self.first[b] for b in data]
+        ranks = list(map(rank_of, zip(ids, ids[1:]), repeat(none)))  # noqa: B905
+        while ranks:
+            low = min(ranks)
+            if low == none:
                 break
-            if not self.in_order:
-                ids[at:at + 2] = [to]
-                continue
-            a, b = ids[at], ids[at + 1]
-            out, i, n = ids[:at], at, len(ids)
-            while i < n:
-                if ids[i] == a and i + 1 < n and ids[i + 1] == b:
-                    out.append(to)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
+            i = ranks.index(low)
+            ids[i] = token = self.makes[low]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = rank_of((ids[i - 1], token), none)
+            if i < len(ranks):
+                ranks[i] = rank_of((token, ids[i + 1]), none)
+        return len(ids)
 
     def _long(self, data: bytes) -> int:
         """Lowest rank first, leftmost first: a heap of rank and place over a
         linked list. Entries whose pair is gone are passed over."""
-        rules, n = self.rules, len(data)
+        rank_of, n = self.ranks.get, len(data)
         ids = array("i", [self.first[b] for b in data])
         right, left = array("q", range(1, n + 1)), array("q", range(-1, n - 1))
-        heap = [rule[0] << 40 | i for i in range(n - 1) if (rule := rules.get((ids[i], ids[i + 1])))]
+        heap = [rank << 40 | i for i in range(n - 1) if (rank := rank_of((ids[i], ids[i + 1]))) is not None]
         heapq.heapify(heap)
         alive, mask = n, (1 << 40) - 1
         while heap:
@@ -115,18 +106,19 @@ class Merges:
             j = right[i]
             if ids[i] < 0 or j >= n:
                 continue
-            rule = rules.get((ids[i], ids[j]))
-            if rule is None or rule[0] != x >> 40:
+            rank = x >> 40
+            if rank_of((ids[i], ids[j])) != rank:
                 continue
-            ids[i], ids[j] = rule[1], -1
+            ids[i], ids[j] = self.makes[rank], -1
+            token = ids[i]
             k = right[i] = right[j]
             alive -= 1
             if k < n:
                 left[k] = i
-                if (after := rules.get((rule[1], ids[k]))) is not None:
-                    heapq.heappush(heap, after[0] << 40 | i)
-            if (h := left[i]) >= 0 and (before := rules.get((ids[h], rule[1]))) is not None:
-                heapq.heappush(heap, before[0] << 40 | h)
+                if (after := rank_of((token, ids[k]))) is not None:
+                    heapq.heappush(heap, after << 40 | i)
+            if (h := left[i]) >= 0 and (before := rank_of((ids[h], token))) is not None:
+                heapq.heappush(heap, before << 40 | h)
         return alive
 
 
