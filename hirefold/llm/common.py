@@ -37,15 +37,22 @@ class Steps:
     """Written tables between the rounds of an iterative operator, in the
     shared checkpoint folder. Unlike a checkpoint, a table that is read back
     has its own size, not the product of all it came from, so plans of many
-    rounds stay plannable."""
+    rounds stay plannable; and small tables are written by few tasks."""
+
+    #: Rows that a task writes, where a step's number of rows is known to be bounded.
+    ROWS = 10_000
 
     def __init__(self, spark: SparkSession, name: str):
         self._spark, self._n = spark, 0
         self._base = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, most: int | None = None) -> DataFrame:
+        """``df``, written and read back. ``most``: it has no more rows."""
         path = f"{self._base}/{self._n}"
         self._n += 1
+        tasks = None if most is None else max(1, math.ceil(most / self.ROWS))
+        if tasks and tasks < int(self._spark.conf.get("spark.sql.shuffle.partitions")):
+            df = df.coalesce(tasks)
         df.write.parquet(path)
         return self._spark.read.schema(df.schema).parquet(path)
 
