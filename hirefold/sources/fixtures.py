@@ -304,7 +304,11 @@ LEVER_INTERVALS = ("per-year-salary", "per-month-salary", "per-hour-wage", None,
 INTERVAL_DIVISOR = (1, 12, 2080, 1, 1)
 BOARD_ORDERS = 30000      # order keys per board: more orders make more boards, not longer documents
 PAGE_STEP = 8             # postings a page of a paginated board
-STALE_BOARDS = (4, 5)     # board % 30: the last page lies beyond the total the board reports
+# board % 30 of paginated boards whose pages differ in what they report:
+STALE_BOARDS = (4, 5)     # a total one page too low on every page, so the last page is never asked for
+GROWN_BOARDS = (16, 17)   # a total that is one page ahead until the end, so every page is read
+SHRUNK_BOARDS = (22, 23)  # the full total first, then one page: the walk ends after the second
+EMPTY_BOARDS = (28, 29)   # the second page is empty: the walk ends there
 
 
 def _json_string(c: Column) -> Column:
@@ -346,7 +350,8 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     A board covers ``BOARD_ORDERS`` order keys at most, so no document grows
     with the data. Planted: boards that fail on the first page (7: 404, 11:
     503, 6: a body that is not JSON) or on a later one (10: 503, 40: 404),
-    pages beyond the reported total (``STALE_BOARDS``), failing ones at 34."""
+    pages beyond the reported total (``STALE_BOARDS``), failing ones at 34;
+    totals that grow or shrink on the way, and an empty page in the middle."""
     f = _order_facts(spark, sf_dir)
     k = F.col("k")
     iso = F.concat(F.col("day"), F.lit("T00:00:00.000Z"))
@@ -429,11 +434,15 @@ def raw_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.size("_all")
     paged = F.col("vendor").isin("smartrecruiters", "workday")
     stale = (F.col("board") % 30).isin(*STALE_BOARDS)
-    docs = docs.withColumn("total", F.when(stale, F.greatest(size - PAGE_STEP, F.lit(1))).otherwise(size))
+    grown, shrunk, hollow = ((F.col("board") % 30).isin(*x) for x in (GROWN_BOARDS, SHRUNK_BOARDS, EMPTY_BOARDS))
     docs = docs.withColumn("page", F.explode(F.sequence(F.lit(0), F.when(
         paged, F.floor((size - 1) / PAGE_STEP).cast("int")).otherwise(F.lit(0)))))
     docs = docs.withColumn("offset", F.col("page") * PAGE_STEP)
-    docs = docs.withColumn("_jobs", F.when(paged, F.slice("_all", F.col("offset") + 1, F.lit(PAGE_STEP)))
+    docs = docs.withColumn("total", F.when(stale, F.greatest(size - PAGE_STEP, F.lit(1)))
+                           .when(grown, F.least(size, (F.col("page") + 1) * PAGE_STEP + 1))
+                           .when(shrunk & (F.col("page") > 0), F.lit(PAGE_STEP)).otherwise(size))
+    docs = docs.withColumn("_jobs", F.when(paged & hollow & (F.col("page") == 1), F.slice("_all", 1, 0))
+                           .when(paged, F.slice("_all", F.col("offset") + 1, F.lit(PAGE_STEP)))
                            .otherwise(F.col("_all")))
     board, later = F.col("board"), F.col("page") > 0
     docs = docs.withColumn("http_status", F.when((board == 7) | ((board == 40) & later), F.lit(404)).when(

@@ -10,7 +10,7 @@ one left join on (vendor, slug, external id) restricted to gated rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirefold import rules as R
@@ -112,56 +112,75 @@ def _parsed_comp():
     return comp, F.when(found, p["flags"]).otherwise(no_flags())
 
 
-PAGED_TOTALS = {"smartrecruiters": "totalFound", "workday": "total"}
+#: Paginated vendors: where a list page keeps its total and its postings.
+PAGED = {"smartrecruiters": ("totalFound", "content"), "workday": ("total", "jobPostings")}
+
+
+def walked_pages(raw: DataFrame) -> DataFrame:
+    """One narrow row per list document: vendor, slug, offset, ``read`` (the
+    board's walk asks for it), ``rows`` (postings on it), ``failed`` (offset,
+    status, error; NULL where it answered).
+
+    A paginated board is walked in offset order: the first page is always
+    asked for, a later one as long as the rows received so far are fewer than
+    the total that the page before reported (the latest, so a board that
+    grows or shrinks on the way is followed) and no page came back empty.
+    An ordered fold, as running sums over a board's pages; each body is
+    parsed once and none is shuffled."""
+    status = F.coalesce(F.col("http_status"), F.lit(200))
+    parsed = raw.where(F.col("kind") == "list").select(
+        "vendor", "slug", F.coalesce(F.col("offset"), F.lit(0)).alias("offset"), status.alias("status"), "error",
+        F.when(status < 400, F.try_parse_json("body")).alias("doc"))
+    total, rows = F.lit(None).cast("bigint"), F.lit(None).cast("int")
+    for vendor, (of, at) in PAGED.items():
+        here = F.col("vendor") == vendor
+        total = F.when(here, F.coalesce(F.try_variant_get("doc", f"$.{of}", "bigint"), F.lit(0))).otherwise(total)
+        rows = F.when(here, F.coalesce(F.size(F.try_variant_get("doc", f"$.{at}", "array<variant>")), F.lit(0))).otherwise(rows)
+    unreadable = (F.col("status") < 400) & F.col("doc").isNull()
+    error = F.when(unreadable, F.lit(R.BAD_JSON)).otherwise(
+        F.coalesce(F.col("error"), F.concat(F.lit("HTTP "), F.col("status").cast("string"))))
+    pages = parsed.select("vendor", "slug", "offset", total.alias("total"), F.greatest(rows, F.lit(0)).alias("rows"), F.when(
+        unreadable | (F.col("status") >= 400),
+        F.struct(F.col("offset"), F.col("status"), error.alias("error"))).alias("failed"))
+    walk = Window.partitionBy("vendor", "slug").orderBy("offset", F.col("failed").asc_nulls_first(), "total", "rows")
+    received = F.sum("rows").over(walk.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = F.col("vendor").isin(*PAGED) & (F.col("failed").isNotNull() | (F.col("rows") == 0) | (received >= F.col("total")))
+    pages = pages.withColumn("_ends", ends)
+    before = F.max("_ends").over(walk.rowsBetween(Window.unboundedPreceding, -1))
+    return pages.select("vendor", "slug", "offset", (~F.coalesce(before, F.lit(False))).alias("read"), "rows", "failed")
 
 
 def board_outcomes(raw: DataFrame) -> DataFrame:
     """Per (vendor, slug): ``outcome`` (answered / 404 / unavailable), its
-    ``reason`` (NULL when answered), the ``start`` offset of its first page
-    and the ``total`` a paginated board reports there (0 when none).
+    ``reason`` (NULL when answered) and the ``last`` offset that its walk
+    reads.
 
     A board answers as a whole: the first failing page among those that are
     read (status 400 or more, or a body that is not JSON) decides for all of
-    it, 404 as not found and anything else as unavailable. Pages at or past
-    the total are never asked for, so theirs do not count; nor does a Workday
-    slug that cannot address a board (not found). One aggregate over a few
-    short columns: the bodies are not shuffled."""
-    lists = raw.where(F.col("kind") == "list")
-    status = F.coalesce(F.col("http_status"), F.lit(200))
-    unreadable = (status < 400) & F.try_parse_json("body").isNull()
-    total = None
-    for vendor, field in PAGED_TOTALS.items():
-        read = F.coalesce(F.get_json_object("body", f"$.{field}").cast("bigint"), F.lit(0))
-        total = F.when(F.col("vendor") == vendor, read) if total is None else total.when(
-            F.col("vendor") == vendor, read)
-    offset = F.coalesce(F.col("offset"), F.lit(0))
-    error = F.when(unreadable, F.lit(R.BAD_JSON)).otherwise(
-        F.coalesce(F.col("error"), F.concat(F.lit("HTTP "), status.cast("string"))))
-    per = lists.select("vendor", "slug", offset.alias("offset"), total.alias("total"), F.when(
-        unreadable | (status >= 400), F.struct(offset.alias("offset"), status.alias("status"),
-                                               error.alias("error"))).alias("failed"))
-    g = per.groupBy("vendor", "slug").agg(F.min("offset").alias("start"), F.min("failed").alias("_f"),
-                                          F.min_by("total", "offset").alias("total"))
-    hit = F.col("_f").isNotNull() & ((F.col("_f.offset") == F.col("start")) | F.col("total").isNull()
-                                     | (F.col("_f.offset") < F.col("total")))
+    it, 404 as not found and anything else as unavailable. So does a Workday
+    slug that cannot address a board (not found). The aggregate reuses the
+    walk's partitioning."""
+    read = F.col("read")
+    g = walked_pages(raw).groupBy("vendor", "slug").agg(
+        F.max(F.when(read, F.col("offset"))).alias("last"), F.min(F.when(read, F.col("failed"))).alias("_f"))
+    failed = F.col("_f").isNotNull()
     bad_wd = (F.col("vendor") == "workday") & workday_slug(F.col("slug")).isNull()
-    outcome = (F.when(bad_wd | (hit & (F.col("_f.status") == 404)), F.lit("404"))
-               .when(hit, F.lit("unavailable")).otherwise(F.lit("answered")))
+    outcome = (F.when(bad_wd | (failed & (F.col("_f.status") == 404)), F.lit("404"))
+               .when(failed, F.lit("unavailable")).otherwise(F.lit("answered")))
     reason = (F.when(outcome == "404", F.lit(R.WARNING_404))
               .when(outcome == "unavailable", F.concat(F.lit("unavailable: "), F.col("_f.error"))))
-    return g.select("vendor", "slug", outcome.alias("outcome"), reason.alias("reason"), "start", "total")
+    return g.select("vendor", "slug", outcome.alias("outcome"), reason.alias("reason"), "last")
 
 
 def _answered(raw: DataFrame, vendor: str, outcomes: DataFrame | None = None) -> DataFrame:
     """The list documents of one vendor's answered boards, of a paginated
-    vendor the first page and those below the total it reports."""
+    vendor those that the walk reads (they are the first in offset order)."""
     if outcomes is None:
         outcomes = board_outcomes(raw.where(F.col("vendor") == vendor))
     good = outcomes.where((F.col("vendor") == vendor) & (F.col("outcome") == "answered")).select(
-        "slug", F.col("start").alias("_start"), F.col("total").alias("_total"))
+        "slug", F.col("last").alias("_last"))
     docs = raw.where((F.col("vendor") == vendor) & (F.col("kind") == "list")).join(good, "slug")
-    offset = F.coalesce(F.col("offset"), F.lit(0))
-    return docs.where((offset == F.col("_start")) | (offset < F.col("_total"))) if vendor in PAGED_TOTALS else docs
+    return docs.where(F.coalesce(F.col("offset"), F.lit(0)) <= F.col("_last")) if vendor in PAGED else docs
 
 
 def _details(raw: DataFrame, vendor: str) -> DataFrame:
@@ -452,7 +471,7 @@ def land_raw(raw: DataFrame, path: str) -> DataFrame:
 def scan_accounting(raw: DataFrame) -> DataFrame:
     """Per board: ``answered``, or a warning row with its reason (404: not
     found; other failure: unavailable with the error)."""
-    return board_outcomes(raw).drop("start", "total")
+    return board_outcomes(raw).drop("last")
 
 
 def probe_from_board(raw: DataFrame) -> DataFrame:

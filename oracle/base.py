@@ -28,7 +28,7 @@ def with_(*ctes: str) -> str:
             if c not in seen:
                 seen.add(c)
                 out.append(c)
-    return "WITH " + ",\n".join(out) + "\n"
+    return "WITH RECURSIVE " + ",\n".join(out) + "\n"
 
 
 def fmt_thousands(expr: str) -> str:

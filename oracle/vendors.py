@@ -46,14 +46,35 @@ def ro_ctes() -> list[str]:
         f"""ro_p AS (
   SELECT *, count(*) OVER b AS n, (row_number() OVER (b ORDER BY k) - 1) // {FX.PAGE_STEP} AS page
   FROM ro_o WINDOW b AS (PARTITION BY vendor, slug))""",
-        # The rule: a board answers as a whole; pages are read up to its total.
-        f"""ro AS (
-  SELECT *, CASE WHEN board % 30 IN {FX.STALE_BOARDS} THEN greatest(n - {FX.PAGE_STEP}, 1) ELSE n END AS total,
-    vendor NOT IN ('smartrecruiters', 'workday') OR page = 0 OR page * {FX.PAGE_STEP} < total AS on_read_page,
-    CASE WHEN board = 7 OR (board = 40 AND n > {FX.PAGE_STEP}) THEN '404'
-         WHEN board IN (6, 11) OR (board = 10 AND n > {FX.PAGE_STEP}) THEN 'unavailable' ELSE 'answered' END AS outcome,
-    outcome = 'answered' AND on_read_page AS answered
+        f"""ro_t AS (
+  SELECT *, CASE WHEN board % 30 IN {FX.STALE_BOARDS} THEN greatest(n - {FX.PAGE_STEP}, 1)
+                 WHEN board % 30 IN {FX.GROWN_BOARDS} THEN least(n, (page + 1) * {FX.PAGE_STEP} + 1)
+                 WHEN board % 30 IN {FX.SHRUNK_BOARDS} AND page > 0 THEN {FX.PAGE_STEP} ELSE n END AS said,
+    board % 30 IN {FX.EMPTY_BOARDS} AND page = 1 AND vendor IN ('smartrecruiters', 'workday') AS vanished,
+    vendor IN ('smartrecruiters', 'workday') AS paged
   FROM ro_p)""",
+        "ro_d AS (SELECT *, CASE WHEN paged THEN page ELSE 0 END AS doc FROM ro_t)",
+        f"""ro_pages AS (
+  SELECT *, CASE WHEN board = 7 OR (board = 40 AND page > 0) THEN '404'
+                 WHEN board IN (6, 11) OR (board = 10 AND page > 0)
+                   OR (board = 34 AND page > 0 AND page * {FX.PAGE_STEP} >= said) THEN 'unavailable' END AS failure
+  FROM (SELECT vendor, slug, doc AS page, any_value(board) AS board, any_value(said) AS said, count(*) FILTER (WHERE NOT vanished) AS held
+        FROM ro_d GROUP BY vendor, slug, doc))""",
+        # The rule, as a walk: ask for the next page until the rows received
+        # reach the total that the last page reported, or a page is empty or fails.
+        """ro_walk AS (
+  SELECT vendor, slug, page, held AS received, said, held, failure FROM ro_pages WHERE page = 0
+  UNION ALL
+  SELECT p.vendor, p.slug, p.page, w.received + p.held, p.said, p.held, p.failure
+  FROM ro_walk w JOIN ro_pages p ON p.vendor = w.vendor AND p.slug = w.slug AND p.page = w.page + 1
+  WHERE w.failure IS NULL AND w.held > 0 AND w.received < w.said)""",
+        """ro_boards AS (
+  SELECT vendor AS bv, slug AS bs, coalesce(arg_min(failure, page) FILTER (WHERE failure IS NOT NULL), 'answered') AS outcome,
+    max(page) AS last_page FROM ro_walk GROUP BY vendor, slug)""",
+        """ro AS (
+  SELECT t.*, outcome, first_value(said) OVER (PARTITION BY vendor, slug ORDER BY k) AS total,
+    NOT vanished AND (NOT paged OR page <= last_page) AS on_read_page, outcome = 'answered' AND on_read_page AS answered
+  FROM ro_t t JOIN ro_boards b ON b.bv = t.vendor AND b.bs = t.slug)""",
         "ro_f AS (SELECT k, descr FROM ro)",
     ] + salary_ctes("ro_f", "k", "descr", "vs")
 

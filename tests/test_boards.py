@@ -36,6 +36,63 @@ def test_a_board_answers_as_a_whole(spark):
     assert outcome(spark, [("ashby", "acme", "", "list", None, 0, 200, None, None)])[0] == "unavailable"
 
 
+def test_the_latest_total_steers_the_walk(spark):
+    from hirefold.sources import vendors
+    grown = [sr(0, "ab", 3), sr(2, "cd", 5), sr(4, "e", 5)]
+    lost = "unavailable: timeout"
+    cases = [
+        (grown, ("answered", None, 5)),
+        ([grown[2], grown[0], grown[1]], ("answered", None, 5)),
+        # A page past the first total but below a later one is read, and so may fail.
+        ([*grown[:2], sr(4, "e", 5, 503)], ("unavailable", lost, 0)),
+        # The board shrank: what was received is enough.
+        ([sr(0, "ab", 6), sr(2, "cd", 4), sr(4, "ef", 6, 503)], ("answered", None, 4)),
+        # An empty page ends the listing, whatever the total says.
+        ([sr(0, "ab", 50), sr(2, "", 50), sr(4, "ef", 50)], ("answered", None, 2)),
+        ([sr(0, "", 9), sr(2, "cd", 9, 503)], ("answered", None, 0)),
+    ]
+    rows = [(r[0], f"b{i}", *r[2:]) for i, (pages, _) in enumerate(cases) for r in pages]
+
+    def page(slug, offset, paths, total):
+        body = json.dumps({"total": total, "jobPostings": [{"title": "GTM Engineer", "externalPath": f"/job/{p}"} for p in paths]})
+        return ("workday", f"{slug}.wd5/External", "Acme", "list", None, offset, 200, None, body)
+    rows += [page("c0", 0, "ab", 2), page("c0", 2, "cd", 9), page("c1", 0, "ab", 3), page("c1", 2, "cd", 5), page("c1", 4, "e", 0)]
+    df = raw(spark, rows)
+    outcomes = {r["slug"]: (r["outcome"], r["reason"]) for r in vendors.scan_accounting(df).collect()}
+    read = vendors.norm_smartrecruiters(df).unionByName(vendors.norm_workday(df)).groupBy("org_slug").count()
+    counts = dict(map(tuple, read.collect()))
+    for i, (_, want) in enumerate(cases):
+        assert (*outcomes[f"b{i}"], counts.get(f"b{i}", 0)) == want, i
+    assert [counts[f"c{i}.wd5/External"] for i in range(2)] == [2, 5]
+
+
+def test_a_walk_equals_a_loop_over_pages(spark):
+    import random
+
+    from hirefold.sources.vendors import walked_pages
+    rnd, rows, want = random.Random(7), [], {}
+    for b in range(60):
+        pages, at = [], 0
+        for _ in range(rnd.randrange(1, 7)):
+            n = rnd.choice([0, 1, 2, 2, 2])
+            pages.append((at, n, rnd.choice([1, 4, 6, 9, 20]), rnd.choice([200, 200, 200, 200, 503])))
+            at += max(n, 1)
+        received, read = 0, []
+        for at, n, total, status in pages:
+            read.append(at)
+            received += n
+            if status >= 400 or not n or received >= total:
+                break
+        want[f"b{b}"] = read
+        for at, n, total, status in pages:
+            rows.append((*sr(at, "x" * n, total, status)[:1], f"b{b}", *sr(at, "x" * n, total, status)[2:]))
+    rnd.shuffle(rows)
+    got = {}
+    for r in walked_pages(raw(spark, rows)).where("read").orderBy("offset").collect():
+        got.setdefault(r["slug"], []).append(r["offset"])
+    assert got == want
+
+
 def test_an_unreadable_probe_is_an_error(spark):
     from hirefold.sources.vendors import probe_from_board
     row = probe_from_board(raw(spark, [sr(0, "", 0, body="<html>")])).first()
