@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hirefold import rules as R
 from hirefold.functions.text import location_label, page_dirname
-
+from hirefold.operators.ranking import row_numbers
 
 
 def _days_open(closed: Column, first: Column) -> Column:
@@ -152,27 +152,32 @@ def board_stats(public: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
 
 # --- company pages --------------------------------------------------------------
 
-def _free_names(group):
-    """Names of one stem's orgs, in key order: "-2" is appended until free."""
-    group = group.sort_values(["vendor", "slug"], kind="stable").reset_index(drop=True)
-    taken, names = set(), []
-    for name in group["_base"]:
-        while name in taken:
-            name += "-2"
-        taken.add(name)
-        names.append(name)
-    return group.assign(dirname=names).drop(columns=["_base", "_stem"])
-
-
 def dirname_collisions(orgs: DataFrame) -> DataFrame:
     """``dirname`` per org: the sanitised vendor-slug; when taken by an org
-    earlier in key order, "-2" is appended until free. Names can only meet
-    within one stem (the name without "-2" tails), so each stem - a handful
-    of orgs - is resolved on its own, however long its chain."""
+    earlier in key order, "-2" is appended until free.
+
+    Names can only meet within one stem (the name without "-2" tails), where
+    they differ in their number of tails: each org takes the first free
+    number from its own on. All that wait for a number try it, and the
+    earliest wins, so numbers are dealt out from below: between two numbers
+    that some org starts with, the waiting orgs are served in key order. That
+    is one numbering of rows per distinct start in the table (a handful:
+    tails are part of a slug), and no step needs a stem in one task."""
     base = orgs.withColumn("_base", page_dirname(F.col("vendor"), F.col("slug")))
-    stems = base.withColumn("_stem", F.regexp_replace("_base", "(-2)+$", ""))
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in orgs.schema) + ", dirname string"
-    return stems.groupBy("_stem").applyInPandas(_free_names, out)
+    waiting = (base.withColumn("_stem", F.regexp_replace("_base", "(-2)+$", ""))
+               .withColumn("_start", ((F.length("_base") - F.length("_stem")) / 2).cast("int")).drop("_base"))
+    starts = sorted(r["_start"] for r in waiting.select("_start").distinct().collect()) or [0]
+    late, named = waiting, None
+    waiting = waiting.limit(0)
+    for start, until in zip(starts, [*starts[1:], None], strict=True):
+        ready = waiting.unionByName(late.where(F.col("_start") == start))
+        ranked = row_numbers(ready, ["_stem"], ["vendor", "slug"], "_rank")
+        served = ranked if until is None else ranked.where(F.col("_rank") <= until - start)
+        served = served.select(*orgs.columns, F.concat("_stem", F.repeat(
+            F.lit("-2"), (F.col("_rank") + (start - 1)).cast("int"))).alias("dirname"))
+        named = served if named is None else named.unionByName(served)
+        waiting = ranked.where(F.col("_rank") > (until or 0) - start).drop("_rank")
+    return named
 
 
 def company_pages(orgs: DataFrame, public: DataFrame, run_day: Column) -> DataFrame:
