@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from hirefold import rules as R
 from hirefold.functions.text import normalize_company, normalize_title
+from hirefold.operators.ranking import row_numbers
 
 ENTRY_KEYS = ("company", "status", "role", "date", "reason")
 
@@ -93,42 +94,36 @@ _DOC_SCHEMA = T.StructType([
 _ENTRY_SCHEMA = "company string, status string, role string, date string, reason string"
 
 
-def history_load(docs: DataFrame) -> DataFrame:
-    """History documents (``doc`` JSON text, one per file) to entries with a
-    file ``ordinal``: structured entries first, then each legacy flat list as
-    role-less entries. An unknown key or status raises instead of being
-    silently dropped."""
-    d = docs.select(F.from_json("doc", _DOC_SCHEMA).alias("d"))
-    structured = d.select(F.posexplode(F.coalesce("d.history", F.array().cast("array<string>")))
-                          .alias("pos", "raw"))
+def history_load(docs: DataFrame, order: str = "doc_no") -> DataFrame:
+    """History documents (``doc`` JSON text) to entries with an ``ordinal``
+    (0, 1, ...) through all documents by ``order`` (by their text where that
+    column isn't there): of each document the structured entries first, then
+    each legacy flat list as role-less entries. An unknown key or status
+    raises instead of being silently dropped. A document may miss any list;
+    an empty table gives no entry. Entries are numbered over the whole table
+    by ``row_numbers``, so any number of documents will do."""
+    at = F.col(order) if order in docs.columns else F.col("doc")
+    d = docs.select(at.alias("_doc"), F.from_json("doc", _DOC_SCHEMA).alias("d"))
     allowed = F.array(*[F.lit(k) for k in ENTRY_KEYS])
-    unknown = F.array_except(F.json_object_keys("raw"), allowed)
-    structured = structured.withColumn(
-        "raw", F.when(F.size(unknown) > 0, F.raise_error(F.concat(
-            F.lit("unknown history keys: "), F.array_join(unknown, ","))))
-        .otherwise(F.col("raw")))
-    entries = structured.select(F.col("pos").alias("ordinal"),
-                                F.from_json("raw", _ENTRY_SCHEMA).alias("e")).select("ordinal", "e.*")
-    n_struct = d.select(F.size(F.coalesce("d.history", F.array().cast("array<string>"))).alias("n"))
-    offset = n_struct.agg(F.sum("n")).scalar()
-    legacy = None
-    base = offset
-    for i, (key, status) in enumerate(R.LEGACY_HISTORY_KEYS):
-        part = d.select(F.posexplode(F.coalesce(f"d.{key}", F.array().cast("array<string>")))
-                        .alias("pos", "company"))
-        part = part.select(F.lit(i).alias("_k"), "pos", "company", F.lit(status).alias("status"))
-        legacy = part if legacy is None else legacy.unionByName(part)
-    sizes = d.select(*[F.size(F.coalesce(f"d.{k}", F.array().cast("array<string>"))).alias(f"n{i}")
-                       for i, (k, _) in enumerate(R.LEGACY_HISTORY_KEYS)])
-    starts = [F.lit(0)]
-    for i in range(len(R.LEGACY_HISTORY_KEYS) - 1):
-        starts.append(starts[-1] + F.col(f"n{i}"))
-    start_arr = sizes.select(F.array(*starts).alias("s")).agg(F.first("s")).scalar()
-    legacy = legacy.withColumn("_starts", start_arr).select(
-        (base + F.element_at(F.col("_starts"), F.col("_k") + 1) + F.col("pos")).cast("int").alias("ordinal"),
-        "company", "status", F.lit(None).cast("string").alias("role"),
-        F.lit(None).cast("string").alias("date"), F.lit(None).cast("string").alias("reason"))
-    out = entries.select(F.col("ordinal").cast("int"), *ENTRY_KEYS).unionByName(legacy)
-    bad = ~F.col("status").isin(*R.HISTORY_STATUSES) | F.col("company").isNull()
+    raw = F.col("raw")
+    unknown = F.array_except(F.json_object_keys(raw), allowed)
+    none = F.lit(None).cast("string")
+
+    def section(n: int, name: str, status: str | None) -> Column:
+        return F.transform(F.coalesce(f"d.{name}", F.array().cast("array<string>")), lambda x, i: F.struct(
+            F.lit(n).alias("section"), i.alias("pos"), (x if status is None else none).alias("raw"),
+            (none if status is None else x).alias("company"), F.lit(status).cast("string").alias("status")))
+    sections = [section(0, "history", None)]
+    sections += [section(n, key, status) for n, (key, status) in enumerate(R.LEGACY_HISTORY_KEYS, 1)]
+    items = d.select("_doc", F.inline(F.concat(*sections)))
+    structured = F.col("section") == 0
+    checked = F.when(structured & (F.size(unknown) > 0), F.raise_error(F.concat(
+        F.lit("unknown history keys: "), F.array_join(unknown, ",")))).otherwise(raw)
+    items = row_numbers(items, [], ["_doc", "section", "pos"], "_n").withColumn("e", F.from_json(checked, _ENTRY_SCHEMA))
+    out = items.select((F.col("_n") - 1).cast("int").alias("ordinal"),
+                       F.when(structured, F.col("e.company")).otherwise(F.col("company")).alias("company"),
+                       F.when(structured, F.col("e.status")).otherwise(F.col("status")).alias("status"),
+                       "e.role", "e.date", "e.reason")
+    bad = ~F.coalesce(F.col("status").isin(*R.HISTORY_STATUSES), F.lit(False)) | F.col("company").isNull()
     return out.withColumn("status", F.when(bad, F.raise_error(F.concat(
         F.lit("bad history entry: "), F.coalesce(F.col("company"), F.lit("?"))))).otherwise(F.col("status")))

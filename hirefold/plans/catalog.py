@@ -741,6 +741,25 @@ def q_tolerant_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reg_out(stores.last_write_wins(recs, ["vendor", "slug"]).drop("line_no"))
 
 
+def q_log_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry log read back from files of unequal size: the later line
+    of a key wins, and says where in the log it stood."""
+    import uuid
+
+    from hirefold.session import checkpoint_dir
+    from hirefold.sources import stores
+    path = os.path.join(checkpoint_dir(spark), f"registry-log-{uuid.uuid4().hex}")
+    FX.registry_log_files(spark, sf_dir, path)
+    recs = stores.read_jsonl_tolerant(spark, path, stores.REGISTRY_SCHEMA, stores.REGISTRY_DEFAULTS, stores.REGISTRY_ENUMS)
+    last = stores.last_write_wins(recs.withColumn("at", F.col("line_no")), ["vendor", "slug"])
+    return last.select("at", *_reg_out(last).columns).withColumn("last_verified", F.date_format("last_verified", "yyyy-MM-dd"))
+
+
+def q_history_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hirefold.operators import history
+    return history.history_load(FX.history_docs(spark, sf_dir))
+
+
 def q_run_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirefold.sources import stores, vendors
     rec = stores.run_record(routed_postings(spark, sf_dir),
@@ -794,6 +813,8 @@ def q_stream_public_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES.update({
     "tolerant_jsonl": q_tolerant_jsonl,
+    "log_reader": q_log_reader,
+    "history_load": q_history_load,
     "run_record": q_run_record,
     "org_scan_list": q_org_scan_list,
     "stream_reconcile": q_stream_reconcile,

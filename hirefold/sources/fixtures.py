@@ -514,3 +514,39 @@ def registry_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(c % 23 == 0, F.regexp_replace(line, ',"(notes|domain)":"[^"]*"', ""))
             .otherwise(line))
     return r.select("line_no", line.alias("line"))
+
+
+def registry_log_files(spark: SparkSession, sf_dir: str, path: str) -> None:
+    """The registry log as text files under ``path``, in path order: each
+    folder holds twice the lines of the one before, in up to three files."""
+    lines = registry_lines(spark, sf_dir).withColumn("part", F.lpad(F.floor(F.log2("line_no")).cast("string"), 2, "0"))
+    (lines.repartitionByRange(3, "line_no").sortWithinPartitions("line_no")
+     .select("part", "line").write.partitionBy("part").text(path))
+
+
+HISTORY_DOC_CUSTOMERS = 200   # customers a history document
+
+
+def history_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """History documents (doc_no, doc) from ``customer``, one for each
+    ``HISTORY_DOC_CUSTOMERS`` keys: structured entries, and the legacy lists,
+    some of which a document lacks."""
+    c = _read(spark, sf_dir, "customer", "c_custkey", "c_name")
+    k = c.c_custkey
+    entry = F.to_json(F.struct(
+        c.c_name.alias("company"), _pick(R.HISTORY_STATUSES, k % 5).alias("status"),
+        F.when(k % 3 == 0, _pick(TITLES, k % 10)).alias("role"),
+        F.when(k % 7 == 0, F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (k % 90).cast("int")), "yyyy-MM-dd")).alias("date"),
+        F.when(k % 11 == 0, F.lit("no fit")).alias("reason")))
+    kind = (k % 6).cast("int")
+
+    def listed(n: int, value: Column) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.when(kind == n, F.struct(k.alias("k"), value.alias("v"))))), lambda x: x["v"])
+    g = c.groupBy(F.floor(k / HISTORY_DOC_CUSTOMERS).alias("doc_no")).agg(
+        F.transform(F.array_sort(F.collect_list(F.when(kind < 2, F.struct(k.alias("k"), entry.alias("v"))))), lambda x: x["v"]).alias("history"),
+        *[listed(i, c.c_name).alias(name) for i, (name, _) in enumerate(R.LEGACY_HISTORY_KEYS, 2)])
+    lists = [F.concat(F.lit(f'"{name}":'), F.to_json(name)) for name, _ in R.LEGACY_HISTORY_KEYS]
+    # Every third document has no structured entries, every fourth no last list.
+    history = F.when(F.col("doc_no") % 3 != 2, F.concat(F.lit('"history":['), F.array_join("history", ","), F.lit("]")))
+    lists[-1] = F.when(F.col("doc_no") % 4 != 1, lists[-1])
+    return g.select("doc_no", F.concat(F.lit("{"), F.concat_ws(",", history, *lists), F.lit("}")).alias("doc"))

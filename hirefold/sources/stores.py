@@ -11,11 +11,12 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hirefold import rules as R
+from hirefold.session import checkpoint_dir
 
 REGISTRY_SCHEMA = T.StructType([
     T.StructField("company_name", T.StringType()), T.StructField("domain", T.StringType()),
@@ -50,13 +51,34 @@ def parse_jsonl(lines: DataFrame, schema: T.StructType, defaults: dict | None =
     return parsed.where(ok).select("line_no", *cols)
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line) of a text log: lines are numbered 0, 1, ... through
+    its files in path order, so a later file's lines come later whatever the
+    sizes and however the files are split over tasks.
+
+    Prefix sums in two passes: a line's place in its split, the lines of the
+    splits before it in its file (one row per split), and those of the files
+    before (one row per file). The lines are read once and checkpointed, so
+    both passes see the same splits."""
+    checkpoint_dir(spark)
+    lines = (spark.read.text(path).select(
+        F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).checkpoint(eager=True))
+    splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.withColumn("earlier", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    files = splits.groupBy("file").agg(F.sum("n").alias("of_file"))
+    before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file", F.coalesce(F.sum("of_file").over(before), F.lit(0)).alias("base"))
+    at = splits.join(files, "file").select("file", "start", (F.col("base") + F.col("earlier") - F.col("first")).alias("shift"))
+    return lines.join(at, ["file", "start"]).select((F.col("at") + F.col("shift")).alias("line_no"), "line")
+
+
 def read_jsonl_tolerant(spark: SparkSession, path: str, schema: T.StructType,
                         defaults: dict | None = None, enums: dict | None = None) -> DataFrame:
-    """A JSONL file read tolerantly; line order kept as ``line_no`` (file
-    offset order within each file)."""
-    text = spark.read.text(path).select(F.col("value").alias("line"))
-    lines = text.withColumn("line_no", F.monotonically_increasing_id())
-    return parse_jsonl(lines, schema, defaults, enums)
+    """A JSONL log of one or more files read tolerantly, with ``line_no`` (0,
+    1, ... over the files in path order; skipped lines count)."""
+    return parse_jsonl(numbered_lines(spark, path), schema, defaults, enums)
 
 
 def last_write_wins(records: DataFrame, keys, order: str = "line_no") -> DataFrame:

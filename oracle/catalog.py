@@ -113,6 +113,8 @@ from oracle import stores  # noqa: E402
 
 ORACLES.update({
     "tolerant_jsonl": stores.tolerant_jsonl,
+    "log_reader": stores.log_reader,
+    "history_load": stores.history_load,
     "run_record": stores.run_record,
     "org_scan_list": stores.org_scan_list,
     "stream_reconcile": stores.stream_reconcile,

@@ -3,7 +3,9 @@ streamed fold."""
 
 from __future__ import annotations
 
-from oracle.base import lst, with_
+from hirefold import rules as R
+from hirefold.sources import fixtures as FX
+from oracle.base import lst, q, with_
 from oracle.history import _routes_ctes
 from oracle.registry import reg_out, registry_ctes
 from oracle.state import sight_ctes, ts
@@ -20,6 +22,25 @@ def tolerant_jsonl() -> str:
   QUALIFY row_number() OVER (PARTITION BY vendor, slug ORDER BY line_no DESC) = 1)"""]) + reg_out("good")
 
 
+def log_reader() -> str:
+    """The place of a line is its number in the log, which starts at 1."""
+    return tolerant_jsonl().replace("SELECT vendor, slug, company_name", "SELECT line_no - 1 AS at, vendor, slug, company_name")
+
+
+def history_load() -> str:
+    n = FX.HISTORY_DOC_CUSTOMERS
+    legacy = " ".join(f"WHEN {i} THEN {q(status)}" for i, (_, status) in enumerate(R.LEGACY_HISTORY_KEYS, 2))
+    return f"""WITH item AS (
+  SELECT c_custkey AS k, c_custkey // {n} AS doc, c_name AS company, c_custkey % 6 < 2 AS structured,
+    CASE WHEN c_custkey % 6 < 2 THEN 0 ELSE c_custkey % 6 END AS section FROM customer)
+SELECT (row_number() OVER (ORDER BY doc, section, k) - 1)::INTEGER AS ordinal, company,
+  CASE WHEN structured THEN {lst(R.HISTORY_STATUSES)}[k % 5 + 1] ELSE CASE section {legacy} END END AS status,
+  CASE WHEN structured AND k % 3 = 0 THEN {lst(FX.TITLES)}[k % 10 + 1] END AS role,
+  CASE WHEN structured AND k % 7 = 0 THEN strftime(DATE '2024-01-01' + (k % 90)::INTEGER, '%Y-%m-%d') END AS date,
+  CASE WHEN structured AND k % 11 = 0 THEN 'no fit' END AS reason
+FROM item WHERE NOT (structured AND doc % 3 = 2) AND NOT (section = 5 AND doc % 4 = 1)"""
+
+
 def run_record() -> str:
     ctes = _routes_ctes() + [c for c in ro_ctes() if c not in _routes_ctes()] + \
         [c for c in registry_ctes()] + ["last_day AS (SELECT max(ts)::DATE AS d FROM events)"]

@@ -64,3 +64,44 @@ def test_history_load(spark):
     bad = spark.createDataFrame([(json.dumps({"history": [{"company": "A", "status": "dq", "oops": 1}]}),)], "doc string")
     with pytest.raises(Exception):
         history_load(bad).collect()
+
+
+def test_history_of_several_documents(spark):
+    from hirefold.operators.history import history_load
+    docs = [(2, {"history": [{"company": "C", "status": "dq"}], "rejected": ["D"]}), (7, {"blacklist_companies": ["E"]}),
+            (1, {"applied": ["A", "B"]}), (4, {})]
+    df = spark.createDataFrame([(i, json.dumps(d)) for i, d in docs], "doc_no int, doc string").repartition(3)
+    got = [tuple(r)[:3] for r in history_load(df).orderBy("ordinal").collect()]
+    assert got == [(0, "A", "applied"), (1, "B", "applied"), (2, "C", "dq"), (3, "D", "rejected"), (4, "E", "blacklist")]
+    assert history_load(df.limit(0)).collect() == []
+    with pytest.raises(Exception):
+        history_load(spark.createDataFrame([(json.dumps({"history": [{"company": "A"}]}),)], "doc string")).collect()
+
+
+def test_a_log_of_several_files_keeps_its_line_order(spark):
+    from hirefold.sources import stores
+    base, at = tempfile.mkdtemp(), 0
+    want = []
+    for name, n in (("a", 3), ("b", 400), ("c", 1), ("d", 0), ("e", 90)):
+        with open(os.path.join(base, f"log-{name}.jsonl"), "w") as f:
+            for i in range(n):
+                line = "" if i % 11 == 5 else json.dumps({"vendor": "lever", "slug": f"s{i % 40}", "notes": f"{name}{i}"})
+                f.write(line + "\n")
+                want.append((at, line))
+                at += 1
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "100")
+    try:
+        lines = stores.numbered_lines(spark, base)
+        assert sorted(map(tuple, lines.collect())) == want
+        recs = stores.read_jsonl_tolerant(spark, base, stores.REGISTRY_SCHEMA, stores.REGISTRY_DEFAULTS, stores.REGISTRY_ENUMS)
+        got = {r["slug"]: r["notes"] for r in stores.last_write_wins(recs, ["vendor", "slug"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", was[1])
+    last = {}
+    for _, line in want:
+        if line:
+            last[json.loads(line)["slug"]] = json.loads(line)["notes"]
+    assert got == last
