@@ -9,10 +9,10 @@
   the stores and the run log (E3).
 
 Stores live under one root folder as versioned parquet (``seen``,
-``public``, ``registry``); the run log is an append-only JSON folder. Every
-job reads the newest complete version and writes the next one at its end, so a
-job lost before that changes nothing. The nightly run commits two stores, the
-public one and then the seen one.
+``public``, ``registry``); the run log is a JSON folder per commit. Every job
+reads the newest version that counts and writes the next one at its end, so a
+job lost before that changes nothing. The nightly run's two stores and its run
+record take effect together, by one ``stores.Commit``.
 """
 
 from __future__ import annotations
@@ -55,7 +55,7 @@ def nightly_run(spark: SparkSession, raw: DataFrame, history_rules: DataFrame, u
     began = time.monotonic()
     # Read by every vendor's listing, the scanned orgs, the warnings and the record.
     outcomes = vendors.board_outcomes(raw).checkpoint(eager=True)
-    scans = outcomes.drop("start", "total")
+    scans = outcomes.drop("last")
     # Five consumers read the normalised postings (two stores, the funnel,
     # liveness, the run record): cut the lineage once, in the shared folder.
     postings = vendors.all_postings(raw, rules, outcomes).checkpoint(eager=True)
@@ -94,13 +94,14 @@ def nightly_run(spark: SparkSession, raw: DataFrame, history_rules: DataFrame, u
         F.concat(F.col("company_name"), F.lit(": "), F.col("title"), F.lit(" ("), F.col("url"), F.lit(")"))
         .alias("line"))
     closed = closed.checkpoint(eager=True)
-    stores.write_store(public_next.select(*state.PUBLIC_COLUMNS), _path(root, "public"))
-    stores.write_store(seen_final.drop("is_new", "closed_now"), _path(root, "seen"))
-
+    commit = stores.Commit(spark, root)
+    commit.write("public", public_next.select(*state.PUBLIC_COLUMNS))
+    commit.write("seen", seen_final.drop("is_new", "closed_now"))
     run = stores.run_record(routed, scans, registry, F.to_date(now),
                             time.monotonic() - began).withColumn(
         "written_at", F.current_timestamp()).cache()
-    run.write.mode("append").json(_path(root, "runs"))
+    commit.log("runs", run)
+    commit.finish()
     warnings = scans.where(F.col("outcome") != "answered").select("vendor", "slug", "reason")
     return {"routed": routed, "warnings": warnings, "closed": closed, "run": run}
 
@@ -121,7 +122,7 @@ def read_runs(spark: SparkSession, root: str) -> DataFrame:
     records carry the time they were written, which orders them across the
     log's part files (``line_no``)."""
     schema = spark.createDataFrame([], RUN_LOG_SCHEMA + ", written_at timestamp").schema
-    runs = stores.read_jsonl_tolerant(spark, _path(root, "runs"), schema)
+    runs = stores.committed_lines(spark, root, "runs", schema)
     return (runs.withColumn("line_no", F.unix_micros("written_at"))
             .withColumn("date", F.to_date("date"))
             .withColumn("liveness", F.col("eliminated.liveness")))

@@ -17,8 +17,8 @@ from hirefold.functions.comp import comp_struct, parse_salary_prose
 from hirefold.functions.text import domain_of, org_key, role_id
 
 # FIXED VALUES of the derivation (FIXTURES.md section 3).
-COMPANY_BASES = ("Profound", "Listen", "Tonic", "Wealth", "Globex", "Initech",
-                 "Umbrella", "Northwind", "Contoso", "Theory")
+COMPANY_BASES = ("Harborline", "Quillon", "Fernweh", "Wealth", "Brightwell", "Oakmere",
+                 "Pinecrest", "Northwind", "Contoso", "Marlowe")
 TITLES = ("GTM Engineer", "Senior Go-To-Market Engineer", "RevOps Engineer",
           "Growth Engineer", "Software Engineer", "Revenue Systems Lead",
           "Account Executive", "AI GTM Strategist", "Data Analyst", "Staff Accountant")
@@ -36,16 +36,16 @@ PROBE_OUTCOMES = ("ok", "404", "error", "ok")
 HISTORY_ROWS = (
     # ordinal, company, status, role, date, reason: every status, with and
     # without a role, over dressed and bare company names
-    (0, "Theory HQ", "applied", "Growth Engineer", "2025-03-04", "sent through the site"),
+    (0, "Marlowe HQ", "applied", "Growth Engineer", "2025-03-04", "sent through the site"),
     (1, "Northwind", "rejected", "RevOps Engineer", "2025-02-11", "position filled"),
-    (2, "Initech", "blacklist", None, None, "pays late"),
+    (2, "Oakmere", "blacklist", None, None, "pays late"),
     (3, "Contoso Labs", "dq", "Growth Engineer", "2025-04-19", "asks for relocation"),
     (4, "TryUmbrella", "interviewing", "Revenue Systems", "2025-05-23", "panel next week"),
-    (5, "Globex.com", "rejected", None, "2025-01-30", None),
-    (6, "The Listen", "applied", "GTM Engineer", None, None),
+    (5, "Brightwell.com", "rejected", None, "2025-01-30", None),
+    (6, "The Quillon", "applied", "GTM Engineer", None, None),
     (7, "Wealth, Inc.", "interviewing", "AI GTM", "2025-06-02", "take-home sent"),
-    (8, "Tonic", "applied", "go-to-market engineer", "2025-06-08", "met at a fair"),
-    (9, "Profound HQ", "rejected", "Senior Go-To-Market Engineer", "2025-02-27", None),
+    (8, "Fernweh", "applied", "go-to-market engineer", "2025-06-08", "met at a fair"),
+    (9, "Harborline HQ", "rejected", "Senior Go-To-Market Engineer", "2025-02-27", None),
     (10, "Northwind Labs", "blacklist", "", "2025-05-05", "not again"),
     (11, " \t ", "applied", None, None, "a blank company matches nothing"),
 )

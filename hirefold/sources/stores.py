@@ -4,11 +4,13 @@ A store is a directory of versions (``<base>/version=<n>``), each written
 whole and marked complete by Spark's ``_SUCCESS`` file; readers take the
 newest complete version, so a job lost half-way leaves the previous state
 readable and a rerun is idempotent. A version is never overwritten while it
-is being read.
+is being read. Stores that change together do so by a ``Commit``: a manifest
+names the versions that count, and old versions are deleted.
 """
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -30,6 +32,7 @@ REGISTRY_DEFAULTS = {"company_name": "", "domain": "", "vendor": "unknown", "slu
                      "discovered_via": "", "notes": ""}
 REGISTRY_ENUMS = {"vendor": R.VENDORS + ("unknown",), "status": ("live", "dead", "unverified")}
 CORRUPT = "_corrupt_record"
+MANIFESTS = "_manifests"
 
 
 def parse_jsonl(lines: DataFrame, schema: T.StructType, defaults: dict | None = None,
@@ -61,7 +64,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     before (one row per file). The lines are read once and checkpointed, so
     both passes see the same splits."""
     checkpoint_dir(spark)
-    lines = (spark.read.text(path).select(
+    lines = (spark.read.option("recursiveFileLookup", "true").text(path).select(
         F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at")).checkpoint(eager=True))
     splits = lines.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
@@ -88,24 +91,116 @@ def last_write_wins(records: DataFrame, keys, order: str = "line_no") -> DataFra
     return g.select(*keys, "_r.*")
 
 
-def latest_version(spark: SparkSession, base: str) -> int | None:
-    """Newest complete version number under ``base`` (a ``_SUCCESS`` marker)."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    path = jvm.org.apache.hadoop.fs.Path(base)
-    fs = path.getFileSystem(conf)
+def _fs(spark: SparkSession, path: str):
+    """(file system, path, constructor of paths) of Hadoop for ``path``."""
+    make = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    at = make(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, make
+
+
+def _versions(spark: SparkSession, base: str) -> dict[int, bool]:
+    """The version folders under ``base``: number to whether it is complete
+    (Spark's ``_SUCCESS`` marker)."""
+    fs, path, make = _fs(spark, base)
     if not fs.exists(path):
+        return {}
+    named = ((st.getPath().getName(), st.getPath()) for st in fs.listStatus(path))
+    return {int(name[8:]): fs.exists(make(at, "_SUCCESS")) for name, at in named
+            if name.startswith("version=") and name[8:].isdigit()}
+
+
+def latest_version(spark: SparkSession, base: str) -> int | None:
+    """The version of a store that counts: the one that its root's newest
+    manifest names; of a store that no manifest names, the newest complete one."""
+    root, name = os.path.split(base.rstrip("/"))
+    last = last_manifest(spark, root)
+    if last and name in last["stores"]:
+        return last["stores"][name]
+    return max((v for v, whole in _versions(spark, base).items() if whole), default=None)
+
+
+def last_manifest(spark: SparkSession, root: str) -> dict | None:
+    """The newest manifest under ``root``: number, stores (name to version)."""
+    found = _manifests(spark, root)
+    if not found:
         return None
-    best = None
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        if name.startswith("version=") and fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-            try:
-                n = int(name.split("=", 1)[1])
-            except ValueError:
-                continue
-            best = n if best is None or n > best else best
-    return best
+    fs, path, _ = _fs(spark, os.path.join(root, MANIFESTS, f"{max(found)}.json"))
+    stream = fs.open(path)
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return json.loads(text)
+
+
+def _manifests(spark: SparkSession, root: str) -> list[int]:
+    fs, path, _ = _fs(spark, os.path.join(root, MANIFESTS))
+    if not root or not fs.exists(path):
+        return []
+    names = [st.getPath().getName() for st in fs.listStatus(path)]
+    return [int(n[:-5]) for n in names if n.endswith(".json") and n[:-5].isdigit()]
+
+
+class Commit:
+    """One change of several stores under a root, seen as a whole or not at all.
+
+    Each store's next version and the run record are written first; then a
+    manifest that names them all takes effect by one rename. Readers follow
+    the newest manifest, so a job killed anywhere before that rename leaves
+    the old state of every store, and what it left behind is cleared by the
+    next commit. The versions that the last ``keep`` manifests name stay, for
+    readers that hold one; older ones are deleted. One writer at a time."""
+
+    def __init__(self, spark: SparkSession, root: str, keep: int = 2):
+        self.spark, self.root, self.keep = spark, root, max(1, keep)
+        self.last = last_manifest(spark, root)
+        self.number = self.last["number"] + 1 if self.last else 0
+        self.stores = dict(self.last["stores"]) if self.last else {}
+        for name, version in self.stores.items():
+            for left in _versions(spark, os.path.join(root, name)):
+                if left > version:
+                    self._delete(name, f"version={left}")
+
+    def write(self, name: str, df: DataFrame, sort_keys=("id",)) -> None:
+        """The next version of a store, whole."""
+        self.stores[name] = write_store(df, os.path.join(self.root, name), sort_keys)
+
+    def log(self, name: str, df: DataFrame) -> None:
+        """Lines of a log; they count once the commit does (``commit_no``)."""
+        out = df.withColumn("commit_no", F.lit(self.number).cast("long"))
+        out.write.mode("overwrite").json(os.path.join(self.root, name, f"commit={self.number}"))
+
+    def finish(self) -> None:
+        folder = os.path.join(self.root, MANIFESTS)
+        fs, final, make = _fs(self.spark, os.path.join(folder, f"{self.number}.json"))
+        draft = make(os.path.join(folder, f"{self.number}.draft"))
+        stream = fs.create(draft, True)
+        stream.write(bytearray(json.dumps({"number": self.number, "stores": self.stores}).encode()))
+        stream.close()
+        if not fs.rename(draft, final):
+            raise RuntimeError(f"commit {self.number} of {self.root} was taken by another writer")
+        for old in _manifests(self.spark, self.root):
+            if old <= self.number - self.keep:
+                self._delete(MANIFESTS, f"{old}.json")
+        for name, version in self.stores.items():
+            older = sorted(v for v in _versions(self.spark, os.path.join(self.root, name)) if v < version)
+            for left in older[:len(older) - (self.keep - 1)]:
+                self._delete(name, f"version={left}")
+
+    def _delete(self, *parts: str) -> None:
+        fs, path, _ = _fs(self.spark, os.path.join(self.root, *parts))
+        fs.delete(path, True)
+
+
+def committed_lines(spark: SparkSession, root: str, name: str, schema: T.StructType) -> DataFrame:
+    """A log's records up to the last commit (those of no commit too)."""
+    last = last_manifest(spark, root)
+    recs = read_jsonl_tolerant(spark, os.path.join(root, name), T.StructType([*schema.fields, T.StructField("commit_no", T.LongType())]))
+    if last is not None:
+        recs = recs.where(F.col("commit_no").isNull() | (F.col("commit_no") <= last["number"]))
+    else:
+        recs = recs.where(F.col("commit_no").isNull())
+    return recs.drop("commit_no")
 
 
 def read_store(spark: SparkSession, base: str, schema: str | T.StructType | None = None,
@@ -129,8 +224,7 @@ def write_store(df: DataFrame, base: str, sort_keys=("id",)) -> int:
     rows are range-partitioned by key so each file holds a sorted key range
     (the reference writes its stores sorted by key)."""
     spark = df.sparkSession
-    v = latest_version(spark, base)
-    nxt = 0 if v is None else v + 1
+    nxt = max(_versions(spark, base), default=-1) + 1
     (df.repartitionByRange(*sort_keys).sortWithinPartitions(*sort_keys)
      .write.mode("errorifexists").parquet(os.path.join(base, f"version={nxt}")))
     return nxt

@@ -63,15 +63,15 @@ def test_history_suppression(spark):
     hist = spark.createDataFrame([
         (0, "Acme Labs", "applied", "GTM Engineer", "2026-07-01", "applied"),
         (1, "acme", "blacklist", None, None, "never"),
-        (2, "Initech", "interviewing", "RevOps Engineer", "2026-07-10", None),
-        (3, "Globex", "rejected", "", None, None),
+        (2, "Oakmere", "interviewing", "RevOps Engineer", "2026-07-10", None),
+        (3, "Brightwell", "rejected", "", None, None),
     ], "ordinal int, company string, status string, role string, date string, reason string")
     comp = (130000, 160000, "USD", "structured")
     p = postings(spark, [
         {"id": "a", "title": "Senior GTM Engineer", "company": "TryAcme", "comp": comp},
-        {"id": "i1", "title": "RevOps Engineer II", "company": "Initech, Inc.", "comp": comp},
-        {"id": "i2", "title": "GTM Engineer", "company": "Initech", "comp": comp},
-        {"id": "g", "title": "GTM Engineer", "company": "Globex", "comp": comp},
+        {"id": "i1", "title": "RevOps Engineer II", "company": "Oakmere, Inc.", "comp": comp},
+        {"id": "i2", "title": "GTM Engineer", "company": "Oakmere", "comp": comp},
+        {"id": "g", "title": "GTM Engineer", "company": "Brightwell", "comp": comp},
     ])
     out = {r["id"]: r for r in apply_history(evaluate(p), hist).collect()}
     assert out["a"]["suppressed_by"]["status"] == "blacklist"      # company-wide outranks file order

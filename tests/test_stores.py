@@ -54,12 +54,12 @@ def test_a_store_of_an_older_version_loads_with_defaults(spark):
 def test_history_load(spark):
     from hirefold.operators.history import history_load
     doc = {"history": [{"company": "Acme", "status": "applied", "role": "GTM Engineer", "date": "2026-07-01"},
-                       {"company": "Globex", "status": "dq"}],
-           "applied": ["Initech"], "blacklist_companies": ["Umbrella", "Hooli"]}
+                       {"company": "Brightwell", "status": "dq"}],
+           "applied": ["Oakmere"], "blacklist_companies": ["Pinecrest", "Hooli"]}
     docs = spark.createDataFrame([(json.dumps(doc),)], "doc string")
     rows = [(r["ordinal"], r["company"], r["status"], r["role"]) for r in history_load(docs).orderBy("ordinal").collect()]
-    assert rows == [(0, "Acme", "applied", "GTM Engineer"), (1, "Globex", "dq", None),
-                    (2, "Initech", "applied", None), (3, "Umbrella", "blacklist", None),
+    assert rows == [(0, "Acme", "applied", "GTM Engineer"), (1, "Brightwell", "dq", None),
+                    (2, "Oakmere", "applied", None), (3, "Pinecrest", "blacklist", None),
                     (4, "Hooli", "blacklist", None)]
     bad = spark.createDataFrame([(json.dumps({"history": [{"company": "A", "status": "dq", "oops": 1}]}),)], "doc string")
     with pytest.raises(Exception):
@@ -105,3 +105,44 @@ def test_a_log_of_several_files_keeps_its_line_order(spark):
         if line:
             last[json.loads(line)["slug"]] = json.loads(line)["notes"]
     assert got == last
+
+
+def test_stores_change_together_or_not_at_all(spark):
+    from hirefold.sources import stores
+    from pyspark.sql import types as T
+    root = tempfile.mkdtemp()
+    record = T.StructType([T.StructField("night", T.LongType())])
+
+    def night(n, killed=None):
+        commit = stores.Commit(spark, root)
+        df = spark.createDataFrame([(f"a{n}", n)], "id string, n int")
+        commit.write("public", df)
+        if killed == "between":
+            return
+        commit.write("seen", df)
+        commit.log("runs", df.selectExpr("cast(n AS bigint) AS night"))
+        if killed != "before the manifest":
+            commit.finish()
+
+    def state():
+        both = [stores.read_store(spark, os.path.join(root, x)).first()["n"] for x in ("public", "seen")]
+        return both, sorted(r["night"] for r in stores.committed_lines(spark, root, "runs", record).collect())
+
+    night(1)
+    assert state() == ([1, 1], [1])
+    for killed in ("between", "before the manifest"):
+        night(2, killed)
+        assert state() == ([1, 1], [1])
+    night(3)
+    assert state() == ([3, 3], [1, 3])
+    for n in (4, 5, 6):
+        night(n)
+    assert state() == ([6, 6], [1, 3, 4, 5, 6])
+    # Old versions and manifests go; what a reader may still hold stays.
+    for name in ("public", "seen"):
+        assert len(stores._versions(spark, os.path.join(root, name))) == 2
+    assert len(stores._manifests(spark, root)) == 2
+    with pytest.raises(RuntimeError):
+        late, soon = stores.Commit(spark, root), stores.Commit(spark, root)
+        soon.finish()
+        late.finish()
