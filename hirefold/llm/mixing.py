@@ -5,12 +5,15 @@ targets come from the weights, a source's target stops at ``most`` times its
 size and the excess is shared again by weight until no target is above its
 limit. The repetition rate of a source is target / size; each document is
 taken floor(rate) times plus one Bernoulli copy with probability equal to
-the fraction, drawn from a hash of the seed and the document id, so reruns
-agree and rows never need to meet.
+the fraction, drawn from a hash of the seed, the document id and its text, so
+reruns agree and rows never need to meet.
 
 Null text has size 0; the null source is a source of its own, last in order;
 a source of size 0 has target 0 and its documents are taken 0 words (rate 0).
-Repeated rows of one id draw alike. A null id draws as the text 'null'.
+Rows that share an id, or have none (it draws as the text 'null'), draw by
+their texts; rows that repeat both id and text draw alike. Very long texts are
+counted and hashed in one pass each, in the JVM. An empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -60,21 +63,25 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     copies (how often the mix takes it), taken (words, repeats counted)."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"),
                        F.col(f"`{source_col}`").cast("string").alias("source"),
-                       word_count(F.col(f"`{text_col}`")).alias("size"))
+                       word_count(F.col(f"`{text_col}`")).alias("size"), _digest(text_col).alias("text_md5"))
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = source_targets(sizes, weights, most)
     joined = rows.join(targets.withColumnRenamed("source", "__source"),
                        F.col("source").eqNullSafe(F.col("__source")), "left")
     return joined.select(
-        "doc_id", "source", "size", "source_size", "target", _copies("doc_id", "target", "source_size", most, seed).alias("copies")
-    ).withColumn("taken", F.col("copies") * F.col("size"))
+        "doc_id", "source", "size", "source_size", "target",
+        _copies("doc_id", "text_md5", "target", "source_size", most, seed).alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
 
 
-def _copies(id_col: str, target: str, source_size: str, most: int, seed: str) -> Column:
+def _digest(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+
+
+def _copies(id_col: str, digest: str, target: str, source_size: str, most: int, seed: str) -> Column:
     """How often the mix takes a document."""
     rate = F.when(F.col(source_size) > 0, F.least(F.col(target) / F.col(source_size), F.lit(float(most)))).otherwise(0.0)
     name = F.coalesce(F.col(f"`{id_col}`").cast("long").cast("string"), F.lit("null"))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name)), 1, 13), 16, 10).cast("double") / float(1 << 52)
+    draw = F.conv(F.substring(F.md5(F.concat(F.lit(seed + ":"), name, F.lit(":"), F.col(digest))), 1, 13), 16, 10).cast("double") / float(1 << 52)
     extra = F.when(draw < rate - F.floor(rate), 1).otherwise(0)
     return (F.floor(rate) + extra).cast("long")
 
@@ -87,9 +94,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     docs = docs.drop("mix_copy")
     sizes = docs.groupBy(F.col(f"`{source_col}`").cast("string").alias("source")).agg(
         F.sum(word_count(F.col(f"`{text_col}`"))).alias("source_size"))
-    name, total, target = (free(docs, x) for x in ("name", "total", "target"))
+    name, total, target, digest = (free(docs, x) for x in ("name", "total", "target", "text_md5"))
     targets = source_targets(sizes, weights, most).toDF(name, total, target)
     joined = docs.join(targets, F.col(f"`{source_col}`").cast("string").eqNullSafe(F.col(name)), "left")
-    copies = _copies(id_col, target, total, most, seed)
+    joined = joined.withColumn(digest, _digest(text_col))
+    copies = _copies(id_col, digest, target, total, most, seed)
     return joined.where(copies > 0).select(*[F.col(f"`{c}`") for c in docs.columns],
                                            F.explode(F.sequence(F.lit(1).cast("long"), copies)).alias("mix_copy"))

@@ -223,6 +223,17 @@ def test_mix_targets(spark):
         assert sum(got.values()) == pytest.approx(left)
 
 
+def test_rows_without_an_id_draw_by_their_texts(spark):
+    from hirefold.llm.mixing import mix, mix_counts
+    rows = [(None if i % 2 else 7, f"word{i} and more", "abc"[i % 3]) for i in range(900)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    got = {r["source"]: (r["target"], r["taken"]) for r in mix_counts(df).groupBy("source").agg(
+        F.max("target").alias("target"), F.sum("taken").alias("taken")).collect()}
+    assert sorted(t for t, _ in got.values()) == [450, 900, 1350]
+    assert all(abs(taken - target) < 0.25 * target for target, taken in got.values())
+    assert mix(df).count() * 3 == sum(taken for _, taken in got.values())
+
+
 def test_mix_rows(docs):
     from hirefold.llm.mixing import mix, mix_counts
     got = rows_of(mix_counts(docs))
