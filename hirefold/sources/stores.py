@@ -98,7 +98,7 @@ def _fs(spark: SparkSession, path: str):
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at, make
 
 
-def _versions(spark: SparkSession, base: str) -> dict[int, bool]:
+def versions(spark: SparkSession, base: str) -> dict[int, bool]:
     """The version folders under ``base``: number to whether it is complete
     (Spark's ``_SUCCESS`` marker)."""
     fs, path, make = _fs(spark, base)
@@ -116,7 +116,7 @@ def latest_version(spark: SparkSession, base: str) -> int | None:
     last = last_manifest(spark, root)
     if last and name in last["stores"]:
         return last["stores"][name]
-    return max((v for v, whole in _versions(spark, base).items() if whole), default=None)
+    return max((v for v, whole in versions(spark, base).items() if whole), default=None)
 
 
 def last_manifest(spark: SparkSession, root: str) -> dict | None:
@@ -157,7 +157,7 @@ class Commit:
         self.number = self.last["number"] + 1 if self.last else 0
         self.stores = dict(self.last["stores"]) if self.last else {}
         for name, version in self.stores.items():
-            for left in _versions(spark, os.path.join(root, name)):
+            for left in versions(spark, os.path.join(root, name)):
                 if left > version:
                     self._delete(name, f"version={left}")
 
@@ -183,7 +183,7 @@ class Commit:
             if old <= self.number - self.keep:
                 self._delete(MANIFESTS, f"{old}.json")
         for name, version in self.stores.items():
-            older = sorted(v for v in _versions(self.spark, os.path.join(self.root, name)) if v < version)
+            older = sorted(v for v in versions(self.spark, os.path.join(self.root, name)) if v < version)
             for left in older[:len(older) - (self.keep - 1)]:
                 self._delete(name, f"version={left}")
 
@@ -224,7 +224,7 @@ def write_store(df: DataFrame, base: str, sort_keys=("id",)) -> int:
     rows are range-partitioned by key so each file holds a sorted key range
     (the reference writes its stores sorted by key)."""
     spark = df.sparkSession
-    nxt = max(_versions(spark, base), default=-1) + 1
+    nxt = max(versions(spark, base), default=-1) + 1
     (df.repartitionByRange(*sort_keys).sortWithinPartitions(*sort_keys)
      .write.mode("errorifexists").parquet(os.path.join(base, f"version={nxt}")))
     return nxt

@@ -54,22 +54,9 @@ def _public_rows(batch: DataFrame) -> DataFrame:
         "url", F.lit(None).cast("timestamp").alias("posted_at"))
 
 
-def _run_version(run: int) -> int:
-    """Store version of a run: its time in microseconds."""
-    return run
-
-
 def _previous(spark: SparkSession, base: str, version: int, schema: str) -> DataFrame:
-    """The newest store version older than ``version`` (empty if none)."""
-    jvm = spark.sparkContext._jvm
-    root = jvm.org.apache.hadoop.fs.Path(base)
-    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    older = []
-    if fs.exists(root):
-        for st in fs.listStatus(root):
-            name = st.getPath().getName()
-            if name.startswith("version=") and int(name.split("=", 1)[1]) < version:
-                older.append(int(name.split("=", 1)[1]))
+    """The newest complete store version older than ``version`` (empty if none)."""
+    older = [v for v, whole in stores.versions(spark, base).items() if whole and v < version]
     if not older:
         return spark.createDataFrame([], schema)
     return spark.read.parquet(os.path.join(base, f"version={max(older)}"))
@@ -94,7 +81,7 @@ def _fold(store_base: str, public_base: str | None, landed_base: str):
         runs = [r["run"] for r in landed.where(F.col("run") >= first).select("run").distinct().orderBy("run").collect()]
         for run in runs:
             tonight = landed.where(F.col("run") == run).drop("run", "batch")
-            version = _run_version(run)
+            version = run   # the run's time in microseconds
             now = F.timestamp_micros(F.lit(run))
             scanned = tonight.select("org_key")
             rows = tonight.where(F.col("id").isNotNull())

@@ -140,7 +140,7 @@ def test_stores_change_together_or_not_at_all(spark):
     assert state() == ([6, 6], [1, 3, 4, 5, 6])
     # Old versions and manifests go; what a reader may still hold stays.
     for name in ("public", "seen"):
-        assert len(stores._versions(spark, os.path.join(root, name))) == 2
+        assert len(stores.versions(spark, os.path.join(root, name))) == 2
     assert len(stores._manifests(spark, root)) == 2
     with pytest.raises(RuntimeError):
         late, soon = stores.Commit(spark, root), stores.Commit(spark, root)
