@@ -12,6 +12,9 @@ template's loss roles, without header, marker or escapes' owner roles.
 Null text and null role count as empty; a role the template doesn't know gets
 the general header. Rows of one conversation are ordered by turn (null
 first), role, text; repeated rows are turns of their own.
+
+An empty table gives an empty table. Digests run on, so a long conversation isn't
+held; a long text is held one Arrow batch at a time.
 """
 
 from __future__ import annotations

@@ -19,6 +19,9 @@ each block's vocabulary and basis is what a broadcast holds.
 
 Null and empty texts match nothing; items without words match nothing. Rows
 are judged one by one; repeated rows stay rows.
+
+An empty table, or an empty benchmark, flags nothing. A very long text is read
+whole; windows cover all of it.
 """
 
 from __future__ import annotations

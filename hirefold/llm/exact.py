@@ -3,7 +3,7 @@
 A text is lower-cased (A-Z only) and read as UTF-8 bytes. Each chunk of
 ``CHUNK`` bytes hashes on its own (a dot product with powers of a base, for
 two primes near 2**31); chunk hashes combine by length-shifted arithmetic,
-H(ab) = H(a) * base**len(b) + H(b), so a huge text never needs one long pass.
+H(ab) = H(a) * base**len(b) + H(b).
 Equal (fingerprint, length) texts are then compared chunk by chunk: chunks of
 a group stream through min/max aggregates that combine map-side, so a group
 of any size costs one chunk per task and position. Groups that are not
@@ -12,6 +12,9 @@ uniform (a fingerprint collision) are split by their whole texts.
 Null text counts as empty; null ids are allowed (a null id stays only in a
 group without other ids). Of equal texts the row with the largest id stays;
 of repeated rows of that id exactly one.
+
+An empty table gives an empty table. The chunks of one very long text are hashed
+one after another, in the task that has its row.
 """
 
 from __future__ import annotations

@@ -13,6 +13,9 @@ wordings that their copies differ in, and the digests of longer ones.
 
 Null and empty texts have the digest of the empty text, which no licence has.
 Repeated rows stay rows.
+
+An empty table gives an empty table. A very long text is digested whole, in
+the Arrow batch that holds it.
 """
 
 from __future__ import annotations

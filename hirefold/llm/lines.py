@@ -24,6 +24,9 @@ line that an earlier place holds goes, whatever its neighbours are.
 Null text is empty; a null id counts as the last document. Rows that repeat
 an id with the same text are one document; with different texts they are
 ordered by text hash. Blank lines are never deleted.
+
+An empty table gives an empty table. A very long text is split whole, in the
+Arrow batch that holds it; its lines stream past the hashed runs.
 """
 
 from __future__ import annotations

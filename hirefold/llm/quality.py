@@ -11,6 +11,9 @@ tasks get by broadcast (2**BITS floats); every text is read whole.
 
 Null text is empty; an empty text has the score of the bias alone. Without
 labelled rows of both classes every score is 0.5.
+
+An empty table gives an empty table. A very long text is read whole, in the
+Arrow batch that holds it. Repeated rows and null ids are rows of their own.
 """
 
 from __future__ import annotations

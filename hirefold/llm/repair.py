@@ -80,7 +80,7 @@ def marked(rows: DataFrame) -> DataFrame:
         .when(~last.isin(".", "!", "?"), "truncated").otherwise("")).drop("seen")
 
 
-def steps(initial: str, must_go: bool, truncated: bool) -> list[tuple[int, int, int, str, str, int]]:
+def steps(initial: str, must_go: bool, truncated: bool) -> list[tuple[int, int, int, str, str, tuple]]:
     """All ways over one row: (from, to, cost, audit, step, inserted rows); a step is
     what the row itself suffers. More than two insertions before a row would
     come back to where they began."""

@@ -17,6 +17,9 @@ its links, never all pairs.
 Null text is a text without words; a null id has a fingerprint and a
 component but never names one while another member has an id. Repeated rows
 stay rows.
+
+An empty table gives an empty table. A very long text's shingles are hashed whole,
+in the Arrow batch that holds it.
 """
 
 from __future__ import annotations

@@ -30,6 +30,9 @@ gathered whole.
 
 Null text has no words. A null id counts as larger than any other, and two
 null ids as one document; so do rows that repeat an id.
+
+An empty table gives an empty table. A very long text is held whole by the
+task of its batch.
 """
 
 from __future__ import annotations

@@ -20,6 +20,9 @@ patterns reach the driver.
 Null text is empty; a text without words has the score of the bias alone.
 Without labelled rows only the fixed lexicon and the patterns vote; without
 documents of both posterior classes every score is the class share.
+
+An empty table gives an empty table. A very long text is read whole, in the
+Arrow batch that holds it. Repeated rows and null ids are rows of their own.
 """
 
 from __future__ import annotations

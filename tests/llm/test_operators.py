@@ -500,3 +500,12 @@ def test_empty_tables(empty):
     for f in (exact.exact_duplicates, simhash.near_duplicates, lines.dedup_lines, licenses.scan_licenses,
               mixing.mix_counts, substring.dedup_substrings):
         assert f(empty).count() == 0
+
+
+def test_empty_conversations_and_benchmarks(spark, empty):
+    from hirefold.llm import chat, decontaminate
+    turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert chat.read_back(chat.format_chat(turns)).count() == 0
+    items = spark.createDataFrame([(1, "Which river runs north through the old town? The Ammer does.")], "item_id long, text string")
+    assert decontaminate.find_leaks(empty, items).count() == 0
+    assert decontaminate.find_leaks(empty, items.limit(0)).count() == 0
