@@ -1,6 +1,5 @@
-"""Nightly snapshots as a stream, folded into the seen store and the public
-store with the batch operators (``state.seen_reconcile``,
-``state.public_reconcile``).
+"""Nightly snapshots as a stream, kept as mergeable facts (``operators.nights``)
+and published as the seen store and the public store.
 
 Closure needs the org's scan marker, not a watermark: silence proves
 nothing, so a role closes only when its org answered in that run. A snapshot
@@ -8,12 +7,12 @@ row with a null id is such a marker (the org answered, with or without
 postings).
 
 A run (``run_ts``) may span many files and many micro-batches, and a date may
-hold several runs. Each micro-batch first lands its rows under its batch id (a
-replay overwrites them); then the earliest run it touches and every later run
-are folded again from all landed rows, in run order, each from the newest
-store version older than it. So no version is ever made from part of a run's
-landed rows, late files included, and a replayed batch rewrites the same
-versions.
+hold several runs. Each micro-batch lands the facts of the roles, orgs and
+runs that it holds, and no other: no earlier or later run is folded again, a
+late file costs what an early one does, and a replayed batch lands the same
+facts. Facts are merged in tiers (``sources.deltas``). When the stream has
+taken all files, both stores are read off the merged facts and published by
+one commit, which deletes the versions before the last.
 """
 
 from __future__ import annotations
@@ -23,8 +22,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirefold.operators import state
-from hirefold.sources import stores
+from hirefold.operators import nights, state
+from hirefold.session import checkpoint_dir
+from hirefold.sources import deltas, stores
 
 SNAPSHOT_SCHEMA = ("run_ts timestamp, id string, org_key string, vendor string, title string, "
                    "company_name string, url string")
@@ -46,67 +46,78 @@ PUBLIC_SCHEMA = ("id string, vendor string, org_key string, company string, titl
                  "collapsed_into string")
 
 
-def _public_rows(batch: DataFrame) -> DataFrame:
-    """Snapshot rows in the public store's shape: employer data only."""
-    return batch.select(
+_ROW = "struct<vendor: string, org_key: string, company_name: string, title: string, url: string>"
+_AT = "run: bigint, line: bigint"
+ROLE_FACTS = (f"id string, nights array<bigint>, first struct<{_AT}, row: {_ROW}>, last struct<{_AT}, row: {_ROW}>, "
+              f"title struct<{_AT}, value: string>, url struct<{_AT}, value: string>")
+#: Fact tables: how they merge and their schemas.
+FACTS = {"roles": (nights.merge_roles, ROLE_FACTS),
+         "orgs": (nights.merge_orgs, "org_key string, nights array<bigint>"),
+         "runs": (nights.merge_runs, "run bigint")}
+
+
+def facts(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The merged facts that the batches have landed under ``base``."""
+    merge, schema = FACTS[name]
+    return deltas.read(spark, os.path.join(base, name), merge, schema)
+
+
+def _land(base: str, source: str, fanin: int):
+    def land(batch: DataFrame, batch_id: int) -> None:
+        made = {"roles": nights.role_facts(batch), "orgs": nights.org_facts(batch), "runs": nights.run_facts(batch)}
+        for name, rows in made.items():
+            folder = os.path.join(base, name)
+            deltas.land(rows, folder, source, batch_id)
+            deltas.compact(batch.sparkSession, folder, FACTS[name][0], fanin)
+    return land
+
+
+def seen_rows(spark: SparkSession, base: str) -> DataFrame:
+    """The seen store after every landed night. Marks of publication aren't
+    facts of the nights; they start unset."""
+    s = nights.seen_store(facts(spark, base, "roles"), facts(spark, base, "orgs"))
+    return s.select("id", "org_key", "title", "company_name", "url", "first_seen", "last_seen", "closed_at",
+                    F.lit(False).alias("public"), F.lit("").alias("comp_band"), F.lit("").alias("location"))
+
+
+def public_rows(spark: SparkSession, base: str, published: DataFrame) -> DataFrame:
+    """The public store after every landed night, mirrors collapsed: employer
+    data only. Mirrors are those of the open rows; a closed row keeps the
+    keeper it has in ``published``, the store published before (a row that
+    closed before it was ever published has none)."""
+    p = nights.public_store(*(facts(spark, base, name) for name in ("roles", "orgs", "runs")))
+    kept = published.select(F.col("id").alias("_id"), "collapsed_into")
+    rows = p.join(kept, F.col("id") == F.col("_id"), "left").select(
         "id", "vendor", "org_key", F.col("company_name").alias("company"), "title",
         F.lit("").alias("comp_band"), F.lit("").alias("location"), F.lit(False).alias("remote"),
-        "url", F.lit(None).cast("timestamp").alias("posted_at"))
-
-
-def _previous(spark: SparkSession, base: str, version: int, schema: str) -> DataFrame:
-    """The newest complete store version older than ``version`` (empty if none)."""
-    older = [v for v, whole in stores.versions(spark, base).items() if whole and v < version]
-    if not older:
-        return spark.createDataFrame([], schema)
-    return spark.read.parquet(os.path.join(base, f"version={max(older)}"))
-
-
-def _write(df: DataFrame, base: str, version: int) -> None:
-    # Overwrite, not append: a replayed night rewrites its own version.
-    df.write.mode("overwrite").parquet(os.path.join(base, f"version={version}"))
-
-
-def _fold(store_base: str, public_base: str | None, landed_base: str):
-    def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        own = os.path.join(landed_base, f"batch={batch_id}")
-        stamped = batch.withColumn("run", F.unix_micros("run_ts"))
-        stamped.write.mode("overwrite").partitionBy("run").parquet(own)
-        first = spark.read.schema(f"{SNAPSHOT_SCHEMA}, run long").parquet(own).agg(F.min("run")).first()[0]
-        if first is None:
-            return
-        landed = spark.read.schema(f"{SNAPSHOT_SCHEMA}, batch int, run long").parquet(landed_base)
-        # One row a run: bounded by the nights of the backlog.
-        runs = [r["run"] for r in landed.where(F.col("run") >= first).select("run").distinct().orderBy("run").collect()]
-        for run in runs:
-            tonight = landed.where(F.col("run") == run).drop("run", "batch")
-            version = run   # the run's time in microseconds
-            now = F.timestamp_micros(F.lit(run))
-            scanned = tonight.select("org_key")
-            rows = tonight.where(F.col("id").isNotNull())
-            seen = _previous(spark, store_base, version, SEEN_SCHEMA)
-            _write(state.seen_reconcile(seen, rows, scanned, now).drop("is_new", "closed_now"),
-                   store_base, version)
-            if public_base is not None:
-                public = _previous(spark, public_base, version, PUBLIC_SCHEMA)
-                _write(state.public_reconcile(public, _public_rows(rows), scanned, now)
-                       .select(*state.PUBLIC_COLUMNS), public_base, version)
-    return fold
+        "url", F.lit(None).cast("timestamp").alias("posted_at"),
+        "first_seen", "last_seen", "last_verified", "closed_at", "collapsed_into")
+    checkpoint_dir(spark)  # the mirrors' join reads the rows twice
+    return state.mirror_collapse(rows.checkpoint()).select(*state.PUBLIC_COLUMNS)
 
 
 def stream_reconcile(spark: SparkSession, snapshot_folder: str, store_base: str,
                      checkpoint: str, public_base: str | None = None,
-                     max_files_per_trigger: int | None = None) -> DataFrame:
-    """Run the stream over every available file; return the final seen store
-    (the public store's versions are under ``public_base`` when given). The
-    result doesn't depend on how files meet micro-batches; ``None`` takes all
-    available files in one, which folds every run once."""
+                     max_files_per_trigger: int | None = None, fanin: int = deltas.FANIN) -> DataFrame:
+    """Run the stream over every available file, publish the stores, return
+    the seen store (the public store is under ``public_base`` when given, in
+    the same folder as ``store_base``). The result doesn't depend on how files
+    meet micro-batches or on the order of the nights."""
+    root, name = os.path.split(store_base.rstrip("/"))
+    if public_base is not None and os.path.dirname(public_base.rstrip("/")) != root:
+        raise ValueError("both stores are published by one commit: put them in one folder")
     reader = spark.readStream.schema(SNAPSHOT_SCHEMA).option("recursiveFileLookup", "true")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     df = reader.parquet(snapshot_folder)
-    q = (df.writeStream.foreachBatch(_fold(store_base, public_base, f"{store_base.rstrip('/')}-landed"))
+    base = f"{store_base.rstrip('/')}-facts"
+    q = (df.writeStream.foreachBatch(_land(base, deltas.source_name(checkpoint), fanin))
          .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
+    commit = stores.Commit(spark, root)
+    commit.write(name, seen_rows(spark, base))
+    if public_base is not None:
+        published = stores.read_store(spark, public_base, PUBLIC_SCHEMA)
+        commit.write(os.path.basename(public_base.rstrip("/")), public_rows(spark, base, published))
+    commit.finish()
     return stores.read_store(spark, store_base, SEEN_SCHEMA)
