@@ -165,6 +165,16 @@ def _fmt(n: int | None) -> str:
     return f"{n:,}" if n is not None else ""
 
 
+def comp_outcome(comp: Column, rules: Rules = DEFAULT_RULES) -> Column:
+    """A band against the floor: ``unknown``, ``drop`` (its top, or its
+    minimum where it has no top, is below), ``clears`` (its minimum too is at
+    or above) or ``top-only``."""
+    floor = F.lit(rules.floor_usd)
+    return (F.when(~comp_known(comp), F.lit("unknown"))
+            .when(comp_top(comp) < floor, F.lit("drop"))
+            .when(comp["min"] >= floor, F.lit("clears")).otherwise(F.lit("top-only")))
+
+
 def evaluate(postings: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """Add ``family``, ``location``, ``stage`` (drop stage or NULL),
     ``decision``, ``reasons`` and the updated ordered ``flags``."""
@@ -173,18 +183,18 @@ def evaluate(postings: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     df = df.withColumn("location", F.when(
         F.col("family").isNotNull(), location_status(F.col("location_raw"), F.col("is_remote"), rules)))
     top = comp_top(F.col("comp"))
-    known = comp_known(F.col("comp"))
+    df = df.withColumn("_comp", comp_outcome(F.col("comp"), rules))
+    band = F.col("_comp")
     loc_exc = ((F.col("location") == "fail") & top.isNotNull() & (top >= F.lit(exc))
                if exc is not None else F.lit(False))
     stage = (F.when(F.col("family").isNull(), F.lit("title"))
              .when((F.col("location") == "fail") & ~loc_exc, F.lit("location"))
-             .when(known & ~(F.coalesce(top, F.lit(0)) >= F.lit(floor)), F.lit("comp")))
+             .when(band == "drop", F.lit("comp")))
     df = df.withColumn("_loc_exc", loc_exc).withColumn("stage", stage)
     reached_comp = F.col("family").isNotNull() & (
         (F.col("location") != "fail") | F.col("_loc_exc"))
     survived = F.col("stage").isNull()
-    band_top_only = reached_comp & known & (top >= F.lit(floor)) & ~(
-        F.coalesce(F.col("comp.min") >= F.lit(floor), F.lit(False)))
+    band_top_only = reached_comp & (band == "top-only")
     # Haystack and pack gates are plain compiled columns; only survivors
     # with a gate that fired enter the interpreted phrase chains.
     df = df.withColumn("_hay", F.when(survived, shape_haystack(F.col("title"), F.col("description_text"))))
@@ -205,15 +215,14 @@ def evaluate(postings: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
         F.when(is_flag_family, F.lit(R.FLAG_TITLE_FAMILY)),
         F.when(F.col("family").isNotNull() & F.col("_loc_exc"), F.lit(R.FLAG_LOCATION_EXCEPTION)),
         F.when(remote_unverified, F.lit(R.FLAG_REMOTE_UNVERIFIED)),
-        F.when(reached_comp & ~known, F.lit(R.FLAG_COMP_UNKNOWN)),
+        F.when(reached_comp & (band == "unknown"), F.lit(R.FLAG_COMP_UNKNOWN)),
         F.when(band_top_only, F.lit(R.FLAG_BAND_TOP_ONLY)),
         *[F.when(q.isNotNull(), F.lit(pack)) for pack, q in shape_cols],
     )
     flags = F.array_distinct(F.concat(F.coalesce(F.col("flags"), F.array().cast("array<string>")),
                                       new_flags))
-    comp_reason = (F.when(~known, F.lit(R.REASON_COMP_UNKNOWN))
-                   .when(F.coalesce(F.col("comp.min") >= F.lit(floor), F.lit(False)),
-                         F.lit(R.REASON_BAND_CLEARS.format(n=_fmt(floor))))
+    comp_reason = (F.when(band == "unknown", F.lit(R.REASON_COMP_UNKNOWN))
+                   .when(band == "clears", F.lit(R.REASON_BAND_CLEARS.format(n=_fmt(floor))))
                    .otherwise(F.lit(R.REASON_BAND_TOP_ONLY.format(n=_fmt(floor)))))
     kept_reasons = compact(
         F.when(is_flag_family, F.lit(R.REASON_TITLE_FLAG)),
@@ -228,7 +237,7 @@ def evaluate(postings: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     return (df.withColumn("flags", flags)
             .withColumn("reasons", reasons)
             .withColumn("decision", decision)
-            .drop("_loc_exc", "_shapes", "_hay", *[f"_g{i}" for i in range(len(rules.shapes))]))
+            .drop("_comp", "_loc_exc", "_shapes", "_hay", *[f"_g{i}" for i in range(len(rules.shapes))]))
 
 
 def wants_detail(title: Column, location_raw: Column, is_remote: Column,

@@ -8,11 +8,15 @@ none collects to the driver.
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirefold import rules as R
 from hirefold.functions.text import domain_of, let, name_guess, py_strip
+from hirefold.session import checkpoint_dir
 
 REGISTRY_COLUMNS = ("company_name", "domain", "vendor", "slug", "board_url", "status",
                     "last_verified", "last_posting_count", "discovered_via", "notes")
@@ -171,6 +175,38 @@ def registry_upsert(registry: DataFrame, candidates: DataFrame) -> DataFrame:
     return j.select(*cols).select(*REGISTRY_COLUMNS)
 
 
+class Added(NamedTuple):
+    """What ``registry_add`` makes: the next registry, and one row of counts."""
+
+    registry: DataFrame
+    counts: DataFrame
+
+
+def registry_add(registry: DataFrame, lines: DataFrame, crawl: DataFrame, discovered_via: str = "") -> Added:
+    """Scan the unclaimed domains of a list from their crawled pages and fold
+    what is found, then a no-match marker for every other scanned domain,
+    into the registry. Counts: scanned (todo domains that were crawled),
+    skipped (known or repeated lines), orgs_found, no_match. Found rows are
+    checkpointed (read three times), as is the registry."""
+    checkpoint_dir(registry.sparkSession)
+    plan = domains_to_scan(lines, registry).checkpoint()
+    todo = plan.where(F.col("action") == "todo").select("domain")
+    pages = crawl.join(todo, "domain", "left_semi")
+    found = discover_orgs(pages, discovered_via).checkpoint()
+    markers = no_match_markers(pages, found, discovered_via)
+
+    def place(group: int, at: Column) -> Column:
+        return F.struct(F.lit(group).alias("group"), F.col("domain"), at.cast("bigint").alias("at"))
+    candidates = found.withColumn("ordinal", place(0, F.col("ref_pos"))).drop("ref_pos").unionByName(
+        markers.withColumn("ordinal", place(1, F.lit(0))))
+    merged = registry_upsert(registry, candidates).checkpoint()
+    scanned = todo.join(pages.select("domain").distinct(), "domain", "left_semi")
+    parts = {"scanned": scanned, "skipped": plan.where(F.col("action").isin("known", "repeat")),
+             "orgs_found": found, "no_match": markers}
+    tagged = reduce(DataFrame.unionByName, [df.select(F.lit(k).alias("k")) for k, df in parts.items()])
+    return Added(merged, tagged.agg(*[F.count_if(F.col("k") == k).alias(k) for k in parts]))
+
+
 def probe_outcomes(registry: DataFrame, probes: DataFrame) -> DataFrame:
     """Registry rows (vendor known) joined to their latest probe (by
     ``line_no``); adds ``probe`` (struct or NULL)."""

@@ -277,7 +277,8 @@ def public_rows_from_postings(postings: DataFrame, rules=None) -> DataFrame:
         F.when(comp_known(F.col("comp")), band_text(F.col("comp"))).otherwise(F.lit("")).alias("comp_band"),
         F.coalesce(F.col("location_raw"), F.lit("")).alias("location"),
         F.coalesce(F.col("is_remote"), F.lit(False)).alias("remote"),
-        F.coalesce(F.col("url"), F.lit("")).alias("url"), F.col("published_at").alias("posted_at"))
+        F.coalesce(F.col("url"), F.lit("")).alias("url"), F.col("published_at").alias("posted_at"),
+        *(["line_no"] if "line_no" in postings.columns else []))
 
 
 def empty_public_store(spark) -> DataFrame:

@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirefold.functions.comp import band_text, comp_known, comp_top, parse_salary_prose
+from hirefold.functions.comp import band_text, parse_salary_prose
 from hirefold.functions.text import normalize_title
 from hirefold.operators import funnel
 from hirefold.sources import fixtures as FX
@@ -58,15 +58,8 @@ def q_parse_salary_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_comp_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from hirefold.rules import DEFAULT_RULES
-    floor = DEFAULT_RULES.floor_usd
     p = FX.postings(spark, sf_dir)
-    c = F.col("comp")
-    top = comp_top(c)
-    outcome = (F.when(~comp_known(c), F.lit("unknown"))
-               .when((top >= floor) & (c["min"] >= floor), F.lit("clears"))
-               .when(top >= floor, F.lit("top-only")).otherwise(F.lit("drop")))
-    return p.select("id", outcome.alias("comp_outcome"), band_text(c).alias("band"))
+    return p.select("id", funnel.comp_outcome(F.col("comp")).alias("comp_outcome"), band_text(F.col("comp")).alias("band"))
 
 
 def q_shape_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +133,41 @@ def q_mirror_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.mirror_collapse(p).select("id", "collapsed_into")
 
 
+def _facts(spark: SparkSession, sf_dir: str):
+    """Merged facts of the sightings in pieces that overlap: the nights of
+    each piece come in no order, every eighth sighting in two of them."""
+    from functools import reduce
+
+    from hirefold.operators import nights
+    s = FX.sightings(spark, sf_dir).withColumn("_h", F.pmod(F.xxhash64("id", "run_ts"), F.lit(8)))
+    pieces = [s.where(c) for c in ("_h < 3", "_h >= 3 AND _h < 6", "_h >= 5")]
+    roles = [nights.role_facts(p) for p in pieces]
+    orgs = [nights.org_facts(p) for p in pieces]
+    return (nights.merge_roles(reduce(DataFrame.unionByName, roles)),
+            nights.merge_orgs(reduce(DataFrame.unionByName, orgs)))
+
+
+def q_facts_closure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Closures and resurrections read off merged facts."""
+    from hirefold.operators import nights
+    return nights.closure_events(*_facts(spark, sf_dir)).select("id", _ts("night"), "event")
+
+
+def q_facts_seen_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The seen store read off merged facts."""
+    from hirefold.operators import nights
+    h = nights.seen_store(*_facts(spark, sf_dir))
+    return h.select("id", "org_key", "company_name", "title", "url", _ts("first_seen"), _ts("last_seen"),
+                    _ts("closed_at"))
+
+
+def q_facts_public_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The public store (before mirrors) read off merged facts."""
+    from hirefold.operators import nights
+    h = nights.public_store(*_facts(spark, sf_dir), nights.run_facts(FX.run_nights(spark, sf_dir)))
+    return h.select("id", _ts("first_seen"), _ts("last_seen"), _ts("closed_at"))
+
+
 def q_seen_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hirefold.operators import state
     now = _last_night(spark, sf_dir)
@@ -186,6 +214,9 @@ QUERIES.update({
     "sighting_history": q_sighting_history,
     "closure_events": q_closure_events,
     "public_history": q_public_history,
+    "facts_closure_events": q_facts_closure_events,
+    "facts_seen_store": q_facts_seen_store,
+    "facts_public_store": q_facts_public_store,
     "mirror_collapse": q_mirror_collapse,
     "seen_reconcile": q_seen_reconcile,
     "public_reconcile": q_public_reconcile,
@@ -331,23 +362,21 @@ def q_registry_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reg_out(REG.registry_upsert(reg, again.unionByName(found)))
 
 
+def _registry_added(spark: SparkSession, sf_dir: str):
+    from hirefold.operators import registry as REG
+    return REG.registry_add(_registry(spark, sf_dir), FX.domain_lines(spark, sf_dir),
+                            FX.crawl_pages(spark, sf_dir), "list")
+
+
 def q_registry_add(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scan the todo domains of the list: counts scanned, skipped,
     orgs_found, no_match (one row)."""
-    from hirefold.operators import registry as REG
-    reg = _registry(spark, sf_dir)
-    plan = REG.domains_to_scan(FX.domain_lines(spark, sf_dir), reg)
-    todo = plan.where(F.col("action") == "todo").select("domain")
-    pages = FX.crawl_pages(spark, sf_dir).join(todo, "domain", "left_semi")
-    found = materialize(REG.discover_orgs(pages, "list"))
-    markers = REG.no_match_markers(pages, found, "list")
-    scanned = todo.join(pages.select("domain").distinct(), "domain", "left_semi")
-    tagged = (plan.where(F.col("action").isin("known", "repeat")).select(F.lit("skipped").alias("k"))
-              .unionByName(scanned.select(F.lit("scanned").alias("k")))
-              .unionByName(found.select(F.lit("orgs_found").alias("k")))
-              .unionByName(markers.select(F.lit("no_match").alias("k"))))
-    return tagged.agg(*[F.count_if(F.col("k") == k).alias(k)
-                        for k in ("scanned", "skipped", "orgs_found", "no_match")])
+    return _registry_added(spark, sf_dir).counts
+
+
+def q_registry_added(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry that the scan of the list leaves."""
+    return _reg_out(_registry_added(spark, sf_dir).registry)
 
 
 def q_registry_apply_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -389,6 +418,7 @@ QUERIES.update({
     "last_write_wins": q_last_write_wins,
     "registry_upsert": q_registry_upsert,
     "registry_add": q_registry_add,
+    "registry_added": q_registry_added,
     "registry_apply_probes": q_registry_apply_probes,
     "registry_probe_counts": q_registry_probe_counts,
     "registry_stats": q_registry_stats,
@@ -627,9 +657,15 @@ def q_detail_enrich(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_detail_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate under the default rules (with a location exception: the
+    title family alone) and under rules without one (the location too)."""
+    from dataclasses import replace
+
+    from hirefold.rules import DEFAULT_RULES
     p = FX.postings(spark, sf_dir)
-    return p.select("id", funnel.wants_detail(F.col("title"), F.col("location_raw"), F.col("is_remote"))
-                    .alias("wants_detail"))
+    of = [F.col(c) for c in ("title", "location_raw", "is_remote")]
+    return p.select("id", funnel.wants_detail(*of).alias("wants_detail"),
+                    funnel.wants_detail(*of, replace(DEFAULT_RULES, exception_usd=None)).alias("wants_detail_strict"))
 
 
 QUERIES.update({f"norm_{v}": _norm_query(v) for v in
@@ -776,6 +812,10 @@ def q_org_scan_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stores.org_scan_list(FX.pins(spark, sf_dir), _registry(spark, sf_dir))
 
 
+#: Files a micro-batch of the stream keys: several batches, most nights split between two.
+STREAM_FILES = 200
+
+
 def _stream_run(spark: SparkSession, sf_dir: str) -> str:
     """Run the nightly stream over the nights of ``sightings``, several files
     a night, into both stores. Scratch space is a fresh folder under the
@@ -787,7 +827,7 @@ def _stream_run(spark: SparkSession, sf_dir: str) -> str:
     snaps = os.path.join(base, "snapshots")
     reconcile.write_nightly_snapshots(FX.sightings(spark, sf_dir), snaps)
     reconcile.stream_reconcile(spark, snaps, os.path.join(base, "seen"), os.path.join(base, "ckpt"),
-                               public_base=os.path.join(base, "public"), max_files_per_trigger=None)
+                               public_base=os.path.join(base, "public"), max_files_per_trigger=STREAM_FILES)
     return base
 
 

@@ -65,7 +65,7 @@ def nightly_run(spark: SparkSession, raw: DataFrame, history_rules: DataFrame, u
     first_run = stores.latest_version(spark, _path(root, "seen")) is None
     seen_prev = stores.read_store(spark, _path(root, "seen"), SEEN_SCHEMA, SEEN_DEFAULTS)
     sightings = postings.select("id", F.concat_ws(":", "source", "org_slug").alias("org_key"),
-                                "title", "company_name", "url")
+                                "title", "company_name", "url", "line_no")
     # Read by the "is new" join, the closed lines and the store write.
     seen_next = state.seen_reconcile(seen_prev, sightings, scanned, now).checkpoint(eager=True)
 
@@ -136,22 +136,9 @@ def add_domains(spark: SparkSession, lines: DataFrame, crawl: DataFrame, root: s
     fold what is found, plus no-match markers, into the next registry
     version. Returns the counts (scanned, skipped, orgs_found, no_match)."""
     reg = stores.read_store(spark, _path(root, "registry"), REGISTRY_SCHEMA)
-    plan = REG.domains_to_scan(lines, reg).cache()
-    todo = plan.where(F.col("action") == "todo").select("domain")
-    pages = crawl.join(todo, "domain", "left_semi")
-    found = REG.discover_orgs(pages, discovered_via).checkpoint(eager=True)   # read three times
-    markers = REG.no_match_markers(pages, found, discovered_via)
-    cands = (found.withColumn("ordinal", F.struct(F.lit(0).alias("g"), "domain", F.col("ref_pos").cast("bigint").alias("p")))
-             .drop("ref_pos")
-             .unionByName(markers.withColumn("ordinal", F.struct(F.lit(1).alias("g"), "domain", F.lit(0).cast("bigint").alias("p")))))
-    nxt = REG.registry_upsert(reg, cands).checkpoint(eager=True)
-    stores.write_store(nxt, _path(root, "registry"), sort_keys=("vendor", "slug"))
-    scanned = todo.join(crawl.select("domain").distinct(), "domain", "left_semi")
-    tagged = (plan.where(F.col("action").isin("known", "repeat")).select(F.lit("skipped").alias("k"))
-              .unionByName(scanned.select(F.lit("scanned").alias("k")))
-              .unionByName(found.select(F.lit("orgs_found").alias("k")))
-              .unionByName(markers.select(F.lit("no_match").alias("k"))))
-    return tagged.agg(*[F.count_if(F.col("k") == k).alias(k) for k in ("scanned", "skipped", "orgs_found", "no_match")])
+    added = REG.registry_add(reg, lines, crawl, discovered_via)
+    stores.write_store(added.registry, _path(root, "registry"), sort_keys=("vendor", "slug"))
+    return added.counts
 
 
 def verify_registry(spark: SparkSession, probes: DataFrame, root: str, vendor: str | None = None,

@@ -23,7 +23,7 @@ from hirefold.rules import DEFAULT_RULES, Rules
 
 POSTING_COLUMNS = ("id", "source", "org_slug", "company_name", "title", "location_raw",
                    "is_remote", "comp", "url", "published_at", "updated_at", "description_text",
-                   "flags")
+                   "flags", "line_no")
 
 def no_comp() -> Column:
     return comp_struct(F.lit(None), F.lit(None), F.lit(None).cast("string"), F.lit("none"))
@@ -183,6 +183,15 @@ def _answered(raw: DataFrame, vendor: str, outcomes: DataFrame | None = None) ->
     return docs.where(F.coalesce(F.col("offset"), F.lit(0)) <= F.col("_last")) if vendor in PAGED else docs
 
 
+def _postings(docs: DataFrame, postings: str, *more) -> DataFrame:
+    """One row (``j``) per posting of the documents, with its place in the
+    reading order of its board (``line_no``: page offset, then position), so
+    that of an id listed twice the later one counts."""
+    jobs = docs.select("slug", "company", *more, F.coalesce("offset", F.lit(0)).cast("bigint").alias("_offset"),
+                       F.posexplode(F.coalesce(postings, F.array())).alias("_pos", "j"))
+    return jobs.withColumn("line_no", F.shiftleft("_offset", 32) + F.col("_pos")).drop("_offset", "_pos")
+
+
 def _details(raw: DataFrame, vendor: str) -> DataFrame:
     return raw.where((F.col("vendor") == vendor) & (F.col("kind") == "detail")
                      & (F.coalesce(F.col("http_status"), F.lit(200)) < 400))
@@ -218,8 +227,8 @@ def ashby_comp():
 
 def norm_ashby(raw: DataFrame, rules: Rules = DEFAULT_RULES,
                outcomes: DataFrame | None = None) -> DataFrame:
-    docs = _answered(raw, "ashby", outcomes).select("slug", "company", F.from_json("body", ASHBY_SCHEMA).alias("d"))
-    jobs = docs.select("slug", "company", F.explode(F.coalesce("d.jobs", F.array())).alias("j"))
+    docs = _answered(raw, "ashby", outcomes).select("slug", "company", "offset", F.from_json("body", ASHBY_SCHEMA).alias("d"))
+    jobs = _postings(docs, "d.jobs")
     jobs = jobs.where(F.coalesce(F.col("j.isListed"), F.lit(False)))
     c = F.col("j.compensation")
     jobs = jobs.withColumn("_salary", _ashby_salary(c))
@@ -231,7 +240,7 @@ def norm_ashby(raw: DataFrame, rules: Rules = DEFAULT_RULES,
     locs = F.concat(F.array(F.col("j.location")),
                     F.transform(F.coalesce("j.secondaryLocations", F.array()), lambda s: s["location"]))
     return _finish(jobs.select(
-        role_id(F.lit("ashby"), F.col("slug"), F.coalesce("j.id", F.lit(""))).alias("id"),
+        "line_no", role_id(F.lit("ashby"), F.col("slug"), F.coalesce("j.id", F.lit(""))).alias("id"),
         F.lit("ashby").alias("source"), F.col("slug").alias("org_slug"),
         display_name(F.col("company"), F.col("slug")).alias("company_name"),
         py_strip(F.coalesce("j.title", F.lit(""))).alias("title"),
@@ -255,8 +264,8 @@ def lever_interval(raw: Column) -> Column:
 
 def norm_lever(raw: DataFrame, rules: Rules = DEFAULT_RULES,
                outcomes: DataFrame | None = None) -> DataFrame:
-    docs = _answered(raw, "lever", outcomes).select("slug", "company", F.from_json("body", LEVER_SCHEMA).alias("d"))
-    jobs = docs.select("slug", "company", F.explode(F.coalesce("d", F.array())).alias("j"))
+    docs = _answered(raw, "lever", outcomes).select("slug", "company", "offset", F.from_json("body", LEVER_SCHEMA).alias("d"))
+    jobs = _postings(docs, "d")
     sal = F.col("j.salaryRange")
     interval = lever_interval(sal["interval"])
     lo, hi = annualize(sal["min"], interval), annualize(sal["max"], interval)
@@ -272,7 +281,7 @@ def norm_lever(raw: DataFrame, rules: Rules = DEFAULT_RULES,
     p_comp, p_flags = _parsed_comp()
     locs = F.concat(F.array(F.col("j.categories.location")), F.coalesce("j.categories.allLocations", F.array()))
     return _finish(jobs.select(
-        role_id(F.lit("lever"), F.col("slug"), F.coalesce("j.id", F.lit(""))).alias("id"),
+        "line_no", role_id(F.lit("lever"), F.col("slug"), F.coalesce("j.id", F.lit(""))).alias("id"),
         F.lit("lever").alias("source"), F.col("slug").alias("org_slug"),
         display_name(F.col("company"), F.col("slug")).alias("company_name"),
         py_strip(F.coalesce("j.text", F.lit(""))).alias("title"),
@@ -290,9 +299,8 @@ def norm_lever(raw: DataFrame, rules: Rules = DEFAULT_RULES,
 
 def norm_workable(raw: DataFrame, rules: Rules = DEFAULT_RULES,
                   outcomes: DataFrame | None = None) -> DataFrame:
-    docs = _answered(raw, "workable", outcomes).select("slug", "company", F.from_json("body", WORKABLE_SCHEMA).alias("d"))
-    jobs = docs.select("slug", "company", F.col("d.name").alias("acct"),
-                       F.explode(F.coalesce("d.jobs", F.array())).alias("j"))
+    docs = _answered(raw, "workable", outcomes).select("slug", "company", "offset", F.from_json("body", WORKABLE_SCHEMA).alias("d"))
+    jobs = _postings(docs, "d.jobs", F.col("d.name").alias("acct"))
     jobs = jobs.withColumn("_desc", html_to_text(F.col("j.description")))
     jobs = _with_parsed(jobs, F.col("_desc"))
     comp, flags = _parsed_comp()
@@ -302,7 +310,7 @@ def norm_workable(raw: DataFrame, rules: Rules = DEFAULT_RULES,
     flat = comma_segment(F.col("j.city"), F.col("j.state"), F.col("j.country"))
     loc = F.when(F.size(listed) > 0, F.array_join(listed, " | ")).otherwise(flat)
     return _finish(jobs.select(
-        role_id(F.lit("workable"), F.col("slug"), F.coalesce("j.shortcode", F.lit(""))).alias("id"),
+        "line_no", role_id(F.lit("workable"), F.col("slug"), F.coalesce("j.shortcode", F.lit(""))).alias("id"),
         F.lit("workable").alias("source"), F.col("slug").alias("org_slug"),
         _or(F.col("acct"), F.col("company"), F.col("slug")).alias("company_name"),
         py_strip(F.coalesce("j.title", F.lit(""))).alias("title"),
@@ -349,10 +357,10 @@ def _enrich(listed: DataFrame, details: DataFrame, gate: Column, schema: str, ex
 
 def norm_greenhouse(raw: DataFrame, rules: Rules = DEFAULT_RULES,
                     outcomes: DataFrame | None = None) -> DataFrame:
-    docs = _answered(raw, "greenhouse", outcomes).select("slug", "company", F.from_json("body", GREENHOUSE_SCHEMA).alias("d"))
-    jobs = docs.select("slug", "company", F.explode(F.coalesce("d.jobs", F.array())).alias("j"))
+    docs = _answered(raw, "greenhouse", outcomes).select("slug", "company", "offset", F.from_json("body", GREENHOUSE_SCHEMA).alias("d"))
+    jobs = _postings(docs, "d.jobs")
     listed = jobs.select(
-        role_id(F.lit("greenhouse"), F.col("slug"), F.col("j.id")).alias("id"),
+        "line_no", role_id(F.lit("greenhouse"), F.col("slug"), F.col("j.id")).alias("id"),
         F.coalesce(F.col("j.id").cast("string"), F.lit("")).alias("_xid"),
         F.lit("greenhouse").alias("source"), F.col("slug").alias("org_slug"),
         _or(F.col("j.company_name"), F.col("company"), F.col("slug")).alias("company_name"),
@@ -373,14 +381,14 @@ def norm_greenhouse(raw: DataFrame, rules: Rules = DEFAULT_RULES,
 def norm_smartrecruiters(raw: DataFrame, rules: Rules = DEFAULT_RULES,
                          outcomes: DataFrame | None = None) -> DataFrame:
     pages = _answered(raw, "smartrecruiters", outcomes).select(
-        "slug", "company", F.from_json("body", SMARTRECRUITERS_SCHEMA).alias("d"))
-    jobs = pages.select("slug", "company", F.explode(F.coalesce("d.content", F.array())).alias("j"))
+        "slug", "company", "offset", F.from_json("body", SMARTRECRUITERS_SCHEMA).alias("d"))
+    jobs = _postings(pages, "d.content")
     full = py_strip(F.coalesce("j.location.fullLocation", F.lit("")))
     parts = F.array_join(F.filter(F.array(*[py_strip(F.col(f"j.location.{k}")) for k in ("city", "region", "country")]),
                                   lambda p: F.coalesce(p, F.lit("")) != ""), ", ")
     ident = _or(F.col("j.company.identifier"), F.col("slug"))
     listed = jobs.select(
-        role_id(F.lit("smartrecruiters"), F.col("slug"), F.coalesce("j.id", F.lit(""))).alias("id"),
+        "line_no", role_id(F.lit("smartrecruiters"), F.col("slug"), F.coalesce("j.id", F.lit(""))).alias("id"),
         F.coalesce("j.id", F.lit("")).alias("_xid"),
         F.lit("smartrecruiters").alias("source"), F.col("slug").alias("org_slug"),
         _or(F.col("j.company.name"), F.col("company"), F.col("slug")).alias("company_name"),
@@ -416,15 +424,15 @@ def workday_slug(slug: Column) -> Column:
 def norm_workday(raw: DataFrame, rules: Rules = DEFAULT_RULES,
                  outcomes: DataFrame | None = None) -> DataFrame:
     pages = _answered(raw, "workday", outcomes).select(
-        "slug", "company", F.from_json("body", WORKDAY_SCHEMA).alias("d"))
+        "slug", "company", "offset", F.from_json("body", WORKDAY_SCHEMA).alias("d"))
     pages = pages.withColumn("_wd", workday_slug(F.col("slug"))).where(F.col("_wd").isNotNull())
-    jobs = pages.select("slug", "company", "_wd", F.explode(F.coalesce("d.jobPostings", F.array())).alias("j"))
+    jobs = _postings(pages, "d.jobPostings", "_wd")
     path = F.coalesce("j.externalPath", F.lit(""))
     host = F.concat(F.lit("https://"), F.col("_wd.tenant"), F.lit(".wd"), F.col("_wd.n"),
                     F.lit(".myworkdayjobs.com"))
     rt = F.lower(py_strip(F.coalesce("j.remoteType", F.lit(""))))
     listed = jobs.select(
-        role_id(F.lit("workday"), F.col("slug"), path).alias("id"), path.alias("_xid"),
+        "line_no", role_id(F.lit("workday"), F.col("slug"), path).alias("id"), path.alias("_xid"),
         F.lit("workday").alias("source"), F.col("slug").alias("org_slug"),
         display_name(F.col("company"), F.col("slug")).alias("company_name"),
         py_strip(F.coalesce("j.title", F.lit(""))).alias("title"),

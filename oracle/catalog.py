@@ -19,6 +19,8 @@ ORACLES.update({
     "sighting_history": state.sighting_history,
     "closure_events": state.closure_events,
     "public_history": state.public_history,
+    "facts_closure_events": state.closure_events,
+    "facts_public_store": state.public_history,
     "mirror_collapse": state.mirror_collapse,
     "seen_reconcile": state.seen_reconcile,
     "public_reconcile": state.public_reconcile,
@@ -47,6 +49,7 @@ ORACLES.update({
     "last_write_wins": registry.last_write_wins,
     "registry_upsert": registry.registry_upsert,
     "registry_add": registry.registry_add,
+    "registry_added": registry.registry_added,
     "registry_apply_probes": registry.registry_apply_probes,
     "registry_probe_counts": registry.registry_probe_counts,
     "registry_stats": registry.registry_stats,
@@ -118,6 +121,7 @@ ORACLES.update({
     "run_record": stores.run_record,
     "org_scan_list": stores.org_scan_list,
     "stream_reconcile": stores.stream_reconcile,
+    "facts_seen_store": stores.stream_reconcile,
     "stream_public_reconcile": stores.stream_public_reconcile,
 })
 

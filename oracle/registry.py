@@ -183,16 +183,9 @@ def last_write_wins() -> str:
     return with_(registry_ctes()) + reg_out("reg")
 
 
-def registry_upsert() -> str:
-    ctes = registry_ctes() + _found_ctes() + [
-        """cand AS (
-  SELECT 'Seen ' || slug AS company_name, slug || '.example.net' AS domain, vendor, slug,
-    'https://boards.example.net/' || slug AS board_url, 'unverified' AS status, NULL::DATE AS last_verified,
-    0::BIGINT AS last_posting_count, CASE WHEN line_no % 2 = 0 THEN 'rescan' ELSE '' END AS discovered_via,
-    '' AS notes, (0, '', line_no::BIGINT) AS ordinal FROM reg_log
-  UNION ALL
-  SELECT company_name, domain, vendor, slug, board_url, 'unverified', NULL::DATE, 0::BIGINT, 'pages', '',
-    (1, domain, ref_pos::BIGINT) FROM found)""",
+def _merged_ctes() -> list[str]:
+    """The candidates of ``cand`` folded into ``reg``."""
+    return [
         """cagg AS (
   SELECT vendor, slug,
     arg_min(company_name, ordinal) FILTER (WHERE company_name <> '') AS c_company_name,
@@ -214,7 +207,34 @@ def registry_upsert() -> str:
     CASE WHEN r.vendor IS NOT NULL THEN r.notes ELSE c.c_notes END AS notes
   FROM reg r FULL OUTER JOIN cagg c ON r.vendor = c.vendor AND r.slug = c.slug)""",
     ]
-    return with_(ctes) + reg_out("merged")
+
+
+def registry_upsert() -> str:
+    ctes = registry_ctes() + _found_ctes() + [
+        """cand AS (
+  SELECT 'Seen ' || slug AS company_name, slug || '.example.net' AS domain, vendor, slug,
+    'https://boards.example.net/' || slug AS board_url, 'unverified' AS status, NULL::DATE AS last_verified,
+    0::BIGINT AS last_posting_count, CASE WHEN line_no % 2 = 0 THEN 'rescan' ELSE '' END AS discovered_via,
+    '' AS notes, (0, '', line_no::BIGINT) AS ordinal FROM reg_log
+  UNION ALL
+  SELECT company_name, domain, vendor, slug, board_url, 'unverified', NULL::DATE, 0::BIGINT, 'pages', '',
+    (1, domain, ref_pos::BIGINT) FROM found)""",
+    ]
+    return with_(ctes + _merged_ctes()) + reg_out("merged")
+
+
+def registry_added() -> str:
+    ctes = _plan_ctes() + _found_ctes("domain IN (SELECT domain FROM plan WHERE action = 'todo')") + [
+        f"""cand AS (
+  SELECT company_name, domain, vendor, slug, board_url, 'unverified' AS status, NULL::DATE AS last_verified,
+    0::BIGINT AS last_posting_count, 'list' AS discovered_via, '' AS notes, (0, domain, ref_pos::BIGINT) AS ordinal
+  FROM found
+  UNION ALL
+  SELECT DISTINCT {name_guess_sql('domain')}, domain, 'unknown', domain, '', 'unverified', NULL::DATE, 0::BIGINT,
+    'list', {q(R.NO_MATCH_NOTE)}, (1, domain, 0::BIGINT)
+  FROM crawl WHERE domain IN (SELECT domain FROM plan WHERE action = 'todo')
+    AND domain NOT IN (SELECT domain FROM found))"""]
+    return with_(ctes + _merged_ctes()) + reg_out("merged")
 
 
 def registry_add() -> str:

@@ -6,7 +6,7 @@ from __future__ import annotations
 from hirefold import rules as R
 from hirefold.sources import fixtures as FX
 from oracle.base import lst, postings_ctes, q, salary_ctes, with_
-from oracle.funnel import family_sql
+from oracle.funnel import family_sql, location_ctes
 
 OUT = """SELECT id, company_name, title, location_raw, is_remote, comp_min, comp_max, comp_currency,
   comp_source, url, strftime(published_at, '%Y-%m-%d %H:%M:%S') AS published_at, description_text, flags"""
@@ -216,7 +216,9 @@ GROUP BY vendor, slug, failed, st"""
 
 
 def detail_gate() -> str:
-    return with_(postings_ctes()) + f"""SELECT id, {family_sql('title')} IS NOT NULL AS wants_detail FROM postings"""
+    return with_(postings_ctes() + location_ctes()) + f"""SELECT id, fam AS wants_detail,
+  fam AND location_status <> 'fail' AS wants_detail_strict
+FROM (SELECT p.id, {family_sql('title')} IS NOT NULL AS fam, l.location_status FROM postings p JOIN loc_status l USING (id))"""
 
 
 def detail_enrich() -> str:

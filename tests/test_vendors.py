@@ -134,3 +134,24 @@ def test_ashby_probe_counts_missing_is_listed_only(spark):
     r = probe_from_board(raw(spark, [("ashby", "acme", "", "list", None, 0, 200, None,
                                       json.dumps({"jobs": jobs}))])).first()
     assert (r["status"], r["count"], list(r["sample"])) == ("ok", 2, ["A", "B"])
+
+
+def test_later_listing_of_an_id_counts(spark):
+    from hirefold.operators import state
+    from hirefold.sources.vendors import norm_lever, norm_smartrecruiters
+    page = lambda at, jobs: ("smartrecruiters", "acme", "", "list", None, at, 200, None, json.dumps({
+        "totalFound": 4, "content": [{"id": i, "name": n} for i, n in jobs]}))
+    pages = [page(2, [("y", "late"), ("x", "latest")]), page(0, [("x", "first"), ("x", "second")])]
+    lever = ("lever", "acme", "", "list", None, 0, 200, None, json.dumps(
+        [{"id": "z", "text": t} for t in ("one", "two", "three")]))
+    r = raw(spark, [*pages, lever])
+    every = norm_smartrecruiters(r).unionByName(norm_lever(r))
+    tonight = every.repartition(5).selectExpr("id", "source || ':' || org_slug org_key", "title", "company_name", "url", "line_no")
+    seen = "id string, org_key string, title string, company_name string, url string, first_seen timestamp, " \
+           "last_seen timestamp, closed_at timestamp, public boolean, comp_band string, location string"
+    from pyspark.sql import functions as F
+    out = state.seen_reconcile(spark.createDataFrame([], seen), tonight, tonight.select("org_key"),
+                               F.lit("2026-01-01").cast("timestamp"))
+    assert {x["id"].rsplit(":", 1)[1]: x["title"] for x in out.collect()} == {"x": "latest", "y": "late", "z": "three"}
+    # The rows of the public store carry the order too.
+    assert "line_no" in state.public_rows_from_postings(every).columns
