@@ -47,12 +47,30 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Spans above this many bytes are hashed one by one, over all their bytes at once.
+LONG = 1 << 12
+
+
+def _long_hash(span: np.ndarray) -> np.uint64:
+    """A 64-bit hash of one long span: its eight-byte pieces, each mixed with
+    its place, summed and mixed."""
+    whole = np.zeros(-(-len(span) // 8) * 8, np.uint8)
+    whole[:len(span)] = span
+    pieces = whole.view("<u8").astype(np.uint64)
+    places = np.arange(1, len(pieces) + 1, dtype=np.uint64) * STEP
+    size = np.array([len(span)], np.uint64) * STEP
+    return mix(size ^ mix(pieces ^ mix(places)).sum(dtype=np.uint64))[0]
+
+
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, eight bytes at a time over all spans."""
+    """A 64-bit hash of each byte span, eight bytes at a time over all spans
+    of ordinary length; a span's hash depends on its bytes alone."""
     lens = ends - starts
     h = lens.astype(np.uint64) * STEP
     eight = np.lib.stride_tricks.sliding_window_view(np.concatenate([raw, np.zeros(8, np.uint8)]), 8)
-    active, at = np.arange(len(starts)), 0
+    active, at = np.flatnonzero(lens <= LONG), 0
+    for i in np.flatnonzero(lens > LONG).tolist():
+        h[i] = _long_hash(raw[starts[i]:ends[i]])
     while len(active):
         x = np.ascontiguousarray(eight[starts[active] + at]).view("<u8").ravel()
         left = lens[active] - at

@@ -509,3 +509,40 @@ def test_empty_conversations_and_benchmarks(spark, empty):
     items = spark.createDataFrame([(1, "Which river runs north through the old town? The Ammer does.")], "item_id long, text string")
     assert decontaminate.find_leaks(empty, items).count() == 0
     assert decontaminate.find_leaks(empty, items.limit(0)).count() == 0
+
+
+def test_long_words_hash_fast_and_by_their_bytes():
+    import time
+
+    from hirefold.llm.words import LONG, span_hashes
+    rng = np.random.default_rng(4)
+    blob = rng.integers(33, 120, 4 << 20).astype(np.uint8)
+    began = time.monotonic()
+    span_hashes(blob, np.array([0]), np.array([len(blob)]))
+    assert time.monotonic() - began < 1
+    sizes = [1, 7, 8, 9, LONG - 1, LONG, LONG + 1, LONG + 7, LONG + 8, 3 * LONG + 5]
+    words = [blob[:n].copy() for n in sizes]
+    changed = [w.copy() for w in words]
+    for w in changed:
+        w[len(w) // 2] ^= 1
+    swapped = np.concatenate([blob[8:16], blob[:8], blob[16:2 * LONG]])
+    every = [*words, *changed, swapped, blob[:2 * LONG], *words]
+    raw = np.concatenate(every)
+    ends = np.cumsum([len(w) for w in every])
+    h = span_hashes(raw, np.concatenate([[0], ends[:-1]]), ends).tolist()
+    n = len(sizes)
+    assert h[:n] == h[-n:] and len(set(h)) == len(every) - n
+
+
+def test_lines_left_by_the_runs_go_one_by_one(spark):
+    from hirefold.llm.lines import dedup_lines, repeated_runs
+    run = [f"shared {i}" for i in range(30)]
+    texts = [(1, "\n".join(run)), (2, "\n".join(["own", *run, "tail"])), (3, "tail\nx"), (4, "\n".join(["tail", *run[3:6]])),
+             (5, None), (6, ""), (7, "\n\n"), (8, "w " * 50_000 + "\nx"), (8, "w " * 50_000 + "\nx")]
+    df = spark.createDataFrame(texts, "doc_id long, text string")
+    runs = {r["doc"]: (r["from"], r["to"]) for r in repeated_runs(df).groupBy("doc").agg(
+        F.min("from").alias("from"), F.max("to").alias("to")).collect()}
+    assert runs[2] == (1, 31)               # found by window minima, extended both ways
+    got = sorted((r["doc_id"], r["n_removed"], r["text"][-5:]) for r in rows_of(dedup_lines(df, lone_lines=True)))
+    assert got == [(1, 0, "ed 29"), (2, 30, "\ntail"), (3, 1, "x"), (4, 4, ""), (5, 0, ""), (6, 0, ""), (7, 0, "\n\n"),
+                   (8, 1, " w w "), (8, 1, " w w ")]
