@@ -546,3 +546,29 @@ def test_lines_left_by_the_runs_go_one_by_one(spark):
     got = sorted((r["doc_id"], r["n_removed"], r["text"][-5:]) for r in rows_of(dedup_lines(df, lone_lines=True)))
     assert got == [(1, 0, "ed 29"), (2, 30, "\ntail"), (3, 1, "x"), (4, 4, ""), (5, 0, ""), (6, 0, ""), (7, 0, "\n\n"),
                    (8, 1, " w w "), (8, 1, " w w ")]
+
+
+@pytest.mark.parametrize("weak", [False, True])
+def test_long_texts_hash_in_segments(spark, weak):
+    from hirefold.llm.exact import SEGMENT, Hasher, drop_exact_duplicates, exact_duplicates
+    hasher = Hasher((3, 5), (2, 2)) if weak else Hasher()
+    base = "Abc d\u00e9f " * (SEGMENT // 4)
+    other = base[:-40] + "x" + base[-39:]       # differs in the last segment only
+    texts = [(1, base), (2, base.lower()), (3, other), (3, other), (None, base), (4, base + "!"), (5, base[:SEGMENT // 2]),
+             (6, base[:SEGMENT // 2].lower()), (7, None)]
+    data = base.encode().lower()
+    at = [0, 10, SEGMENT, 2 * SEGMENT, len(data)]
+    parts = [hasher.shifted(data[a:b], len(data) - b) for a, b in zip(at, at[1:])]
+    one, two = (sum(p[i] for p in reversed(parts)) % hasher.primes[i - 1] for i in (1, 2))
+    assert ((one << 31) | two, sum(p[0] for p in parts)) == hasher.text(data)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = sorted((str(r["doc_id"]), r["keep_id"], r["group_size"], r["kept"], r["text_sha256"])
+                 for r in rows_of(exact_duplicates(df, hasher=hasher)))
+    sha = lambda t: hashlib.sha256((t or "").encode().lower()).hexdigest()
+    short = base[:SEGMENT // 2]
+    assert got == sorted([
+        ("1", 2, 3, False, sha(base)), ("2", 2, 3, True, sha(base)), ("None", 2, 3, False, sha(base)),
+        ("3", 3, 2, True, sha(other)), ("3", 3, 2, False, sha(other)), ("4", 4, 1, True, sha(base + "!")),
+        ("5", 6, 2, False, sha(short)), ("6", 6, 2, True, sha(short)), ("7", 7, 1, True, sha(None))])
+    if not weak:
+        assert sorted(r["doc_id"] for r in rows_of(drop_exact_duplicates(df))) == [2, 3, 4, 6, 7]
