@@ -13,7 +13,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirefold.functions.comp import band_text, parse_salary_prose
+from hirefold.functions.comp import band_text, comp_top, parse_salary_prose
 from hirefold.functions.text import normalize_title
 from hirefold.operators import funnel
 from hirefold.sources import fixtures as FX
