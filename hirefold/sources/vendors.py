@@ -300,7 +300,11 @@ def norm_lever(raw: DataFrame, rules: Rules = DEFAULT_RULES,
 def norm_workable(raw: DataFrame, rules: Rules = DEFAULT_RULES,
                   outcomes: DataFrame | None = None) -> DataFrame:
     docs = _answered(raw, "workable", outcomes).select("slug", "company", "offset", F.from_json("body", WORKABLE_SCHEMA).alias("d"))
-    jobs = _postings(docs, "d.jobs", F.col("d.name").alias("acct"))
+    # The account's name leaves the document before its postings do: read off
+    # ``d`` afterwards, it would keep the whole document in every posting's
+    # row, and the Python step queues whole rows.
+    docs = docs.select("slug", "company", "offset", F.col("d.name").alias("acct"), F.col("d.jobs").alias("jobs"))
+    jobs = _postings(docs, "jobs", "acct")
     jobs = jobs.withColumn("_desc", html_to_text(F.col("j.description")))
     jobs = _with_parsed(jobs, F.col("_desc"))
     comp, flags = _parsed_comp()

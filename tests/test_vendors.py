@@ -83,6 +83,31 @@ def test_workable_locations(spark):
     assert out["workable:acme:X2"]["location_raw"] == "Berlin, DE"
 
 
+def python_step_types(df):
+    """The column types of the rows that pass each Python step of a plan."""
+    def steps(plan):
+        kids = plan.children()
+        own = [plan] if plan.nodeName() == "ArrowEvalPython" else []
+        return own + [x for i in range(kids.size()) for x in steps(kids.apply(i))]
+    return [[x.output().apply(i).dataType().catalogString() for i in range(x.output().size())]
+            for x in steps(df._jdf.queryExecution().optimizedPlan())]
+
+
+def workable_board(spark):
+    jobs = [{"shortcode": f"X{i}", "title": "GTM Engineer", "description": f"<p>A &amp; B {i}</p>"} for i in range(3)]
+    return raw(spark, [("workable", "acme", "Acme Co", "list", None, 0, 200, None,
+                        json.dumps({"name": "Acme Account", "jobs": jobs}))])
+
+
+def test_workable_posting_does_not_carry_its_document(spark):
+    from hirefold.sources.vendors import norm_workable
+    df = norm_workable(workable_board(spark))
+    types = python_step_types(df)
+    assert types and not [t for step in types for t in step if "array<struct<shortcode" in t]
+    assert {(r["id"], r["company_name"], r["description_text"]) for r in df.collect()} == {
+        (f"workable:acme:X{i}", "Acme Account", f"A & B {i}") for i in range(3)}
+
+
 def test_smartrecruiters_pages_and_detail(spark):
     from hirefold.sources.vendors import norm_smartrecruiters
     def page(offset, ids):
