@@ -108,6 +108,14 @@ def test_workable_posting_does_not_carry_its_document(spark):
         (f"workable:acme:X{i}", "Acme Account", f"A & B {i}") for i in range(3)}
 
 
+def test_all_postings_do_not_carry_their_documents(spark):
+    from hirefold.sources.vendors import all_postings
+    df = all_postings(workable_board(spark))
+    types = python_step_types(df)
+    assert types and not [t for step in types for t in step if "array<struct<shortcode" in t]
+    assert sorted(r["company_name"] for r in df.collect()) == ["Acme Account"] * 3
+
+
 def test_smartrecruiters_pages_and_detail(spark):
     from hirefold.sources.vendors import norm_smartrecruiters
     def page(offset, ids):
