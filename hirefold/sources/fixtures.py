@@ -136,13 +136,18 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (role, night) from ``events``; role = (user, event type)."""
+    """One row per (role, night) from ``events``; role = (user, event type).
+
+    Repeats go before the strings are made: user, type and night tell the same
+    rows apart as (id, run_ts), and rows without text to carry along are
+    hashed, where whole rows would be sorted."""
     e = _read(spark, sf_dir, "events", "ts", "user_id", "event_type")
+    e = e.select(F.to_date(e.ts).cast("timestamp").alias("run_ts"), "user_id", "event_type").distinct()
     vendor = _pick(R.VENDORS, e.user_id % 6)
     slug = F.concat(F.lit("user"), e.user_id.cast("string"))
     key = org_key(vendor, slug)
-    rows = e.select(
-        F.to_date(e.ts).cast("timestamp").alias("run_ts"),
+    return e.select(
+        "run_ts",
         F.concat_ws(":", key, e.event_type).alias("id"),
         key.alias("org_key"),
         vendor.alias("vendor"),
@@ -151,7 +156,6 @@ def sightings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("https://jobs.example.com/"), vendor, F.lit("/"), slug, F.lit("/"),
                  e.event_type).alias("url"),
     )
-    return rows.dropDuplicates(["id", "run_ts"])
 
 
 def board_fetches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,3 +62,17 @@ def test_mirror_collapse(spark):
     ], base.schema)
     out = {r["id"]: r["collapsed_into"] for r in mirror_collapse(df).collect()}
     assert out == {"a1": None, "a2": None, "g1": "a1", "l1": "a1", "z": "old", "s1": None}
+
+
+def test_sightings_repeats_go_without_a_sort(spark, tmp_path):
+    from hirefold.sources import fixtures as FX
+    rows = [(D(2026, 1, 1, 8), 7, "view"), (D(2026, 1, 1, 9), 7, "view"), (D(2026, 1, 2, 8), 7, "view"),
+            (D(2026, 1, 1, 8), 7, None), (D(2026, 1, 1, 9), 7, None), (D(2026, 1, 1, 8), None, "view"),
+            (None, 7, "view"), (None, 7, "view"), (D(2026, 1, 1, 8), 7, "")]
+    spark.createDataFrame(rows, "ts timestamp, user_id bigint, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    s = FX.sightings(spark, str(tmp_path))
+    assert "SortAggregate" not in s._jdf.queryExecution().executedPlan().toString()
+    first = D(2026, 1, 1)
+    assert sorted(((r["id"], r["run_ts"]) for r in s.collect()), key=str) == sorted([
+        ("greenhouse:user7:view", first), ("greenhouse:user7:view", D(2026, 1, 2)), ("greenhouse:user7", first),
+        (":view", first), ("greenhouse:user7:view", None), ("greenhouse:user7:", first)], key=str)
